@@ -80,7 +80,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

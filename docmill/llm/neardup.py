@@ -11,6 +11,7 @@ confirmed on the full sets, and links are closed to components.
 Groups of any size: a node that is still large at the last level is dealt into blocks that all meet the node's hubs; what is
 not linked to the node's largest component by then is compared with every member of the node, in blocks. Within a
 component no further pair is needed, so the work on a large group of copies grows with its size, not with its square.
+Small nodes are blocks of their own, in which every pair of different components is compared.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ WORDS = 5
 PERCENT = 80
 TOKENS = 128
 TREES = 10
-DEPTH = 8
+DEPTH = 3
 LEAF = 64
 HUBS = 16
 SLACK = 3.7  # standard deviations of the token agreement that a pair at the threshold may fall short
@@ -93,7 +94,11 @@ def _sets(words: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), words)], pa.binary())], names=["id", "members"])
+                sets = list(shingle_sets(part.column(1), words))
+                known = [i for i, s in enumerate(sets) if len(s)]
+                if known:
+                    tokens = minwise([sets[i] for i in known])
+                    yield pa.record_batch([part.column(0).take(pa.array(known)), pa.array([sets[i].tobytes() for i in known], pa.binary()), pa.array([t.tobytes() for t in tokens], pa.binary())], names=["rep", "members", "tokens"])
 
     return run
 
@@ -151,79 +156,81 @@ def _least(percent: int) -> int:
     return int(np.floor(TOKENS * p - SLACK * np.sqrt(TOKENS * p * (1 - p))))
 
 
-def _table(value) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, sizes, tokens and labels of an Arrow array of structs."""
-    tokens = np.frombuffer(b"".join(value.field("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-    label = value.field("label").to_numpy(zero_copy_only=False) if value.type.get_field_index("label") >= 0 else np.arange(len(value))
-    return value.field("rep").to_numpy(zero_copy_only=False), value.field("n_shingles").to_numpy(zero_copy_only=False), tokens, label
+class _Block:
+    """The documents of one block: ids, full sets, tokens, and labels if they have any."""
+
+    def __init__(self, value) -> None:
+        self.ids = value.field("rep").to_numpy(zero_copy_only=False)
+        self.sets = [np.frombuffer(x, np.uint64) for x in value.field("members").to_pylist()]
+        self.sizes = np.array([len(x) for x in self.sets])
+        self.tokens = np.frombuffer(b"".join(value.field("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
+        self.labels = value.field("label").to_numpy(zero_copy_only=False) if value.type.get_field_index("label") >= 0 else self.ids
+
+
+def _likely(a: _Block, b: _Block, percent: int) -> np.ndarray:
+    """Agreeing tokens of each pair that may be linked, else 0. The sizes alone rule out many pairs."""
+    n = _agree(a.tokens, b.tokens)
+    sizes = 100 * np.minimum(a.sizes[:, None], b.sizes[None, :]) >= percent * np.maximum(a.sizes[:, None], b.sizes[None, :])
+    return np.where((n >= _least(percent)) & sizes, n, 0)
 
 
-def _likely(a: tuple, b: tuple, least: int, percent: int) -> np.ndarray:
-    """Agreeing tokens where a pair may be linked, else 0. The sizes alone rule out many pairs."""
-    n = _agree(a[2], b[2])
-    sizes = 100 * np.minimum(a[1][:, None], b[1][None, :]) >= percent * np.maximum(a[1][:, None], b[1][None, :])
-    return np.where((n >= least) & sizes, n, 0)
+def _linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Whether two full sets reach the similarity."""
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return 100 * both >= percent * (len(u) + len(v) - both)
 
 
-def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    lo, hi = np.minimum(x, y).astype(np.int64), np.maximum(x, y).astype(np.int64)
-    return pa.record_batch({"a": lo, "b": hi})
+def _find(root: dict, k):
+    while root.setdefault(k, k) != k:
+        root[k] = root[root[k]]
+        k = root[k]
+    return k
 
 
-def _forest(percent: int):
-    """Of each block (with the hubs of its node): the strongest likely pairs that connect it, a spanning forest."""
-    least = _least(percent)
+def _within(percent: int):
+    """Of each block: (a, b), each document that links join to others, with the smallest id of those. Every likely pair is
+    confirmed on the full sets unless the two are joined already, the most similar pairs first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = [], []
             for i in range(batch.num_rows):
-                t = _table(batch.column("rows").slice(i, 1).flatten())
-                ids = t[0]
-                if len(ids) == 2:
-                    n = int((t[2][0] == t[2][1]).sum())
-                    if n >= least and 100 * t[1].min() >= percent * t[1].max() and ids[0] != ids[1]:
-                        x.append(ids[0])
-                        y.append(ids[1])
-                    continue
-                near = np.triu(_likely(t, t, least, percent), 1)
+                t = _Block(batch.column("rows").slice(i, 1).flatten())
+                near = np.triu(_likely(t, t, percent), 1)
                 p, q = np.nonzero(near)
-                root = list(range(len(ids)))
-
-                def find(k: int, root: list[int] = root) -> int:
-                    while root[k] != k:
-                        root[k] = root[root[k]]
-                        k = root[k]
-                    return k
-
+                root: dict = {}
                 for k in np.argsort(-near[p, q], kind="stable"):
-                    u, v = find(int(p[k])), find(int(q[k]))
-                    if u != v:
-                        root[u] = v
-                        if ids[p[k]] != ids[q[k]]:
-                            x.append(ids[p[k]])
-                            y.append(ids[q[k]])
-            yield _pairs(np.array(x, np.int64), np.array(y, np.int64))
+                    u, v = _find(root, int(t.ids[p[k]])), _find(root, int(t.ids[q[k]]))
+                    if u != v and _linked(t.sets[p[k]], t.sets[q[k]], percent):
+                        root[max(u, v)] = min(u, v)
+                for k in list(root):
+                    if (r := _find(root, k)) != k:
+                        x.append(k)
+                        y.append(r)
+            yield pa.record_batch({"a": np.array(x, np.int64), "b": np.array(y, np.int64)})
 
     return run
 
 
 def _across(percent: int):
-    """Likely pairs of different components: all of a block's, or of a block against the node's rest."""
-    least = _least(percent)
+    """Of a block and a part of what its node has besides its largest component: confirmed links of different components, one
+    for each two that are not yet joined here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            two = batch.schema.get_field_index("rest") >= 0
+            x, y = [], []
             for i in range(batch.num_rows):
-                t = _table(batch.column("rows").slice(i, 1).flatten())
-                r = _table(batch.column("rest").slice(i, 1).flatten()) if two else t
-                near = (_likely(t, r, least, percent) > 0) & (t[3][:, None] != r[3][None, :])
-                if not two:
-                    near = np.triu(near, 1)
+                t, r = (_Block(batch.column(c).slice(i, 1).flatten()) for c in ("rows", "rest"))
+                near = _likely(t, r, percent)
                 p, q = np.nonzero(near)
-                if len(p):
-                    yield _pairs(t[0][p], r[0][q])
+                root: dict = {}
+                for k in np.argsort(-near[p, q], kind="stable"):
+                    u, v = _find(root, int(t.labels[p[k]])), _find(root, int(r.labels[q[k]]))
+                    if u != v and _linked(t.sets[p[k]], r.sets[q[k]], percent):
+                        root[max(u, v)] = min(u, v)
+                        x.append(t.ids[p[k]])
+                        y.append(r.ids[q[k]])
+            yield pa.record_batch({"a": np.array(x, np.int64), "b": np.array(y, np.int64)})
 
     return run
 
@@ -231,38 +238,22 @@ def _across(percent: int):
 def _blocks(members: DataFrame, size: int) -> DataFrame:
     """(node, block, rows): the members of each node (column n: how many) dealt to blocks of about ``size`` by hash."""
     block = F.when(F.col("n") <= size, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / F.lit(size)))).cast("int")
-    row = F.struct("rep", "n_shingles", "tokens", *(["label"] if "label" in members.columns else []))
+    row = F.struct("rep", "members", "tokens", *(["label"] if "label" in members.columns else []))
     return members.withColumn("block", block).groupBy("node", "block").agg(F.collect_list(row).alias("rows"))
 
 
-# --- confirming and closing links --------------------------------------------------------------------------------------
+# --- full sets and components ------------------------------------------------------------------------------------------
 
 
-def _confirmed(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(u) + len(v) - len(np.unique(np.concatenate([u, v])))
-                good.append(100 * both >= percent * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], names=["a", "b", "linked"])
-
-    return run
+def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(rep, members, tokens) of the documents whose doc_id is in ``ids`` (column rep), made again from their texts.
 
-
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, linked) of the pairs, judged on the full sets, which are made again for the documents concerned only."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    bloom, blocks = build_filter(ids, "id")
-    some = probe(docs.select("doc_id", "text"), "doc_id", bloom, blocks)  # most texts go no further than this
-    text = some.join(ids, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = store(text.mapInArrow(_sets(words), "id bigint, members binary"), "sets")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
-    full = left.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-    out = store(full.select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a bigint, b bigint, linked boolean"), "links")
-    forget(sets)
-    return out
+    A Bloom filter keeps all other texts from being shuffled.
+    """
+    bloom, blocks = build_filter(ids, "rep")
+    some = probe(docs.select("doc_id", "text"), "doc_id", bloom, blocks)
+    text = some.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return store(text.mapInArrow(_sets(words), "rep bigint, members binary, tokens binary"), "sets")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,7 +268,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(least, "u")
         small = down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
@@ -333,35 +324,32 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     for t in (*held, found):
         forget(t)
 
-    members = groups.join(reps, "rep").select("node", "n", "rep", "n_shingles", "tokens")
-    wide = members.where(f"n > {LEAF}")
-    hub = wide.withColumn("hub", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(HUBS))).groupBy("node", "hub").agg(F.min_by(F.struct("rep", "n_shingles", "tokens"), F.xxhash64("rep")).alias("row"))
-    hubs = hub.groupBy(F.col("node").alias("__node")).agg(F.collect_list("row").alias("hubs"))
-    blocks = _blocks(members.where(f"n <= {LEAF}"), LEAF).select("rows")
-    crowd = _blocks(wide, LEAF).join(hubs, F.col("node") == F.col("__node")).select(F.concat("rows", "hubs").alias("rows"))
-    pairs = blocks.unionByName(crowd).mapInArrow(_forest(percent), "a bigint, b bigint")
-    judged = confirm(store(pairs.distinct(), "pairs"), docs, words, percent)
-    linked = judged.where("linked").select("a", "b")
-    labels = components(linked)
-
-    # What the forests left out: likely pairs of different components of a node.
-    at = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    at = store(at.select("node", "n", "rep", "label"), "labelled")
-    split = at.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("node")
-    mixed = at.join(split, "node", "left_semi")
-    near = mixed.where(f"n <= {LEAF}").join(reps, "rep")
-    pairs = _blocks(near, LEAF).select("rows").mapInArrow(_across(percent), "a bigint, b bigint")
-    wide = mixed.where(f"n > {LEAF}")
-    most = wide.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy(F.col("node").alias("__node")).agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    rest = store(wide.join(most, F.col("node") == F.col("__node")).where("label <> main").select("node", "rep", "label"), "rest")
-    count = rest.groupBy("node").agg(F.count("*").alias("n"))
-    chunks = _blocks(rest.join(count, "node").join(reps, "rep"), LEAF).select(F.col("node").alias("__node"), F.col("rows").alias("rest"))
-    against = _blocks(wide.join(reps, "rep"), LEAF).join(chunks, F.col("node") == F.col("__node")).select("rows", "rest")
-    pairs = pairs.unionByName(against.mapInArrow(_across(percent), "a bigint, b bigint"))
-    pairs = store(pairs.distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        linked = linked.unionByName(confirm(pairs, docs, words, percent).where("linked").select("a", "b"))
-        labels = components(linked)
+    forget(reps)
+    sets = full_sets(docs, groups.select("rep").distinct(), words)
+    members = groups.join(sets, "rep")
+    links = _blocks(members.where(f"n <= {LEAF}"), LEAF).select("rows").mapInArrow(_within(percent), "a bigint, b bigint")
+    if large is not None:
+        wide = members.where(f"n > {LEAF}")
+        hub = groups.where(f"n > {LEAF}").groupBy("node", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(HUBS)).alias("hub")).agg(F.min_by("rep", F.xxhash64("rep")).alias("rep"))
+        hubs = hub.join(sets, "rep").groupBy(F.col("node").alias("__node")).agg(F.collect_list(F.struct("rep", "members", "tokens")).alias("hubs"))
+        crowd = _blocks(wide, LEAF).join(hubs, F.col("node") == F.col("__node")).select(F.array_distinct(F.concat("rows", "hubs")).alias("rows"))
+        links = links.unionByName(crowd.mapInArrow(_within(percent), "a bigint, b bigint"))
+    links = store(links.distinct(), "links")
+    labels = components(links)
+    if large is not None:
+        # What is not in a large node's main component is compared with the whole node, in blocks.
+        at = groups.where(f"n > {LEAF}").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        at = store(at.select("node", "n", "rep", "label"), "labelled")
+        most = at.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy(F.col("node").alias("__node")).agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+        rest = store(at.join(most, F.col("node") == F.col("__node")).where("label <> main").select("node", "rep", "label"), "rest")
+        if not rest.isEmpty():
+            count = rest.groupBy("node").agg(F.count("*").alias("n"))
+            chunks = _blocks(rest.join(count, "node").join(sets, "rep"), LEAF).select(F.col("node").alias("__node"), F.col("rows").alias("rest"))
+            wide = at.join(count.select("node"), "node", "left_semi").join(sets, "rep")
+            against = _blocks(wide, LEAF).join(chunks, F.col("node") == F.col("__node")).select("rows", "rest")
+            more = store(against.mapInArrow(_across(percent), "a bigint, b bigint").distinct(), "links")
+            if not more.isEmpty():
+                labels = components(links.unionByName(more))
 
     final = classes_of(keys).join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("set_key").alias("__k"), F.coalesce("label", "rep").alias("component_id"))
     out = keys.join(final, F.col("set_key") == F.col("__k"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
