@@ -28,8 +28,8 @@ HEAVY = 1_024
 BATCH_WORDS = 4_000_000  # words of a batch, and 65 536 documents at most
 BUCKET_WORDS = 1_000_000  # words of a bucket, about
 
-CELL = "bucket bigint, kind int, batch bigint, a binary, b binary, c binary, d binary, e binary"
-_FIELDS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("batch", pa.int64()), *[(k, pa.binary()) for k in "abcde"]])
+CELL = "bucket bigint, kind int, batch bigint, a binary, b binary, c binary, d binary, e binary, f binary"
+_FIELDS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("batch", pa.int64()), *[(k, pa.binary()) for k in "abcdef"]])
 PAIRS, WORDS, REQUESTS, SUMS, DOCS = range(5)
 
 
@@ -117,19 +117,30 @@ def _decoded(a: bytes, b: bytes) -> np.ndarray:
 def _sums(batch: int, bucket: int, doc: np.ndarray, value: np.ndarray) -> tuple:
     total = np.bincount(doc, value)
     at = np.unique(doc)
-    return (bucket, SUMS, batch, at.astype(np.uint16).tobytes(), total[at].astype(np.float32).tobytes(), None, None, None)
+    return (bucket, SUMS, batch, at.astype(np.uint16).tobytes(), total[at].astype(np.float32).tobytes(), None, None, None, None)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_FIELDS)], schema=_FIELDS)
 
 
-def _requests(batch: int, w: np.ndarray, doc: np.ndarray, extra: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """Cells of words whose unigram scores are wanted; ``extra`` says where the backoff factor applies."""
-    order = np.argsort(w, kind="stable")
-    w, doc, extra = w[order], doc[order], extra[order]
-    for b, i, j in _cells(_range(w, buckets)):
-        yield (b, REQUESTS, batch, *_coded(w[i:j]), doc[i:j].astype(np.uint16).tobytes(), np.packbits(extra[i:j]).tobytes(), None)
+def _narrow(n: np.ndarray) -> bytes:
+    """Counts in one byte each if they fit, else in four."""
+    return n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def _counts(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b, np.uint8 if len(b) == n else np.uint32)
+
+
+def _requests(w: np.ndarray, batch: np.ndarray, doc: np.ndarray, extra: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Words whose unigram scores are wanted, one row for each bucket that has counts; ``extra`` says where the backoff factor applies."""
+    to = _range(w, buckets)
+    order = np.lexsort((w, batch, to))
+    w, batch, doc, extra, to = w[order], batch[order], doc[order], extra[order], to[order]
+    for b, i, j in _cells(to):
+        ids, n = np.unique(batch[i:j], return_counts=True)
+        yield (b, REQUESTS, -1, *_coded(w[i:j]), doc[i:j].astype(np.uint16).tobytes(), np.packbits(extra[i:j]).tobytes(), ids.astype(np.int64).tobytes(), n.astype(np.uint32).tobytes())
 
 
 class Scorer:
@@ -150,13 +161,13 @@ class Scorer:
             doc = np.repeat(np.arange(len(counts)), counts)
             valid = pa.chunked_array(ids).is_valid().to_numpy()
             known = pa.chunked_array(ids).fill_null(0).to_numpy().astype(np.int64)
-            yield _rows([(batch % self.buckets, DOCS, batch, known.tobytes(), valid.tobytes(), counts.astype(np.int64).tobytes(), None, None)])
+            yield _rows([(batch % self.buckets, DOCS, batch, known.tobytes(), valid.tobytes(), counts.astype(np.int64).tobytes(), None, None, None)])
             if not len(w):
                 continue
             p = _place(self.heavy, w)
             u, n = np.unique(w[p < 0], return_counts=True)
             for b, i, j in _cells(_range(u, self.buckets)):
-                yield _rows([(b, WORDS, batch, u[i:j].tobytes(), n[i:j].astype(np.uint32).tobytes(), None, None, None)])
+                yield _rows([(b, WORDS, batch, u[i:j].tobytes(), n[i:j].astype(np.uint32).tobytes(), None, None, None, None)])
             first = np.r_[True, doc[1:] != doc[:-1]]
             # Known at once: first words and pairs of heavy words.
             at = np.flatnonzero(first & (p >= 0))
@@ -169,19 +180,23 @@ class Scorer:
                 sums.append((doc[at], np.where(n >= self.min_count, np.log(n) - self.followed[p[at]], self.alpha + self.unigram[p[at + 1]])))
             yield _rows([_sums(batch, batch % self.buckets, *(np.concatenate(x) for x in zip(*sums, strict=True)))])
             at = np.flatnonzero(first & (p < 0))
-            rows = list(_requests(batch, w[at], doc[at], np.zeros(len(at), bool), self.buckets))
+            rows = list(_requests(w[at], np.full(len(at), batch), doc[at], np.zeros(len(at), bool), self.buckets))
             if rows:
                 yield _rows(rows)
+            # The other pairs: by their first word, or, where that is heavy, by both words.
             v = v[~both]
-            key = w[v].copy()
             hot = p[v] >= 0
-            key[hot] = mix(w[v[hot]] ^ mix(w[v[hot] + 1]))
+            cold, hot = v[~hot], v[hot]
+            cold = cold[np.argsort(w[cold], kind="stable")]
+            key = mix(w[hot] ^ mix(w[hot + 1]))
             order = np.argsort(key, kind="stable")
-            v, key = v[order], key[order]
-            for b, i, j in _cells(_range(key, self.buckets)):
-                u, starts, n = np.unique(key[i:j], return_index=True, return_counts=True)
-                at = v[i:j]
-                yield _rows([(b, PAIRS, batch, u.tobytes() + p[at[starts]].astype(np.int32).tobytes(), n.astype(np.uint32).tobytes(), *_coded(w[at + 1]), doc[at].astype(np.uint16).tobytes())])
+            hot, key = hot[order], key[order]
+            c, h = _range(w[cold], self.buckets), _range(key, self.buckets)
+            for b in np.union1d(c, h).tolist():
+                x, y = cold[np.searchsorted(c, b) : np.searchsorted(c, b + 1)], hot[np.searchsorted(h, b) : np.searchsorted(h, b + 1)]
+                u, n = np.unique(w[x], return_counts=True)
+                at = np.concatenate([x, y])
+                yield _rows([(b, PAIRS, batch, u.tobytes(), _narrow(n), *_coded(w[at + 1]), doc[at].astype(np.uint16).tobytes(), p[y].astype(np.uint16).tobytes())])
 
     def bigrams(self, table: pa.Table) -> pa.Table:
         """One bucket: count its pairs, score those of the model, and ask for the unigram scores of the others."""
@@ -193,18 +208,19 @@ class Scorer:
         if words:
             u, inverse = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in words]), return_inverse=True)
             n = np.bincount(inverse, np.concatenate([np.frombuffer(r["b"], np.uint32) for r in words]))
-            out.append((bucket, WORDS, -1, u.tobytes(), n.astype(np.int64).tobytes(), None, None, None))
+            out.append((bucket, WORDS, -1, u.tobytes(), n.astype(np.int64).tobytes(), None, None, None, None))
         rows = [r for r in rows if r["kind"] == PAIRS]
         if rows:
-            keys, hot, ws = [], [], []
+            keys, places, ws = [], [], []
             for r in rows:
-                n = np.frombuffer(r["b"], np.uint32)
-                keys.append(np.repeat(np.frombuffer(r["a"][: 8 * len(n)], np.uint64), n))
-                hot.append(np.repeat(np.frombuffer(r["a"][8 * len(n) :], np.int32), n))
-                ws.append(_decoded(r["c"], r["d"]))
+                u, place, w = np.frombuffer(r["a"], np.uint64), np.frombuffer(r["f"], np.uint16), _decoded(r["c"], r["d"])
+                cold = np.repeat(u, _counts(r["b"], len(u)))
+                keys.append(np.concatenate([cold, mix(self.heavy[place] ^ mix(w[len(cold) :]))]))
+                places.append(np.concatenate([np.full(len(cold), -1, np.int32), place.astype(np.int32)]))
+                ws.append(w)
             sizes = [len(x) for x in keys]
-            key, p, w = np.concatenate(keys), np.concatenate(hot), np.concatenate(ws)
-            del keys, hot, ws
+            key, p, w = np.concatenate(keys), np.concatenate(places), np.concatenate(ws)
+            del keys, places, ws
             _, inverse, n = np.unique(mix(key) + w * np.uint64(0x9E3779B97F4A7C15), return_inverse=True, return_counts=True)
             pair = n[inverse]
             _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
@@ -213,15 +229,18 @@ class Scorer:
             q = _place(self.heavy, w)
             known = good | (q >= 0)
             value = np.where(good, np.log(pair) - context, self.alpha + (self.unigram[np.maximum(q, 0)] if len(self.unigram) else 0.0))
-            at = 0
+            at, docs = 0, []
             for r, size in zip(rows, sizes, strict=True):
                 s = slice(at, at + size)
                 at += size
                 doc = np.frombuffer(r["e"], np.uint16)
+                docs.append(doc)
                 if known[s].any():
                     out.append(_sums(r["batch"], bucket, doc[known[s]], value[s][known[s]]))
-                ask = ~known[s]
-                out += _requests(r["batch"], w[s][ask], doc[ask], np.ones(int(ask.sum()), bool), self.buckets) if ask.any() else []
+            ask = ~known
+            if ask.any():
+                batch = np.repeat(np.array([r["batch"] for r in rows], np.int64), sizes)
+                out += _requests(w[ask], batch[ask], np.concatenate(docs)[ask], np.ones(int(ask.sum()), bool), self.buckets)
         return pa.Table.from_batches([_rows(out)], _FIELDS)
 
     def unigrams(self, table: pa.Table) -> pa.Table:
@@ -235,13 +254,18 @@ class Scorer:
             if r["kind"] == WORDS:
                 u = np.frombuffer(r["a"], np.uint64)
                 score = np.log(np.frombuffer(r["b"], np.int64)) - np.log(self.words)
+        answers: dict[int, list] = {}
         for r in rows:
             if r["kind"] == REQUESTS:
                 value = score[np.searchsorted(u, np.frombuffer(r["a"], np.uint64))]
-                wide = len(r["a"]) // 8 > 65_536
                 doc = np.frombuffer(r["c"], np.uint16)
                 extra = np.unpackbits(np.frombuffer(r["d"], np.uint8), count=len(doc))
-                out.append(_sums(r["batch"], bucket, doc, value[np.frombuffer(r["b"], np.uint32 if wide else np.uint16)] + self.alpha * extra))
+                value = value[np.frombuffer(r["b"], np.uint16 if len(value) <= 65_536 else np.uint32)] + self.alpha * extra
+                at = 0
+                for batch, n in zip(np.frombuffer(r["e"], np.int64).tolist(), np.frombuffer(r["f"], np.uint32).tolist(), strict=True):
+                    answers.setdefault(batch, []).append((doc[at : at + n], value[at : at + n]))
+                    at += n
+        out += [_sums(batch, bucket, *(np.concatenate(x) for x in zip(*parts, strict=True))) for batch, parts in answers.items()]
         return pa.Table.from_batches([_rows(out)], _FIELDS)
 
     def documents(self, table: pa.Table) -> pa.Table:
@@ -263,6 +287,8 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_
 
     One row for each row of ``docs``; null texts count as empty, null ids stay null, repeated rows are counted and scored each.
     """
+    if heavy > 65_535:
+        raise ValueError("places of heavy words are kept in two bytes")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = rows.mapInArrow(_frequent, "w bigint, n bigint, words bigint").groupBy("w").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     found = seen.persist()
