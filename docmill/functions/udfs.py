@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from . import text as T
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: str, y: str) -> float:
         return 1.0 if not x and not y else 0.0 if not x or not y else round(SequenceMatcher(None, x, y).ratio(), 4)
@@ -34,7 +35,7 @@ def similarity(a: Column, b: Column) -> Column:
 def hashed_embedding(s: Column, dimensions: int = 384) -> Column:
     """A text's tokens, each hashed to one of the dimensions with a sign, scaled to length 1; zeros for a text without tokens."""
 
-    @pandas_udf("array<double>")
+    @pandas_udf(ArrayType(DoubleType()))
     def embed(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> list[float]:
             v = [0.0] * dimensions
@@ -49,7 +50,7 @@ def hashed_embedding(s: Column, dimensions: int = 384) -> Column:
     return embed(s)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def json_block(s: pd.Series) -> pd.Series:
     """The first balanced ``{…}`` of a text, a fenced block before the rest; braces in strings do not count; null without one."""
 
@@ -77,7 +78,7 @@ def json_block(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def docx_text(content: pd.Series) -> pd.Series:
     """The text of a word-processor file; null for what is none, is over 50 MB unpacked, or unpacks over 200 times its size."""
 
@@ -95,7 +96,7 @@ def docx_text(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def difference_hash(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     """64 bits in hexadecimal: of the grey image averaged to 9 x 8 cells, whether each is brighter than its right neighbour."""
 
@@ -112,7 +113,7 @@ def difference_hash(pixels: pd.Series, width: pd.Series, height: pd.Series) -> p
     return pd.Series([one(r, int(w), int(h)) for r, w, h in zip(pixels, width, height, strict=True)])
 
 
-@pandas_udf("variance double, noise double, p2 double, p98 double")
+@pandas_udf(StructType([StructField(k, DoubleType()) for k in ("variance", "noise", "p2", "p98")]))
 def pixel_stats(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
     """Of a grey image: variance of the Laplacian, mean deviation from its 3 x 3 blur, 2nd and 98th percentile."""
 
