@@ -48,7 +48,7 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def number_rows(df: DataFrame, group: list[str], order: list[Column], out: str, size: Column | None = None, per_task: int = 50_000) -> DataFrame:
+def number_rows(df: DataFrame, group: list[str], order: list[Column], out: str, size: Column | None = None, per_task: int = 8_192) -> DataFrame:
     """Give the rows of each group a gapless position from 0 (or, with ``size``, the sum of the sizes before the row).
 
     Rows are dealt by (group, leading bits of a hash of ``order``) to windows of about ``per_task`` rows; the totals of those
@@ -78,8 +78,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
+INVERSE = pow(BASE, -1, 1 << 64)
 _BLOCK = 1 << 19
 
 
@@ -95,7 +95,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
@@ -132,7 +132,7 @@ def hash_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
             last[ends] = word[ends]
             s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
             if _UP is None or len(_UP) < b - a + 1:
-                _UP, _DOWN = _powers(_BASE, max(_BLOCK, b - a) + 1), _powers(_INVERSE, max(_BLOCK, b - a) + 1)
+                _UP, _DOWN = powers(BASE, max(_BLOCK, b - a) + 1), powers(INVERSE, max(_BLOCK, b - a) + 1)
             sums = np.zeros(b - a + 1, np.uint64)
             np.cumsum(_BYTE[x] * _UP[: b - a], out=sums[1:])
             parts.append(mix((sums[e] - sums[s]) * _DOWN[s]))

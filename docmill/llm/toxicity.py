@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, store
+from .common import BASE, INVERSE, mix, powers, store
 
-SIZES = (4, 5)  # characters of an n-gram
+SIZES = (4, 6, 8)  # characters of an n-gram; a blank stands for any run's edge, so the longer ones hold whole words
 BITS = 20  # n-grams are hashed to 2**BITS numbers
 MAX_PER_CLASS = 4_000  # labelled texts of each label that are used, at most
 MAX_FEATURES = 2_048  # n-grams kept, by their chi-square with the label
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
+SMOOTHING = 0.3  # added to counts for the ratios
+_UP = _DOWN = np.zeros(0, np.uint64)
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -41,14 +43,17 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, i
 
 def _grams(x: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each size, the hashed n-grams and their texts; none spans two texts."""
+    global _UP, _DOWN
+    if len(_UP) < len(x):
+        _UP, _DOWN = powers(BASE, len(x)), powers(INVERSE, len(x))
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(mix(x + np.uint64(1)) * _UP[: len(x)], out=sums[1:])
     for n in SIZES:
-        if len(x) < n:
-            continue
-        h = np.full(len(x) - n + 1, n, np.uint64)
-        for k in range(n):
-            h = h * np.uint64(0x100000001B3) + x[k : len(x) - n + 1 + k]
-        one = doc[: len(h)] == doc[n - 1 :]
-        yield (mix(h[one]) >> np.uint64(64 - BITS)).astype(np.int64), doc[: len(h)][one]
+        m = len(x) - n + 1
+        if m > 0:
+            one = doc[:m] == doc[n - 1 :]
+            h = (sums[n:] - sums[:m]) * _DOWN[:m] + np.uint64(n)
+            yield (mix(h[one]) >> np.uint64(64 - BITS)).astype(np.int64), doc[:m][one]
 
 
 def _present(texts: list[str | None], index: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
@@ -83,7 +88,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, steps: int = 400) -> tuple[np.ndarray, float]:
     """Regularised logistic regression by accelerated gradient steps over a dense matrix of bounded size."""
     n = len(y)
     v = np.ones(x.shape[1], np.float32)
@@ -126,8 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_clas
         table = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
             y = batch.column(0).to_pylist()
-            for i, features in _present(batch.column(1).to_pylist()):
-                table[y[i], features] += 1
+            for at in range(0, len(y), 512):
+                for i, features in _present(batch.column(1).slice(at, 512).to_pylist()):
+                    table[y[at + i], features] += 1
         at = np.flatnonzero(table.any(axis=0))
         yield pa.record_batch({"f": at, "c0": table[0, at].astype(np.int64), "c1": table[1, at].astype(np.int64)})
 
@@ -145,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_clas
     if not top:
         return constant
     f, c0, c1 = (np.array([r[k] for r in top], np.int64) for k in range(3))
-    ratio = np.log(((c1 + 1) / (seen[1] + 2)) / ((c0 + 1) / (seen[0] + 2))).astype(np.float32)
+    ratio = np.log(((c1 + SMOOTHING) / (seen[1] + 2 * SMOOTHING)) / ((c0 + SMOOTHING) / (seen[0] + 2 * SMOOTHING))).astype(np.float32)
     index = np.full(1 << BITS, -1, np.int16)
     index[f] = np.arange(len(f), dtype=np.int16)
 
@@ -173,8 +179,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            s = model.scores(batch.column(at).to_pylist())
+            column = batch.column(batch.schema.get_field_index(text))
+            s = np.concatenate([model.scores(column.slice(i, 512).to_pylist()) for i in range(0, max(1, len(column)), 512)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, out])
 
     return docs.drop(out).mapInArrow(run, schema)
