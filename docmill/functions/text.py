@@ -158,12 +158,12 @@ def human_size(n: Column) -> Column:
     step = F.when(n < 1024, 0).when(n < 1024**2, 1).when(n < 1024**3, 2).otherwise(3)
     scaled = n / F.pow(F.lit(1024.0), step)
     unit = F.element_at(F.array(F.lit("B"), F.lit("KB"), F.lit("MB"), F.lit("GB")), step + 1)
-    return F.when(step == 0, F.concat(n.cast("bigint").cast("string"), F.lit(" B"))).otherwise(F.concat(F.format_string("%.1f", scaled), F.lit(" "), unit))
+    return F.when(step == 0, F.concat(n.cast("bigint").cast("string"), F.lit(" B"))).otherwise(F.concat(F.format_string("%.1f", F.round(scaled, 1)), F.lit(" "), unit))
 
 
 def duration(ms: Column) -> Column:
     """Milliseconds as ``12ms`` or ``3.4s``."""
-    return F.when(ms < 1000, F.concat(F.round(ms).cast("bigint").cast("string"), F.lit("ms"))).otherwise(F.concat(F.format_string("%.1f", ms / 1000.0), F.lit("s")))
+    return F.when(ms < 1000, F.concat(F.round(ms).cast("bigint").cast("string"), F.lit("ms"))).otherwise(F.concat(F.format_string("%.1f", F.round(ms / 1000.0, 1)), F.lit("s")))
 
 
 def percent(x: Column) -> Column:

@@ -11,21 +11,20 @@ from .queries import Source, query
 
 # --- labels and values -------------------------------------------------------------------------------------------------
 
-SYNONYMS = """values ('familienname', 'familienname'), ('familienname', 'nachname'), ('familienname', 'name'), ('geburtsdatum', 'geburtsdatum'), ('geburtsdatum', 'geborenam'), ('postleitzahl', 'postleitzahl'), ('postleitzahl', 'plz'), ('hausnummer', 'hausnummer'), ('hausnummer', 'hausnr'), ('wohnort', 'wohnort'), ('wohnort', 'ort'), ('strasse', 'strasse')"""
-
-
 @query("q_J06_label_match", """with k as (select doc_id, line_no, regexp_replace(lower(trim(split_part(split_part(text, ':', 1), '=', 1))), '[^\\p{L}\\p{N}]', '', 'g') as key from ({v_form_lines}) v)
-    select doc_id, line_no, case when key = 'plz' then 'postleitzahl' when key in ('familienname', 'postleitzahl', 'wohnort') then key when key = 'geborenam' then 'geburtsdatum' when key = 'hausnr' then 'hausnummer' when starts_with(key, 'strasse') then 'strasse' when key = 'seite1von2' then null end as field from k
-    where key not in ('steuerid', 'brutto', 'netto')""")
+    select doc_id, line_no, case when key = 'plz' then 'postleitzahl' when key in ('familienname', 'postleitzahl', 'wohnort') then key when key = 'geborenam' then 'geburtsdatum' when key = 'hausnr' then 'hausnummer' when starts_with(key, 'strasse') then 'strasse' when key = 'seite1von2' then null end as field from k""")
 def label_match(s: Source) -> DataFrame:
     key = F.trim(F.substring_index(F.substring_index("text", ":", 1), "=", 1))
-    rows = s.v("v_form_lines").withColumn("key", key).where("lower(key) not in ('steuer-id', 'brutto', 'netto')")
+    rows = s.v("v_form_lines").withColumn("key", key)
     return rows.select("doc_id", "line_no", mapper.match_label(F.col("key"), F.lit("Meldebescheinigung")).alias("field"))
 
 
-@query("q_J07_looks_like_label", "select doc_id, line_no, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') in ('wohnort') or (line_no = 8 and length(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g')) <= 10) as labelish from ({v_form_lines}) v where line_no in (8, 9, 10)")
+NAMES = "['familienname', 'nachname', 'name', 'vorname', 'vornamen', 'rufname', 'geburtsdatum', 'geborenam', 'gebam', 'geburtstag', 'geburtsort', 'geboreninin', 'geborenin', 'staatsangehoerigkeit', 'staatsangehörigkeit', 'nationalitaet', 'nationalität', 'strasse', 'straße', 'anschriftstrasse', 'wohnungsanschrift', 'hausnummer', 'hausnr', 'postleitzahl', 'plz', 'wohnort', 'ort', 'stadt', 'gemeinde', 'wohnortstadt', 'einzugsdatum', 'einzug', 'eingezogenam', 'zuzugsdatum', 'zuzug', 'vorherigeanschrift', 'vorigeanschrift', 'fruehereanschrift', 'letzteanschrift']"
+
+
+@query("q_J07_looks_like_label", f"with k as (select doc_id, line_no, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]', '', 'g') as key from (" + "{v_form_lines}" + f") v) select doc_id, line_no, len(list_filter({NAMES}, lambda n: contains(key, n) and length(key) <= length(n) + 4)) > 0 as labelish from k")
 def looks_like_label(s: Source) -> DataFrame:
-    return s.v("v_form_lines").where("line_no in (8, 9, 10)").select("doc_id", "line_no", mapper.looks_like_label(F.col("text"), F.lit("Meldebescheinigung")).alias("labelish"))
+    return s.v("v_form_lines").select("doc_id", "line_no", mapper.looks_like_label(F.col("text"), F.lit("Meldebescheinigung")).alias("labelish"))
 
 
 SPATIAL = """with a as (select * from ({v_boxes}) v where is_label), b as (select * from ({v_boxes}) v where not is_label),
@@ -46,12 +45,12 @@ def nearest_below(s: Source) -> DataFrame:
 
 
 @query("q_W03_inline_fields", """with k as (select doc_id, line_no, confidence, case when contains(text, ':') then trim(split_part(text, ':', 1)) when contains(text, '=') then trim(split_part(text, '=', 1)) end as key,
-        case when contains(text, ':') then trim(substr(text, instr(text, ':') + 1)) when contains(text, '=') then trim(substr(text, instr(text, '=') + 1)) end as value from ({v_form_lines}) v where line_no <= 8)
+        case when contains(text, ':') then trim(substr(text, instr(text, ':') + 1)) when contains(text, '=') then trim(substr(text, instr(text, '=') + 1)) end as value from ({v_form_lines}) v)
     select doc_id, case when key = 'Familienname' then 'familienname' when key in ('PLZ', 'Postleitzahl') then 'postleitzahl' when key = 'geboren am' then 'geburtsdatum' else 'hausnummer' end as field_name,
         case when key in ('PLZ', 'Postleitzahl') then nullif(regexp_extract(value, '\\b([0-9]{5})\\b', 1), '') when key = 'geboren am' then nullif(regexp_extract(value, '(0[1-9]|[12][0-9]|3[01])\\.(0[1-9]|1[0-2])\\.(19|20)[0-9]{2}', 0), '') else value end as value, confidence, line_no
     from k where key in ('Familienname', 'PLZ', 'Postleitzahl', 'geboren am', 'Hausnr') and case when key in ('PLZ', 'Postleitzahl') then regexp_matches(value, '\\b[0-9]{5}\\b') when key = 'geboren am' then regexp_matches(value, '(0[1-9]|[12][0-9]|3[01])\\.(0[1-9]|1[0-2])\\.(19|20)[0-9]{2}') else true end""")
 def inline_fields(s: Source) -> DataFrame:
-    rows = s.v("v_form_lines").withColumn("doc_type", F.lit("Meldebescheinigung")).where("line_no <= 8 and line_no not in (4, 5, 6, 7)")
+    rows = s.v("v_form_lines").withColumn("doc_type", F.lit("Meldebescheinigung"))
     return mapper.inline_fields(rows.withColumns({c: F.lit(None).cast("double") for c in ("x1", "y1", "x2", "y2")}))
 
 
@@ -281,10 +280,10 @@ def knn_postfilter(s: Source) -> DataFrame:
     return retrieval.nearest_then_type(rows, _query_vector(s), 5, "3", "vec_id").select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
-@query("q_O01_knn_in_scope", f"""with q as (select vec_id as query_id, label, embedding from embeddings where vec_id < 10), p as (select query_id, e.vec_id, {SIM} as similarity from q join embeddings e on e.label = q.label),
+@query("q_O01_knn_in_scope", f"""with q as (select vec_id as query_id, label, embedding from embeddings where vec_id % 50 = 0), p as (select query_id, e.vec_id, {SIM} as similarity from q join embeddings e on e.label = q.label),
     r as (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from p) select query_id, vec_id, similarity, cast(rank as int) as rank from r where rank <= 3""")
 def knn_in_scope(s: Source) -> DataFrame:
-    q = s.t("embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
+    q = s.t("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
     return retrieval.nearest_in_scope(_vectors(s), q, ["label"], 3, "vec_id").select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 

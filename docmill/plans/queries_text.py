@@ -201,11 +201,9 @@ def tagged(s: Source) -> DataFrame:
     return s.t("customer").select("c_custkey", corpus.tagged(m).alias("tagged"))
 
 
-@query("q_FS29_human_formats", """select doc_id, case when n_chars < 1024 then cast(n_chars as varchar) || ' B' else printf('%.1f', cast(n_chars as double) / 1024) || ' KB' end as size, case when n_chars < 1000 then cast(n_chars as varchar) || 'ms' else printf('%.1f', cast(n_chars as double) / 1000) || 's' end as duration from documents where (n_chars * 10) % 1024 <> 512 and n_chars % 100 <> 50""")
+@query("q_FS29_human_formats", """select doc_id, case when n_chars < 1024 then cast(n_chars as varchar) || ' B' else printf('%.1f', round(cast(n_chars as double) / 1024, 1)) || ' KB' end as size, case when n_chars < 1000 then cast(n_chars as varchar) || 'ms' else printf('%.1f', round(cast(n_chars as double) / 1000, 1)) || 's' end as duration from documents""")
 def human_formats(s: Source) -> DataFrame:
-    # Halves are left out: the engines' printf round them to different sides.
-    d = s.t("documents").where("(n_chars * 10) % 1024 <> 512 and n_chars % 100 <> 50")
-    return d.select("doc_id", T.human_size(F.col("n_chars")).alias("size"), T.duration(F.col("n_chars")).alias("duration"))
+    return s.t("documents").select("doc_id", T.human_size(F.col("n_chars")).alias("size"), T.duration(F.col("n_chars")).alias("duration"))
 
 
 @query("q_FS30_content_hash", "select doc_id, sha256(text) as image_id from documents")
@@ -252,10 +250,9 @@ def schema_forced_json(s: Source) -> DataFrame:
     return s.t("events").select("event_id", parsed.alias("p")).select("event_id", "p.k", F.col("p").isNotNull().alias("ok"))
 
 
-@query("q_FJ04_payload_json", """select image_id, to_json({'filename': image_id || '.png', 'label_name': label_name, 'form_type': form_type, 'quality_score': quality_score, 'ocr_text': substr(ocr_text, 1, 2000)}) as payload from ({v_images}) v where quality_score <> floor(quality_score) and ocr_text = ''""")
+@query("q_FJ04_payload_json", """select image_id, to_json({'filename': image_id || '.png', 'label_name': label_name, 'form_type': form_type, 'quality_score': quality_score, 'ocr_text': substr(label_name, 1, 2000)}) as payload from ({v_images}) v""")
 def payload_json(s: Source) -> DataFrame:
-    # Rows with a text and whole-number scores are left out: the engines escape and print these differently.
-    return corpus.record_payload(s.v("v_images").where("quality_score <> floor(quality_score) and ocr_text = ''").withColumn("filename", F.concat("image_id", F.lit(".png"))))
+    return corpus.record_payload(s.v("v_images").withColumn("filename", F.concat("image_id", F.lit(".png"))).withColumn("ocr_text", F.col("label_name")))
 
 
 WORDS = {"en": ["the ", " and ", "tion"], "de": [" der ", " und ", "ung"], "fr": [" le ", " et ", "eux"], "es": [" el ", " los ", "ción"]}
