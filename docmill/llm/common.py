@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +36,49 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROWS_PER_BATCH = 1_024
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself, after the session's Arrow batches have been limited to ROWS_PER_BATCH rows: whole texts in batches of
+    10 000, the default, need more memory than a small executor has."""
+    if int(df.sparkSession.conf.get(_BATCH_KEY)) > ROWS_PER_BATCH:
+        df.sparkSession.conf.set(_BATCH_KEY, str(ROWS_PER_BATCH))
+    return df
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what runs inside."""
+    before = spark.conf.get(_BATCH_KEY)
+    spark.conf.set(_BATCH_KEY, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_KEY, before)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of a partition that is sorted by integer ``keys``, one table each; only one group is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in keys], axis=1)
+        edges = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            now = tuple(k[a].tolist())
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`store` that no later step reads."""
     spark = df.sparkSession
@@ -143,8 +189,6 @@ def hash_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string array and where its texts begin and end (nulls: empty)."""
-    import pyarrow as pa
-
     col = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     col = col.cast(pa.large_binary()).fill_null(b"")
     _, off, data = col.buffers()

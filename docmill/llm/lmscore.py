@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, text_buffer
+from .common import hash_words, mix, small_batches, text_buffer
 
 ALPHA = 0.4
 MIN_COUNT = 2
@@ -289,7 +289,7 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_
     """
     if heavy > 65_535:
         raise ValueError("places of heavy words are kept in two bytes")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = rows.mapInArrow(_frequent, "w bigint, n bigint, words bigint").groupBy("w").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     found = seen.persist()
     words = found.agg(F.sum("words")).first()[0] or 0

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import small_batches, store
 
 ITEM = "struct<position:int,kind:string,text:string,ref:string,caption:string>"
 WIDTH = 576  # samples of a row of the stored image
@@ -101,7 +101,7 @@ def interleave(pages: DataFrame, html: str = "html") -> DataFrame:
             items = pa.array([parse_html(x) for x in batch.column(len(kept)).to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], items], names=[*kept, "items"])
 
-    return pages.select(*kept, html).mapInArrow(run, schema)
+    return small_batches(pages).select(*kept, html).mapInArrow(run, schema)
 
 
 def resolve(pages: DataFrame, media: DataFrame, digest: str = "digest") -> DataFrame:
@@ -197,7 +197,7 @@ def put(docs: DataFrame, text: str = "text") -> DataFrame:
                     out, size = {"digest": [], "n_bytes": [], "media": []}, 0
             yield pa.record_batch([pa.array(out["digest"], pa.string()), pa.array(out["n_bytes"], pa.int64()), pa.array(out["media"], pa.binary())], names=list(out))
 
-    return docs.select(text).mapInArrow(run, "digest string, n_bytes bigint, media binary")
+    return small_batches(docs).select(text).mapInArrow(run, "digest string, n_bytes bigint, media binary")
 
 
 FACTS = "digest string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
@@ -216,7 +216,7 @@ def measure(media: DataFrame) -> DataFrame:
             kinds = [pa.string() if "string" in x else pa.int64() for x in FACTS.split(", ")]
             yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return media.select("digest", "n_bytes", "media").mapInArrow(run, FACTS).dropDuplicates(["digest"])
+    return small_batches(media).select("digest", "n_bytes", "media").mapInArrow(run, FACTS).dropDuplicates(["digest"])
 
 
 def media_documents(docs: DataFrame) -> DataFrame:

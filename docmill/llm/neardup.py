@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, hash_words, mix, store, text_buffer
+from .common import ROWS_PER_BATCH, batches_of, forget, hash_words, mix, runs, small_batches, store, text_buffer
 from .urlfilter import build_filter, mark, probe
 
 WORDS = 5
@@ -157,14 +157,15 @@ def _least(percent: int) -> int:
 
 
 class _Block:
-    """The documents of one block: ids, full sets, tokens, and labels if they have any."""
+    """The documents of one block: ids, set sizes, tokens, and, where they have been fetched, full sets and labels."""
 
-    def __init__(self, value) -> None:
-        self.ids = value.field("rep").to_numpy(zero_copy_only=False)
-        self.sets = [np.frombuffer(x, np.uint64) for x in value.field("members").to_pylist()]
-        self.sizes = np.array([len(x) for x in self.sets])
-        self.tokens = np.frombuffer(b"".join(value.field("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-        self.labels = value.field("label").to_numpy(zero_copy_only=False) if value.type.get_field_index("label") >= 0 else self.ids
+    def __init__(self, t: pa.Table) -> None:
+        names = t.schema.names
+        self.ids = t.column("rep").to_numpy()
+        self.tokens = np.frombuffer(b"".join(t.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
+        self.sets = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()] if "members" in names else []
+        self.sizes = np.array([len(x) for x in self.sets]) if self.sets else t.column("n_shingles").to_numpy()
+        self.labels = t.column("label").to_numpy() if "label" in names else self.ids
 
 
 def _likely(a: _Block, b: _Block, percent: int) -> np.ndarray:
@@ -187,27 +188,45 @@ def _find(root: dict, k):
     return k
 
 
+def _groups(percent: int):
+    """Of each block: its documents that likely pairs join, as groups (grp, n, rep); grp is a hash of the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["node", "block"]):
+            t = _Block(table)
+            root: dict = {}
+            for p, q in zip(*np.nonzero(np.triu(_likely(t, t, percent), 1)), strict=True):
+                u, v = _find(root, int(t.ids[p])), _find(root, int(t.ids[q]))
+                root[max(u, v)] = min(u, v)
+            groups: dict[int, list[int]] = {}
+            for k in list(root):
+                groups.setdefault(_find(root, k), []).append(k)
+            for ids in groups.values():
+                if len(ids) > 1:
+                    rep = np.sort(np.array(ids, np.int64))
+                    h = np.bitwise_xor.reduce(mix(rep.view(np.uint64) + np.uint64(1)))
+                    yield pa.record_batch({"grp": np.full(len(rep), h, np.uint64).view(np.int64), "n": np.full(len(rep), len(rep), np.int64), "rep": rep})
+
+    return run
+
+
 def _within(percent: int):
-    """Of each block: (a, b), each document that links join to others, with the smallest id of those. Every likely pair is
+    """Of each group: (a, b), each document that links join to others, with the smallest id of those. Every likely pair is
     confirmed on the full sets unless the two are joined already, the most similar pairs first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = [], []
-            for i in range(batch.num_rows):
-                t = _Block(batch.column("rows").slice(i, 1).flatten())
-                near = np.triu(_likely(t, t, percent), 1)
-                p, q = np.nonzero(near)
-                root: dict = {}
-                for k in np.argsort(-near[p, q], kind="stable"):
-                    u, v = _find(root, int(t.ids[p[k]])), _find(root, int(t.ids[q[k]]))
-                    if u != v and _linked(t.sets[p[k]], t.sets[q[k]], percent):
-                        root[max(u, v)] = min(u, v)
-                for k in list(root):
-                    if (r := _find(root, k)) != k:
-                        x.append(k)
-                        y.append(r)
-            yield pa.record_batch({"a": np.array(x, np.int64), "b": np.array(y, np.int64)})
+        for table in runs(batches, ["grp", "n"]):
+            t = _Block(table)
+            near = np.triu(_likely(t, t, percent), 1)
+            p, q = np.nonzero(near)
+            root: dict = {}
+            for k in np.argsort(-near[p, q], kind="stable"):
+                u, v = _find(root, int(t.ids[p[k]])), _find(root, int(t.ids[q[k]]))
+                if u != v and _linked(t.sets[p[k]], t.sets[q[k]], percent):
+                    root[max(u, v)] = min(u, v)
+            links = [(k, r) for k in list(root) if (r := _find(root, k)) != k]
+            if links:
+                yield pa.record_batch({"a": np.array([x for x, _ in links], np.int64), "b": np.array([x for _, x in links], np.int64)})
 
     return run
 
@@ -220,7 +239,7 @@ def _across(percent: int):
         for batch in batches:
             x, y = [], []
             for i in range(batch.num_rows):
-                t, r = (_Block(batch.column(c).slice(i, 1).flatten()) for c in ("rows", "rest"))
+                t, r = (_Block(pa.Table.from_struct_array(batch.column(c).slice(i, 1).flatten())) for c in ("rows", "rest"))
                 near = _likely(t, r, percent)
                 p, q = np.nonzero(near)
                 root: dict = {}
@@ -235,11 +254,19 @@ def _across(percent: int):
     return run
 
 
-def _blocks(members: DataFrame, size: int) -> DataFrame:
-    """(node, block, rows): the members of each node (column n: how many) dealt to blocks of about ``size`` by hash."""
-    block = F.when(F.col("n") <= size, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / F.lit(size)))).cast("int")
-    row = F.struct("rep", "members", "tokens", *(["label"] if "label" in members.columns else []))
-    return members.withColumn("block", block).groupBy("node", "block").agg(F.collect_list(row).alias("rows"))
+def _block(size: int):
+    """The block of each member of a node of n: about ``size`` to a block, dealt by hash."""
+    return F.when(F.col("n") <= size, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / F.lit(size)))).cast("int")
+
+
+def _packed(members: DataFrame, size: int) -> DataFrame:
+    """(node, block, rows): the members of each node in blocks, a row a block."""
+    return members.withColumn("block", _block(size)).groupBy("node", "block").agg(F.collect_list(F.struct("rep", "members", "tokens", "label")).alias("rows"))
+
+
+def _by(df: DataFrame, *keys: str) -> DataFrame:
+    """Each group's rows one after another in one partition, for :func:`runs`."""
+    return df.repartition(*keys).sortWithinPartitions(*keys)
 
 
 # --- full sets and components ------------------------------------------------------------------------------------------
@@ -253,7 +280,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     bloom, blocks = build_filter(ids, "rep")
     some = probe(docs.select("doc_id", "text"), "doc_id", bloom, blocks)
     text = some.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return store(text.mapInArrow(_sets(words), "rep bigint, members binary, tokens binary"), "sets")
+    return store(small_batches(text).mapInArrow(_sets(words), "rep bigint, members binary, tokens binary"), "sets")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -291,7 +318,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     Extra columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = store(docs.mapInArrow(_signatures(words), "doc_id bigint, n_shingles bigint, set_key binary, tokens binary"), "signed")
+    signed = store(small_batches(docs).mapInArrow(_signatures(words), "doc_id bigint, n_shingles bigint, set_key binary, tokens binary"), "signed")
     classes = classes_of(signed)
     first = signed.where("set_key is not null").select(F.col("doc_id"), "set_key", "n_shingles", "tokens").join(classes.withColumnRenamed("set_key", "__k"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("__k")))
     reps = store(first.groupBy("rep").agg(F.min_by(F.struct("n_shingles", "tokens"), "set_key").alias("s")).select("rep", "s.*"), "reps")
@@ -324,32 +351,38 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     for t in (*held, found):
         forget(t)
 
+    spark = docs.sparkSession
+    members = groups.withColumn("block", _block(LEAF)).select("node", "block", "rep")
+    if large is not None:  # every block of a large node meets the node's hubs
+        wide = groups.where(f"n > {LEAF}")
+        hubs = wide.groupBy("node", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(HUBS)).alias("hub")).agg(F.min_by("rep", F.xxhash64("rep")).alias("rep"), F.first("n").alias("n"))
+        each = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.lit(LEAF)).cast("int") - 1)))
+        members = members.unionByName(each.select("node", "block", "rep")).distinct()
+    with batches_of(spark, ROWS_PER_BATCH):
+        likely = store(_by(members.join(reps, "rep").select("node", "block", "rep", "n_shingles", "tokens"), "node", "block").mapInArrow(_groups(percent), "grp bigint, n bigint, rep bigint").distinct(), "likely")
     forget(reps)
-    sets = full_sets(docs, groups.select("rep").distinct(), words)
-    members = groups.join(sets, "rep")
-    links = _blocks(members.where(f"n <= {LEAF}"), LEAF).select("rows").mapInArrow(_within(percent), "a bigint, b bigint")
+    ids = likely.select("rep")
     if large is not None:
-        wide = members.where(f"n > {LEAF}")
-        hub = groups.where(f"n > {LEAF}").groupBy("node", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(HUBS)).alias("hub")).agg(F.min_by("rep", F.xxhash64("rep")).alias("rep"))
-        hubs = hub.join(sets, "rep").groupBy(F.col("node").alias("__node")).agg(F.collect_list(F.struct("rep", "members", "tokens")).alias("hubs"))
-        crowd = _blocks(wide, LEAF).join(hubs, F.col("node") == F.col("__node")).select(F.array_distinct(F.concat("rows", "hubs")).alias("rows"))
-        links = links.unionByName(crowd.mapInArrow(_within(percent), "a bigint, b bigint"))
-    links = store(links.distinct(), "links")
+        ids = ids.unionByName(wide.select("rep"))
+    sets = full_sets(docs, ids.distinct(), words)
+    with batches_of(spark, ROWS_PER_BATCH):
+        links = store(_by(likely.join(sets, "rep").select("grp", "n", "rep", "members", "tokens"), "grp", "n").mapInArrow(_within(percent), "a bigint, b bigint").distinct(), "links")
     labels = components(links)
     if large is not None:
         # What is not in a large node's main component is compared with the whole node, in blocks.
-        at = groups.where(f"n > {LEAF}").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        at = wide.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         at = store(at.select("node", "n", "rep", "label"), "labelled")
         most = at.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy(F.col("node").alias("__node")).agg(F.max_by("label", F.struct("c", "label")).alias("main"))
         rest = store(at.join(most, F.col("node") == F.col("__node")).where("label <> main").select("node", "rep", "label"), "rest")
         if not rest.isEmpty():
             count = rest.groupBy("node").agg(F.count("*").alias("n"))
-            chunks = _blocks(rest.join(count, "node").join(sets, "rep"), LEAF).select(F.col("node").alias("__node"), F.col("rows").alias("rest"))
-            wide = at.join(count.select("node"), "node", "left_semi").join(sets, "rep")
-            against = _blocks(wide, LEAF).join(chunks, F.col("node") == F.col("__node")).select("rows", "rest")
-            more = store(against.mapInArrow(_across(percent), "a bigint, b bigint").distinct(), "links")
+            chunks = _packed(rest.join(count, "node").join(sets, "rep"), LEAF).select(F.col("node").alias("__node"), F.col("rows").alias("rest"))
+            against = _packed(at.join(count.select("node"), "node", "left_semi").join(sets, "rep"), LEAF).join(chunks, F.col("node") == F.col("__node")).select("rows", "rest")
+            with batches_of(spark, 8):
+                more = store(against.mapInArrow(_across(percent), "a bigint, b bigint").distinct(), "links")
             if not more.isEmpty():
                 labels = components(links.unionByName(more))
+    forget(sets)
 
     final = classes_of(keys).join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("set_key").alias("__k"), F.coalesce("label", "rep").alias("component_id"))
     out = keys.join(final, F.col("set_key") == F.col("__k"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

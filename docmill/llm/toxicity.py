@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, INVERSE, mix, powers, store
+from .common import BASE, INVERSE, mix, powers, small_batches, store
 
 SIZES = (4, 6, 8)  # characters of an n-gram; a blank stands for any run's edge, so the longer ones hold whole words
 BITS = 20  # n-grams are hashed to 2**BITS numbers
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_clas
     if not all(seen):
         return constant
     # At most 2**BITS rows whatever the input, of which the best max_features come to the driver.
-    c = sample.mapInArrow(count, "f bigint, c0 bigint, c1 bigint").groupBy("f").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    c = small_batches(sample).mapInArrow(count, "f bigint, c0 bigint, c1 bigint").groupBy("f").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     p0, p1 = F.col("c0") / F.lit(seen[0]), F.col("c1") / F.lit(seen[1])
     pooled = (F.col("c0") + F.col("c1")) / F.lit(seen[0] + seen[1])
     chi = (p1 - p0) * (p1 - p0) / (pooled * (F.lit(1.0) - pooled) + F.lit(1e-9))
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_clas
                 out[i] = features.astype(np.int16).tobytes()
             yield pa.record_batch({"y": batch.column(0), "x": pa.array(out, pa.binary())})
 
-    rows = sample.mapInArrow(lay, "y int, x binary").collect()  # the bounded sample
+    rows = small_batches(sample).mapInArrow(lay, "y int, x binary").collect()  # the bounded sample
     rows.sort(key=lambda r: (r[0], r[1]))
     x, y = np.zeros((len(rows), len(f)), np.float32), np.array([r[0] for r in rows], np.float32)
     for i, r in enumerate(rows):
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             s = np.concatenate([model.scores(column.slice(i, 512).to_pylist()) for i in range(0, max(1, len(column)), 512)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, out])
 
-    return docs.drop(out).mapInArrow(run, schema)
+    return small_batches(docs.drop(out)).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
