@@ -9,6 +9,11 @@ from ..catalog import IBAN_LENGTHS
 from .text import is_truncated, strip
 
 
+def _bound(s: Column, f) -> Column:
+    """``f`` of a column that is worked out once, however often ``f`` uses it."""
+    return F.transform(F.array(s), f)[0]
+
+
 def _digit(s: Column, i: Column) -> Column:
     return F.substr(s, i, F.lit(1)).cast("int")
 
@@ -21,13 +26,13 @@ def check_digit(ten: Column) -> Column:
 
 def tax_id_valid(s: Column) -> Column:
     """Eleven digits (blanks, ``-`` and ``/`` apart), no leading 0, one digit two or three times among the first ten and no other repeated, and the check digit."""
-    d = F.regexp_replace(s, r"[ /-]", "")
-    shape = F.coalesce(d.rlike(r"^[1-9][0-9]{10}\z"), F.lit(False))
-    safe = F.when(shape, d).otherwise(F.lit("10000000000"))
-    ten = F.substring(safe, 1, 10)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.length(ten) - F.length(F.replace(ten, k.cast("string"), F.lit(""))))
-    repeated = F.filter(counts, lambda c: c > 1)
-    return shape & (F.size(repeated) == 1) & F.coalesce(F.get(repeated, F.lit(0)).isin(2, 3), F.lit(False)) & (check_digit(ten) == _digit(safe, F.lit(11)))
+    def valid(d: Column) -> Column:
+        ten = F.substring(d, 1, 10)
+        counts = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.length(ten) - F.length(F.replace(ten, k.cast("string"), F.lit(""))))
+        repeated = F.filter(counts, lambda c: c > 1)
+        return (F.size(repeated) == 1) & F.coalesce(F.get(repeated, F.lit(0)).isin(2, 3), F.lit(False)) & (check_digit(ten) == _digit(d, F.lit(11)))
+
+    return _bound(F.regexp_replace(s, r"[ /-]", ""), lambda d: F.when(d.rlike(r"^[1-9][0-9]{10}\z"), valid(d)).otherwise(False))
 
 
 def iban_remainder(s: Column) -> Column:
@@ -40,11 +45,13 @@ def iban_remainder(s: Column) -> Column:
 
 def iban_valid(s: Column) -> Column:
     """Country and check digits, the country's length if it is known, and remainder 1; blanks and ``-`` do not count."""
-    t = F.upper(F.regexp_replace(s, "[ -]", ""))
-    shape = F.coalesce(t.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]+\z"), F.lit(False))
-    safe = F.when(shape, t).otherwise(F.lit("XX00A"))
-    length = F.element_at(F.create_map(*[F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv]), F.substring(safe, 1, 2))
-    return shape & F.coalesce(F.length(safe) == length, F.lit(True)) & (iban_remainder(safe) == 1)
+    lengths = F.create_map(*[F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv])
+
+    def valid(t: Column) -> Column:
+        length = F.try_element_at(lengths, F.substring(t, 1, 2))
+        return F.coalesce(F.length(t) == length, F.lit(True)) & (iban_remainder(t) == 1)
+
+    return _bound(F.upper(F.regexp_replace(s, "[ -]", "")), lambda t: F.when(t.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]+\z"), valid(t)).otherwise(False))
 
 
 def postal_code_valid(s: Column) -> Column:

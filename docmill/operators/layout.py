@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..catalog import HEIGHT_RATIO, MERGE_GAP, MIN_HEIGHT, SPACE_GAP
+from .documents import per_document
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
@@ -40,29 +41,27 @@ def fuse(rows: DataFrame) -> DataFrame:
     ).drop("grp")
 
 
-def _grow(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Number the groups of one document: each line that is still free starts one and takes what fits it, from left to right of the page's order."""
-    pdf = pdf.assign(mid=(pdf.y1 + pdf.y2) / 2, tall=(pdf.y2 - pdf.y1).clip(lower=MIN_HEIGHT)).sort_values(["mid", "x1", "line_no", "text"], kind="stable").reset_index(drop=True)
-    mid, tall, x1, x2 = (pdf[c].tolist() for c in ("mid", "tall", "x1", "x2"))
-    group = [-1] * len(pdf)
-    for start in range(len(pdf)):
+def _grow(lines: list) -> list[tuple]:
+    """Number the groups of one document: each line that is still free starts one and takes what fits it, in the page's order."""
+    rows = sorted(lines, key=lambda r: ((r.y1 + r.y2) / 2, r.x1, r.line_no, r.text))
+    mid, tall = [(r.y1 + r.y2) / 2 for r in rows], [max(r.y2 - r.y1, MIN_HEIGHT) for r in rows]
+    group = [-1] * len(rows)
+    for start in range(len(rows)):
         if group[start] >= 0:
             continue
-        group[start], reach = start, x2[start]
-        for i in range(start + 1, len(pdf)):
+        group[start], reach = start, rows[start].x2
+        for i in range(start + 1, len(rows)):
             low, high = sorted((tall[start], tall[i]))
-            if group[i] < 0 and abs(mid[i] - mid[start]) <= low / 2 and high / low <= HEIGHT_RATIO and x1[i] - reach <= MERGE_GAP:
-                group[i], reach = start, max(reach, x2[i])
-    pdf["grp"] = group
-    return pdf[["doc_id", "line_no", "text", "confidence", "x1", "y1", "x2", "y2", "grp"]]
+            if group[i] < 0 and abs(mid[i] - mid[start]) <= low / 2 and high / low <= HEIGHT_RATIO and rows[i].x1 - reach <= MERGE_GAP:
+                group[i], reach = start, max(reach, rows[i].x2)
+    return [(*r, g) for r, g in zip(rows, group, strict=True)]
 
 
 def merge_fragments(lines: DataFrame) -> DataFrame:
-    """Fragments of a visual line as one, by the greedy rule (a document a group); lines without a box stay as they are."""
+    """Fragments of a visual line as one, by the greedy rule; lines without a box stay as they are."""
     cols = ["doc_id", "line_no", "text", "confidence", "x1", "y1", "x2", "y2"]
     boxed = lines.where("x1 is not null").select(*cols)
-    kinds = boxed.schema.simpleString()[7:-1]
-    out = fuse(boxed.groupBy("doc_id").applyInPandas(_grow, f"{kinds}, grp bigint"))
+    out = fuse(per_document(boxed, _grow, StructType([*boxed.schema.fields, StructField("grp", LongType())])))
     bare = lines.where("x1 is null").select(*cols).withColumn("n", F.lit(1).cast("bigint"))
     return out.unionByName(bare)
 

@@ -6,7 +6,6 @@ the JVM. Only the passes in which lines are used up one after another run in Pyt
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +13,7 @@ from pyspark.sql.window import Window
 from ..catalog import AMOUNT_FIELDS, BELOW, BELOW_X, DATE_FIELDS, DEFAULT_CONFIDENCE, ID_CARD, LABELS, RIGHT_SLACK, SAME_ROW, SOURCE_FACTORS
 from ..functions import amounts, dates, identifiers
 from ..functions import text as T
+from .documents import per_document
 
 MAPPED = "doc_id {id}, field_name string, value string, confidence double, raw_text string, source string, line_no int"
 
@@ -62,12 +62,13 @@ def kind_of(field: str) -> str:
 
 def coerced(s: Column) -> Column:
     """The value of a text under each kind of field; null where it has none."""
-    t = T.squeeze(T.strip_markup(s))
-    text = F.nullif(t, F.lit(""))
-    return F.struct(
-        amounts.parse_amount(t).cast("string").alias("amount"), dates.find_date(t).alias("date"), identifiers.postal_code(t).alias("plz"), F.nullif(identifiers.tax_id_text(t), F.lit("")).alias("tax_id"),
-        identifiers.document_number(t).alias("number"), identifiers.tax_class(t).alias("tax_class"), F.nullif(identifiers.assessment_year(t), F.lit("")).alias("year"), text.alias("text"),
-    )
+    def kinds(t: Column) -> Column:
+        return F.struct(
+            amounts.parse_amount(t).cast("string").alias("amount"), dates.find_date(t).alias("date"), identifiers.postal_code(t).alias("plz"), F.nullif(identifiers.tax_id_text(t), F.lit("")).alias("tax_id"),
+            identifiers.document_number(t).alias("number"), identifiers.tax_class(t).alias("tax_class"), F.nullif(identifiers.assessment_year(t), F.lit("")).alias("year"), F.nullif(t, F.lit("")).alias("text"),
+        )
+
+    return F.transform(F.array(T.squeeze(T.strip_markup(s))), kinds)[0]
 
 
 def coerce(field: Column, s: Column) -> Column:
@@ -83,7 +84,7 @@ def read_lines(lines: DataFrame) -> DataFrame:
     """Lines with what each says by itself: label, inline value, coercions, and the three shapes looked for without a label."""
     t = T.squeeze(F.col("text"))
     rows = lines.withColumn("t", t).where("t <> ''")
-    rows = rows.withColumn("kv", T.split_at(F.col("t"), [":", "=", "\t"]))
+    rows = rows.withColumn("kv", F.transform(F.array("t"), lambda x: T.split_at(x, [":", "=", "\t"]))[0])
     inline = (F.col("kv.key") != "") & (F.col("kv.value") != "")
     label = F.when(inline, F.col("kv.key")).when((F.col("kv.key") != "") & (F.col("kv.value") == ""), F.col("kv.key")).when(F.coalesce(F.col("kv.value"), F.lit("")) == "", F.col("t")).otherwise("")
     rows = rows.withColumn("inline", F.coalesce(inline, F.lit(False))).withColumn("label", label)
@@ -125,12 +126,12 @@ class _Page:
     def neighbour(self, at: int) -> int | None:
         """The line that holds a label's value: the nearest to the right in its row, else the nearest below."""
         a = self.rows[at]
-        if pd.isna(a.x1):
+        if a.x1 is None:
             return None
         mid = (a.y1 + a.y2) / 2
         right, below = [], []
         for i, b in self.free():
-            if i == at or pd.isna(b.x1) or b.labelish or b.bold:
+            if i == at or b.x1 is None or b.labelish or b.bold:
                 continue
             drop = (b.y1 + b.y2) / 2 - mid
             if abs(drop) <= SAME_ROW and b.x1 >= a.x1 and b.x1 - a.x2 >= RIGHT_SLACK:
@@ -145,8 +146,8 @@ class _Page:
         return abs(ca - cb) <= SAME_ROW or b.y1 <= ca <= b.y2 or a.y1 <= cb <= a.y2
 
 
-def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
-    page = _Page(list(pdf.sort_values("line_no", kind="stable").itertuples(index=False)))
+def _assign(lines: list) -> list[tuple]:
+    page = _Page(sorted(lines, key=lambda r: r.line_no))
     doc_type = page.rows[0].doc_type
     for i, r in page.free():
         if r.inline and r.field is not None and not page.settled(r.field):
@@ -173,20 +174,16 @@ def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
             page.put("familienname", page.rows[i].t, page.rows[i], "card-surname")
             page.used[i] = True
     rest = [(f"_line_{i + 1:04d}", r.t, min(r.confidence * 0.5, 0.49), r.t, "unmapped", r.line_no) for i, r in page.free()]
-    rows = [(f, *v) for f, v in page.fields.items()] + rest
-    out = pd.DataFrame(rows, columns=["field_name", "value", "confidence", "raw_text", "source", "line_no"])
-    out.insert(0, "doc_id", pdf["doc_id"].iloc[0])
-    return out
+    return [(f, *v) for f, v in page.fields.items()] + rest
 
 
 def map_fields(lines: DataFrame) -> DataFrame:
     """(doc_id, field_name, value, confidence, raw_text, source, line_no) of recognised lines.
 
-    Passes: inline values, values beside or below their labels, values by shape, a card's surname, and what is left. A group
-    is one document's lines, so its size is bounded by a document, not by the input.
+    Passes: inline values, values beside or below their labels, values by shape, a card's surname, and what is left.
     """
     rows = read_lines(lines).where("doc_id is not null")
-    return rows.groupBy("doc_id").applyInPandas(_assign, MAPPED.format(id=dict(rows.dtypes)["doc_id"]))
+    return per_document(rows, _assign, MAPPED.format(id=dict(rows.dtypes)["doc_id"]))
 
 
 def inline_fields(lines: DataFrame) -> DataFrame:

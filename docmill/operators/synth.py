@@ -29,19 +29,22 @@ def pick(seed: Column, name: str, values: list[str]) -> Column:
 def tax_id(seed: Column, name: str = "tax") -> Column:
     """Nine of the ten digits in a shuffled order, one of them twice, no leading 0, and the check digit."""
     order = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.struct(F.xxhash64(seed, F.lit(name), d).alias("h"), d.alias("d")))), lambda x: x["d"].cast("string"))
-    # The digit drawn first is left out; if the next is 0 it changes places with the one after it.
-    nine = F.slice(order, 2, 9)
-    nine = F.when(nine[0] == "0", F.concat(F.slice(nine, 2, 1), F.slice(nine, 1, 1), F.slice(nine, 3, 7))).otherwise(nine)
     at = draw(seed, name + "-twice", 9)
-    ten = F.array_join(F.concat(nine, F.slice(nine, at + 1, 1)), "")
-    return F.concat(ten, check_digit(ten).cast("string"))
+
+    # The digit drawn first is left out; if the next is 0 it changes places with the one after it.
+    def ten(o: Column) -> Column:
+        nine = F.when(F.get(o, F.lit(1)) == "0", F.concat(F.slice(o, 3, 1), F.slice(o, 2, 1), F.slice(o, 4, 7))).otherwise(F.slice(o, 2, 9))
+        return F.array_join(F.concat(nine, F.slice(nine, at + 1, 1)), "")
+
+    payload = F.transform(F.array(order), ten)  # arrays of one bind what is used more than once
+    return F.transform(payload, lambda p: F.concat(p, check_digit(p).cast("string")))[0]
 
 
 def iban(seed: Column, name: str = "iban") -> Column:
     """A German account number with its check digits."""
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(18)), lambda i: F.pmod(F.xxhash64(seed, F.lit(name), i), F.lit(10)).cast("string")), "")
-    check = F.lit(98) - iban_remainder(F.concat(F.lit("DE00"), body))
-    return F.concat(F.lit("DE"), F.lpad(check.cast("string"), 2, "0"), body)
+    whole = lambda b: F.concat(F.lit("DE"), F.lpad((F.lit(98) - iban_remainder(F.concat(F.lit("DE00"), b))).cast("string"), 2, "0"), b)
+    return F.transform(F.array(body), whole)[0]
 
 
 def document_number(seed: Column, name: str = "doc") -> Column:
