@@ -33,6 +33,8 @@ TREES = 10
 DEPTH = 3
 LEAF = 64
 HUBS = 16
+PACK = 512  # documents of a block where a crowd is compared with its rest
+LOCAL = 1 << 16  # links that one task may join to components
 SLACK = 3.7  # standard deviations of the token agreement that a pair at the threshold may fall short
 
 
@@ -177,7 +179,11 @@ def _likely(a: _Block, b: _Block, percent: int) -> np.ndarray:
 
 def _linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
     """Whether two full sets reach the similarity."""
-    both = len(np.intersect1d(u, v, assume_unique=True))
+    if len(u) < len(v):
+        u, v = v, u
+    at = np.searchsorted(u, v)
+    at[at == len(u)] = 0
+    both = int((u[at] == v).sum())
     return 100 * both >= percent * (len(u) + len(v) - both)
 
 
@@ -232,8 +238,8 @@ def _within(percent: int):
 
 
 def _across(percent: int):
-    """Of a block and a part of what its node has besides its largest component: confirmed links of different components, one
-    for each two that are not yet joined here."""
+    """Of a block of a crowd and a part of what it has besides its main component: links (a, b) between labels, one for each
+    two that confirmed pairs join and that are not yet joined here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,8 +253,8 @@ def _across(percent: int):
                     u, v = _find(root, int(t.labels[p[k]])), _find(root, int(r.labels[q[k]]))
                     if u != v and _linked(t.sets[p[k]], r.sets[q[k]], percent):
                         root[max(u, v)] = min(u, v)
-                        x.append(t.ids[p[k]])
-                        y.append(r.ids[q[k]])
+                        x.append(max(u, v))
+                        y.append(min(u, v))
             yield pa.record_batch({"a": np.array(x, np.int64), "b": np.array(y, np.int64)})
 
     return run
@@ -260,8 +266,8 @@ def _block(size: int):
 
 
 def _packed(members: DataFrame, size: int) -> DataFrame:
-    """(node, block, rows): the members of each node in blocks, a row a block."""
-    return members.withColumn("block", _block(size)).groupBy("node", "block").agg(F.collect_list(F.struct("rep", "members", "tokens", "label")).alias("rows"))
+    """(main, block, rows): the members of each crowd in blocks, a row a block."""
+    return members.withColumn("block", _block(size)).groupBy("main", "block").agg(F.collect_list(F.struct("rep", "members", "tokens", "label")).alias("rows"))
 
 
 def _by(df: DataFrame, *keys: str) -> DataFrame:
@@ -283,14 +289,28 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return store(small_batches(text).mapInArrow(_sets(words), "rep bigint, members binary, tokens binary"), "sets")
 
 
-def components(links: DataFrame) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all links of one task."""
+    root: dict = {}
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            x, y = _find(root, u), _find(root, v)
+            root[max(x, y)] = min(x, y)
+    found = [(k, r) for k in list(root) if (r := _find(root, k)) != k]
+    yield pa.record_batch({"id": np.array([k for k, _ in found], np.int64), "label": np.array([r for _, r in found], np.int64)})
+
+
+def components(links: DataFrame, local: int = LOCAL) -> DataFrame:
     """(id, label): the smallest id reachable from each id of the links (a, b), by alternating large and small stars.
 
     A large star hangs the larger neighbours of an id on the smallest; a small star hangs it and its smaller neighbours on
     the smallest. Each round writes its links to the shared folder; the number of rounds grows with the logarithm of the
-    longest chain. Nothing but two numbers a round comes to the driver.
+    longest chain. Nothing but two numbers a round comes to the driver. Up to ``local`` links, counted before, are joined
+    by one task instead.
     """
     edges = store(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    if edges.count() <= local:
+        return edges.coalesce(1).mapInArrow(_joined, "id bigint, label bigint")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -369,19 +389,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         links = store(_by(likely.join(sets, "rep").select("grp", "n", "rep", "members", "tokens"), "grp", "n").mapInArrow(_within(percent), "a bigint, b bigint").distinct(), "links")
     labels = components(links)
     if large is not None:
-        # What is not in a large node's main component is compared with the whole node, in blocks.
-        at = wide.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        at = store(at.select("node", "n", "rep", "label"), "labelled")
-        most = at.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy(F.col("node").alias("__node")).agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-        rest = store(at.join(most, F.col("node") == F.col("__node")).where("label <> main").select("node", "rep", "label"), "rest")
-        if not rest.isEmpty():
-            count = rest.groupBy("node").agg(F.count("*").alias("n"))
-            chunks = _packed(rest.join(count, "node").join(sets, "rep"), LEAF).select(F.col("node").alias("__node"), F.col("rows").alias("rest"))
-            against = _packed(at.join(count.select("node"), "node", "left_semi").join(sets, "rep"), LEAF).join(chunks, F.col("node") == F.col("__node")).select("rows", "rest")
-            with batches_of(spark, 8):
+        # What is not in a large node's main component is compared with the whole node, in blocks. Nodes with the same main
+        # component, as the trees give them, make one crowd, so that no pair is looked at once a tree.
+        at = wide.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("label"))
+        at = store(at, "labelled")
+        most = at.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+        crowd = store(at.join(most, "node").select("main", "rep", "label").distinct(), "crowd")
+        sizes = crowd.groupBy("main").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("main")).alias("others")).where("others > 0")
+        if not sizes.isEmpty():
+            full = crowd.join(sizes, "main").join(sets, "rep")
+            chunks = _packed(full.where("label <> main").withColumn("n", F.col("others")), PACK).select("main", F.col("rows").alias("rest"))
+            against = _packed(full, PACK).select("main", "rows").join(chunks, "main").select("rows", "rest").repartition(spark.sparkContext.defaultParallelism * 4)
+            with batches_of(spark, 1):
                 more = store(against.mapInArrow(_across(percent), "a bigint, b bigint").distinct(), "links")
             if not more.isEmpty():
-                labels = components(links.unionByName(more))
+                moved = components(more).select(F.col("id").alias("__from"), F.col("label").alias("__to"))
+                known = labels.unionByName(moved.select(F.col("__from").alias("id"), F.col("__from").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
+                labels = known.join(moved, F.col("label") == F.col("__from"), "left").select("id", F.coalesce("__to", "label").alias("label"))
     forget(sets)
 
     final = classes_of(keys).join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("set_key").alias("__k"), F.coalesce("label", "rep").alias("component_id"))

@@ -95,10 +95,11 @@ def test_drop_copies(spark):
     assert kept == sorted({c for _, c in brute([x for x in rows if x[0] is not None], 5, 80).values()})
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("local", [0, 1 << 16])
+def test_components_of_a_chain(spark, local):
     n = 70
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(200, 100), (300, 100), (100, 100)], "a bigint, b bigint")
-    assert {r["id"]: r["label"] for r in neardup.components(links).collect()} == {i: 0 for i in range(1, n + 1)} | {200: 100, 300: 100}
+    assert {r["id"]: r["label"] for r in neardup.components(links, local).collect()} == {i: 0 for i in range(1, n + 1)} | {200: 100, 300: 100}
 
 
 # --- toxicity ----------------------------------------------------------------------------------------------------------
