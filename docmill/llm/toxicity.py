@@ -88,21 +88,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Regularised logistic regression by accelerated gradient steps over a dense matrix of bounded size."""
-    n = len(y)
-    v = np.ones(x.shape[1], np.float32)
+def _logistic(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, l2: float = 0.3, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Regularised logistic regression by accelerated gradient steps; ``rows`` are the features of each text, whose values are ``scale``."""
+    n, k = len(y), len(scale)
+    at = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(n), [len(r) for r in rows])
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        return np.bincount(row, (w * scale)[at], n)
+
+    def back(e: np.ndarray) -> np.ndarray:
+        return np.bincount(at, e[row], k) * scale
+
+    v = np.ones(k)
     for _ in range(12):  # the largest curvature, by the power method
-        v = x.T @ (x @ v)
+        v = back(forward(v))
         v /= np.linalg.norm(v) or 1.0
-    rate = 1.0 / (0.25 * (float(v @ (x.T @ (x @ v))) + n) / n + l2 / n)
-    w, b, pw, pb = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0
-    for k in range(steps):
-        m = k / (k + 3)
+    rate = 1.0 / (0.25 * (float(v @ back(forward(v))) + n) / n + l2 / n)
+    w, b, pw, pb = np.zeros(k), 0.0, np.zeros(k), 0.0
+    for i in range(steps):
+        m = i / (i + 3)
         yw, yb = w + m * (w - pw), b + m * (b - pb)
-        e = 1 / (1 + np.exp(-np.clip(x @ yw + yb, -40, 40))) - y
+        e = 1 / (1 + np.exp(-np.clip(forward(yw) + yb, -40, 40))) - y
         pw, pb = w, b
-        w = (yw - rate * ((x.T @ e) / n + l2 / n * yw)).astype(np.float32)
+        w = yw - rate * (back(e) / n + l2 / n * yw)
         b = float(yb - rate * e.mean())
     return w, b
 
@@ -164,13 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_clas
 
     rows = small_batches(sample).mapInArrow(lay, "y int, x binary").collect()  # the bounded sample
     rows.sort(key=lambda r: (r[0], r[1]))
-    x, y = np.zeros((len(rows), len(f)), np.float32), np.array([r[0] for r in rows], np.float32)
-    for i, r in enumerate(rows):
-        at = np.frombuffer(r[1], np.int16)
-        x[i, at] = ratio[at]
-    w, b = _logistic(x, y)
+    y = np.array([r[0] for r in rows], float)
+    w, b = _logistic([np.frombuffer(r[1], np.int16) for r in rows], ratio.astype(float), y)
     prior = np.log(n[1] / n[0]) - np.log(seen[1] / seen[0])
-    return Model(index, w * ratio, float(b + prior))
+    return Model(index, (w * ratio).astype(np.float32), float(b + prior))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
