@@ -69,7 +69,7 @@ VIEWS: dict[str, str] = {
                 else replace('Status ' || o_orderstatus || ' ' || o_orderpriority, '-', case when o_orderkey % 2 = 0 then '- ' else '-' end) end as value
         from {orders} cross join (select 'brutto_lohn' as field_name union all select 'ort' union all select 'status' union all select 'extra' union all select '_line_0001') f where o_orderkey % 7 <> 0 or f.field_name <> 'status'""",
     "v_audit": """
-        select 'x' || lpad(cast(event_id as string), 9, '0') as extraction_id, cast(ts as string) as timestamp, event_type as document_type, case when event_id % 3 = 0 then 'surya' else 'vision' end as vlm_model, case when event_id % 4 = 0 then '' else 'rules' end as llm_model,
+        select 'x' || lpad(cast(event_id as string), 9, '0') as extraction_id, cast(ts as string) as timestamp, event_type as document_type, case when event_id % 3 = 0 then 'engine-a' else 'engine-b' end as vlm_model, case when event_id % 4 = 0 then '' else 'rules' end as llm_model,
             cast(event_id % 100 as double) / 100 as overall_confidence, event_id % 5 as unresolved_count, event_id % 3 as corrected_count, event_id % 2 as failed_count,
             case when event_id % 10 = 0 then null else value end as processing_time_ms, user_id
         from {events}""",
