@@ -116,19 +116,26 @@ def find_secrets(docs: DataFrame, forest: str, text: str = "text", path: str = "
     ``start`` counts characters from 0. A null or empty text has an empty array. A missing path counts as ''. Every text is
     searched whole; findings do not overlap. A column named ``findings`` in the input is replaced.
     """
-    pattern = F.lit(CANDIDATE)
     df = docs.withColumn("__t", F.coalesce(F.col(text), F.lit(""))).withColumn("__path", F.col(path).cast("string") if path in docs.columns else F.lit(""))
-    df = df.withColumn("__c", F.regexp_extract_all("__t", pattern, F.lit(0))).withColumn("__p", F.split(F.col("__t"), CANDIDATE))
-    ends = F.aggregate(F.transform("__c", lambda c, i: (F.length(c) + F.length(F.get("__p", i))).cast("bigint")), F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    df = df.withColumn("__e", ends)
-    def one(c: Column, i: Column) -> Column:
-        before, after = F.right(F.get("__p", i), F.lit(NEAR)), F.left(F.get("__p", i + 1), F.lit(NEAR))
-        return F.struct((F.get("__e", i) + F.length(F.get("__p", i))).alias("start"), c.alias("candidate"), features(c, before, after, F.col("__path")).alias("f"))
-
-    df = df.withColumn("__f", F.transform("__c", one))
+
+    # Arrays of one bind the matches, the parts between them and the places, so that each is worked out once a text.
+    def rows(b: Column) -> Column:
+        def placed(ends: Column) -> Column:
+            def one(c: Column, i: Column) -> Column:
+                before, after = F.right(F.get(b["p"], i), F.lit(NEAR)), F.left(F.get(b["p"], i + 1), F.lit(NEAR))
+                return F.struct((F.get(ends, i) + F.length(F.get(b["p"], i))).alias("start"), c.alias("candidate"), features(c, before, after, F.col("__path")).alias("f"))
+
+            return F.transform(b["c"], one)
+
+        spans = F.transform(b["c"], lambda c, i: (F.length(c) + F.length(F.get(b["p"], i))).cast("bigint"))
+        ends = F.aggregate(spans, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return F.transform(F.array(ends), placed)[0]
+
+    matches = F.struct(F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(0)).alias("c"), F.split("__t", CANDIDATE).alias("p"))
+    df = df.withColumn("__f", F.transform(F.array(matches), rows)[0])
     df = df.withColumn("findings", F.expr(f"transform(__f, x -> named_struct('start', x.start, 'candidate', x.candidate, 'probability', {forest}))"))
     df = df.withColumn("findings", F.transform("findings", lambda x: F.struct(x["start"].alias("start"), x["candidate"].alias("candidate"), x["probability"].alias("probability"), (x["probability"] >= threshold).alias("is_secret"))))
-    return df.drop("__t", "__path", "__c", "__p", "__e", "__f")
+    return df.drop("__t", "__path", "__f")
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
