@@ -11,7 +11,7 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local master without it gets a temporary folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="docmill-")
         spark.sparkContext.setCheckpointDir(path)
