@@ -52,11 +52,13 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array]
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, count) of words that make up at least 1 / HEAVY of a batch; any word that does so in the whole corpus does in some batch."""
+    """(word, count) of words that make up at least 1 / HEAVY of a batch; any word that does so in the whole corpus does in some batch.
+    A row without a word has the number of all words of the batch."""
     for _, w, _ in _batches(batches):
         u, n = np.unique(w, return_counts=True)
         keep = n >= max(1, len(w) / HEAVY)
-        yield pa.record_batch({"w": u[keep].view(np.int64), "n": n[keep], "words": np.where(np.arange(keep.sum()) == 0, len(w), 0).astype(np.int64)})
+        yield pa.record_batch({"w": pa.array([None], pa.int64()), "n": pa.array([len(w)], pa.int64())})
+        yield pa.record_batch({"w": u[keep].view(np.int64), "n": n[keep]})
 
 
 def _place(heavy: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -290,10 +292,9 @@ def score_documents(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_
     if heavy > 65_535:
         raise ValueError("places of heavy words are kept in two bytes")
     rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = rows.mapInArrow(_frequent, "w bigint, n bigint, words bigint").groupBy("w").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
-    found = seen.persist()
-    words = found.agg(F.sum("words")).first()[0] or 0
-    top = found.orderBy(F.desc("n"), "w").limit(heavy).collect()
+    found = rows.mapInArrow(_frequent, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).persist()
+    words = found.where("w is null").agg(F.sum("n")).first()[0] or 0
+    top = found.where("w is not null").orderBy(F.desc("n"), "w").limit(heavy).collect()
     found.unpersist()
     h = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
     k = len(h)

@@ -146,3 +146,12 @@ def test_scores_of_odd_rows(spark):
     out = lmscore.score_documents(docs(spark, [(None, "a b"), (1, "a b"), (1, "a b")])).collect()
     assert sorted(str(r["doc_id"]) for r in out) == ["1", "1", "None"] and len({r["log_score"] for r in out}) == 1
     assert lmscore.score_documents(docs(spark, [])).count() == 0
+
+
+def test_words_of_batches_without_a_frequent_word_count(spark):
+    rare = " ".join(f"w{i}" for i in range(3000))
+    for texts in ([rare], ["a b a b a", rare, "a b"]):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(len(texts), "doc_id")
+        got = {r["doc_id"]: r for r in lmscore.score_documents(df).collect()}
+        for i, (n, total) in enumerate(lmscore.brute_force(texts)):
+            assert got[i]["n_words"] == n and abs(got[i]["log_score"] - total) < 1e-3 * n
