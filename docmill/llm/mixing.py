@@ -1,14 +1,23 @@
-"""Mixing sources to target weights by Pfair scheduling, with DataFrame functions only."""
+"""Mixing sources to target weights by Pfair scheduling. The rows see DataFrame functions only; the schedule of the blocks, one
+row a block, is worked out on the driver."""
 
 from __future__ import annotations
 
+import math
+from array import array
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import number_rows
 
-PERIOD = 1024  # slots after which every source has had exactly its share
+PERIOD = 1024  # slots of a period of :func:`quantise`
 BLOCK = 65_536  # size units of a block
+BROADCAST_BLOCKS = 524_288  # a plan of more blocks is joined by a shuffle
 
 
 def quantise(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -54,7 +63,50 @@ def template(spark: SparkSession, shares: dict[str, int]) -> DataFrame:
     return rows.select(F.col("names")[F.col("i")].alias("source"), F.col("k").alias("j"), "slot", "release", "deadline")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: Column | None = None, block: int = BLOCK, period: int = PERIOD, source: str = "source", order: list[str] | None = None, power: float = 0.7) -> DataFrame:
+def schedule(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(place of the source, k, slot, release, deadline) of all blocks, by slot; source i has ``blocks[i]`` of them.
+
+    Block k of a source whose part of all weights is w is released at floor(k / w) and due by ceil((k + 1) / w), in exact
+    integers. Each slot takes, of the released blocks, the one with the earliest deadline (ties: the first source). The
+    windows can all be met, so at every slot a source that has not ended is less than one block from w times the slots.
+    """
+    ratios = [w.as_integer_ratio() for w in weights]
+    common = math.lcm(*(d for _, d in ratios))
+    n = [a * (common // d) for a, d in ratios]
+    q = sum(n)
+    ready = [(-(-q // n[i]), i, 0, 0) for i in range(len(n)) if blocks[i] > 0]
+    later: list[tuple[int, int, int]] = []  # (release, source, k)
+    heapify(ready)
+    slot = 0
+    while ready or later:
+        if not ready:
+            slot = max(slot, later[0][0])
+        while later and later[0][0] <= slot:
+            release, i, k = heappop(later)
+            heappush(ready, (-(-(k + 1) * q // n[i]), i, k, release))
+        deadline, i, k, release = heappop(ready)
+        yield i, k, slot, release, deadline
+        if k + 1 < blocks[i]:
+            heappush(later, ((k + 1) * q // n[i], i, k + 1))
+        slot += 1
+
+
+def plan_blocks(rounds: list[tuple[dict[str, float], dict[str, int]]]) -> pa.Table:
+    """The schedules of (weights, blocks) by source, one round after another: one row a block."""
+    schema = pa.schema([("__t_source", pa.string()), *[(k, pa.int64()) for k in ("__j", "__slot", "__release", "__deadline")], ("round", pa.int32())])
+    tables = [schema.empty_table()]
+    for r, (weights, blocks) in enumerate(rounds):
+        names = sorted(weights)
+        flat = array("q")
+        for row in schedule([weights[k] for k in names], [blocks[k] for k in names]):
+            flat.extend(row)
+        cells = np.frombuffer(flat, np.int64).reshape(-1, 5)
+        columns = [pa.array(names, pa.string()).take(pa.array(cells[:, 0])), *(pa.array(cells[:, i]) for i in range(1, 5)), pa.array(np.full(len(cells), r, np.int32))]
+        tables.append(pa.Table.from_arrays(columns, schema=schema))
+    return pa.concat_tables(tables)
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: Column | None = None, block: int = BLOCK, period: int | None = None, source: str = "source", order: list[str] | None = None, power: float = 0.7) -> DataFrame:
     """Interleave the sources of ``docs`` so that at every slot each has had its weight's part of the slots, to less than one block.
 
     Rows of a source are put in the order of a hash of ``order`` and cut into blocks of ``block`` units of ``size`` (default:
@@ -64,18 +116,52 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: Column |
     (weights from sizes). No row is dropped or repeated: when a source ends, its slots stay empty and the others go on in
     their proportions. A null source is a source of its own, named ''; it shares that name with an empty one. Columns named
     like the results are replaced.
+
+    The driver holds one row a source and one a block. With ``period`` the weights are
+    rounded to whole shares of so many slots and one period's schedule repeats: the deviation is then from the rounded
+    shares, and more sources than ``period`` are refused.
     """
     spark = docs.sparkSession
     order = order or ["doc_id"]
     size = F.length(F.coalesce(F.col("text"), F.lit(""))) + 1 if size is None else size
     docs = docs.withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn("__size", size.cast("bigint"))
-    # One row a source; more than ``period`` sources are refused, so what comes to the driver is bounded.
-    sizes = {r[0]: float(r[1] or 0) + 1 for r in docs.groupBy("__source").agg(F.sum("__size")).limit(period + 1).collect()}
+    if period is not None:
+        return _mix_periodic(docs, weights, block, period, order, power)
+    found = docs.groupBy("__source").agg(F.sum("__size").alias("n")).toArrow()
+    sizes = dict(zip(found.column(0).to_pylist(), (n or 0 for n in found.column(1).to_pylist()), strict=True))
+    if len(sizes) > PERIOD:
+        raise ValueError(f"{len(sizes)} sources; at most {PERIOD} can be mixed")
+    # A row of size 0 may begin where the last block ends.
+    blocks = {k: n // int(block) + 1 for k, n in sizes.items()}
+    table = plan_blocks([(group, blocks) for group in _rounds({k: float(n) + 1 for k, n in sizes.items()}, weights, power)])
+    plan = spark.createDataFrame(table)
+    if table.num_rows <= BROADCAST_BLOCKS:
+        plan = F.broadcast(plan)
+    rows = _blocks(docs, order, block)
+    rows = rows.drop("slot", "release", "deadline", "round").join(plan, (F.col("__source") == F.col("__t_source")) & (F.col("block") == F.col("__j")), "left")
+    rows = rows.withColumns({"slot": F.col("__slot"), "release": F.col("__release"), "deadline": F.col("__deadline")})
+    return rows.drop("__source", "__size", "__start", "__t_source", "__j", "__slot", "__release", "__deadline")
+
+
+def _rounds(sizes: dict[str, float], weights: dict[str, float] | None, power: float) -> list[dict[str, float]]:
+    """Weights of the sources that have one, then of the others."""
     first = {k: w for k, w in (weights or {k: v**power for k, v in sizes.items()}).items() if k in sizes and w > 0}
     rest = {k: v**power for k, v in sizes.items() if k not in first}
+    return [x for x in (first, rest) if x]
+
+
+def _blocks(docs: DataFrame, order: list[str], block: int) -> DataFrame:
+    rows = number_rows(docs, ["__source"], [F.col(c) for c in order], "__start", F.col("__size"))
+    return rows.withColumn("block", F.expr(f"__start div {int(block)}")).withColumn("place", F.col("__start") % int(block))
+
+
+def _mix_periodic(docs: DataFrame, weights: dict[str, float] | None, block: int, period: int, order: list[str], power: float) -> DataFrame:
+    spark = docs.sparkSession
+    # One row a source; more than ``period`` sources are refused, so what comes to the driver is bounded.
+    sizes = {r[0]: float(r[1] or 0) + 1 for r in docs.groupBy("__source").agg(F.sum("__size")).limit(period + 1).collect()}
     schema = "source string, j bigint, slot bigint, release bigint, deadline bigint, round int"
     parts, of = [], {}
-    for i, group in enumerate(x for x in (first, rest) if x):
+    for i, group in enumerate(_rounds(sizes, weights, power)):
         shares = quantise(group, period)
         parts.append(template(spark, shares).withColumn("round", F.lit(i)))
         of |= {k: (n, sum(shares.values())) for k, n in shares.items()}
@@ -85,8 +171,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: Column |
     # At most 2 x period rows.
     plan = plan.select(F.col("source").alias("__t_source"), F.col("j").alias("__j"), F.col("slot").alias("__slot"), F.col("release").alias("__release"), F.col("deadline").alias("__deadline"), "round")
     entry = F.element_at(F.create_map(*[x for k, (n, q) in of.items() for x in (F.lit(k), F.array(F.lit(n).cast("bigint"), F.lit(q).cast("bigint")))]), F.col("__source")) if of else F.array(F.lit(1).cast("bigint"), F.lit(1).cast("bigint"))
-    rows = number_rows(docs, ["__source"], [F.col(c) for c in order], "__start", F.col("__size"))
-    rows = rows.withColumn("block", F.expr(f"__start div {int(block)}")).withColumn("place", F.col("__start") % int(block)).withColumn("__share", entry[0]).withColumn("__period", entry[1])
+    rows = _blocks(docs, order, block).withColumn("__share", entry[0]).withColumn("__period", entry[1])
     rows = rows.withColumn("__k", F.col("block") % F.col("__share")).withColumn("__turn", F.expr("block div __share"))
     rows = rows.drop("slot", "release", "deadline", "round").join(F.broadcast(plan), (F.col("__source") == F.col("__t_source")) & (F.col("__k") == F.col("__j")), "left")
     base = F.col("__turn") * F.col("__period")

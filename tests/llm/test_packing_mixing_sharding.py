@@ -123,6 +123,26 @@ def test_mix_keeps_odd_rows(spark):
         mixing.mix(docs(spark, rows), period=2).count()
 
 
+def test_schedule_meets_unrounded_weights():
+    weights = [51.0, 3.0, *[1.0] * 20, 1e-4]  # none a whole number of a 1024th
+    total, n = sum(weights), 20_000
+    done = [0] * len(weights)
+    for t, (i, k, slot, release, deadline) in enumerate(mixing.schedule(weights, [n] * len(weights))):
+        if t == n:
+            break
+        assert slot == t and k == done[i] and release <= slot < deadline
+        done[i] += 1
+        assert all(abs(d - w / total * (t + 1)) < 1 + 1e-9 for d, w in zip(done, weights))
+
+
+def test_mix_meets_unrounded_weights(spark):
+    rows = [(i, "x" * 9, f"s{i % 20:02}") for i in range(20_000)]
+    out = mixing.mix(docs(spark, rows), {f"s{i:02}": 1.0 for i in range(20)}, block=10).select("source", "slot").collect()
+    assert sorted(r["slot"] for r in out) == list(range(20_000))
+    for s in {r["source"] for r in out}:
+        assert all(abs(k - slot / 20) < 1 for k, slot in enumerate(sorted(r["slot"] for r in out if r["source"] == s)))
+
+
 # --- sharding and numbering --------------------------------------------------------------------------------------------
 
 
