@@ -117,7 +117,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: Column |
     their proportions. A null source is a source of its own, named ''; it shares that name with an empty one. Columns named
     like the results are replaced.
 
-    The driver holds one row a source and one a block. With ``period`` the weights are
+    There may be any number of sources. The driver holds one row a source and one a block. With ``period`` the weights are
     rounded to whole shares of so many slots and one period's schedule repeats: the deviation is then from the rounded
     shares, and more sources than ``period`` are refused.
     """
@@ -129,8 +129,6 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: Column |
         return _mix_periodic(docs, weights, block, period, order, power)
     found = docs.groupBy("__source").agg(F.sum("__size").alias("n")).toArrow()
     sizes = dict(zip(found.column(0).to_pylist(), (n or 0 for n in found.column(1).to_pylist()), strict=True))
-    if len(sizes) > PERIOD:
-        raise ValueError(f"{len(sizes)} sources; at most {PERIOD} can be mixed")
     # A row of size 0 may begin where the last block ends.
     blocks = {k: n // int(block) + 1 for k, n in sizes.items()}
     table = plan_blocks([(group, blocks) for group in _rounds({k: float(n) + 1 for k, n in sizes.items()}, weights, power)])

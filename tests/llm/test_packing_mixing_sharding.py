@@ -143,6 +143,15 @@ def test_mix_meets_unrounded_weights(spark):
         assert all(abs(k - slot / 20) < 1 for k, slot in enumerate(sorted(r["slot"] for r in out if r["source"] == s)))
 
 
+def test_mix_takes_any_number_of_sources(spark):
+    rows = [(i, "x" * (i % 13), f"site{i % 3_000}.org") for i in range(7_000)]
+    out = mixing.mix(docs(spark, rows), block=8).select("doc_id", "source", "block", "slot", "release", "deadline").collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(7_000))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
+    blocks = {(r["source"], r["block"]): r["slot"] for r in out}
+    assert len(set(blocks.values())) == len(blocks)
+
+
 # --- sharding and numbering --------------------------------------------------------------------------------------------
 
 
