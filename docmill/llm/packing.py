@@ -8,10 +8,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from . import mixing
+from .common import store
 
 CAPACITY = 2_048  # words of a bin
 PER_SOURCE = 2  # documents of one source in a bin, at most
 GROUP_ROWS = 8_192  # rows packed together by one task, about
+CELL_SLOTS = 512  # slots of the mixture whose rows are counted together
 
 
 def pack(items: list[tuple[int, int, int | None]], capacity: int, per_source: int = PER_SOURCE) -> Iterator[tuple[int, int]]:
@@ -57,27 +62,50 @@ def text_cluster(text: Column) -> Column:
     return F.when(plain != "", F.sha2(plain, 256))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, group_rows: int = GROUP_ROWS, size: Column | None = None, cluster: Column | None = None, keys: list[str] | None = None) -> DataFrame:
+def mixture_groups(rows: DataFrame, group_rows: int) -> DataFrame:
+    """``bin_group`` of rows with (round, slot): runs of slots, one after another, of about ``group_rows`` rows.
+
+    A slot stays whole; it has the number of the rows before it, divided by ``group_rows``. These numbers come from the totals
+    of cells of CELL_SLOTS slots, so no task gets more than one row a cell or one row a slot of a cell.
+    """
+    slots = rows.groupBy("round", "slot").agg(F.count("*").alias("n")).withColumn("cell", F.expr(f"slot div {CELL_SLOTS}"))
+    before = Window.orderBy("round", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = slots.groupBy("round", "cell").agg(F.sum("n").alias("n")).select("round", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("round", "cell").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("start", F.coalesce(F.sum("n").over(within), F.lit(0))).join(cells, ["round", "cell"])
+    slots = slots.select("round", "slot", F.expr(f"(base + start) div {int(group_rows)}").alias("bin_group"))
+    return rows.join(slots, ["round", "slot"])
+
+
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, group_rows: int = GROUP_ROWS, size: Column | None = None, cluster: Column | None = None, keys: list[str] | None = None, mixed: bool = True, block: int = mixing.BLOCK) -> DataFrame:
     """Cut documents into pieces of at most ``capacity`` words and pack these into bins.
 
     Returns one row a piece: the ``keys`` (doc_id), piece (from 0), start and length in words, ``bin_group``, ``bin`` and
-    ``offset`` in the bin. Bins belong to groups: rows are dealt by a hash of their keys to groups of about ``group_rows``, so no
-    task grows with the input, nor with a source or a cluster; within a group the longest pieces go first (ties: by keys,
-    then piece). No two pieces of a bin have the same duplicate ``cluster`` (default: equal words) and no more than
+    ``offset`` in the bin. Bins belong to groups of about ``group_rows`` rows, so no task grows with the input, nor with a source
+    or a cluster; within a group the longest pieces go first. ``mixed``: groups are consecutive runs of the slots that
+    :func:`mixing.mix` gives the rows (blocks of ``block`` characters of the text), ties go by the mixture's order, and the bins
+    of a group are numbered by their earliest row in it, so bins read by (``bin_group``, ``bin``) follow the mixture; numbers of
+    groups may have gaps. Else rows are dealt to groups by a hash of their keys, and ties go by keys, then piece. No two pieces of a bin have the same duplicate ``cluster`` (default: equal words) and no more than
     ``per_source`` the same source; pieces of one document conflict only if others share its cluster. Documents without words have one piece of length 0. A null source is a source of its own;
     repeated rows are packed each.
     """
     keys = keys or ["doc_id"]
-    groups = max(1, -(-docs.count() // group_rows))
     size = word_count(F.col("text")) if size is None else size
     cluster = text_cluster(F.col("text")) if cluster is None else cluster
     source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    rows = docs.select(*keys, size.cast("bigint").alias("words"), source.alias("source"), cluster.cast("string").alias("cluster"))
-    rows = rows.withColumn("bin_group", F.pmod(F.xxhash64(*keys), F.lit(groups).cast("bigint")))
+    columns = [*keys, size.cast("bigint").alias("words"), source.alias("source"), cluster.cast("string").alias("cluster")]
+    if mixed:
+        rows = docs.select(*columns, (F.length(F.coalesce(F.col("text"), F.lit(""))) + 1).alias("chars"))
+        # The mixture reads its rows several times; texts are read once.
+        rows = mixture_groups(mixing.mix(store(rows, "packing"), size=F.col("chars"), block=block, order=keys), group_rows)
+        rows, order = rows.select(*keys, "words", "source", "cluster", "round", "slot", "place", "bin_group"), ["round", "slot", "place", *keys]
+    else:
+        groups = max(1, -(-docs.count() // group_rows))
+        rows, order = docs.select(*columns).withColumn("bin_group", F.pmod(F.xxhash64(*keys), F.lit(groups).cast("bigint"))), keys
     kinds = rows.select(*keys).schema.simpleString()[7:-1]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(keys, kind="stable", na_position="first").reset_index(drop=True)
+        pdf = pdf.sort_values(order, kind="stable", na_position="first").reset_index(drop=True)
         words = pdf["words"].to_numpy()
         pieces = []
         for i, n in enumerate(words.tolist()):
@@ -93,7 +121,13 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
         out["start"] = [p * capacity for _, p, _ in pieces]
         out["length"] = [n for _, _, n in pieces]
         out["bin_group"] = int(pdf["bin_group"].iloc[0])
-        out["bin"] = [b for b, _ in placed]
+        number = {}
+        if mixed:
+            first: dict[int, int] = {}
+            for (i, _, _), (b, _) in zip(pieces, placed, strict=True):
+                first[b] = min(i, first.get(b, i))
+            number = {b: k for k, b in enumerate(sorted(first, key=lambda b: (first[b], b)))}
+        out["bin"] = [number.get(b, b) for b, _ in placed]
         out["offset"] = [o for _, o in placed]
         return out
 

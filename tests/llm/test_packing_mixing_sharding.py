@@ -70,6 +70,35 @@ def test_pack_nothing(spark):
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+def test_packing_follows_the_mixture(spark):
+    rows = [(i, "w " * 20, "abc"[min(i % 10 // 4, 2)]) for i in range(6_000)]  # 4 : 4 : 2, all of one length
+    rows += [(6_000 + i, "w " * 20, "c") for i in range(600)]
+    table, block = docs(spark, rows), 41 * 4
+    of = {i: s for i, _, s in rows}
+    mixture = {r["doc_id"]: (r["round"], r["slot"], r["place"]) for r in mixing.mix(table, block=block).collect()}
+    groups = defaultdict(list)
+    for p in packing.pack_documents(table, capacity=100, group_rows=500, block=block).collect():
+        groups[p["bin_group"]].append(p)
+    assert len(groups) > 10 and sum(map(len, groups.values())) == len(rows)
+    sizes = {s: 41.0 * n + 1 for s, n in Counter(of.values()).items()}
+    total = sum(v**0.7 for v in sizes.values())
+    end = min(max(mixture[i][1] for i in of if of[i] == s) for s in "abc")  # where the first source ends
+    last, met = (-1, -1, -1), 0
+    for g in sorted(groups):
+        places = sorted(mixture[p["doc_id"]] for p in groups[g])
+        assert places[0] > last  # runs of slots, one after another
+        last = places[-1]
+        firsts = defaultdict(list)
+        for p in groups[g]:
+            firsts[p["bin"]].append(mixture[p["doc_id"]])
+        assert [min(firsts[b]) for b in sorted(firsts)] == sorted(min(x) for x in firsts.values())
+        if last[1] < end:
+            met += 1
+            n, have = last[1] - places[0][1] + 1, Counter(of[p["doc_id"]] for p in groups[g])
+            assert all(abs(have[s] / 4 - v**0.7 / total * n) < 2 for s, v in sizes.items())  # a block at either end
+    assert met >= 8
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------------
 
 

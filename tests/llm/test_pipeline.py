@@ -28,3 +28,17 @@ def test_stages_of_nothing(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, FOLDER).count() == 0
+
+
+def test_mixture_decides_the_packing(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, FOLDER).cache()
+    order = {r["doc_id"]: k for k, r in enumerate(mixing.mix(docs).orderBy("round", "slot", "place").collect())}
+    got = corpus_pipeline.run(spark, FOLDER).collect()
+    assert sorted(map(str, got)) != sorted(map(str, packing.pack_documents(docs, mixed=False).collect()))
+    first = {}
+    for r in got:
+        b = r["bin_group"], r["bin"]
+        first[b] = min(order[r["doc_id"]], first.get(b, len(order)))
+    assert [first[b] for b in sorted(first)] == sorted(first.values())
