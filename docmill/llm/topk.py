@@ -1,8 +1,11 @@
 """Exact top-k by inner product with no random access to the lists (upper and lower score bounds over sorted lists).
 
-Each dimension is a list of the candidates sorted by their value there; a query reads it from the end that its weight's sign
-favours. Candidates and queries meet in blocks: a task holds one block of each, reads all lists of the block a step deeper at
-a time for all its queries at once, and drops a query when no candidate outside its best k can still reach them.
+Each dimension of a block of candidates is a list sorted by value. A query reads it from the end that its weight's sign
+favours, always where the next entry can still give most: all lists are read down to the same contribution, the *level*,
+which sinks step by step. What has not been read in a list gives at most the level, and at least that list's far end, so
+each candidate has an upper and a lower bound from what was read of it alone. Reading stops when no candidate outside the
+few that are left can reach the k-th best; the final scores of these few are then resolved. A task reads several blocks one
+after another for a block of queries and takes each query's k best along, so later blocks end sooner.
 """
 
 from __future__ import annotations
@@ -11,116 +14,239 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUERY_BLOCK = 512
-CANDIDATE_BLOCK = 4_096
-STEPS = (0.35, 0.6, 0.8)  # parts of each list read before the bounds are looked at; the last step reads the rest
+from .common import batches_of, store
+
+QUERY_BLOCK = 256
+CELLS = 1 << 18  # components of a block of candidates, about
+GROUP = 4  # blocks of candidates that a task reads one after another
+LEVELS = 16  # steps in which the lists are read
+FEW = 16  # reading stops when 1 / FEW of a block can still qualify
+SAMPLE = 32  # entries of each list from which the steps' levels are chosen
 FOUND = "query_id bigint, vec_id bigint, score bigint"
+LONG = 2**63 - 1
 
 
-def top_k(queries: tuple[np.ndarray, np.ndarray], candidates: tuple[np.ndarray, np.ndarray], k: int, steps: tuple[float, ...] = STEPS) -> Iterator[tuple[int, int, int]]:
-    """(query id, candidate id, score) of the k best candidates of each query, ties to the smaller id; a query is no candidate of its own.
+class Lists:
+    """The sorted lists of one block of candidates: (ids, integer matrix), one list a dimension.
 
-    Both are (ids, integer matrix). Bounds are kept in doubles, which hold every sum below 2**53 exactly; larger values are
-    summed as Python integers.
+    Numbers are doubles while every sum of products stays below 2**53, so that all bounds are exact; else Python integers.
     """
-    (qid, q), (cid, x) = queries, candidates
-    if not len(qid) or not len(cid):
-        return
-    big = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1]) >= 2**53
-    if big:
-        for i, v in zip(qid.tolist(), q.tolist(), strict=True):
-            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in zip(cid.tolist(), x.tolist(), strict=True) if j != i)
-            yield from ((i, j, -s) for s, j in scores[:k])
-        return
-    qf, xf = q.astype(np.float64), x.astype(np.float64)
-    n = len(cid)
-    lists = np.sort(xf, axis=0)  # column d is the list of dimension d
-    up, down = np.maximum(qf, 0), np.minimum(qf, 0)
-    live = np.arange(len(qid))
-    done: dict[int, np.ndarray] = {}
-    for part in (*steps, 1.0):
-        if not len(live):
-            break
-        u, d = up[live], down[live]
-        if part >= 1.0:  # all lists read: the bounds meet
-            low = high = qf[live] @ xf.T
-        else:
-            depth = min(n - 1, int(n * part))
-            top, bottom = lists[n - 1 - depth], lists[depth]  # last values read from either end
-            seen_up, seen_down = xf >= top, xf <= bottom
-            score = u @ np.where(seen_up, xf, 0).T + d @ np.where(seen_down, xf, 0).T
-            # What has not been read is at most the last value read and at least the list's far end.
-            high = score + u @ np.where(seen_up, 0, top).T + d @ np.where(seen_down, 0, bottom).T
-            low = score + u @ np.where(seen_up, 0, lists[0]).T + d @ np.where(seen_down, 0, lists[-1]).T
-        own = qid[live][:, None] == cid[None, :]
-        low, high = np.where(own, -np.inf, low), np.where(own, -np.inf, high)
-        kth = np.partition(low, max(0, n - k), axis=1)[:, max(0, n - k)]
-        inside = (high >= kth[:, None]) & ~own  # who may still be among the best k, ties included
-        few = inside.sum(axis=1) <= max(4 * k, 64) if part < 1.0 else np.ones(len(live), bool)
-        for row in np.flatnonzero(few):
-            done[int(live[row])] = np.flatnonzero(inside[row])
-        live = live[~few]
-    for row, who in done.items():  # final scores of the few that can qualify
-        scores = x[who] @ q[row]
-        best = np.lexsort((cid[who], -scores))[:k]
-        yield from zip([int(qid[row])] * len(best), cid[who][best].tolist(), scores[best].tolist(), strict=True)
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
+        self.ids, self.x = ids, x
+        self.n, self.d = x.shape
+        self.order = np.argsort(x, axis=0, kind="stable").T.copy()  # row d: the candidates by their value in dimension d
+        self.values = np.take_along_axis(x.T, self.order, axis=1)
+        self.flat_order, self.flat_values = self.order.ravel(), self.values.ravel()
+
+    def depths(self, w: np.ndarray, levels: list) -> np.ndarray:
+        """(level, dimension): entries of each list whose contribution is at least the level; a weight of 0 has an empty list."""
+        out = np.zeros((len(levels), self.d), np.int64)
+        for j in np.flatnonzero(w != 0).tolist():
+            # Contributions are sorted like the values (or against them); both ends are compared as integers, without division.
+            part = self.values[j] * w[j]
+            if w[j] > 0:
+                out[:, j] = self.n - np.searchsorted(part, np.array(levels, part.dtype), "left")
+            else:
+                out[:, j] = np.searchsorted(-part, -np.array(levels, part.dtype), "right")
+        return out
+
+
+def _added(n: int, who: np.ndarray, what: np.ndarray) -> np.ndarray:
+    if what.dtype != object:
+        return np.bincount(who, what, n)
+    out = np.zeros(n, object)
+    np.add.at(out, who, what)
+    return out
+
+
+def _kth(best: np.ndarray, k: int):
+    if len(best) < k:
+        return None
+    return np.sort(best)[len(best) - k] if best.dtype == object else np.partition(best, len(best) - k)[len(best) - k]
+
+
+def _cut(score):
+    """Python integers as the nearest long; what is not an object is below 2**53."""
+    if isinstance(score, np.ndarray):
+        return score if score.dtype != object else np.array([_cut(int(x)) for x in score], object)
+    return max(-LONG - 1, min(LONG, score))
+
+
+class Query:
+    """One query's k best (score, id) so far; :meth:`read` reads a block's lists. ``entries`` counts what was read of the lists."""
+
+    def __init__(self, own: int, w: np.ndarray, k: int) -> None:
+        self.own, self.w, self.k = own, w, k
+        self.best: list[tuple] = []  # (-score, id), sorted
+        self.entries = 0
+
+    def read(self, lists: Lists) -> None:
+        w, n, k = self.w, lists.n, self.k
+        at = np.flatnonzero(w != 0)
+        ends = np.stack([w[at] * lists.values[at, 0], w[at] * lists.values[at, -1]]) if len(at) else np.zeros((2, 0), w.dtype)
+        top, far = ends.max(axis=0), np.zeros(lists.d, w.dtype)
+        far[at] = ends.min(axis=0)
+        score, seen, known = np.zeros(n, w.dtype), np.zeros(n, np.int64), np.zeros(n, w.dtype)
+        known += far.sum() if len(at) else 0  # the lower bound; a list's far end goes when its entry is read
+        inside = lists.ids != self.own
+        # The k-th score of earlier blocks is the limit; in the first block it is the k-th lower bound.
+        floor = -self.best[k - 1][0] if len(self.best) >= k else None
+        if floor is not None and _cut(top.sum() if len(at) else 0) < floor:
+            return  # not even the heads of the lists together qualify
+        # Levels between which about as many entries lie; the last one is the end of all lists.
+        some = np.sort((lists.values[at][:, :: max(1, n // SAMPLE)] * w[at, None]).ravel())[::-1]
+        levels = [some[(len(some) * i) // LEVELS] for i in range(1, LEVELS)] + [far[at].min()] if len(at) else []
+        before = np.zeros(lists.d, np.int64)
+        for level, depth in zip(levels, lists.depths(w, levels) if levels else [], strict=True):
+            size = depth - before
+            total = int(size.sum())
+            if total:
+                first = np.arange(lists.d) * n + np.where(w > 0, n - depth, before)  # the run read next in each list
+                run = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(total)
+                who, got = lists.flat_order[run], lists.flat_values[run] * np.repeat(w, size)
+                score += _added(n, who, got)
+                if floor is None:
+                    known += _added(n, who, got - np.repeat(far, size))
+                seen += np.bincount(who, minlength=n)
+                self.entries += total
+            before = depth
+            # Every entry not read contributes less than the level.
+            high = _cut(score + (len(at) - seen).astype(score.dtype) * level)
+            limit = _kth(known[inside], k) if floor is None else floor
+            if limit is not None:
+                inside &= high >= _cut(limit)
+                if inside.sum() <= max(2 * k, n // FEW):
+                    break
+        who = np.flatnonzero(inside)
+        exact = _cut(lists.x[who] @ w) if len(at) else np.zeros(len(who), w.dtype)  # final scores of those that can still qualify
+        self.best = sorted([*self.best, *zip((-exact).tolist(), lists.ids[who].tolist(), strict=True)])[:k]
+
+
+def exact_kind(q: np.ndarray, x: np.ndarray) -> type:
+    """float if sums of products and their bounds are exact in doubles, else object (Python integers)."""
+    if q.dtype == object or x.dtype == object:
+        return object
+    return float if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * 4 * max(1, q.shape[1]) < 2**53 else object
+
+
+def as_kind(x: np.ndarray, kind: type) -> np.ndarray:
+    if kind is float or x.dtype == object:
+        return x.astype(kind)
+    return np.array([[int(c) for c in row] for row in x.tolist()], object).reshape(x.shape)
+
+
+def top_k(queries: tuple[np.ndarray, np.ndarray], blocks: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> list[Query]:
+    """The queries (ids, integer matrix) after they have read all blocks (ids, integer matrix), each with its k best rows; ties
+    go to the smaller id, and a query is no candidate of its own."""
+    qid, q = queries
+    state: list[Query] = []
+    for ids, x in blocks:
+        d = max(q.shape[1], x.shape[1])
+        q, x = _wide(q, d), _wide(x, d)
+        kind = exact_kind(q, x)
+        weights = as_kind(q, kind)
+        if not state:
+            state = [Query(i, w, k) for i, w in zip(qid.tolist(), weights, strict=True)]
+        lists = Lists(ids, as_kind(x, kind))
+        for s, w in zip(state, weights, strict=True):
+            s.w = w
+            s.read(lists)
+    return state
+
+
+def _wide(m: np.ndarray, d: int) -> np.ndarray:
+    return np.pad(m, ((0, 0), (0, d - m.shape[1]))) if m.shape[1] < d else m
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """ids and integer matrix of an array of structs (id, v); shorter vectors end in zeros."""
+    """ids and integer matrix of an array of structs (id, v, x); shorter vectors end in zeros."""
     ids = column.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
     v = column.field(1)
     sizes = np.diff(v.offsets.to_numpy())
-    flat = v.values.to_numpy(zero_copy_only=False)[v.offsets[0].as_py() : v.offsets[-1].as_py()]
-    out = np.zeros((len(ids), int(sizes.max(initial=0))), np.int64)
+    flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = np.zeros((len(ids), int(sizes.max(initial=0))), np.float64)
     out[np.repeat(np.arange(len(ids)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    return ids, out
+    if not np.isinf(out).any():
+        return ids, out
+    # Scaled components beyond the range of doubles: exact integers from the vectors themselves.
+    rows = [[int(c) if np.isfinite(c) else int(raw[j]) * 64 for j, c in enumerate(row)] for row, raw in zip(out.tolist(), column.field(2).to_pylist(), strict=True)]
+    return ids, np.array(rows, object).reshape(out.shape)
 
 
-def _wide(m: np.ndarray, d: int) -> np.ndarray:
-    return np.pad(m, ((0, 0), (0, d - m.shape[1])))
+def quantise(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Add ``v``: floor(64 * x) of each component x as a double, itself kept as a double, and ``x``, the vector itself where a
+    scaled component leaves the range of doubles (else null). Rows with a null vector, or one that holds a null or not finite
+    component, go; columns named ``v`` and ``x`` are replaced."""
 
+    def scaled(x: Column) -> Column:
+        y = x.cast("double") * F.lit(64.0)
+        return F.when(F.abs(y) < F.lit(2.0**53), F.floor(y).cast("double")).otherwise(y)  # larger doubles are integers
 
-def quantise(vectors: DataFrame, vector: str = "embedding", scale: float = 64.0) -> DataFrame:
-    """Add ``v``: floor(scale * x) of each component x as a double. Rows with a null vector, or one that holds a null, not finite or (scaled) over 2**62 component, go."""
-    good = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double") * scale) > F.lit(2.0**62)))
-    return vectors.where(F.coalesce(good, F.lit(False))).withColumn("v", F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("bigint")))
+    wide = F.exists(vector, lambda x: F.abs(x.cast("double")) > F.lit(2.0**1017))
+    good = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
+    rows = vectors.where(F.coalesce(good, F.lit(False))).withColumn("__x", F.when(wide, F.col(vector).cast("array<double>")))
+    return rows.withColumn("v", F.transform(vector, scaled)).withColumn("x", F.col("__x")).drop("__x")
 
 
-def _blocks(df: DataFrame, id_col: str, size: int, name: str, n: int) -> tuple[DataFrame, int]:
-    blocks = max(1, -(-n // size))
-    rows = df.select(F.pmod(F.xxhash64(id_col, "v"), F.lit(blocks).cast("bigint")).cast("int").alias(name), F.struct(F.col(id_col).cast("bigint").alias("id"), "v").alias("r"))
-    return rows.groupBy(name).agg(F.collect_list("r").alias(f"{name}_rows")), blocks  # of bounded size: dealt by hash of the row
+def _blocks(df: DataFrame, id_col: str, size: int, name: str) -> tuple[DataFrame, int]:
+    """(name, rows): the rows in blocks of about ``size``, and the number of blocks. Repeated rows are dealt apart."""
+    blocks = max(1, -(-df.count() // size))
+    deal = F.pmod(F.xxhash64(id_col, F.monotonically_increasing_id()), F.lit(blocks).cast("bigint")).cast("int")
+    rows = df.select(deal.alias(name), F.struct(F.col(id_col).cast("bigint").alias("id"), "v", "x").alias("r"))
+    return rows.groupBy(name).agg(F.collect_list("r").alias("rows")), blocks
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id") -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's k best rows of ``vectors`` (columns id and ``v``), itself not counted.
+    """(query_id, rank, vec_id, score) of each query's k best rows of ``vectors`` (columns id, ``v`` and ``x`` of :func:`quantise`), itself not counted.
 
     Ties go to the smaller id. Vectors of different lengths are compared as if the shorter ended in zeros. A row with a null id
     takes no part. Repeated ids are rows of their own. With fewer than k candidates all are returned; empty tables give none.
+    A score beyond 64 bits counts as the nearest long.
+
+    The stated queries meet all rows, block by block: every block of queries reads every block of candidates, GROUP of them in
+    one task. A query's rank then sorts k rows a group of blocks.
     """
     vectors, queries = vectors.where(F.col(id_col).isNotNull()), queries.where(F.col(id_col).isNotNull())
-    q, blocks = _blocks(queries, id_col, QUERY_BLOCK, "qb", queries.count())
-    c, _ = _blocks(vectors, id_col, CANDIDATE_BLOCK, "cb", vectors.count())
-    # The stated queries meet all rows, block by block: each block of candidates goes to every block of queries.
-    pairs = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "qb").select("qb_rows", "cb_rows")
+    width = vectors.agg(F.max(F.size("v"))).first()[0] or 1
+    q, nq = _blocks(queries, id_col, QUERY_BLOCK, "qb")
+    c, nc = _blocks(vectors, id_col, max(64, CELLS // width), "cb")
+    groups = -(-nc // GROUP)
+    # Rows of a task: the block of queries (cb -1), then its blocks of candidates.
+    asked = q.select("qb", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("cg"), F.lit(-1).alias("cb"), "rows")
+    read = c.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.expr(f"cb div {GROUP}").cast("int").alias("cg"), "cb", "rows")
+    dealt = asked.unionByName(read).repartition(nq * groups, "qb", "cg").sortWithinPartitions("qb", "cg", "cb")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Array]]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (qid, qm), (cid, cm) = (_matrix(batch.column(j).slice(i, 1).flatten()) for j in (0, 1))
-                d = max(qm.shape[1], cm.shape[1])
-                rows = list(top_k((qid, _wide(qm, d)), (cid, _wide(cm, d)), k))
-                a = np.array(rows, np.int64).reshape(-1, 3) if all(abs(r[2]) < 2**63 for r in rows) else None
-                if a is None:
-                    raise OverflowError("a score does not fit in 64 bits")
-                yield pa.record_batch({"query_id": a[:, 0], "vec_id": a[:, 1], "score": a[:, 2]})
-
-    found = pairs.mapInArrow(run, FOUND)
+                yield (batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), batch.column(2)[i].as_py(), batch.column(3).slice(i, 1).flatten()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = tasks(batches)
+        row = next(rows, None)
+        while row is not None:
+            key, cb, asked_rows = row
+            row = next(rows, None)
+            if cb != -1:  # no query in this block
+                continue
+
+            def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                nonlocal row
+                while row is not None and row[0] == key:
+                    yield _matrix(row[2])
+                    row = next(rows, None)
+
+            found = [(s.own, j, -int(score)) for s in top_k(_matrix(asked_rows), blocks(), k) for score, j in s.best]
+            a = np.array(found, np.int64).reshape(-1, 3)
+            yield pa.record_batch({"query_id": a[:, 0], "vec_id": a[:, 1], "score": a[:, 2]})
+
+    with batches_of(vectors.sparkSession, 1):
+        found = store(dealt.mapInArrow(run, FOUND), "found")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -93,34 +93,63 @@ def test_media_documents(spark):
 # --- search ------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("seed", range(6))
+def best(q, rows, k):
+    """k best (id, score) by comparing all; scores beyond 64 bits count as the nearest long."""
+    own, w = q
+    found = sorted((-max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(w, v)))), int(j)) for j, v in rows if j != own)
+    return [(j, -s) for s, j in found[:k]]
+
+
+@pytest.mark.parametrize("seed", range(8))
 def test_top_k(seed):
     r = np.random.default_rng(seed)
     n, d, k = int(r.integers(1, 300)), int(r.integers(1, 20)), int(r.integers(1, 25))
-    x = r.integers(-4, 5, (n, d)) * (10**12 if seed == 5 else 1)
+    x = r.integers(-4, 5, (n, d)).astype(float) * {5: 1e12, 6: 2.0**60, 7: 1e200}.get(seed, 1)
     ids = r.permutation(n) * 3
     q = r.integers(0, n, 8)
-    got = sorted(topk.top_k((ids[q], x[q]), (ids, x), k))
-    want = []
-    for i in q:
-        best = sorted((-sum(int(a) * int(b) for a, b in zip(x[i], x[j])), int(ids[j])) for j in range(n) if ids[j] != ids[i])[:k]
-        want += [(int(ids[i]), j, -s) for s, j in best]
-    assert sorted(set(got)) == sorted(set(want))
+    blocks = [(ids[i::3], x[i::3]) for i in range(3) if len(ids[i::3])]
+    for i, s in zip(q, topk.top_k((ids[q], x[q]), iter(blocks), k), strict=True):
+        assert [(j, -int(v)) for v, j in s.best] == best((ids[i], x[i]), list(zip(ids, x)), k)
+
+
+def test_reading_stops_before_the_end():
+    """Entries of the lists that are read: few where few candidates stand out, and fewer in later blocks than in the first."""
+    r = np.random.default_rng(1)
+    n, d = 4_000, 16
+    x = np.floor(r.normal(0, 4, (n, d)))
+    x[:60] += 40  # far ahead in every list
+    w = np.abs(np.floor(r.normal(0, 8, (3, d)))) + 1
+    state = topk.top_k((np.array([-1, -2, -3]), w), iter([(np.arange(n), x)]), 20)
+    for s, q in zip(state, w, strict=True):
+        assert [(j, -int(v)) for v, j in s.best] == best((s.own, q), list(enumerate(x)), 20)
+        assert s.entries < 0.2 * n * d
+    y = np.floor(r.normal(0, 4, (n, d)))  # nothing here stands out: the k best of the first block end the reading
+    both = topk.top_k((np.array([-1, -2, -3]), w), iter([(np.arange(n), x), (np.arange(n, 2 * n), y)]), 20)
+    assert all(b.entries - s.entries < 0.3 * n * d and b.best == s.best for s, b in zip(state, both, strict=True))
+    z = np.floor(r.normal(0, 8, (2 * n, 64)))  # vectors without structure: much of the lists is read
+    one = topk.top_k((np.arange(4), z[:4]), iter([(np.arange(n), z[:n])]), 20)
+    two = topk.top_k((np.arange(4), z[:4]), iter([(np.arange(n), z[:n]), (np.arange(n, 2 * n), z[n:])]), 20)
+    for i, (s, b) in enumerate(zip(one, two, strict=True)):
+        assert [(j, -int(v)) for v, j in b.best] == best((i, z[i]), list(enumerate(z)), 20)
+        assert b.entries - s.entries < 0.85 * n * 64
 
 
 def test_search_of_odd_rows(spark):
-    rows = [(0, [1.0, 2.0]), (20, [0.5, -0.5]), (1, [1.0, float("nan")]), (2, None), (3, [1.0, None]), (4, [3.0]), (5, [float("inf"), 0.0]), (6, []), (7, [1e300, 0.0]), (None, [9.0, 9.0]), (8, [1.0, 2.0])]
+    rows = [(0, [1.0, 2.0]), (20, [0.5, -0.5]), (1, [1.0, float("nan")]), (2, None), (3, [1.0, None]), (4, [3.0]), (5, [float("inf"), 0.0]), (6, []), (7, [1e300, 0.0]), (None, [9.0, 9.0]), (8, [1.0, 2.0]), (9, [1.7e308, -1.7e308])]
     e = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id bigint, embedding array<double>, v string")
     got = [tuple(r) for r in topk.search_embeddings(e).collect()]
-    v = {0: [64, 128], 20: [32, -32], 4: [192, 0], 6: [0, 0], 8: [64, 128]}
-    want = []
-    for q in (0, 20):
-        best = sorted((-(v[q][0] * w[0] + v[q][1] * w[1]), i) for i, w in v.items() if i != q)
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    v = {0: [64, 128], 20: [32, -32], 4: [192, 0], 6: [0, 0], 7: [int(1e300) * 64, 0], 8: [64, 128], 9: [int(1.7e308) * 64, -int(1.7e308) * 64]}
+    want = [(q, n + 1, i, s) for q in (0, 20) for n, (i, s) in enumerate(best((q, v[q]), [(i, w + [0] * (2 - len(w))) for i, w in v.items()], 20))]
     assert sorted(got) == sorted(want)
     assert topk.search_embeddings(e.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_rows_of_their_own(spark):
+    e = spark.createDataFrame([(0, [1.0])] + [(1, [0.5])] * 30 + [(2, [0.25])], "vec_id bigint, embedding array<float>")
+    got = [tuple(r) for r in topk.search_embeddings(e).orderBy("rank").collect()]
+    assert got == [(0, n + 1, 1, 2048) for n in range(20)]
+
+
 # --- oracles and URLs --------------------------------------------------------------------------------------------------
 
 
