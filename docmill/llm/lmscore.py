@@ -1,18 +1,28 @@
-"""Stupid-backoff bigram scores, computed relationally: count tables partitioned by hash meet the exploded n-grams there, and
-their log scores are summed for each document.
+"""Stupid-backoff scores, computed relationally: n-gram count tables partitioned by hash, joined to exploded n-grams, summed per document.
 
-S(w | v) = c(v w) / c(v .) where the pair's count is at least ``min_count`` (rarer pairs are pruned from the model), else
-alpha * c(w) / N; a document's first word scores c(w) / N. c(v .) counts how often v is followed by a word. All counts are over
-all documents given, and all words of every text count.
+S(w | context) is c(context w) / c(context .) for the longest context at hand (at most ``order`` - 1 words) for which
+c(context w) is at least ``min_count``; every word by which the context had to be cut costs a factor alpha. Without a context
+it is c(w) / N. c(context .) counts how often the context is followed by a word. All counts are over all documents given, and
+all words of every text count. Each log score is rounded to a multiple of 1 / UNIT, so that a document's sum is exact and does
+not depend on the order or the partitions in which rows arrive.
 
-An n-gram is a 64-bit hash. Rows travel packed: a *cell* holds what one batch of documents has for one bucket of the hash.
-Words that are so frequent that a bucket could not hold them (at most ``HEAVY``) are counted before, exactly, with the pairs
-among them; those tables are of bounded size and go to every task, so no bucket gets a hot key whole.
+The tables, all written to the shared folder or dealt by hash:
+
+* *tokens*: a row for each block of documents (about BLOCK_WORDS words): their ids, the block's vocabulary and coded words;
+* *n-grams*: tokens exploded to the distinct n-grams of each block with their number there, dealt by ranges of a 64-bit hash;
+* *counts*: the sums of these for each n-gram of the corpus, kept in the same partitions (n-grams under min_count are pruned);
+* *answers*: counts joined to the n-grams of each block, in the order in which the block's n-grams are sorted.
+
+As a block asks for each of its n-grams once, however often it occurs there, an n-gram that makes up a third of all text is
+one number a block, like any other: no range of the hash gets a hot key. Rows hold arrays, not single n-grams, to keep what
+is shuffled small.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -20,308 +30,282 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, small_batches, text_buffer
+from .common import batches_of, forget, hash_words, mix, small_batches, store, text_buffer
 
+ORDER = 2
 ALPHA = 0.4
 MIN_COUNT = 2
-HEAVY = 1_024
-BATCH_WORDS = 4_000_000  # words of a batch, and 65 536 documents at most
-BUCKET_WORDS = 1_000_000  # words of a bucket, about
+UNIT = 1 << 24  # log scores are multiples of 1 / UNIT
+BLOCK_WORDS = 4_000_000  # words of a block, about; a longer document is a block of its own
+BUCKET_WORDS = 1_000_000  # words of a range of the hash, about
+
+COLUMNS = "abcdef"
+CELL = "block bigint, cell bigint, words bigint, " + ", ".join(f"{c} binary" for c in COLUMNS)
+TOKENS, COUNTS = -1, -1  # the cell of a row of tokens, the block of a row of counts
+
+
+def _binary(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """An Arrow binary array: piece i is ``data[edges[i] : edges[i + 1]]``."""
+    width = data.dtype.itemsize * (data.shape[1] if data.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _array(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All pieces of a binary column as one array, and the length of each."""
+    col = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    col = col.cast(pa.large_binary())
+    _, off, data = col.buffers()
+    off = np.frombuffer(off, np.int64)[col.offset : col.offset + len(col) + 1]
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.view(kind), np.diff(off) // np.dtype(kind).itemsize
+
+
+def _rows(block: np.ndarray, cell: np.ndarray, words: np.ndarray, columns: list[pa.Array]) -> pa.RecordBatch:
+    empty = pa.nulls(len(block), pa.binary())
+    return pa.record_batch([pa.array(block, pa.int64()), pa.array(cell, pa.int64()), pa.array(words, pa.int64()), *columns, *[empty] * (len(COLUMNS) - len(columns))], names=["block", "cell", "words", *COLUMNS])
+
 
-CELL = "bucket bigint, kind int, batch bigint, a binary, b binary, c binary, d binary, e binary, f binary"
-_FIELDS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("batch", pa.int64()), *[(k, pa.binary()) for k in "abcdef"]])
-PAIRS, WORDS, REQUESTS, SUMS, DOCS = range(5)
+# --- tokens ------------------------------------------------------------------------------------------------------------
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
     """(id arrays, word hashes, words of each document) of runs of documents of bounded size."""
-    ids, hashes, counts, docs, words = [], [], [], 0, 0
+    ids, hashes, counts, words = [], [], [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
             h, n = hash_words(*text_buffer(part.column(1)))
-            if docs and (docs + len(n) > 65_536 or words + len(h) > BATCH_WORDS):
+            if ids and words + len(h) > BLOCK_WORDS:
                 yield ids, np.concatenate(hashes), np.concatenate(counts)
-                ids, hashes, counts, docs, words = [], [], [], 0, 0
+                ids, hashes, counts, words = [], [], [], 0
             ids.append(part.column(0))
             hashes.append(h)
             counts.append(n)
-            docs, words = docs + len(n), words + len(h)
-    if docs:
+            words += len(h)
+    if ids:
         yield ids, np.concatenate(hashes), np.concatenate(counts)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, count) of words that make up at least 1 / HEAVY of a batch; any word that does so in the whole corpus does in some batch.
-    A row without a word has the number of all words of the batch."""
-    for _, w, _ in _batches(batches):
-        u, n = np.unique(w, return_counts=True)
-        keep = n >= max(1, len(w) / HEAVY)
-        yield pa.record_batch({"w": pa.array([None], pa.int64()), "n": pa.array([len(w)], pa.int64())})
-        yield pa.record_batch({"w": u[keep].view(np.int64), "n": n[keep]})
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents: ids, whether they are known, words of each, vocabulary, and each word's place in it (two halves).
+    Frequent words come first in the vocabulary, so that the upper halves are mostly 0."""
+    base = TaskContext.get().partitionId() << 24
+    for i, (ids, w, counts) in enumerate(_blocks(batches)):
+        ids = pa.chunked_array(ids)
+        known, valid = ids.fill_null(0).to_numpy().astype(np.int64), ids.is_valid().to_numpy()
+        u, code, n = np.unique(w, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(u), np.uint32)
+        rank[order] = np.arange(len(u), dtype=np.uint32)
+        code = rank[code]
+        halves = code.astype(np.uint16), (code >> np.uint32(16)).astype(np.uint16)
+        whole = [_binary(x, np.array([0, len(x)])) for x in (known, valid, counts.astype(np.int64), u[order], *halves)]
+        yield _rows(np.array([base + i]), np.array([TOKENS]), np.array([len(w)]), whole)
+
+
+class Block:
+    """A row of tokens, read again: the documents and the hashes of their words, and the n-grams of each order."""
+
+    def __init__(self, row: dict) -> None:
+        self.ids, self.valid = np.frombuffer(row["a"], np.int64), np.frombuffer(row["b"], bool)
+        self.counts = np.frombuffer(row["c"], np.int64)
+        code = np.frombuffer(row["e"], np.uint16).astype(np.int64) + (np.frombuffer(row["f"], np.uint16).astype(np.int64) << 16)
+        self.words = np.frombuffer(row["d"], np.uint64)[code]
+        ends = np.repeat(np.cumsum(self.counts), self.counts)
+        self.left = ends - np.arange(len(self.words))  # words from each place to its document's end
+        self.hash = self.words
+
+    def grams(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For k = 1 .. order: k, where the k-grams begin, the distinct ones' hashes (sorted), each k-gram's place among them, and their number."""
+        h = self.words
+        for k in range(1, order + 1):
+            at = np.flatnonzero(self.left >= k)
+            if k > 1:  # the hash of k words from that of the first k - 1 and the last one
+                full = np.zeros(len(self.words), np.uint64)
+                full[at] = mix(mix(h[at]) + self.words[at + k - 1] * np.uint64(0x9E3779B97F4A7C15))
+                h = full
+            u, place, n = np.unique(h[at], return_inverse=True, return_counts=True)
+            yield k, at, u, place, n
+
+
+# --- n-grams and counts ------------------------------------------------------------------------------------------------
 
 
-def _place(heavy: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The place of each word among the sorted heavy words, or -1."""
-    if not len(heavy):
-        return np.full(len(w), -1, np.int32)
-    i = np.searchsorted(heavy, w)
-    i[i == len(heavy)] = 0
-    return np.where(heavy[i] == w, i, -1).astype(np.int32)
+def _range(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by ranges of the hash, so that sorting by the hash sorts by bucket."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _followed(counts: np.ndarray, total: int) -> np.ndarray:
-    """Whether each word has a next one in its document."""
-    out = np.ones(total, bool)
-    ends = np.cumsum(counts)[counts > 0] - 1
-    out[ends] = False
-    return out
+def _packed_keys(keys: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys as differences from the one before in their piece: lower six bytes, and the upper two (nearly always 0)."""
+    d = keys.copy()
+    d[1:] -= keys[:-1]
+    d[edges[:-1]] = keys[edges[:-1]]
+    return d.view(np.uint8).reshape(-1, 8)[:, :6], (d >> np.uint64(48)).astype(np.uint16)
 
 
-def _range(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets by ranges of the hash, so that sorting by the hash sorts by bucket."""
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _keys(lower: pa.ChunkedArray, upper: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all pieces, and the number of each."""
+    high, sizes = _array(upper, np.uint16)
+    low, _ = _array(lower, np.uint8)
+    d = np.zeros((len(high), 8), np.uint8)
+    d[:, :6] = low.reshape(-1, 6)
+    d[:, 6:] = high.view(np.uint8).reshape(-1, 2)
+    total = np.cumsum(d.reshape(-1).view(np.uint64))
+    first = np.cumsum(sizes) - sizes
+    before = np.where(first > 0, total[first - 1], np.uint64(0)) if len(total) else np.zeros(len(sizes), np.uint64)
+    return total - np.repeat(before, sizes), sizes
+
 
+def _explode(order: int, buckets: int):
+    """Each block's distinct n-grams, a row for each range of the hash: keys, numbers, and how many are followed by a word."""
 
-def _heavy_counts(heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, count): words by place k as (k, -1), followed words as (k, -2), pairs as (k, l)."""
-        k = len(heavy)
-        for _, w, counts in _batches(batches):
-            p, next_ = _place(heavy, w), _followed(counts, len(w))
-            n1 = np.bincount(p[p >= 0], minlength=k)
-            n2 = np.bincount(p[next_ & (p >= 0)], minlength=k)
-            at = np.flatnonzero(next_[:-1] & (p[:-1] >= 0) & (p[1:] >= 0)) if len(w) else np.zeros(0, np.int64)
-            u, n = np.unique(p[at].astype(np.int64) * k + p[at + 1], return_counts=True)
-            yield pa.record_batch({"key": np.concatenate([np.arange(k) + k * k, np.arange(k) + k * k + k, u]).astype(np.int64), "n": np.concatenate([n1, n2, n]).astype(np.int64)})
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block(row)
+                for k, at, u, place, n in block.grams(order):
+                    if not len(u):
+                        continue
+                    bucket = _range(u, buckets)
+                    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(u)]])
+                    columns = [_binary(x, edges) for x in (*_packed_keys(u, edges), n.astype(np.uint32))]
+                    if k < order:
+                        followed = np.bincount(place, block.left[at] > k, len(u))
+                        columns.append(_binary(followed.astype(np.uint32), edges))
+                    rows = len(edges) - 1
+                    yield _rows(np.full(rows, row["block"]), (k - 1) * buckets + bucket[edges[:-1]], np.diff(edges), columns)
 
     return run
 
 
-def _cells(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(bucket, first, end) of the runs of a sorted array."""
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    edges = [0, *cuts.tolist(), len(bucket)]
-    yield from ((int(bucket[a]), a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a)
-
-
-def _coded(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Distinct values, and the place of each among them in 2 or 4 bytes."""
-    u, inverse = np.unique(values, return_inverse=True)
-    return u.tobytes(), inverse.astype(np.uint16 if len(u) <= 65_536 else np.uint32).tobytes()
-
-
-def _decoded(a: bytes, b: bytes) -> np.ndarray:
-    u = np.frombuffer(a, np.uint64)
-    return u[np.frombuffer(b, np.uint16 if len(u) <= 65_536 else np.uint32)]
-
-
-def _sums(batch: int, bucket: int, doc: np.ndarray, value: np.ndarray) -> tuple:
-    total = np.bincount(doc, value)
-    at = np.unique(doc)
-    return (bucket, SUMS, batch, at.astype(np.uint16).tobytes(), total[at].astype(np.float32).tobytes(), None, None, None, None)
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_FIELDS)], schema=_FIELDS)
-
-
-def _narrow(n: np.ndarray) -> bytes:
-    """Counts in one byte each if they fit, else in four."""
-    return n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32).tobytes()
-
-
-def _counts(b: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(b, np.uint8 if len(b) == n else np.uint32)
-
-
-def _requests(w: np.ndarray, batch: np.ndarray, doc: np.ndarray, extra: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """Words whose unigram scores are wanted, one row for each bucket that has counts; ``extra`` says where the backoff factor applies."""
-    to = _range(w, buckets)
-    order = np.lexsort((w, batch, to))
-    w, batch, doc, extra, to = w[order], batch[order], doc[order], extra[order], to[order]
-    for b, i, j in _cells(to):
-        ids, n = np.unique(batch[i:j], return_counts=True)
-        yield (b, REQUESTS, -1, *_coded(w[i:j]), doc[i:j].astype(np.uint16).tobytes(), np.packbits(extra[i:j]).tobytes(), ids.astype(np.int64).tobytes(), n.astype(np.uint32).tobytes())
-
-
-class Scorer:
-    """The steps between the exchanges; holds only tables of bounded size."""
-
-    def __init__(self, words: int, buckets: int, heavy: np.ndarray, one: np.ndarray, followed: np.ndarray, pairs: np.ndarray, alpha: float, min_count: int) -> None:
-        self.words, self.buckets, self.heavy, self.alpha, self.min_count = words, buckets, heavy, np.log(alpha), min_count
-        with np.errstate(divide="ignore"):
-            self.unigram = np.log(one) - np.log(words)
-            self.followed = np.log(followed)
-        self.pairs = pairs  # dense: HEAVY x HEAVY at most
-
-    def cells(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Explode a batch: pairs by the bucket of their first word (of both, if the first is heavy), word counts by theirs."""
-        part, seq, k = TaskContext.get().partitionId(), 0, len(self.heavy)
-        for ids, w, counts in _batches(batches):
-            batch, seq = (part << 24) + seq, seq + 1
-            doc = np.repeat(np.arange(len(counts)), counts)
-            valid = pa.chunked_array(ids).is_valid().to_numpy()
-            known = pa.chunked_array(ids).fill_null(0).to_numpy().astype(np.int64)
-            yield _rows([(batch % self.buckets, DOCS, batch, known.tobytes(), valid.tobytes(), counts.astype(np.int64).tobytes(), None, None, None)])
-            if not len(w):
-                continue
-            p = _place(self.heavy, w)
-            u, n = np.unique(w[p < 0], return_counts=True)
-            for b, i, j in _cells(_range(u, self.buckets)):
-                yield _rows([(b, WORDS, batch, u[i:j].tobytes(), n[i:j].astype(np.uint32).tobytes(), None, None, None, None)])
-            first = np.r_[True, doc[1:] != doc[:-1]]
-            # Known at once: first words and pairs of heavy words.
-            at = np.flatnonzero(first & (p >= 0))
-            sums = [(doc[at], self.unigram[p[at]])]
-            v = np.flatnonzero(~first) - 1
-            both = (p[v] >= 0) & (p[v + 1] >= 0)
-            at = v[both]
-            n = self.pairs[p[at].astype(np.int64) * k + p[at + 1]]
-            with np.errstate(divide="ignore"):
-                sums.append((doc[at], np.where(n >= self.min_count, np.log(n) - self.followed[p[at]], self.alpha + self.unigram[p[at + 1]])))
-            yield _rows([_sums(batch, batch % self.buckets, *(np.concatenate(x) for x in zip(*sums, strict=True)))])
-            at = np.flatnonzero(first & (p < 0))
-            rows = list(_requests(w[at], np.full(len(at), batch), doc[at], np.zeros(len(at), bool), self.buckets))
-            if rows:
-                yield _rows(rows)
-            # The other pairs: by their first word, or, where that is heavy, by both words.
-            v = v[~both]
-            hot = p[v] >= 0
-            cold, hot = v[~hot], v[hot]
-            cold = cold[np.argsort(w[cold], kind="stable")]
-            key = mix(w[hot] ^ mix(w[hot + 1]))
-            order = np.argsort(key, kind="stable")
-            hot, key = hot[order], key[order]
-            c, h = _range(w[cold], self.buckets), _range(key, self.buckets)
-            for b in np.union1d(c, h).tolist():
-                x, y = cold[np.searchsorted(c, b) : np.searchsorted(c, b + 1)], hot[np.searchsorted(h, b) : np.searchsorted(h, b + 1)]
-                u, n = np.unique(w[x], return_counts=True)
-                at = np.concatenate([x, y])
-                yield _rows([(b, PAIRS, batch, u.tobytes(), _narrow(n), *_coded(w[at + 1]), doc[at].astype(np.uint16).tobytes(), p[y].astype(np.uint16).tobytes())])
-
-    def bigrams(self, table: pa.Table) -> pa.Table:
-        """One bucket: count its pairs, score those of the model, and ask for the unigram scores of the others."""
-        out: list[tuple] = []
-        bucket = table.column("bucket")[0].as_py()
-        rows = table.to_pylist()
-        out += [tuple(r.values()) for r in rows if r["kind"] in (SUMS, DOCS, REQUESTS)]
-        words = [r for r in rows if r["kind"] == WORDS]
-        if words:
-            u, inverse = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in words]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([np.frombuffer(r["b"], np.uint32) for r in words]))
-            out.append((bucket, WORDS, -1, u.tobytes(), n.astype(np.int64).tobytes(), None, None, None, None))
-        rows = [r for r in rows if r["kind"] == PAIRS]
-        if rows:
-            keys, places, ws = [], [], []
-            for r in rows:
-                u, place, w = np.frombuffer(r["a"], np.uint64), np.frombuffer(r["f"], np.uint16), _decoded(r["c"], r["d"])
-                cold = np.repeat(u, _counts(r["b"], len(u)))
-                keys.append(np.concatenate([cold, mix(self.heavy[place] ^ mix(w[len(cold) :]))]))
-                places.append(np.concatenate([np.full(len(cold), -1, np.int32), place.astype(np.int32)]))
-                ws.append(w)
-            sizes = [len(x) for x in keys]
-            key, p, w = np.concatenate(keys), np.concatenate(places), np.concatenate(ws)
-            del keys, places, ws
-            _, inverse, n = np.unique(mix(key) + w * np.uint64(0x9E3779B97F4A7C15), return_inverse=True, return_counts=True)
-            pair = n[inverse]
-            _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-            context = np.where(p >= 0, self.followed[np.maximum(p, 0)] if len(self.followed) else 0.0, np.log(n[inverse]))
-            good = pair >= self.min_count
-            q = _place(self.heavy, w)
-            known = good | (q >= 0)
-            value = np.where(good, np.log(pair) - context, self.alpha + (self.unigram[np.maximum(q, 0)] if len(self.unigram) else 0.0))
-            at, docs = 0, []
-            for r, size in zip(rows, sizes, strict=True):
-                s = slice(at, at + size)
-                at += size
-                doc = np.frombuffer(r["e"], np.uint16)
-                docs.append(doc)
-                if known[s].any():
-                    out.append(_sums(r["batch"], bucket, doc[known[s]], value[s][known[s]]))
-            ask = ~known
-            if ask.any():
-                batch = np.repeat(np.array([r["batch"] for r in rows], np.int64), sizes)
-                out += _requests(w[ask], batch[ask], np.concatenate(docs)[ask], np.ones(int(ask.sum()), bool), self.buckets)
-        return pa.Table.from_batches([_rows(out)], _FIELDS)
-
-    def unigrams(self, table: pa.Table) -> pa.Table:
-        """One bucket: answer the requests from its word counts."""
-        out: list[tuple] = []
-        bucket = table.column("bucket")[0].as_py()
-        rows = table.to_pylist()
-        out += [tuple(r.values()) for r in rows if r["kind"] in (SUMS, DOCS)]
-        u, score = np.zeros(0, np.uint64), np.zeros(0)
-        for r in rows:
-            if r["kind"] == WORDS:
-                u = np.frombuffer(r["a"], np.uint64)
-                score = np.log(np.frombuffer(r["b"], np.int64)) - np.log(self.words)
-        answers: dict[int, list] = {}
-        for r in rows:
-            if r["kind"] == REQUESTS:
-                value = score[np.searchsorted(u, np.frombuffer(r["a"], np.uint64))]
-                doc = np.frombuffer(r["c"], np.uint16)
-                extra = np.unpackbits(np.frombuffer(r["d"], np.uint8), count=len(doc))
-                value = value[np.frombuffer(r["b"], np.uint16 if len(value) <= 65_536 else np.uint32)] + self.alpha * extra
-                at = 0
-                for batch, n in zip(np.frombuffer(r["e"], np.int64).tolist(), np.frombuffer(r["f"], np.uint32).tolist(), strict=True):
-                    answers.setdefault(batch, []).append((doc[at : at + n], value[at : at + n]))
-                    at += n
-        out += [_sums(batch, bucket, *(np.concatenate(x) for x in zip(*parts, strict=True))) for batch, parts in answers.items()]
-        return pa.Table.from_batches([_rows(out)], _FIELDS)
-
-    def documents(self, table: pa.Table) -> pa.Table:
-        """One batch: add up its documents' sums."""
-        rows = table.to_pylist()
-        head = next(r for r in rows if r["kind"] == DOCS)
-        counts = np.frombuffer(head["c"], np.int64)
-        total = np.zeros(len(counts))
-        for r in sorted((r for r in rows if r["kind"] == SUMS), key=lambda r: (r["bucket"], r["a"], r["b"])):  # in one order, so that the same input gives the same doubles
-            total[np.frombuffer(r["a"], np.uint16)] += np.frombuffer(r["b"], np.float32)
-        known = np.frombuffer(head["b"], bool)
-        ids = pa.array(np.frombuffer(head["a"], np.int64), pa.int64(), mask=~known)
-        score = pa.array(total / np.maximum(counts, 1), pa.float64(), mask=counts == 0)
-        return pa.table({"doc_id": ids, "n_words": counts, "log_score": total, "score": score})
-
-
-def score_documents(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, heavy: int = HEAVY) -> DataFrame:
+def _count(buckets: int, min_count: int):
+    """One range of the hash: its counts (one row), and the answers to each block's n-grams."""
+
+    def halves(x: np.ndarray, edges: np.ndarray) -> list[pa.Array]:
+        high = (x >> 32).astype(np.uint32)
+        return [_binary(x.astype(np.uint32), edges), _binary(high if high.any() else high[:0], edges if high.any() else edges * 0)]
+
+    def run(table: pa.Table) -> pa.Table:
+        cell = table.column("cell")[0].as_py()
+        keys, sizes = _keys(table.column("a"), table.column("b"))
+        u, place = np.unique(keys, return_inverse=True)
+        pairs = [np.bincount(place, _array(table.column("c"), np.uint32)[0], len(u)).astype(np.int64)]  # exact below 2**53
+        if table.column("d").null_count == 0:
+            pairs.append(np.bincount(place, _array(table.column("d"), np.uint32)[0], len(u)).astype(np.int64))
+        kept = pairs[0] >= (min_count if cell >= buckets else 1)
+        edges = np.array([0, int(kept.sum())])
+        counts = [_binary(x, edges) for x in (*_packed_keys(u[kept], edges), *[p[kept] for p in pairs])] if kept.any() else []
+        own = _rows(np.array([COUNTS]), np.array([cell]), np.array([edges[1]]), counts)
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        answers = _rows(table.column("block").to_numpy(), np.full(len(sizes), cell), sizes, [c for p in pairs for c in halves(p[place], edges)])
+        return pa.Table.from_batches([own, answers])
+
+    return run
+
+
+def _score(order: int, buckets: int, total: int, alpha: float, min_count: int):
+    """One block: its tokens and the answers to its n-grams give each document's sum."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cells = table.column("cell").to_numpy()
+        row = table.slice(int(np.flatnonzero(cells == TOKENS)[0]), 1).to_pylist()[0]
+        block = Block(row)
+        sort = np.argsort(cells, kind="stable")
+        table, cells = table.take(pa.array(sort)), cells[sort]
+        value = np.zeros(len(block.words))  # of the word at each place, by the orders looked at so far
+        before: np.ndarray | None = None
+        for k, at, _, place, _ in block.grams(order):
+            mine = table.filter(pa.array((cells >= (k - 1) * buckets) & (cells < k * buckets)))
+
+            def numbers(low: str, high: str) -> np.ndarray:
+                """The answers in the order of the hashes; a piece's upper halves are there only if one is not 0."""
+                n, sizes = _array(mine.column(low), np.uint32)
+                out, (up, there) = n.astype(np.int64), _array(mine.column(high), np.uint32)
+                out[np.repeat(there > 0, sizes)] += up.astype(np.int64) << 32
+                return out
+
+            last = at + k - 1  # the word that a k-gram ends in
+            if len(at):
+                n = numbers("a", "b")[place]
+                if k == 1:
+                    value[last] = np.log(n) - np.log(total)
+                else:
+                    good = n >= min_count
+                    back = value[last] + np.log(alpha)
+                    back[good] = np.log(n[good]) - np.log(before[at[good]])
+                    value[last] = back
+                if k < order:
+                    before = np.zeros(len(block.words), np.int64)  # how often the k-gram at each place is followed
+                    before[at] = numbers("c", "d")[place]
+        units = np.concatenate([[0], np.cumsum(np.rint(value * UNIT).astype(np.int64))])
+        ends = np.cumsum(block.counts)
+        log_score = (units[ends] - units[ends - block.counts]) / UNIT
+        none = block.counts == 0
+        score = pa.array(log_score / np.maximum(block.counts, 1), pa.float64(), mask=none)
+        return pa.table({"doc_id": pa.array(block.ids, pa.int64(), mask=~block.valid), "n_words": block.counts, "log_score": np.where(none, 0.0, log_score), "score": score})
+
+    return run
+
+
+def _counted(docs: DataFrame, order: int, min_count: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """The table of tokens, that of counts and answers, the number of ranges of the hash, and the corpus's words."""
+    rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tokens = store(rows.mapInArrow(_tokens, CELL), "tokens")
+    total = tokens.agg(F.sum("words")).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET_WORDS))
+    with batches_of(docs.sparkSession, 1):
+        grams = tokens.mapInArrow(_explode(order, buckets), CELL)
+        counted = store(grams.groupBy("cell").applyInArrow(_count(buckets, min_count), CELL), "counts")
+    return tokens, counted, buckets, total
+
+
+def count_ngrams(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> DataFrame:
+    """The count tables as rows: order (1 ..), gram (a 64-bit hash), n, followed (null for the longest ones); n-grams of two and more words that
+    occur less than ``min_count`` times are not in them."""
+    _, counted, buckets, _ = _counted(docs, order, min_count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                if not row.column("words")[0].as_py():
+                    continue
+                keys, _ = _keys(row.column("a"), row.column("b"))
+                followed = _array(row.column("d"), np.int64)[0] if row.column("d").null_count == 0 else None
+                k = row.column("cell")[0].as_py() // buckets + 1
+                yield pa.record_batch([pa.array(np.full(len(keys), k), pa.int32()), pa.array(keys.view(np.int64)), pa.array(_array(row.column("c"), np.int64)[0]), pa.array(followed, pa.int64()) if followed is not None else pa.nulls(len(keys), pa.int64())], names=["order", "gram", "n", "followed"])
+
+    return counted.where(F.col("block") == COUNTS).mapInArrow(run, "order int, gram bigint, n bigint, followed bigint")
+
+
+def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, n_words, log_score (the sum of the words' log scores; 0 without words) and score (their mean; null without words).
 
     One row for each row of ``docs``; null texts count as empty, null ids stay null, repeated rows are counted and scored each.
+    Extra columns are not read; an empty table gives none.
     """
-    if heavy > 65_535:
-        raise ValueError("places of heavy words are kept in two bytes")
-    rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(_frequent, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).persist()
-    words = found.where("w is null").agg(F.sum("n")).first()[0] or 0
-    top = found.where("w is not null").orderBy(F.desc("n"), "w").limit(heavy).collect()
-    found.unpersist()
-    h = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
-    k = len(h)
-    # At most heavy * heavy + 2 * heavy rows.
-    counts = rows.mapInArrow(_heavy_counts(h), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow() if k else None
-    table = np.zeros(k * k + 2 * k, np.int64)
-    if counts is not None:
-        table[counts.column("key").to_numpy()] = counts.column("n").to_numpy()
-    buckets = max(1, -(-words // BUCKET_WORDS))
-    s = Scorer(words, buckets, h, table[k * k : k * k + k], table[k * k + k :], table[: k * k], alpha, min_count)
-    cells = rows.mapInArrow(s.cells, CELL)
-    pairs = cells.groupBy("bucket").applyInArrow(lambda t: s.bigrams(t), CELL)
-    sums = pairs.groupBy("bucket").applyInArrow(lambda t: s.unigrams(t), CELL)
-    return sums.groupBy("batch").applyInArrow(lambda t: s.documents(t), "doc_id bigint, n_words bigint, log_score double, score double")
-
-
-def brute_force(texts: list[str | None], alpha: float = ALPHA, min_count: int = MIN_COUNT) -> list[tuple[int, float]]:
-    """The same scores by dictionaries, for tests: (words, sum of logs)."""
-    from collections import Counter
-    from math import log
+    tokens, counted, buckets, total = _counted(docs, order, min_count)
+    both = tokens.unionByName(counted.where(F.col("block") != COUNTS))
+    with batches_of(docs.sparkSession, 1):
+        out = store(both.groupBy("block").applyInArrow(_score(order, buckets, total, alpha, min_count), "doc_id bigint, n_words bigint, log_score double, score double"), "scores")
+    forget(tokens)
+    forget(counted)
+    return out
 
-    split = [(t or "").encode().lower().split() for t in texts]
-    one, two, context = Counter(w for t in split for w in t), Counter(p for t in split for p in zip(t, t[1:], strict=False)), Counter(w for t in split for w in t[:-1])
-    n, out = sum(one.values()), []
+
+def brute_force(texts: list[str | None], order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> list[tuple[int, float]]:
+    """The same scores by dictionaries, for tests: (words, sum of logs)."""
+    split = [tuple((t or "").encode().lower().split()) for t in texts]
+    count = Counter(t[i : i + k] for t in split for k in range(1, order + 1) for i in range(len(t) - k + 1))
+    followed = Counter(t[i : i + k] for t in split for k in range(1, order) for i in range(len(t) - k))
+    total, out = sum(map(len, split)), []
     for t in split:
-        s = log(one[t[0]] / n) if t else 0.0
-        for v, w in zip(t, t[1:], strict=False):
-            s += log(two[v, w] / context[v]) if two[v, w] >= min_count else log(alpha * one[w] / n)
-        out.append((len(t), s))
+        s = 0
+        for i in range(len(t)):
+            longest = min(i + 1, order)
+            k = next((k for k in range(longest, 1, -1) if count[t[i + 1 - k : i + 1]] >= min_count), 1)
+            p = log(count[t[i + 1 - k : i + 1]]) - log(followed[t[i + 1 - k : i]] if k > 1 else total)
+            s += round((p + (longest - k) * log(alpha)) * UNIT)
+        out.append((len(t), s / UNIT))
     return out

@@ -77,6 +77,22 @@ ORACLE_SQL: dict[str, str] = {
         select query_id, cast(rank as int) as rank, vec_id, score from (
             select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 20
     """,
+    "op9_lm_scores": """
+        with t as (
+            select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words from documents),
+        g as (select r, words[i] as w, case when i > 1 then words[i - 1] end as v from (select r, words, unnest(range(1, len(words) + 1)) as i from t)),
+        one as (select w, count(*) as n from g group by w),
+        context as (select v, count(*) as n from g where v is not null group by v),
+        two as (select v, w, count(*) as n from g where v is not null group by v, w),
+        s as (
+            select r, case
+                when g.v is null then ln(one.n) - ln((select count(*) from g))
+                when two.n >= 2 then ln(two.n) - ln(context.n)
+                else ln(one.n) - ln((select count(*) from g)) + ln(0.4) end as x
+            from g join one on g.w = one.w left join two on g.v = two.v and g.w = two.w left join context on g.v = context.v),
+        d as (select r, count(*) as n, cast(sum(cast(round(x * 16777216) as bigint)) as double) / 16777216 as x from s group by r)
+        select t.doc_id, coalesce(d.n, 0) as n_words, coalesce(d.x, 0.0) as log_score, d.x / d.n as score from t left join d on t.r = d.r
+    """,
     "op10_url_filter": """
         with u as (
             select page_id, case when url like '%://%' then substr(url, instr(url, '://') + 3) end as rest from pages),
