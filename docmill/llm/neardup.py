@@ -4,14 +4,15 @@ A document's set is that of its distinct word shingles. Documents with equal set
 class, its representative, goes on. Each representative has ``TOKENS`` minwise hashes of its set. A tree branches
 recursively: a node picks one or two of the tokens (1 / threshold on average), and a document goes to the child of each picked
 token's value; so two documents of similarity s stay together in a branch with probability s at each level. Nodes of at
-most ``LEAF`` documents are compared exhaustively on their tokens; larger ones branch again, down to ``DEPTH``. ``TREES``
-independent trees bring the expected recall of a pair at the threshold to 0.99 and more. Pairs whose tokens agree enough are
-confirmed on the full sets, and links are closed to components.
-
-Groups of any size: a node that is still large at the last level is dealt into blocks that all meet the node's hubs; what is
-not linked to the node's largest component by then is compared with every member of the node, in blocks. Within a
-component no further pair is needed, so the work on a large group of copies grows with its size, not with its square.
-Small nodes are blocks of their own, in which every pair of different components is compared.
+most ``LEAF`` documents are compared exhaustively on their tokens; larger ones branch again until they are small, however
+deep that is: different texts that share a passage come apart level by level. ``TREES`` independent trees bring the expected
+recall of a pair at the threshold to 0.99 and more. Pairs whose tokens agree enough are confirmed on the full sets, and links
+are closed to components.
+
+Groups of copies of any size never come apart. So from level ``DEPTH`` on, a large node whose hubs (``HUBS`` members) are near
+each other is a *crowd* and branches no more: it is dealt into blocks that all meet the hubs; what is not linked to its largest
+component by then is compared with every member of the crowd, in pairs of blocks. Within a component no further pair is
+needed, so the work on a large group of copies grows with its size, not with its square.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ WORDS = 5
 PERCENT = 80
 TOKENS = 128
 TREES = 10
-DEPTH = 3
+DEPTH = 3  # levels before large nodes are looked at for crowds
+DEEPEST = 32  # a node that is large after so many levels is taken for a crowd, too
 LEAF = 64
 HUBS = 16
+DENSE = 0.5  # part of the pairs of hubs that are near each other in a crowd, at least
 PACK = 512  # documents of a block where a crowd is compared with its rest
 LOCAL = 1 << 16  # links that one task may join to components
 SLACK = 3.7  # standard deviations of the token agreement that a pair at the threshold may fall short
@@ -194,6 +197,19 @@ def _find(root: dict, k):
     return k
 
 
+def _dense(percent: int):
+    """The large nodes that are crowds, of rows (node, block, rep, n_shingles, tokens) of their hubs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["node"]):
+            t = _Block(table)
+            pairs = len(t.ids) * (len(t.ids) - 1) // 2
+            if (np.triu(_likely(t, t, percent), 1) > 0).sum() >= DENSE * pairs:
+                yield pa.record_batch({"node": table.column("node").combine_chunks()[:1]})
+
+    return run
+
+
 def _groups(percent: int):
     """Of each block: its documents that likely pairs join, as groups (grp, n, rep); grp is a hash of the ids."""
 
@@ -260,14 +276,19 @@ def _across(percent: int):
     return run
 
 
-def _block(size: int):
+def _block(size: int, n: str = "n"):
     """The block of each member of a node of n: about ``size`` to a block, dealt by hash."""
-    return F.when(F.col("n") <= size, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / F.lit(size)))).cast("int")
+    return F.when(F.col(n) <= size, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.ceil(F.col(n) / F.lit(size)))).cast("int")
 
 
-def _packed(members: DataFrame, size: int) -> DataFrame:
+def _numbers(n: str, size: int):
+    """All blocks of a node of n."""
+    return F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / F.lit(size)).cast("int") - 1))
+
+
+def _packed(members: DataFrame, size: int, n: str, block: str, rows: str) -> DataFrame:
     """(main, block, rows): the members of each crowd in blocks, a row a block."""
-    return members.withColumn("block", _block(size)).groupBy("main", "block").agg(F.collect_list(F.struct("rep", "members", "tokens", "label")).alias("rows"))
+    return members.withColumn(block, _block(size, n)).groupBy("main", block).agg(F.collect_list(F.struct("rep", "members", "tokens", "label")).alias(rows))
 
 
 def _by(df: DataFrame, *keys: str) -> DataFrame:
@@ -328,7 +349,58 @@ def components(links: DataFrame, local: int = LOCAL) -> DataFrame:
         mark = now
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+def _hubs(members: DataFrame) -> DataFrame:
+    """(node, rep, n): at most HUBS members of each node, chosen by hash."""
+    return members.groupBy("node", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(HUBS)).alias("hub")).agg(F.min_by("rep", F.xxhash64("rep")).alias("rep"), F.first("n").alias("n"))
+
+
+def branch(reps: DataFrame, trees: int = TREES, percent: int = PERCENT) -> tuple[DataFrame, bool]:
+    """(node, n, x, lo, hi, rep) of the nodes to compare, small ones and crowds, and whether there are crowds.
+
+    A level's members are (rep, node) only; a node's x, lo and hi tell whether it has the same members as another.
+    """
+    spark = reps.sparkSession
+    kind = "rep bigint, node bigint"
+    level, found, crowds, d = reps.mapInArrow(_children(trees, percent), kind), [], False, 0
+    held = []
+    while True:
+        d += 1
+        members = store(level.distinct() if d > 1 else level, "members")
+        sizes = store(_sizes(members), "nodes")
+        held += [members, sizes]
+        found.append(members.join(sizes.where(f"n <= {LEAF}"), "node"))
+        large = sizes.where(f"n > {LEAF}")
+        if large.isEmpty():
+            break
+        big = members.join(large, "node")
+        if d >= DEEPEST:
+            found.append(big)
+            crowds = True
+            break
+        if d >= DEPTH:
+            with batches_of(spark, ROWS_PER_BATCH):
+                hubs = _by(_hubs(big).join(reps, "rep").select("node", "rep", "n_shingles", "tokens"), "node")
+                dense = store(hubs.mapInArrow(_dense(percent), "node bigint"), "dense")
+            held.append(dense)
+            if not dense.isEmpty():
+                crowds = True
+                found.append(big.join(dense, "node", "left_semi"))
+                large = store(large.join(dense, "node", "left_anti"), "nodes")
+                held.append(large)
+                if large.isEmpty():
+                    break
+                big = members.join(large, "node")
+        level = big.select("rep", "node").join(reps, "rep").select("rep", "node", "tokens").mapInArrow(_children(trees, percent), kind)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    out = store(out.select("node", "n", "x", "lo", "hi", "rep"), "found")
+    for t in held:
+        forget(t)
+    return out, crowds
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text).
 
     Documents are linked if 100 * shared shingles >= ``percent`` * shingles of either. ``component_id`` is the smallest doc_id
@@ -345,67 +417,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     keys = store(signed.select("doc_id", "n_shingles", "set_key"), "keys")
     forget(signed)
 
-    # Branch until nodes are small. A level's members are (rep, node) only.
-    level, small, large = reps.mapInArrow(_children(trees, percent), "rep bigint, node bigint"), [], None
-    held = []
-    for d in range(depth):
-        members = store(level.distinct() if d else level, "members")
-        held.append(members)
-        sizes = store(_sizes(members).withColumn("last", F.lit(d == depth - 1)), "nodes")
-        held.append(sizes)
-        small.append(members.join(sizes.where(f"n <= {LEAF}").select("node", "n", "x", "lo", "hi"), "node"))
-        big = members.join(sizes.where(f"n > {LEAF}").select("node", "n", "x", "lo", "hi"), "node")
-        if sizes.where(f"n > {LEAF}").isEmpty():
-            break
-        if d == depth - 1:
-            large = big
-        else:
-            level = big.select("rep", "node").join(reps, "rep").select("rep", "node", "tokens").mapInArrow(_children(trees, percent), "rep bigint, node bigint")
-    found = small[0]
-    for s in [*small[1:], *([large] if large is not None else [])]:
-        found = found.unionByName(s)
+    found, crowds = branch(reps, trees, percent)
     # The same group in several trees is compared once.
-    found = store(found, "found")
     one = found.groupBy("n", "x", "lo", "hi").agg(F.min("node").alias("node")).select("node")
     groups = store(found.join(one, "node", "left_semi").select("node", "n", "rep").distinct(), "groups")
-    for t in (*held, found):
-        forget(t)
+    forget(found)
 
     spark = docs.sparkSession
     members = groups.withColumn("block", _block(LEAF)).select("node", "block", "rep")
-    if large is not None:  # every block of a large node meets the node's hubs
+    if crowds:  # every block of a crowd meets its hubs
         wide = groups.where(f"n > {LEAF}")
-        hubs = wide.groupBy("node", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(HUBS)).alias("hub")).agg(F.min_by("rep", F.xxhash64("rep")).alias("rep"), F.first("n").alias("n"))
-        each = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.lit(LEAF)).cast("int") - 1)))
-        members = members.unionByName(each.select("node", "block", "rep")).distinct()
+        members = members.unionByName(_hubs(wide).select("node", _numbers("n", LEAF).alias("block"), "rep")).distinct()
     with batches_of(spark, ROWS_PER_BATCH):
         likely = store(_by(members.join(reps, "rep").select("node", "block", "rep", "n_shingles", "tokens"), "node", "block").mapInArrow(_groups(percent), "grp bigint, n bigint, rep bigint").distinct(), "likely")
     forget(reps)
     ids = likely.select("rep")
-    if large is not None:
+    if crowds:
         ids = ids.unionByName(wide.select("rep"))
     sets = full_sets(docs, ids.distinct(), words)
     with batches_of(spark, ROWS_PER_BATCH):
         links = store(_by(likely.join(sets, "rep").select("grp", "n", "rep", "members", "tokens"), "grp", "n").mapInArrow(_within(percent), "a bigint, b bigint").distinct(), "links")
     labels = components(links)
-    if large is not None:
-        # What is not in a large node's main component is compared with the whole node, in blocks. Nodes with the same main
-        # component, as the trees give them, make one crowd, so that no pair is looked at once a tree.
-        at = wide.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("label"))
-        at = store(at, "labelled")
-        most = at.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-        crowd = store(at.join(most, "node").select("main", "rep", "label").distinct(), "crowd")
-        sizes = crowd.groupBy("main").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("main")).alias("others")).where("others > 0")
-        if not sizes.isEmpty():
-            full = crowd.join(sizes, "main").join(sets, "rep")
-            chunks = _packed(full.where("label <> main").withColumn("n", F.col("others")), PACK).select("main", F.col("rows").alias("rest"))
-            against = _packed(full, PACK).select("main", "rows").join(chunks, "main").select("rows", "rest").repartition(spark.sparkContext.defaultParallelism * 4)
-            with batches_of(spark, 1):
-                more = store(against.mapInArrow(_across(percent), "a bigint, b bigint").distinct(), "links")
-            if not more.isEmpty():
-                moved = components(more).select(F.col("id").alias("__from"), F.col("label").alias("__to"))
-                known = labels.unionByName(moved.select(F.col("__from").alias("id"), F.col("__from").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
-                labels = known.join(moved, F.col("label") == F.col("__from"), "left").select("id", F.coalesce("__to", "label").alias("label"))
+    if crowds:
+        labels = _rest_of_crowds(wide, labels, sets, percent)
     forget(sets)
 
     final = classes_of(keys).join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("set_key").alias("__k"), F.coalesce("label", "rep").alias("component_id"))
@@ -413,6 +447,34 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _rest_of_crowds(wide: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``labels`` after what is not in a crowd's main component has been compared with the whole crowd, block by block.
+
+    Nodes with the same main component, as the trees give them, make one crowd, so that no pair is looked at once a tree. Pairs
+    of blocks are dealt by both blocks, so no crowd is one task.
+    """
+    spark = wide.sparkSession
+    at = store(wide.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("label")), "labelled")
+    most = at.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    crowd = store(at.join(most, "node").select("main", "rep", "label").distinct(), "crowd")
+    sizes = store(crowd.groupBy("main").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("main")).alias("others")).where("others > 0"), "sizes")
+    forget(at)
+    if sizes.isEmpty():
+        return labels
+    full = crowd.join(sizes, "main").join(sets, "rep")
+    against = _packed(full, PACK, "n", "block", "rows")
+    rest = _packed(full.where("label <> main"), PACK, "others", "other", "rest")
+    pairs = sizes.select("main", "others", _numbers("n", PACK).alias("block")).select("main", "block", _numbers("others", PACK).alias("other"))
+    met = pairs.join(against, ["main", "block"]).join(rest, ["main", "other"]).select("rows", "rest").repartition(spark.sparkContext.defaultParallelism * 4)
+    with batches_of(spark, 1):
+        more = store(met.mapInArrow(_across(percent), "a bigint, b bigint").distinct(), "links")
+    if more.isEmpty():
+        return labels
+    moved = components(more).select(F.col("id").alias("__from"), F.col("label").alias("__to"))
+    known = labels.unionByName(moved.select(F.col("__from").alias("id"), F.col("__from").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
+    return known.join(moved, F.col("label") == F.col("__from"), "left").select("id", F.coalesce("__to", "label").alias("label"))
+
+
 def classes_of(keys: DataFrame) -> DataFrame:
     """(set_key, rep): the smallest doc_id of each set."""
     return keys.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
