@@ -36,10 +36,10 @@ ORDER = 2
 ALPHA = 0.4
 MIN_COUNT = 2
 UNIT = 1 << 24  # log scores are multiples of 1 / UNIT
-BLOCK_WORDS = 4_000_000  # words of a block, about; a longer document is a block of its own
+BLOCK_WORDS = 2_000_000  # words of a block, about; a longer document is a block of its own
 BUCKET_WORDS = 1_000_000  # words of a range of the hash, about
 
-COLUMNS = "abcdef"
+COLUMNS = "abcdefgh"
 CELL = "block bigint, cell bigint, words bigint, " + ", ".join(f"{c} binary" for c in COLUMNS)
 TOKENS, COUNTS = -1, -1  # the cell of a row of tokens, the block of a row of counts
 
@@ -60,6 +60,25 @@ def _array(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]
     return raw.view(kind), np.diff(off) // np.dtype(kind).itemsize
 
 
+def _planes(x: np.ndarray, edges: np.ndarray) -> list[pa.Array]:
+    """Numbers as their lowest bytes, the next four bytes, and the rest, which is there only where it is not 0. Most numbers are small,
+    and planes of zeros take no space once compressed."""
+    x = x.astype(np.uint64)
+    rest = (x >> np.uint64(40)).astype(np.uint32)
+    some = bool(rest.any())
+    return [_binary(x.astype(np.uint8), edges), _binary((x >> np.uint64(8)).astype(np.uint32), edges), _binary(rest if some else rest[:0], edges if some else edges * 0)]
+
+
+def _numbers(table: pa.Table, columns: str) -> np.ndarray:
+    """The numbers of all pieces, from the three columns that :func:`_planes` made."""
+    low, mid, rest = columns
+    n, sizes = _array(table.column(low), np.uint8)
+    out = n.astype(np.int64) + (_array(table.column(mid), np.uint32)[0].astype(np.int64) << 8)
+    high, there = _array(table.column(rest), np.uint32)
+    out[np.repeat(there > 0, sizes)] += high.astype(np.int64) << 40
+    return out
+
+
 def _rows(block: np.ndarray, cell: np.ndarray, words: np.ndarray, columns: list[pa.Array]) -> pa.RecordBatch:
     empty = pa.nulls(len(block), pa.binary())
     return pa.record_batch([pa.array(block, pa.int64()), pa.array(cell, pa.int64()), pa.array(words, pa.int64()), *columns, *[empty] * (len(COLUMNS) - len(columns))], names=["block", "cell", "words", *COLUMNS])
@@ -169,10 +188,9 @@ def _explode(order: int, buckets: int):
                         continue
                     bucket = _range(u, buckets)
                     edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(u)]])
-                    columns = [_binary(x, edges) for x in (*_packed_keys(u, edges), n.astype(np.uint32))]
+                    columns = [*[_binary(x, edges) for x in _packed_keys(u, edges)], *_planes(n, edges)]
                     if k < order:
-                        followed = np.bincount(place, block.left[at] > k, len(u))
-                        columns.append(_binary(followed.astype(np.uint32), edges))
+                        columns += _planes(np.bincount(place, block.left[at] > k, len(u)), edges)
                     rows = len(edges) - 1
                     yield _rows(np.full(rows, row["block"]), (k - 1) * buckets + bucket[edges[:-1]], np.diff(edges), columns)
 
@@ -182,23 +200,18 @@ def _explode(order: int, buckets: int):
 def _count(buckets: int, min_count: int):
     """One range of the hash: its counts (one row), and the answers to each block's n-grams."""
 
-    def halves(x: np.ndarray, edges: np.ndarray) -> list[pa.Array]:
-        high = (x >> 32).astype(np.uint32)
-        return [_binary(x.astype(np.uint32), edges), _binary(high if high.any() else high[:0], edges if high.any() else edges * 0)]
-
     def run(table: pa.Table) -> pa.Table:
         cell = table.column("cell")[0].as_py()
         keys, sizes = _keys(table.column("a"), table.column("b"))
         u, place = np.unique(keys, return_inverse=True)
-        pairs = [np.bincount(place, _array(table.column("c"), np.uint32)[0], len(u)).astype(np.int64)]  # exact below 2**53
-        if table.column("d").null_count == 0:
-            pairs.append(np.bincount(place, _array(table.column("d"), np.uint32)[0], len(u)).astype(np.int64))
-        kept = pairs[0] >= (min_count if cell >= buckets else 1)
+        # Sums are exact below 2**53.
+        sums = [np.bincount(place, _numbers(table, c), len(u)).astype(np.int64) for c in ("cde", "fgh") if table.column(c[0]).null_count == 0]
+        kept = sums[0] >= (min_count if cell >= buckets else 1)
         edges = np.array([0, int(kept.sum())])
-        counts = [_binary(x, edges) for x in (*_packed_keys(u[kept], edges), *[p[kept] for p in pairs])] if kept.any() else []
+        counts = [*[_binary(x, edges) for x in _packed_keys(u[kept], edges)], *[c for x in sums for c in _planes(x[kept], edges)]] if kept.any() else []
         own = _rows(np.array([COUNTS]), np.array([cell]), np.array([edges[1]]), counts)
         edges = np.concatenate([[0], np.cumsum(sizes)])
-        answers = _rows(table.column("block").to_numpy(), np.full(len(sizes), cell), sizes, [c for p in pairs for c in halves(p[place], edges)])
+        answers = _rows(table.column("block").to_numpy(), np.full(len(sizes), cell), sizes, [c for x in sums for c in _planes(x[place], edges)])
         return pa.Table.from_batches([own, answers])
 
     return run
@@ -218,16 +231,9 @@ def _score(order: int, buckets: int, total: int, alpha: float, min_count: int):
         for k, at, _, place, _ in block.grams(order):
             mine = table.filter(pa.array((cells >= (k - 1) * buckets) & (cells < k * buckets)))
 
-            def numbers(low: str, high: str) -> np.ndarray:
-                """The answers in the order of the hashes; a piece's upper halves are there only if one is not 0."""
-                n, sizes = _array(mine.column(low), np.uint32)
-                out, (up, there) = n.astype(np.int64), _array(mine.column(high), np.uint32)
-                out[np.repeat(there > 0, sizes)] += up.astype(np.int64) << 32
-                return out
-
             last = at + k - 1  # the word that a k-gram ends in
             if len(at):
-                n = numbers("a", "b")[place]
+                n = _numbers(mine, "abc")[place]
                 if k == 1:
                     value[last] = np.log(n) - np.log(total)
                 else:
@@ -237,7 +243,7 @@ def _score(order: int, buckets: int, total: int, alpha: float, min_count: int):
                     value[last] = back
                 if k < order:
                     before = np.zeros(len(block.words), np.int64)  # how often the k-gram at each place is followed
-                    before[at] = numbers("c", "d")[place]
+                    before[at] = _numbers(mine, "def")[place]
         units = np.concatenate([[0], np.cumsum(np.rint(value * UNIT).astype(np.int64))])
         ends = np.cumsum(block.counts)
         log_score = (units[ends] - units[ends - block.counts]) / UNIT
@@ -251,12 +257,12 @@ def _score(order: int, buckets: int, total: int, alpha: float, min_count: int):
 def _counted(docs: DataFrame, order: int, min_count: int) -> tuple[DataFrame, DataFrame, int, int]:
     """The table of tokens, that of counts and answers, the number of ranges of the hash, and the corpus's words."""
     rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = store(rows.mapInArrow(_tokens, CELL), "tokens")
+    tokens = store(rows.mapInArrow(_tokens, CELL), "tokens", "zstd")
     total = tokens.agg(F.sum("words")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_WORDS))
     with batches_of(docs.sparkSession, 1):
         grams = tokens.mapInArrow(_explode(order, buckets), CELL)
-        counted = store(grams.groupBy("cell").applyInArrow(_count(buckets, min_count), CELL), "counts")
+        counted = store(grams.groupBy("cell").applyInArrow(_count(buckets, min_count), CELL), "counts", "zstd")
     return tokens, counted, buckets, total
 
 
@@ -272,9 +278,10 @@ def count_ngrams(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT
                 if not row.column("words")[0].as_py():
                     continue
                 keys, _ = _keys(row.column("a"), row.column("b"))
-                followed = _array(row.column("d"), np.int64)[0] if row.column("d").null_count == 0 else None
+                table = pa.Table.from_batches([row])
+                followed = pa.array(_numbers(table, "fgh")) if row.column("f").null_count == 0 else pa.nulls(len(keys), pa.int64())
                 k = row.column("cell")[0].as_py() // buckets + 1
-                yield pa.record_batch([pa.array(np.full(len(keys), k), pa.int32()), pa.array(keys.view(np.int64)), pa.array(_array(row.column("c"), np.int64)[0]), pa.array(followed, pa.int64()) if followed is not None else pa.nulls(len(keys), pa.int64())], names=["order", "gram", "n", "followed"])
+                yield pa.record_batch([pa.array(np.full(len(keys), k), pa.int32()), pa.array(keys.view(np.int64)), pa.array(_numbers(table, "cde")), followed], names=["order", "gram", "n", "followed"])
 
     return counted.where(F.col("block") == COUNTS).mapInArrow(run, "order int, gram bigint, n bigint, followed bigint")
 

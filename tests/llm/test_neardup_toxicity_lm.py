@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,56 @@ def test_large_group_is_split(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute(rows, 4, 80)
 
 
+def exact_join(texts, words, percent):
+    """All links between different sets, by an index of each set's rarest shingles: a pair at the similarity shares one of them."""
+    sets = {}
+    for i, t in texts:
+        w = (t or "").encode().lower().split()
+        s = frozenset(hash(tuple(w[k : k + words])) for k in range(len(w) - words + 1)) or (frozenset([hash(tuple(w))]) if w else frozenset())
+        sets.setdefault(s, i)
+    sets.pop(frozenset(), None)
+    often = Counter(x for s in sets for x in s)
+    index, links = {}, set()
+    for s, i in sets.items():
+        rare = sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-len(s) * percent // 100) + 1]
+        for other in {o for x in rare for o in index.get(x, ())}:
+            if 100 * len(s & other) >= percent * len(s | other):
+                links.add((i, sets[other]))
+        for x in rare:
+            index.setdefault(x, []).append(s)
+    return sets, links
+
+
+def test_all_links_of_a_table_are_found(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    _, links = exact_join([tuple(r) for r in table.collect()], 4, 80)
+    of = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table, words=4).collect()}
+    found = sum(of[a] == of[b] for a, b in links)
+    assert len(links) > 100 and found == len(links)
+
+
+def test_texts_that_share_a_passage_come_apart(spark):
+    """Many different texts with one long passage in common make large nodes, but no crowd, and little work."""
+    r = random.Random(5)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(i, " ".join(passage + [f"w{r.randrange(10**6)}" for _ in range(60)])) for i in range(3_000)]  # similarity about 1 / 3
+    signed = docs(spark, rows).select("doc_id", "text").mapInArrow(neardup._signatures(4), "doc_id bigint, n_shingles bigint, set_key binary, tokens binary")
+    found, crowds = neardup.branch(signed.select(F.col("doc_id").alias("rep"), "n_shingles", "tokens"))
+    assert not crowds
+    n = found.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("rows"))
+    assert n.where("n <> rows or n > 64").count() == 0
+    assert n.agg(F.sum("n")).first()[0] < 40 * len(rows) and n.agg(F.sum(F.col("n") * F.col("n"))).first()[0] < 0.1 * len(rows) ** 2 * neardup.TREES
+    copies = [(10_000 + i, rows[0][1]) for i in range(3)] + [(20_000 + i, rows[1][1] + f" end{i}") for i in range(200)]
+    out = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(docs(spark, rows + copies), words=4).collect()}
+    assert {out[i] for i in range(10_000, 10_003)} == {0} and {out[i] for i in range(20_000, 20_200)} == {1} and out[2] == 2
+
+
+def test_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, " ".join(f"v{i}" for i in range(60_000))), (4, long[: len(long) // 2])]
+    assert {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(docs(spark, rows), words=4).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     out = {(r["doc_id"], r["n_shingles"]): r for r in neardup.near_duplicates(docs(spark, [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (2, None)]), words=4).collect()}
     assert out[None, 3]["component_id"] is None and out[None, 3]["kept"] and out[5, 3]["component_id"] == 5 and out[2, 0]["kept"]
@@ -166,16 +217,14 @@ def test_scores_of_odd_rows(spark):
     assert [r["log_score"] for r in lmscore.score_documents(docs(spark, [(1, None), (2, " ")])).collect()] == [0.0, 0.0]
 
 
-def test_counts_beyond_32_bits():
-    """Numbers of n-grams come back whole where a corpus has more than 2**32 of one."""
-    import pyarrow as pa
-
+def test_large_counts():
+    """Numbers of n-grams come back whole, also where a corpus has more than 2**40 of one."""
     edges = np.array([0, 2, 3])
     keys = np.array([1, 2, 1], np.uint64)
-    rows = lmscore._rows(np.array([7, 8]), np.array([0, 0]), np.array([2, 1]), [lmscore._binary(x, edges) for x in (*lmscore._packed_keys(keys, edges), np.full(3, 2**32 - 1, np.uint32))])
-    out = lmscore._count(1, 2)(pa.Table.from_batches([rows])).to_pylist()
-    low, high = (np.frombuffer(out[1][c], np.uint32).astype(np.int64) for c in "ab")
-    assert (low + (high << 32)).tolist() == [2**33 - 2, 2**32 - 1]
+    n = np.array([2**40 - 1, 3, 2**45 + 300])
+    rows = lmscore._rows(np.array([7, 8]), np.array([0, 0]), np.array([2, 1]), [*[lmscore._binary(x, edges) for x in lmscore._packed_keys(keys, edges)], *lmscore._planes(n, edges)])
+    out = lmscore._count(1, 2)(pa.Table.from_batches([rows]))
+    assert lmscore._numbers(out.slice(1), "abc").tolist() == [2**40 - 1 + n[2], 3, 2**40 - 1 + n[2]]
 
 
 def test_words_of_batches_without_a_frequent_word_count(spark):
