@@ -1,11 +1,11 @@
 """Exact top-k by inner product with no random access to the lists (upper and lower score bounds over sorted lists).
 
 Each dimension of a block of candidates is a list sorted by value. A query reads it from the end that its weight's sign
-favours, always where the next entry can still give most: all lists are read down to the same contribution, the *level*,
-which sinks step by step. What has not been read in a list gives at most the level, and at least that list's far end, so
-each candidate has an upper and a lower bound from what was read of it alone. Reading stops when no candidate outside the
-few that are left can reach the k-th best; the final scores of these few are then resolved. A task reads several blocks one
-after another for a block of queries and takes each query's k best along, so later blocks end sooner.
+favours, all lists a step deeper at a time. What a candidate has not shown yet in a list is at most the last value read there
+and at least the list's far end, so each candidate has an upper and a lower bound from what was read of it alone. Reading
+stops when no candidate outside the few that are left can reach the k-th best; the final scores of these few are then
+resolved. A task reads several blocks one after another for a block of queries and takes each query's k best along, so later
+blocks end sooner. Many queries read a run of a list together.
 """
 
 from __future__ import annotations
@@ -20,122 +20,109 @@ from pyspark.sql.window import Window
 
 from .common import batches_of, store
 
-QUERY_BLOCK = 256
+QUERY_BLOCK = 512
+TOGETHER = 128  # queries that read a list together
 CELLS = 1 << 18  # components of a block of candidates, about
 GROUP = 4  # blocks of candidates that a task reads one after another
-LEVELS = 16  # steps in which the lists are read
-FEW = 16  # reading stops when 1 / FEW of a block can still qualify
-SAMPLE = 32  # entries of each list from which the steps' levels are chosen
+HEAD = 8  # the first 1 / HEAD of a task's first block is read by itself, for a first limit
+STEPS = (1 / 16, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8)  # parts of the lists after which bounds are looked at
+FEW = 2  # reading stops when at most 1 / FEW of a block can still qualify: resolving these costs less than reading on
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 LONG = 2**63 - 1
 
 
 class Lists:
-    """The sorted lists of one block of candidates: (ids, integer matrix), one list a dimension.
-
-    Numbers are doubles while every sum of products stays below 2**53, so that all bounds are exact; else Python integers.
-    """
+    """The sorted lists of one block of candidates: (ids, integer matrix), one list a dimension."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
         self.ids, self.x = ids, x
         self.n, self.d = x.shape
-        self.order = np.argsort(x, axis=0, kind="stable").T.copy()  # row d: the candidates by their value in dimension d
+        self.order = np.argsort(x, axis=0, kind="stable").T.copy()  # row j: the candidates by their value in dimension j
         self.values = np.take_along_axis(x.T, self.order, axis=1)
-        self.flat_order, self.flat_values = self.order.ravel(), self.values.ravel()
-
-    def depths(self, w: np.ndarray, levels: list) -> np.ndarray:
-        """(level, dimension): entries of each list whose contribution is at least the level; a weight of 0 has an empty list."""
-        out = np.zeros((len(levels), self.d), np.int64)
-        for j in np.flatnonzero(w != 0).tolist():
-            # Contributions are sorted like the values (or against them); both ends are compared as integers, without division.
-            part = self.values[j] * w[j]
-            if w[j] > 0:
-                out[:, j] = self.n - np.searchsorted(part, np.array(levels, part.dtype), "left")
-            else:
-                out[:, j] = np.searchsorted(-part, -np.array(levels, part.dtype), "right")
-        return out
-
-
-def _added(n: int, who: np.ndarray, what: np.ndarray) -> np.ndarray:
-    if what.dtype != object:
-        return np.bincount(who, what, n)
-    out = np.zeros(n, object)
-    np.add.at(out, who, what)
-    return out
-
-
-def _kth(best: np.ndarray, k: int):
-    if len(best) < k:
+        self.rank = np.empty((self.n, self.d), np.int32)  # where each candidate stands in each list
+        np.put_along_axis(self.rank, self.order.T, np.arange(self.n, dtype=np.int32)[:, None], axis=0)
+
+
+def _kth(low: np.ndarray, k: int):
+    """The k-th largest number."""
+    if len(low) < k:
         return None
-    return np.sort(best)[len(best) - k] if best.dtype == object else np.partition(best, len(best) - k)[len(best) - k]
+    return np.sort(low)[len(low) - k] if low.dtype == object else np.partition(low, len(low) - k)[len(low) - k]
 
 
 def _cut(score):
-    """Python integers as the nearest long; what is not an object is below 2**53."""
+    """Python integers as the nearest long; other numbers are smaller."""
     if isinstance(score, np.ndarray):
-        return score if score.dtype != object else np.array([_cut(int(x)) for x in score], object)
+        return score if score.dtype != object else np.array([_cut(int(x)) for x in score.ravel()], object).reshape(score.shape)
     return max(-LONG - 1, min(LONG, score))
 
 
 class Query:
-    """One query's k best (score, id) so far; :meth:`read` reads a block's lists. ``entries`` counts what was read of the lists."""
-
-    def __init__(self, own: int, w: np.ndarray, k: int) -> None:
-        self.own, self.w, self.k = own, w, k
-        self.best: list[tuple] = []  # (-score, id), sorted
-        self.entries = 0
-
-    def read(self, lists: Lists) -> None:
-        w, n, k = self.w, lists.n, self.k
-        at = np.flatnonzero(w != 0)
-        ends = np.stack([w[at] * lists.values[at, 0], w[at] * lists.values[at, -1]]) if len(at) else np.zeros((2, 0), w.dtype)
-        top, far = ends.max(axis=0), np.zeros(lists.d, w.dtype)
-        far[at] = ends.min(axis=0)
-        score, seen, known = np.zeros(n, w.dtype), np.zeros(n, np.int64), np.zeros(n, w.dtype)
-        known += far.sum() if len(at) else 0  # the lower bound; a list's far end goes when its entry is read
-        inside = lists.ids != self.own
-        # The k-th score of earlier blocks is the limit; in the first block it is the k-th lower bound.
-        floor = -self.best[k - 1][0] if len(self.best) >= k else None
-        if floor is not None and _cut(top.sum() if len(at) else 0) < floor:
-            return  # not even the heads of the lists together qualify
-        # Levels between which about as many entries lie; the last one is the end of all lists.
-        some = np.sort((lists.values[at][:, :: max(1, n // SAMPLE)] * w[at, None]).ravel())[::-1]
-        levels = [some[(len(some) * i) // LEVELS] for i in range(1, LEVELS)] + [far[at].min()] if len(at) else []
-        before = np.zeros(lists.d, np.int64)
-        for level, depth in zip(levels, lists.depths(w, levels) if levels else [], strict=True):
-            size = depth - before
-            total = int(size.sum())
-            if total:
-                first = np.arange(lists.d) * n + np.where(w > 0, n - depth, before)  # the run read next in each list
-                run = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(total)
-                who, got = lists.flat_order[run], lists.flat_values[run] * np.repeat(w, size)
-                score += _added(n, who, got)
-                if floor is None:
-                    known += _added(n, who, got - np.repeat(far, size))
-                seen += np.bincount(who, minlength=n)
-                self.entries += total
-            before = depth
-            # Every entry not read contributes less than the level.
-            high = _cut(score + (len(at) - seen).astype(score.dtype) * level)
-            limit = _kth(known[inside], k) if floor is None else floor
+    """One query: its id, its k best (-score, id) so far, sorted, and how many entries of the lists were read for it."""
+
+    def __init__(self, own: int) -> None:
+        self.own, self.best, self.entries = own, [], 0
+
+
+def read(lists: Lists, state: list[Query], w: np.ndarray, k: int) -> None:
+    """The queries ``state``, whose weights are the rows of ``w``, read the lists of one block."""
+    n = lists.n
+    up, down = np.maximum(w, 0), np.minimum(w, 0)  # read from the top, from the bottom
+    floor = [-s.best[k - 1][0] if len(s.best) >= k else None for s in state]  # the k-th scores of earlier blocks
+    ends = _cut(up @ lists.values[:, -1] + down @ lists.values[:, 0])
+    live = np.array([i for i, f in enumerate(floor) if f is None or ends[i] >= f], np.int64)  # else not even the heads of the lists qualify
+    sums = np.zeros((n, len(live)), w.dtype)
+    before = 0
+    for step, part in enumerate(STEPS):
+        if not len(live):
+            return
+        depth = max(before, min(n, int(n * part) + 1))
+        u, v = up[live], down[live]
+        top, bottom = slice(n - depth, n - before), slice(before, depth)
+        for j in range(lists.d):
+            for weights, run in ((u[:, j], top), (v[:, j], bottom)):
+                if weights.any():
+                    who = lists.order[j, run]
+                    part = sums.take(who, axis=0)  # apart, as numpy is slow at adding to chosen rows in place
+                    part += np.multiply.outer(lists.values[j, run], weights)
+                    sums[who] = part
+        for i, m in zip(live.tolist(), (w[live] != 0).sum(axis=1).tolist(), strict=True):
+            state[i].entries += (depth - before) * m
+        before = depth
+        unseen = np.concatenate([lists.rank < n - depth, lists.rank >= depth], axis=1).astype(w.dtype)
+        last = np.concatenate([u * lists.values[:, n - depth], v * lists.values[:, depth - 1]], axis=1)
+        high = _cut(sums + unseen @ last.T)
+        limits = [floor[i] for i in live.tolist()]
+        if None in limits:
+            far = np.concatenate([u * lists.values[:, 0], v * lists.values[:, -1]], axis=1)
+            low = _cut(sums + unseen @ far.T)
+        keep = np.ones(len(live), bool)
+        for c, i in enumerate(live.tolist()):
+            s, inside = state[i], lists.ids != state[i].own
+            limit = limits[c] if limits[c] is not None else _kth(low[inside, c], k)
             if limit is not None:
-                inside &= high >= _cut(limit)
-                if inside.sum() <= max(2 * k, n // FEW):
-                    break
-        who = np.flatnonzero(inside)
-        exact = _cut(lists.x[who] @ w) if len(at) else np.zeros(len(who), w.dtype)  # final scores of those that can still qualify
-        self.best = sorted([*self.best, *zip((-exact).tolist(), lists.ids[who].tolist(), strict=True)])[:k]
+                inside &= high[:, c] >= limit
+            if step == len(STEPS) - 1 or inside.sum() <= max(2 * k, n // FEW):
+                keep[c] = False
+                who = np.flatnonzero(inside)
+                exact = _cut(lists.x[who] @ w[i])  # final scores of those that can still qualify
+                if limit is not None:
+                    who, exact = who[exact >= limit], exact[exact >= limit]
+                s.best = sorted([*s.best, *zip((-exact).tolist(), lists.ids[who].tolist(), strict=True)])[:k]
+        if not keep.all():
+            live, sums = live[keep], np.ascontiguousarray(sums[:, keep])
 
 
 def exact_kind(q: np.ndarray, x: np.ndarray) -> type:
-    """float if sums of products and their bounds are exact in doubles, else object (Python integers)."""
+    """The smallest kind of number that holds all sums of products and their bounds exactly: floats, or object (Python integers)."""
     if q.dtype == object or x.dtype == object:
         return object
-    return float if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * 4 * max(1, q.shape[1]) < 2**53 else object
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * 4 * max(1, q.shape[1])
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
 
 
 def as_kind(x: np.ndarray, kind: type) -> np.ndarray:
-    if kind is float or x.dtype == object:
+    if kind is not object or x.dtype == object:
         return x.astype(kind)
     return np.array([[int(c) for c in row] for row in x.tolist()], object).reshape(x.shape)
 
@@ -144,21 +131,25 @@ def top_k(queries: tuple[np.ndarray, np.ndarray], blocks: Iterator[tuple[np.ndar
     """The queries (ids, integer matrix) after they have read all blocks (ids, integer matrix), each with its k best rows; ties
     go to the smaller id, and a query is no candidate of its own."""
     qid, q = queries
-    state: list[Query] = []
-    for ids, x in blocks:
+    state = [Query(i) for i in qid.tolist()]
+    for ids, x in _with_head(blocks):
         d = max(q.shape[1], x.shape[1])
         q, x = _wide(q, d), _wide(x, d)
         kind = exact_kind(q, x)
-        weights = as_kind(q, kind)
-        if not state:
-            state = [Query(i, w, k) for i, w in zip(qid.tolist(), weights, strict=True)]
-        lists = Lists(ids, as_kind(x, kind))
-        for s, w in zip(state, weights, strict=True):
-            s.w = w
-            s.read(lists)
+        lists, w = Lists(ids, as_kind(x, kind)), as_kind(q, kind)
+        for at in range(0, len(state), TOGETHER):
+            read(lists, state[at : at + TOGETHER], w[at : at + TOGETHER], k)
     return state
 
 
+def _with_head(blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i, (ids, x) in enumerate(blocks):
+        cut = len(ids) // HEAD if i == 0 else 0
+        if cut:
+            yield ids[:cut], x[:cut]
+        yield ids[cut:], x[cut:]
+
+
 def _wide(m: np.ndarray, d: int) -> np.ndarray:
     return np.pad(m, ((0, 0), (0, d - m.shape[1]))) if m.shape[1] < d else m
 
