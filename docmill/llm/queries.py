@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from . import lmscore, media, mixing, neardup, packing, secrets, sharding, topk, toxicity, urlfilter
 
-#: Hosts whose pages stand for the listed URLs in op10.
-LISTED_HOSTS = r"(casino|bets)"
+#: Pages whose titles hold these marks of junk give the listed URLs of op10: their contents decide, not their URLs.
+LISTED_TITLES = r"<title>[^<]*(%%%|###|[*]{3})"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +57,9 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where(urlfilter.url_host(F.col("url")).rlike(LISTED_HOSTS)).select("url")
-    return urlfilter.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+    pages = _table(spark, sf_dir, "pages")
+    listed = pages.where(F.rlike("html", F.lit(LISTED_TITLES))).select("url")
+    return urlfilter.judge(pages.select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -95,9 +95,9 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op10_url_filter": """
         with u as (
-            select page_id, case when url like '%://%' then substr(url, instr(url, '://') + 3) end as rest from pages),
+            select page_id, html, case when url like '%://%' then substr(url, instr(url, '://') + 3) end as rest from pages),
         h as (
-            select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+            select page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
                 coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from u),
         k as (
             select *, regexp_replace(regexp_replace(host, '^www\\.', ''), ':(80|443)$', '') || case when path = '' then '/' else path end as key from h),
@@ -110,7 +110,7 @@ ORACLE_SQL: dict[str, str] = {
                 when (host = 'org' or host like '%.org') and path like '/%' then 'org/' end as rule from k)
         select page_id, host, path, rule, case rule
             when 'org/' then 'allow' when 'example.org/es/' then 'block' when 'example.org/en/1' then 'block' when 'com/fr/' then 'allow' when 'com/de/' then 'block'
-            else case when key in (select key from k where regexp_matches(host, '(casino|bets)')) then 'block' else 'allow' end end as verdict
+            else case when key in (select key from k where regexp_matches(html, '<title>[^<]*(%%%|###|[*]{3})')) then 'block' else 'allow' end end as verdict
         from r
     """,
 }

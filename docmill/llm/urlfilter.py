@@ -7,11 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, store
 
 WORDS = 8  # 64-bit words of a block; a key sets one bit in each
 KEYS_PER_BLOCK = 32  # 16 bits a key
-MAX_BLOCKS = 1 << 16  # 4.5 MB: the most that is broadcast, whatever the list's length
+MAX_BLOCKS = 1 << 16  # blocks of one broadcast, at most (4.5 MB); a longer filter is broadcast in several parts
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with the rule's.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -47,16 +47,12 @@ def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks).cast("bigint"))
 
 
-def build_filter(listed: DataFrame, key: str, max_blocks: int = MAX_BLOCKS) -> tuple[DataFrame, int]:
-    """The filter of ``listed``: (block, w0..w7), and its number of blocks, at most ``max_blocks``.
-
-    A longer list makes the filter fuller, so that more keys go on to the exact join; no result depends on it.
-    """
-    n = listed.count()
-    blocks = 1 << min(int(math.log2(max_blocks)), max(0, math.ceil(math.log2(max(1, n / KEYS_PER_BLOCK)))))
-    ones = [F.bit_or(F.expr(f"shiftleft(1L, __b{i})")).alias(f"w{i}") for i in range(WORDS)]
-    rows = listed.select(_block(F.col(key), blocks).alias("block"), *[b.alias(f"__b{i}") for i, b in enumerate(_bits(F.col(key)))])
-    return rows.groupBy("block").agg(*ones), blocks
+def build_filter(listed: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """The filter of ``listed``, whose keys should be distinct: (block, 8 words of 64 bits), and its number of blocks, which grows with the list."""
+    blocks = 1 << max(0, math.ceil(math.log2(max(1, listed.count() / KEYS_PER_BLOCK))))
+    ones = [F.bit_or(F.expr(f"shiftleft(1L, __b{i})")).alias(f"__w{i}") for i in range(WORDS)]
+    rows = listed.where(F.col(key).isNotNull()).select(_block(F.col(key), blocks).alias("__block"), *[b.alias(f"__b{i}") for i, b in enumerate(_bits(F.col(key)))])
+    return store(rows.groupBy("__block").agg(*ones), "filter"), blocks
 
 
 def probe(df: DataFrame, key: str, words: DataFrame, blocks: int) -> DataFrame:
@@ -64,24 +60,33 @@ def probe(df: DataFrame, key: str, words: DataFrame, blocks: int) -> DataFrame:
     return mark(df, key, words, blocks).where("__maybe").drop("__maybe")
 
 
-def mark(df: DataFrame, key: str, words: DataFrame, blocks: int) -> DataFrame:
-    """Add boolean ``__maybe``: whether the row's ``key`` may be in the filter that :func:`build_filter` made."""
-    words = F.broadcast(words.withColumnRenamed("block", "__block"))  # of at most MAX_BLOCKS rows
+def mark(df: DataFrame, key: str, words: DataFrame, blocks: int, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """Add boolean ``__maybe``: whether the row's ``key`` may be in the filter that :func:`build_filter` made.
+
+    The filter goes to all tasks in parts of at most ``max_blocks`` blocks, one broadcast join each, in one pass over ``df``.
+    """
+    names = [f"__w{i}" for i in range(WORDS)]
+    df = df.withColumn("__at", _block(F.col(key), blocks)).withColumns({w: F.lit(None).cast("bigint") for w in names})
+    for first in range(0, blocks, max_blocks):
+        part = words.where(F.col("__block").between(first, first + max_blocks - 1)) if blocks > max_blocks else words
+        part = F.broadcast(part.select("__block", *[F.col(w).alias(f"{w}_") for w in names]))
+        df = df.join(part, F.col("__at") == F.col("__block"), "left")
+        df = df.withColumns({w: F.coalesce(w, f"{w}_") for w in names}).drop("__block", *[f"{w}_" for w in names])
     hit = F.lit(True)
-    for i, b in enumerate(_bits(F.col(key))):
-        hit = hit & (F.call_function("shiftrightunsigned", F.col(f"w{i}"), b).bitwiseAND(F.lit(1).cast("bigint")) == 1)
-    df = df.withColumn("__at", _block(F.col(key), blocks)).join(words, F.col("__at") == F.col("__block"), "left")
-    return df.withColumn("__maybe", F.coalesce(hit, F.lit(False)) & F.col(key).isNotNull()).drop("__at", "__block", *[f"w{i}" for i in range(WORDS)])
+    for w, b in zip(names, _bits(F.col(key)), strict=True):
+        hit = hit & (F.call_function("shiftrightunsigned", F.col(w), b).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    return df.withColumn("__maybe", F.coalesce(hit, F.lit(False)) & F.col(key).isNotNull()).drop("__at", *names)
 
 
-def is_listed(df: DataFrame, key: str, listed: DataFrame, listed_key: str, out: str = "listed", max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def is_listed(df: DataFrame, key: str, listed: DataFrame, listed_key: str, out: str = "listed") -> DataFrame:
     """Add boolean ``out``: whether the row's ``key`` is among ``listed[listed_key]``.
 
     Rows that the filter rules out skip the join; the others meet the distinct listed keys in a hash or sort-merge join that
-    removes the filter's false positives. A null key is never listed; nulls in the list are ignored; repeats count once.
+    removes the filter's false positives. A null key is never listed; nulls in the list are ignored; repeats count once. The
+    list is read once and its distinct keys are stored.
     """
-    names = listed.select(F.col(listed_key).alias("__listed")).where("__listed is not null").distinct()
-    probed = mark(df, key, *build_filter(names, "__listed", max_blocks))
+    names = store(listed.select(F.col(listed_key).alias("__listed")).where("__listed is not null").distinct(), "listed")
+    probed = mark(df, key, *build_filter(names, "__listed"))
     no = probed.where("not __maybe").withColumn(out, F.lit(False)).drop("__maybe")
     exact = probed.where("__maybe").join(names, F.col(key) == F.col("__listed"), "left")
     return no.unionByName(exact.withColumn(out, F.col("__listed").isNotNull()).drop("__maybe", "__listed"))
@@ -92,10 +97,11 @@ def judge(pages: DataFrame, listed: DataFrame, listed_url: str = "url", rules: l
 
     The longest rule that fits decides (ties: the one given first); without one, a listed canonical URL is blocked and any
     other allowed. Listed URLs are canonicalised as the pages' are. A null URL, or one without ``://``, has empty host and
-    path, no rule, and is allowed unless the list holds such a URL. Columns of these names in the input are replaced.
+    path, no rule, and is allowed unless the list holds such a URL. Columns of these four names in the input are replaced;
+    others pass as they are. Repeated rows are judged each; an empty table gives none, an empty list blocks nothing.
     """
     rules = RULES if rules is None else rules
-    df = pages.withColumn("__u", F.col(url)).withColumn("host", url_host(F.col("__u"))).withColumn("path", url_path(F.col("__u")))
+    df = pages.withColumn("__u", F.col(url).cast("string")).withColumn("host", url_host(F.col("__u"))).withColumn("path", url_path(F.col("__u")))
     df = df.withColumn("__key", canonical(F.col("host"), F.col("path"))).drop("__u")
     names = listed.select(F.col(listed_url).alias("__u")).select(canonical(url_host(F.col("__u")), url_path(F.col("__u"))).alias("__name"))
     rule = verdict = F.lit(None).cast("string")

@@ -171,14 +171,28 @@ def test_urls(spark):
     assert [out[i][3] for i in (10, 11, 12)] == ["block", "block", "allow"] and out[13][1] == "/é\U0001f600"
 
 
-def test_full_filter_is_still_exact(spark):
-    df = spark.range(3_000).select(F.concat(F.lit("k"), "id").alias("key"))
-    listed = spark.range(0, 3_000, 3).select(F.concat(F.lit("k"), "id").alias("name"))
-    out = urlfilter.is_listed(df, "key", listed, "name", max_blocks=1)
-    assert out.count() == 3_000 and out.where("listed").count() == 1_000
+def test_filter_in_parts(spark):
+    df = spark.range(9_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    listed = spark.range(0, 9_000, 3).select(F.concat(F.lit("k"), "id").alias("name"))
+    words, blocks = urlfilter.build_filter(listed, "name")
+    assert blocks == 128
+    for most in (128, 16, 50):
+        out = urlfilter.mark(df, "key", words, blocks, most)
+        assert out.count() == 9_000 and out.where("__maybe").join(listed, F.col("key") == F.col("name")).count() == 3_000 and out.where("__maybe").count() < 3_200
+    out = urlfilter.is_listed(df, "key", listed, "name")
+    assert out.count() == 9_000 and out.where("listed").count() == 3_000
     assert urlfilter.is_listed(df, "key", listed.limit(0), "name").where("listed").count() == 0
 
 
+def test_urls_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", "keep", "old"), (1, "http://a.net/x", "keep", "old"), (2, None, None, None)], "page_id bigint, url string, w0 string, host string")
+    for k in range(1, 8):
+        pages = pages.withColumn(f"w{k}", F.lit(k)).withColumn("block", F.lit("b"))
+    out = urlfilter.judge(pages, spark.createDataFrame([("http://a.net/x",)], "url string")).collect()
+    assert sorted((r["page_id"], r["host"], r["w0"], r["w7"], r["block"], r["verdict"]) for r in out if r["page_id"] == 1) == [(1, "a.net", "keep", 7, "b", "block")] * 2
+    assert len(out) == 3 and urlfilter.judge(pages.limit(0), pages.limit(0)).count() == 0
+
+
 def test_filter_has_few_false_hits(spark):
     listed = spark.range(10_000).select(F.concat(F.lit("k"), "id").alias("key"))
     other = spark.range(20_000).select(F.concat(F.lit("o"), "id").alias("key"))
