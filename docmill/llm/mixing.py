@@ -15,52 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import number_rows
 
-PERIOD = 1024  # slots of a period of :func:`quantise`
-BLOCK = 65_536  # size units of a block
-BROADCAST_BLOCKS = 524_288  # a plan of more blocks is joined by a shuffle
-
-
-def quantise(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Target weights as whole shares of ``period`` slots (largest remainder, at least one share each, ties by name)."""
-    weights = {k: float(w) for k, w in weights.items() if w and w > 0}
-    if not weights:
-        return {}
-    if len(weights) > period:
-        raise ValueError(f"{len(weights)} sources need a period of at least as many slots; the period is {period}")
-    total, free = sum(weights.values()), period - len(weights)
-    exact = {k: max(0.0, w / total * period - 1) for k, w in weights.items()}
-    scale = free / (sum(exact.values()) or 1.0)
-    exact = {k: x * scale for k, x in exact.items()}
-    shares = {k: 1 + int(x) for k, x in exact.items()}
-    left = sorted(weights, key=lambda k: (int(exact[k]) - exact[k], k))
-    for i in range(period - sum(shares.values())):
-        shares[left[i % len(left)]] += 1
-    return shares
-
-
-def template(spark: SparkSession, shares: dict[str, int]) -> DataFrame:
-    """One period of the schedule: (source, j, slot, release, deadline) for the j-th block of each source.
-
-    Block j of a source with n of the Q slots is released at floor(j Q / n) and due by ceil((j + 1) Q / n). Each slot takes,
-    of the released blocks not yet placed, the one with the earliest deadline (ties: the source that comes first by name).
-    This runs as one SQL fold over the Q slots, whatever the size of the data; its result has Q rows.
-    """
-    names = sorted(shares)
-    q = sum(shares.values())
-    # Index 0 of the state is a count of placed blocks by source, in order of names.
-    shares_sql = "array(" + ", ".join(f"{shares[k]}L" for k in names) + ")"
-    names_sql = "array(" + ", ".join("'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'" for k in names) + ")"
-    pick = f"""array_min(filter(transform(s.done, (k, i) -> struct(
-        ((k + 1) * {q} + n[i] - 1) div n[i] as deadline, i as i, k as k, (k * {q}) div n[i] as release)),
-        x -> x.k < n[x.i] and x.release <= t))"""
-    # The pick is needed twice in a step: an inner lambda binds it.
-    fold = f"""aggregate(sequence(0L, {q - 1}L),
-        struct(transform(n, x -> 0L) as done, cast(array() as array<struct<i: int, k: bigint, slot: bigint, release: bigint, deadline: bigint>>) as placed),
-        (s, t) -> transform(array({pick}), p -> named_struct(
-            'done', transform(s.done, (k, i) -> if(i = p.i, k + 1L, k)),
-            'placed', concat(s.placed, array(named_struct('i', p.i, 'k', p.k, 'slot', t, 'release', p.release, 'deadline', p.deadline)))))[0])"""
-    rows = spark.sql(f"select names, inline(f.placed) from (select names, {fold} as f from (select {shares_sql} as n, {names_sql} as names))")
-    return rows.select(F.col("names")[F.col("i")].alias("source"), F.col("k").alias("j"), "slot", "release", "deadline")
+BLOCK = 65_536  # size units of a block, at least
+MAX_BLOCKS = 1 << 19  # blocks of all sources, about: where there would be more, each is larger
 
 
 def schedule(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -106,7 +62,7 @@ def plan_blocks(rounds: list[tuple[dict[str, float], dict[str, int]]]) -> pa.Tab
     return pa.concat_tables(tables)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: Column | None = None, block: int = BLOCK, period: int | None = None, source: str = "source", order: list[str] | None = None, power: float = 0.7) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: Column | None = None, block: int = BLOCK, source: str = "source", order: list[str] | None = None, power: float = 0.7) -> DataFrame:
     """Interleave the sources of ``docs`` so that at every slot each has had its weight's part of the slots, to less than one block.
 
     Rows of a source are put in the order of a hash of ``order`` and cut into blocks of ``block`` units of ``size`` (default:
@@ -117,23 +73,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: Column |
     their proportions. A null source is a source of its own, named ''; it shares that name with an empty one. Columns named
     like the results are replaced.
 
-    There may be any number of sources. The driver holds one row a source and one a block. With ``period`` the weights are
-    rounded to whole shares of so many slots and one period's schedule repeats: the deviation is then from the rounded
-    shares, and more sources than ``period`` are refused.
+    There may be any number of sources. A corpus of more than MAX_BLOCKS blocks gets blocks of a MAX_BLOCKS-th of its size, so
+    the driver, which schedules them, never holds more than MAX_BLOCKS rows and two a source. A row longer than a block leaves the blocks after the one in which it starts without rows: the
+    deviation is less than one block in blocks, but what a source has had in units may differ by its longest row more.
     """
     spark = docs.sparkSession
     order = order or ["doc_id"]
     size = F.length(F.coalesce(F.col("text"), F.lit(""))) + 1 if size is None else size
     docs = docs.withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn("__size", size.cast("bigint"))
-    if period is not None:
-        return _mix_periodic(docs, weights, block, period, order, power)
     found = docs.groupBy("__source").agg(F.sum("__size").alias("n")).toArrow()
     sizes = dict(zip(found.column(0).to_pylist(), (n or 0 for n in found.column(1).to_pylist()), strict=True))
+    block = max(int(block), -(-sum(sizes.values()) // MAX_BLOCKS))
     # A row of size 0 may begin where the last block ends.
-    blocks = {k: n // int(block) + 1 for k, n in sizes.items()}
+    blocks = {k: n // block + 1 for k, n in sizes.items()}
     table = plan_blocks([(group, blocks) for group in _rounds({k: float(n) + 1 for k, n in sizes.items()}, weights, power)])
     plan = spark.createDataFrame(table)
-    if table.num_rows <= BROADCAST_BLOCKS:
+    if table.num_rows <= 2 * MAX_BLOCKS:  # more rows only where there are as many sources
         plan = F.broadcast(plan)
     rows = _blocks(docs, order, block)
     rows = rows.drop("slot", "release", "deadline", "round").join(plan, (F.col("__source") == F.col("__t_source")) & (F.col("block") == F.col("__j")), "left")
@@ -151,27 +106,3 @@ def _rounds(sizes: dict[str, float], weights: dict[str, float] | None, power: fl
 def _blocks(docs: DataFrame, order: list[str], block: int) -> DataFrame:
     rows = number_rows(docs, ["__source"], [F.col(c) for c in order], "__start", F.col("__size"))
     return rows.withColumn("block", F.expr(f"__start div {int(block)}")).withColumn("place", F.col("__start") % int(block))
-
-
-def _mix_periodic(docs: DataFrame, weights: dict[str, float] | None, block: int, period: int, order: list[str], power: float) -> DataFrame:
-    spark = docs.sparkSession
-    # One row a source; more than ``period`` sources are refused, so what comes to the driver is bounded.
-    sizes = {r[0]: float(r[1] or 0) + 1 for r in docs.groupBy("__source").agg(F.sum("__size")).limit(period + 1).collect()}
-    schema = "source string, j bigint, slot bigint, release bigint, deadline bigint, round int"
-    parts, of = [], {}
-    for i, group in enumerate(_rounds(sizes, weights, power)):
-        shares = quantise(group, period)
-        parts.append(template(spark, shares).withColumn("round", F.lit(i)))
-        of |= {k: (n, sum(shares.values())) for k, n in shares.items()}
-    plan = parts[0] if parts else spark.createDataFrame([], schema)
-    for p in parts[1:]:
-        plan = plan.unionByName(p)
-    # At most 2 x period rows.
-    plan = plan.select(F.col("source").alias("__t_source"), F.col("j").alias("__j"), F.col("slot").alias("__slot"), F.col("release").alias("__release"), F.col("deadline").alias("__deadline"), "round")
-    entry = F.element_at(F.create_map(*[x for k, (n, q) in of.items() for x in (F.lit(k), F.array(F.lit(n).cast("bigint"), F.lit(q).cast("bigint")))]), F.col("__source")) if of else F.array(F.lit(1).cast("bigint"), F.lit(1).cast("bigint"))
-    rows = _blocks(docs, order, block).withColumn("__share", entry[0]).withColumn("__period", entry[1])
-    rows = rows.withColumn("__k", F.col("block") % F.col("__share")).withColumn("__turn", F.expr("block div __share"))
-    rows = rows.drop("slot", "release", "deadline", "round").join(F.broadcast(plan), (F.col("__source") == F.col("__t_source")) & (F.col("__k") == F.col("__j")), "left")
-    base = F.col("__turn") * F.col("__period")
-    rows = rows.withColumns({"slot": base + F.col("__slot"), "release": base + F.col("__release"), "deadline": base + F.col("__deadline")})
-    return rows.drop("__source", "__size", "__start", "__share", "__period", "__k", "__turn", "__t_source", "__j", "__slot", "__release", "__deadline")
