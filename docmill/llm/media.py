@@ -18,19 +18,25 @@ from .common import small_batches, store
 ITEM = "struct<position:int,kind:string,text:string,ref:string,caption:string>"
 WIDTH = 576  # samples of a row of the stored image
 PAD = 255
-_SKIP = {"script", "style", "head", "noscript", "template"}
+_SKIP = {"script", "style", "noscript", "template"}
+_HEAD = _SKIP | {"title", "meta", "link", "base"}  # what a head may hold; any other tag ends it
 _MEDIA = {"img": "image", "audio": "audio", "video": "video", "source": "media"}
 _BREAK = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "article", "section", "figure", "ul", "ol", "table", "nav", "blockquote"}
 
 
 class _Reader(HTMLParser):
-    """Collects (kind, text, ref, caption) in document order; a figcaption is joined to the figure's media."""
+    """Collects (kind, text, ref, caption) in document order; a figcaption is joined to the figure's media.
+
+    Tags that HTML allows to leave open are ended: a head by the first tag of the body, a figcaption by its figure's end, by
+    another figure or by the end of the page.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[list] = []
         self.text: list[str] = []
         self.skip = 0
+        self.head = False
         self.figure: list[int] = []
         self.caption: list[str] | None = None
 
@@ -40,57 +46,81 @@ class _Reader(HTMLParser):
         if text:
             self.items.append(["text", text, None, None])
 
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            caption, self.caption = " ".join("".join(self.caption).split()), None
+            for item in self.items[self.figure[-1] if self.figure else len(self.items) :]:
+                if item[0] != "text" and caption:
+                    item[3] = caption
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "head":
+            self.head = True
+            return
+        if self.head and tag not in _HEAD:
+            self.head, self.skip = False, 0
         if tag in _SKIP:
             self.skip += 1
-        if self.skip:
+        if self.skip or self.head:
             return
-        if tag in _BREAK:
+        if tag == "figure":
+            self.end_caption()
+        if tag in _BREAK and self.caption is None:
             self.flush()
         if tag == "figure":
             self.figure.append(len(self.items))
         if tag == "figcaption":
+            self.end_caption()
             self.flush()
             self.caption = []
         a = dict(attrs)
         if tag in _MEDIA and (a.get("src") or "").strip():
-            self.flush()
+            if self.caption is None:
+                self.flush()
             self.items.append([_MEDIA[tag], None, a["src"].strip(), " ".join((a.get("alt") or "").split()) or None])
 
     def handle_endtag(self, tag: str) -> None:
+        if tag == "head":
+            self.head, self.skip = False, 0
+            return
         if tag in _SKIP and self.skip:
             self.skip -= 1
             return
-        if self.skip:
+        if self.skip or self.head:
             return
-        if tag == "figcaption" and self.caption is not None:
-            caption, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.items[self.figure[-1] if self.figure else len(self.items) :]:
-                if item[0] != "text" and caption:
-                    item[3] = caption
-        if tag in _BREAK:
+        if tag in ("figcaption", "figure"):
+            self.end_caption()
+        if tag in _BREAK and self.caption is None:
             self.flush()
         if tag == "figure" and self.figure:
             self.figure.pop()
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
+        if not self.skip and not self.head:
             (self.text if self.caption is None else self.caption).append(data)
 
+    def read(self, html: str) -> list[list]:
+        self.feed(html)
+        self.close()
+        self.end_caption()
+        self.flush()
+        return self.items
+
 
 def parse_html(html: str | None) -> list[dict]:
     """The items of one page, in order: text runs and media references with captions (figcaption, else alt)."""
-    r = _Reader()
-    r.feed(html or "")
-    r.close()
-    r.flush()
-    return [{"position": i, "kind": k, "text": t, "ref": ref, "caption": c} for i, (k, t, ref, c) in enumerate(r.items)]
+    try:
+        items = _Reader().read(html or "")
+    except AssertionError:  # the parser gives up on marked sections that are none: they are text
+        items = _Reader().read((html or "").replace("<![", "&lt;!["))
+    return [{"position": i, "kind": k, "text": t, "ref": ref, "caption": c} for i, (k, t, ref, c) in enumerate(items)]
 
 
 def interleave(pages: DataFrame, html: str = "html") -> DataFrame:
     """Replace ``html`` by ``items``, an array of (position, kind, text, ref, caption); null or empty html has no items.
 
-    Broken markup never fails: what cannot be parsed as a tag is text. Media in script, style or head are not references.
+    Broken markup never fails: what cannot be parsed as a tag is text. Media in script, style or head are not references. A
+    column named ``items`` is replaced; all others pass as they are, and so do repeated rows.
     """
     kept = [c for c in pages.columns if c not in (html, "items")]
     schema = pages.select(kept).schema.simpleString()[7:-1] + ("," if kept else "") + f"items:array<{ITEM}>"
@@ -104,17 +134,41 @@ def interleave(pages: DataFrame, html: str = "html") -> DataFrame:
     return small_batches(pages).select(*kept, html).mapInArrow(run, schema)
 
 
-def resolve(pages: DataFrame, media: DataFrame, digest: str = "digest") -> DataFrame:
+HOT = 1_024  # digests with more than 1 / HOT of all references; there are fewer than HOT of them
+SPREAD = 32  # tasks that share the references to one of these
+
+
+def resolve(pages: DataFrame, media: DataFrame, digest: str = "digest", text: bool = True) -> DataFrame:
     """One row an item: the columns of ``pages`` beside ``items``, the item's, and those of ``media`` for its digest.
 
     A reference ``sha256:<hex>`` meets the row of ``media`` with that digest, which must be unique there; text items and
-    references without a payload keep nulls. Positions and captions stay those of the page. Pages without items give no row.
+    references without a payload keep nulls. Positions and captions stay those of the page. Pages without items give no row;
+    with ``text`` false, only references do. Columns of ``pages`` that are named like an item's or like one of ``media`` are
+    replaced; columns of ``media`` named like an item's get the prefix ``media_``.
+
+    The references are stored before the join. Those to a digest that is met very often, such as a logo or an empty text,
+    are dealt to SPREAD tasks, to each of which its payload row goes.
     """
-    rows = pages.select(*[c for c in pages.columns if c != "items"], F.explode("items").alias("__i")).select(*[c for c in pages.columns if c != "items"], "__i.*")
-    key = F.when(F.startswith("ref", F.lit("sha256:")), F.lower(F.substring("ref", 8, 64)))
-    named = rows.where("ref is not null").withColumn("__d", key)
-    found = named.join(media.withColumnRenamed(digest, "__m"), F.col("__d") == F.col("__m"), "left").drop("__d", "__m")
-    return found.unionByName(rows.where("ref is null"), allowMissingColumns=True)
+    item = ["position", "kind", "text", "ref", "caption"]
+    names = {c: f"media_{c}" if c in item else c for c in media.columns if c != digest}
+    kept = [c for c in pages.columns if c not in ("items", *item, *names.values())]
+    # The columns of the page travel as one struct, so that no name can clash.
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias("__")).alias("__p"), F.explode("items").alias("__i"))
+    named = store(rows.where("__i.ref is not null").withColumn("__d", F.when(F.startswith("__i.ref", F.lit("sha256:")), F.lower(F.substring("__i.ref", 8, 64)))), "references")
+    n = named.count()
+    hot = F.broadcast(named.where("__d is not null").groupBy("__d").count().where(F.col("count") > n / HOT).select(F.col("__d").alias("__h")))  # fewer than HOT rows
+    dealt = named.join(hot, F.col("__d") == F.col("__h"), "left").withColumn("__s", F.when(F.col("__h").isNotNull(), F.pmod(F.xxhash64("__p", "__i"), F.lit(SPREAD))).otherwise(0).cast("int"))
+    payload = media.select(F.col(digest).alias("__m"), *[F.col(c).alias(f"__x_{a}") for c, a in names.items()])
+    payload = payload.join(hot, F.col("__m") == F.col("__h"), "left").withColumn("__t", F.explode(F.sequence(F.lit(0), F.when(F.col("__h").isNotNull(), SPREAD - 1).otherwise(0)))).drop("__h")
+    found = dealt.drop("__h").join(payload, (F.col("__d") == F.col("__m")) & (F.col("__s") == F.col("__t")), "left")
+
+    def out(df: DataFrame, payload: bool) -> DataFrame:
+        types = {f.name: f.dataType for f in media.schema.fields}
+        last = [F.col(f"__x_{a}").alias(a) if payload else F.lit(None).cast(types[c]).alias(a) for c, a in names.items()]
+        return df.select(*[F.col(f"__p.`{c}`").alias(c) for c in kept], *[F.col(f"__i.{c}").alias(c) for c in item], *last)
+
+    found = out(found, True)
+    return found.unionByName(out(rows.where("__i.ref is null"), False)) if text else found
 
 
 # --- payloads ----------------------------------------------------------------------------------------------------------
@@ -219,13 +273,33 @@ def measure(media: DataFrame) -> DataFrame:
     return small_batches(media).select("digest", "n_bytes", "media").mapInArrow(run, FACTS).dropDuplicates(["digest"])
 
 
+def _escaped(text):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def document_pages(docs: DataFrame) -> DataFrame:
+    """(doc_id, html): each document as a page: its first line, a figure that refers to its text's payload by digest, captioned
+    with the document's id, and the other lines, all of them. Null texts and ids are empty."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    first = F.substring_index(text, "\n", 1)
+    figure = F.concat(F.lit('<figure><img src="sha256:'), F.sha2(text.cast("binary"), 256), F.lit('"><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
+    return docs.select("doc_id", F.concat(F.lit("<p>"), _escaped(first), F.lit("</p>"), figure, F.lit("<p>"), _escaped(F.substr(text, F.length(first) + 2)), F.lit("</p>")).alias("html"))
+
+
 def media_documents(docs: DataFrame) -> DataFrame:
-    """Every document as a page with one figure that refers to its text's payload by digest; parsed, resolved and measured.
+    """The payload of every document's text, by way of its page: parsed into an interleaved sequence of text and media, resolved
+    by digest, read back and measured.
 
-    Null texts count as empty ones. Equal texts share a digest and get equal values; repeated rows are kept.
+    ``position`` is the figure's place in the sequence: 1, or 0 where the first line is blank. Null texts count as empty ones.
+    Equal texts share a digest and get equal values; repeated rows are kept; extra columns are not read; an empty table gives none.
     """
     media = store(put(docs), "media")
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    html = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
-    pages = interleave(docs.select("doc_id", html.alias("html")))
-    return resolve(pages, measure(media)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    found = resolve(interleave(document_pages(docs)), measure(media), text=False)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def media_pages(pages: DataFrame) -> DataFrame:
+    """The interleaved sequences of raw web pages: page_id, position, kind, text, ref and caption of every item."""
+    return interleave(pages.select("page_id", "html")).select("page_id", F.explode("items").alias("i")).select("page_id", "i.*")

@@ -44,6 +44,10 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_documents(_table(spark, sf_dir, "documents"))
 
 
+def pages_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_pages(_table(spark, sf_dir, "pages"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search_embeddings(_table(spark, sf_dir, "embeddings"))
 
@@ -63,7 +67,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_toxicity, op4_secret_scan, op5_source_mixing, op6_media_columns, op7_exact_top_k, op8_rendezvous_sharding, op9_lm_scores, op10_url_filter)
+    f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_toxicity, op4_secret_scan, op5_source_mixing, op6_media_columns, op7_exact_top_k, op8_rendezvous_sharding, op9_lm_scores, op10_url_filter, pages_media_sequences)
 }
 
 ORACLE_SQL: dict[str, str] = {

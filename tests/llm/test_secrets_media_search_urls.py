@@ -1,6 +1,8 @@
 import hashlib
 import random
+import re
 import zlib
+from html import unescape
 
 import duckdb
 import numpy as np
@@ -59,6 +61,21 @@ def test_parse_html():
     assert media.parse_html(None) == media.parse_html("") == [] and media.parse_html("<p <<& a")
 
 
+def kinds(html):
+    return [(i["kind"], i["text"] or i["ref"], i["caption"]) for i in media.parse_html(html)]
+
+
+def test_parse_of_open_and_broken_markup():
+    assert kinds("<head><title>t</title><meta x><p>a<img src=u>") == [("text", "a", None), ("image", "u", None)]
+    assert kinds("<head><style>p{}</style><body>a</body>") == [("text", "a", None)]
+    assert kinds("<figure><img src=u><figcaption>cap <b>x</b></figure>after") == [("image", "u", "cap x"), ("text", "after", None)]
+    assert kinds("<figure><img src=u><figcaption>cap<figure><img src=v></figure>b") == [("image", "u", "cap"), ("image", "v", None), ("text", "b", None)]
+    assert kinds("<figure><img src=u><figcaption>to the end") == [("image", "u", "to the end")]
+    assert kinds("a<![foo[ x") == [("text", "a<![foo[ x", None)]
+    for broken in ("<![if", "<!", "<!--", "<a b='", "</", "&#x;&#99999999;", "<?", "<![CDATA[x]]>", "<" * 50, "\0<p\0>"):
+        media.parse_html(broken)
+
+
 @pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 5000])
 def test_round_trip(n):
     raw = random.Random(n).randbytes(n)
@@ -79,17 +96,72 @@ def test_resolve(spark):
     assert sorted(out, key=str) == sorted([(1, 0, "text", None, "keep"), (1, 1, "image", 7, "keep"), (1, 2, "text", None, "keep"), (1, 3, "image", None, "keep"), (1, 0, "text", None, None)], key=str)
 
 
+def test_resolve_with_clashing_columns_and_a_hot_digest(spark, monkeypatch):
+    monkeypatch.setattr(media, "HOT", 4)
+    d = [hashlib.sha256(bytes([i])).hexdigest() for i in range(3)]
+    rows = [(i, f"t<img src='sha256:{d[0 if i % 3 else i % 2 + 1]}' alt='c{i}'>", "mine", "other", 1, "p", "q") for i in range(60)]
+    pages = media.interleave(spark.createDataFrame(rows, "page_id int, html string, text string, kind string, position int, n_bytes string, keep string"))
+    store = spark.createDataFrame([(d[0], 7, "x"), (d[1], 8, "y")], "digest string, n_bytes bigint, caption string")
+    out = media.resolve(pages, store)
+    assert out.columns == ["page_id", "keep", "position", "kind", "text", "ref", "caption", "n_bytes", "media_caption"]
+    out = sorted(tuple(r) for r in out.collect())
+    want = []
+    for i in range(60):
+        k = 0 if i % 3 else i % 2 + 1
+        want += [(i, "q", 0, "text", "t", None, None, None, None), (i, "q", 1, "image", None, f"sha256:{d[k]}", f"c{i}", *[(7, "x"), (8, "y"), (None, None)][k])]
+    assert out == sorted(want, key=lambda r: r[:3])
+    assert media.resolve(pages.limit(0), store).count() == 0 and media.resolve(pages, store.limit(0), text=False).count() == 60
+
+
+def png_samples(blob):
+    """The samples of a PNG by the format's own rules, apart from the module: chunks, checksums, unfiltered grey rows."""
+    assert blob[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, body = 8, b""
+    while at < len(blob):
+        n, kind = int.from_bytes(blob[at : at + 4], "big"), blob[at + 4 : at + 8]
+        data = blob[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + data) == int.from_bytes(blob[at + 8 + n : at + 12 + n], "big")
+        if kind == b"IHDR":
+            width, height = int.from_bytes(data[:4], "big"), int.from_bytes(data[4:8], "big")
+            assert data[8:10] == bytes([8, 0])
+        body += data if kind == b"IDAT" else b""
+        at += 12 + n
+    raw = zlib.decompress(body)
+    assert len(raw) == height * (width + 1)
+    return b"".join(raw[r * (width + 1) + 1 : (r + 1) * (width + 1)] for r in range(height))
+
+
 def test_media_documents(spark):
-    texts = ["", None, "abc", "abc", "é" * 400, "z" * 100_000]
-    out = {r["doc_id"]: r for r in media.media_documents(docs(spark, list(enumerate(texts)))).collect()}
+    texts = ["", None, "abc", "abc", "é" * 400, "z" * 100_000, "a <b> & line\nmore\n\n<img src=x>", "\nb", "x" * 576]
+    table = docs(spark, list(enumerate(texts))).withColumn("position", F.lit("clash")).withColumn("html", F.lit(1))
+    out = {r["doc_id"]: r for r in media.media_documents(table).collect()}
+    stored = {r["digest"]: bytes(r["media"]) for r in media.put(table).collect()}
     for i, t in enumerate(texts):
-        p = media.pad((t or "").encode())
-        stored = media.encode(p)
-        want = (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), media.describe(p))
-        assert tuple(out[i][k] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")) == want
+        raw = (t or "").encode()
+        p = raw + b"\xff" * ((-len(raw)) % 576 if raw else 576)
+        blob = stored[hashlib.sha256(raw).hexdigest()]
+        assert png_samples(blob) == p
+        mean = sum(p) / len(p)
+        want = (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), str(i))
+        assert tuple(out[i][k] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "caption")) == want
+        assert out[i]["feature"].startswith(f"mean={mean:.4f};") and out[i]["feature"].endswith(f"pad={p.count(255) / len(p):.4f}")
+        assert out[i]["position"] == (1 if (t or "").split("\n")[0].strip() else 0)
+    page = media.parse_html(media.document_pages(table.where("doc_id = 6")).first()["html"])
+    assert [(x["kind"], x["text"], x["caption"]) for x in page] == [("text", "a <b> & line", None), ("image", None, "6"), ("text", "more <img src=x>", None)]
     assert media.media_documents(docs(spark, [(None, "x"), (None, "x")])).count() == 2 and media.media_documents(docs(spark, [])).count() == 0
 
 
+def test_sequences_of_pages(spark):
+    rows = [(r["page_id"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    out = {}
+    for r in queries.QUERIES["pages_media_sequences"](spark, "/root/testdata/sf0.01").collect():
+        out.setdefault(r["page_id"], []).append((r["position"], r["text"]))
+    for i, html in rows:
+        body = re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>|<head>.*?</head>", "", html)
+        words = unescape(re.sub(r"<[^>]*>", " ", body)).split()
+        assert "".join("".join(t.split()) for _, t in sorted(out[i])) == "".join(words)
+
+
 # --- search ------------------------------------------------------------------------------------------------------------
 
 
