@@ -4,14 +4,14 @@ A document's set is that of its distinct word shingles. Documents with equal set
 class, its representative, goes on. Each representative has ``TOKENS`` minwise hashes of its set. A tree branches
 recursively: a node picks one or two of the tokens (1 / threshold on average), and a document goes to the child of each picked
 token's value; so two documents of similarity s stay together in a branch with probability s at each level. Nodes of at
-most ``LEAF`` documents are compared exhaustively on their tokens; larger ones branch again until they are small, however
-deep that is: different texts that share a passage come apart level by level. ``TREES`` independent trees bring the expected
+most ``LEAF`` documents (``WIDE`` from level ``DEPTH`` on) are compared exhaustively on their tokens; larger ones branch again
+until they are small, however deep that is: different texts that share a passage come apart level by level. ``TREES`` independent trees bring the expected
 recall of a pair at the threshold to 0.99 and more. Pairs whose tokens agree enough are confirmed on the full sets, and links
 are closed to components.
 
-Groups of copies of any size never come apart. So from level ``DEPTH`` on, a large node whose hubs (``HUBS`` members) are near
-each other is a *crowd* and branches no more: it is dealt into blocks that all meet the hubs; what is not linked to its largest
-component by then is compared with every member of the crowd, in pairs of blocks. Within a component no further pair is
+Groups of copies of any size never come apart. So from level ``DEPTH`` on, a larger node whose hubs (``HUBS`` members) are near
+each other is a *crowd* and branches no more. A crowd, and any node over ``LEAF``, is dealt into blocks that all meet its hubs;
+what is not linked to its largest component by then is compared with every member, in pairs of blocks. Within a component no further pair is
 needed, so the work on a large group of copies grows with its size, not with its square.
 """
 
@@ -34,6 +34,7 @@ TREES = 10
 DEPTH = 3  # levels before large nodes are looked at for crowds
 DEEPEST = 32  # a node that is large after so many levels is taken for a crowd, too
 LEAF = 64
+WIDE = 1_024  # from level DEPTH on, few nodes are left: pairs within those of so many cost less than further levels
 HUBS = 16
 DENSE = 0.5  # part of the pairs of hubs that are near each other in a crowd, at least
 PACK = 512  # documents of a block where a crowd is compared with its rest
@@ -355,7 +356,7 @@ def _hubs(members: DataFrame) -> DataFrame:
 
 
 def branch(reps: DataFrame, trees: int = TREES, percent: int = PERCENT) -> tuple[DataFrame, bool]:
-    """(node, n, x, lo, hi, rep) of the nodes to compare, small ones and crowds, and whether there are crowds.
+    """(node, n, x, lo, hi, rep) of the nodes to compare, and whether some of them are crowds or wide.
 
     A level's members are (rep, node) only; a node's x, lo and hi tell whether it has the same members as another.
     """
@@ -372,24 +373,22 @@ def branch(reps: DataFrame, trees: int = TREES, percent: int = PERCENT) -> tuple
         large = sizes.where(f"n > {LEAF}")
         if large.isEmpty():
             break
-        big = members.join(large, "node")
-        if d >= DEEPEST:
-            found.append(big)
-            crowds = True
-            break
         if d >= DEPTH:
+            found.append(members.join(large if d >= DEEPEST else large.where(f"n <= {WIDE}"), "node"))
+            crowds = True
+            large = large.where(f"n > {WIDE}")
+            if d >= DEEPEST or large.isEmpty():
+                break
+            big = members.join(large, "node")
             with batches_of(spark, ROWS_PER_BATCH):
                 hubs = _by(_hubs(big).join(reps, "rep").select("node", "rep", "n_shingles", "tokens"), "node")
                 dense = store(hubs.mapInArrow(_dense(percent), "node bigint"), "dense")
-            held.append(dense)
-            if not dense.isEmpty():
-                crowds = True
-                found.append(big.join(dense, "node", "left_semi"))
-                large = store(large.join(dense, "node", "left_anti"), "nodes")
-                held.append(large)
-                if large.isEmpty():
-                    break
-                big = members.join(large, "node")
+            found.append(big.join(dense, "node", "left_semi"))
+            large = store(large.join(dense, "node", "left_anti"), "nodes")
+            held += [dense, large]
+            if large.isEmpty():
+                break
+        big = members.join(large, "node")
         level = big.select("rep", "node").join(reps, "rep").select("rep", "node", "tokens").mapInArrow(_children(trees, percent), kind)
     out = found[0]
     for f in found[1:]:
