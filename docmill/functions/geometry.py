@@ -80,9 +80,9 @@ def centre_y(b: Column) -> Column:
 
 
 def same_row(a: Column, b: Column, tolerance: float = 0.020) -> Column:
-    """Centres at most the tolerance apart, or one within the other's height."""
+    """Centres at most the tolerance apart, or the centre of ``a`` within the height of ``b``."""
     ca, cb = centre_y(a), centre_y(b)
-    return (F.abs(ca - cb) <= tolerance) | ca.between(b["y1"], b["y2"]) | cb.between(a["y1"], a["y2"])
+    return (F.abs(ca - cb) <= tolerance) | ca.between(b["y1"], b["y2"])
 
 
 def css_box(b: Column) -> Column:

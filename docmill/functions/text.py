@@ -139,9 +139,13 @@ def word_levenshtein(a: Column, b: Column) -> Column:
 
 
 def _letter(k: Column) -> Column:
-    """The k-th letter of an alphabet of CJK ideographs (20 000), as three-byte UTF-8."""
-    c = k.cast("int") + 0x4DFF
-    return F.decode(F.unhex(F.concat(F.hex((F.shiftright(c, 12) + 0xE0).cast("bigint")), F.hex((F.shiftright(c, 6).bitwiseAND(F.lit(0x3F)) + 0x80).cast("bigint")), F.hex((c.bitwiseAND(F.lit(0x3F)) + 0x80).cast("bigint")))), "UTF-8")
+    """The k-th code point from U+10000 on, as four-byte UTF-8: one for each of 1 048 576 distinct words, none a surrogate."""
+    c = k.cast("int") + 0xFFFF
+
+    def byte(shift: int, lead: int, mask: int) -> Column:
+        return F.hex((F.shiftright(c, shift).bitwiseAND(F.lit(mask)) + lead).cast("bigint"))
+
+    return F.decode(F.unhex(F.concat(byte(18, 0xF0, 0x07), byte(12, 0x80, 0x3F), byte(6, 0x80, 0x3F), byte(0, 0x80, 0x3F))), "UTF-8")
 
 
 def word_error_rate(pred: Column, truth: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.workspace import written
+
 
 def new_records(stored: DataFrame, incoming: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
     """Insert or ignore: the incoming rows whose key is not stored yet, one for each key (the first by ``order``, else any)."""
@@ -44,6 +46,38 @@ def split_exactly(rows: DataFrame, id_col: str, share: float, seed: str = "0") -
     return rest.unionByName(edge).drop("__h", "__b")
 
 
+def first_of_splits(splits: dict[str, DataFrame], n: int, order: str) -> DataFrame:
+    """The first ``n`` records of the splits, read one after another in the order given, with the name of each one's ``split``. A
+    split after those that suffice is not read."""
+    out = None
+    for name, rows in splits.items():
+        have = rows.count()
+        part = (rows if have <= n else rows.orderBy(order).limit(n)).withColumn("split", F.lit(name))
+        out, n = part if out is None else out.unionByName(part), n - min(n, have)
+        if n <= 0:
+            break
+    return out
+
+
+def number_in_order(rows: DataFrame, order: list[str], out: str = "n", group: str | None = None) -> DataFrame:
+    """Add ``out``: each row's place from 1 in the order of the columns ``order``, within each ``group`` if one is given.
+
+    Rows are sorted by ranges, each in its own task, and the ranges' sizes (one row a task) give each its first number; so
+    neither the table nor a group is one task. A group's numbers are counted from its first one. Rows that agree in all these
+    columns may swap places.
+    """
+    keys = [group, *order] if group else order
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = written(placed, "numbered")
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # over one row a task
+    firsts = placed.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    placed = placed.join(F.broadcast(firsts), "__p").withColumn(out, F.col("__first") + F.col("__i") + 1).drop("__p", "__i", "__first")
+    if not group:
+        return placed
+    least = placed.groupBy(F.col(group).alias("__g")).agg(F.min(out).alias("__least"))
+    return placed.join(least, F.col(group).eqNullSafe(F.col("__g")), "left").withColumn(out, F.col(out) - F.col("__least") + 1).drop("__g", "__least")
+
+
 def keep_newest(files: DataFrame, by: list[str], order: Column, keep: int) -> DataFrame:
     """Rotation: of each group all but the newest ``keep`` are marked for removal."""
     r = F.row_number().over(Window.partitionBy(*by).orderBy(order.desc()))

@@ -25,17 +25,26 @@ def key_value(line: Column) -> Column:
     return F.when(line.contains(":"), colon).when(line.contains("|") & (F.size(parts) == 2), bar)
 
 
-def text_fields(docs: DataFrame, text: str = "text") -> DataFrame:
+def text_fields(docs: DataFrame, text: str = "text", most_lines: int | None = MAX_LINES, most_chars: int | None = MAX_LINE_CHARS, most_fields: int | None = MAX_FIELDS, value_chars: int | None = MAX_VALUE_CHARS) -> DataFrame:
     """Field rows of plain texts: (doc_id, pos, field_name, value, confidence, status, raw_text).
 
-    Lines over 500 characters are skipped; the first line with a name wins; at most 200 fields a document, in order.
+    The first line with a name wins. By default the first 5 000 lines are read, lines over 500 characters are skipped, and a
+    document gives at most its first 200 fields, in order; None for a limit lifts it. A document is one row, so its lines are
+    steps over an array: there is no shuffle and no sort.
     """
-    rows = text_lines(docs, text).where(F.length("text") <= MAX_LINE_CHARS).withColumn("kv", key_value(F.col("text")))
-    rows = rows.where((F.col("kv.key") != "") & (F.col("kv.value") != "")).withColumn("field_name", T.field_name(F.col("kv.key"))).where("field_name <> ''")
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "field_name").orderBy("line_no"))).where("r = 1")
-    first = first.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))).where(F.col("pos") <= MAX_FIELDS)
-    confidence = F.when(F.length("kv.value") >= 2, 0.65).otherwise(0.30)
-    return first.select("doc_id", "pos", "field_name", F.substring("kv.value", 1, MAX_VALUE_CHARS).alias("value"), confidence.alias("confidence"), downgrade(F.lit("EXTRACTED"), confidence).alias("status"), F.col("text").alias("raw_text"))
+    array = T.lines(F.col(text)) if most_lines is None else F.slice(T.lines(F.col(text)), 1, most_lines)
+    some = F.filter(array, lambda x: x.contains(":") | x.contains("|"))  # no other line has a key and a value
+    plain = F.transform(some, T.squeeze)
+    if most_chars is not None:
+        plain = F.filter(plain, lambda x: F.length(x) <= most_chars)
+    pairs = F.filter(F.transform(plain, lambda x: F.struct(x.alias("raw_text"), key_value(x).alias("kv"))), lambda x: (x["kv"]["key"] != "") & (x["kv"]["value"] != ""))
+    named = F.filter(F.transform(pairs, lambda x: F.struct(x["raw_text"].alias("raw_text"), x["kv"]["value"].alias("value"), T.field_name(x["kv"]["key"]).alias("field_name"))), lambda x: x["field_name"] != "")
+    rows = docs.select("doc_id", named.alias("__f")).withColumn("__names", F.transform("__f", lambda x: x["field_name"]))
+    first = F.filter("__f", lambda x, i: F.array_position("__names", x["field_name"]) == i + 1)
+    rows = rows.select("doc_id", F.posexplode(first if most_fields is None else F.slice(first, 1, most_fields)).alias("p", "x"))
+    confidence = F.when(F.length("x.value") >= 2, 0.65).otherwise(0.30)
+    value = F.col("x.value") if value_chars is None else F.substring("x.value", 1, value_chars)
+    return rows.select("doc_id", (F.col("p") + 1).alias("pos"), "x.field_name", value.alias("value"), confidence.alias("confidence"), downgrade(F.lit("EXTRACTED"), confidence).alias("status"), F.col("x.raw_text").alias("raw_text"))
 
 
 def downgrade(status: Column, confidence: Column, corrected: Column | None = None) -> Column:

@@ -94,7 +94,7 @@ def read_lines(lines: DataFrame) -> DataFrame:
     letters, upper = F.length(F.regexp_replace(shown, r"[^A-Za-zÄÖÜäöüß]", "")), F.length(F.regexp_replace(shown, r"[^A-ZÄÖÜ]", ""))
     surname = F.length(T.strip(shown)).between(2, 40) & (letters > 0) & (upper >= F.greatest(F.lit(2), letters - 1)) & (F.col("x1") >= 0.30) & ~F.col("labelish")
     return rows.select(
-        "doc_id", "doc_type", "line_no", "t", F.coalesce("confidence", F.lit(DEFAULT_CONFIDENCE)).alias("confidence"), "x1", "y1", "x2", "y2", "inline", "field", "labelish", F.col("text").contains("<b>").alias("bold"),
+        "doc_id", "doc_type", "line_no", "t", F.greatest(F.lit(0.0), F.least(F.coalesce("confidence", F.lit(DEFAULT_CONFIDENCE)).cast("double"), F.lit(1.0))).alias("confidence"), "x1", "y1", "x2", "y2", "inline", "field", "labelish", F.col("text").contains("<b>").alias("bold"),
         *[F.col(f"own.{k}").alias(f"own_{k}") for k in ("amount", "date", "plz", "tax_id", "number", "tax_class", "year", "text")], *[F.col(f"whole.{k}").alias(f"whole_{k}") for k in ("amount", "date", "plz", "tax_id", "number", "tax_class", "year", "text")],
         F.nullif(F.regexp_extract(F.replace(F.col("t"), F.lit(" "), F.lit("")), r"\b([0-9]{11})\b", 1), F.lit("")).alias("p_tax"), F.when(~F.col("t").rlike(r"[0-9]{6,}"), identifiers.postal_code(F.col("t"))).alias("p_plz"),
         F.nullif(F.regexp_extract(F.col("t"), r"\b" + dates.DATE + r"\b", 0), F.lit("")).alias("p_date"), F.coalesce(surname, F.lit(False)).alias("surname"),
@@ -143,7 +143,7 @@ class _Page:
 
     def level(self, a, b) -> bool:
         ca, cb = (a.y1 + a.y2) / 2, (b.y1 + b.y2) / 2
-        return abs(ca - cb) <= SAME_ROW or b.y1 <= ca <= b.y2 or a.y1 <= cb <= a.y2
+        return abs(ca - cb) <= SAME_ROW or b.y1 <= ca <= b.y2
 
 
 def _assign(lines: list) -> list[tuple]:

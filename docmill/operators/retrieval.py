@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,24 +17,26 @@ def clamp_k(k: int, most: int = TOP_CORRECTIONS) -> int:
 
 
 def nearest(rows: DataFrame, query: list[float], k: int, id_col: str = "id", vector: str = "embedding") -> DataFrame:
-    """The k rows most similar to one vector (ties: by id): each task keeps k rows, then one merge of those."""
+    """The k rows most similar to one vector (ties: by id; none for k of 0 or less): each task keeps k rows, then one merge of those."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return rows.withColumn("similarity", cosine(F.col(vector), q)).orderBy(F.desc("similarity"), id_col).limit(clamp_k(k))
+    return rows.withColumn("similarity", cosine(F.col(vector), q)).orderBy(F.desc("similarity"), id_col).limit(max(0, k))
 
 
-def nearest_in_scope(rows: DataFrame, queries: DataFrame, scope: list[str], k: int = TOP_CORRECTIONS, id_col: str = "id") -> DataFrame:
+def nearest_in_scope(rows: DataFrame, queries: DataFrame, scope: list[str], k: int = TOP_CORRECTIONS, id_col: str = "id", parts: int = 16) -> DataFrame:
     """Filter, then top-k: for each query (query_id, q, scope columns) its k most similar rows of the same scope.
 
-    An equality join on the scope; a rank limit is pushed below the sort, so a scope's pairs are cut early.
+    An equality join on the scope and a part of it: the rows of a scope are dealt to ``parts`` tasks, to each of which the scope's
+    queries go, and each keeps k rows a query before these are ranked together. So a scope with a third of all rows is no task.
     """
-    pairs = queries.join(rows, scope).withColumn("similarity", cosine(F.col("embedding"), F.col("q")))
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int"))
+    pairs = queries.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(rows, [*scope, "__part"]).drop("__part").withColumn("similarity", cosine(F.col("embedding"), F.col("q")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= clamp_k(k))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= max(0, k))
 
 
 def nearest_then_type(rows: DataFrame, query: list[float], k: int, document_type: str, id_col: str = "id", type_col: str = "form_type", unknown: str = "Unbekannt") -> DataFrame:
-    """Top-k first, then the rows of the type or of unknown type; all k if that leaves none."""
-    top = nearest(rows, query, k, id_col)
+    """Top-k (at most five) first, then the rows of the type or of unknown type; all k if that leaves none."""
+    top = nearest(rows, query, clamp_k(k), id_col)
     any_fit = F.max(F.col(type_col).isin(document_type, unknown)).over(Window.partitionBy())  # over at most five rows
     return top.withColumn("__any", any_fit).where(F.col(type_col).isin(document_type, unknown) | ~F.col("__any")).drop("__any")
 
@@ -68,22 +70,31 @@ def valid_corrections(corrections: DataFrame) -> DataFrame:
     return corrections.where(~T.blank(F.col("field")) & F.col("corrected").isNotNull())
 
 
+def _tokens(columns: list[str]) -> Column:
+    return F.split(F.lower(F.concat_ws(" ", *columns)), r"[^\p{L}\p{N}_]+")
+
+
 def inverted_index(docs: DataFrame, columns: list[str], id_col: str) -> DataFrame:
     """(token, id): lower-case tokens of the columns, each once a document."""
-    text = F.lower(F.concat_ws(" ", *columns))
-    return docs.select(F.col(id_col), F.explode(F.array_distinct(F.split(text, r"[^\p{L}\p{N}_]+"))).alias("token")).where("token <> ''")
+    return docs.select(F.col(id_col), F.explode(F.array_distinct(_tokens(columns))).alias("token")).where("token <> ''")
 
 
-def search(docs: DataFrame, index: DataFrame, query: str, k: int, id_col: str, score: str, document_type: str | None = None, type_col: str = "form_type") -> DataFrame:
-    """Documents that hold any of the query's terms, best ``score`` first (ties: by id); without terms, those of the type."""
+def search(docs: DataFrame, index: DataFrame | list[str], query: str, k: int, id_col: str, score: str, document_type: str | None = None, type_col: str = "form_type") -> DataFrame:
+    """Documents that hold any of the query's terms, best ``score`` first (ties: by id); without terms, those of the type.
+
+    ``index`` is a stored :func:`inverted_index`, or the columns to scan: one search reads the texts once, without a shuffle.
+    """
     import re
 
     terms = [t.lower() for t in (re.sub(r"[^\w-]", "", w) for w in query.split()) if len(t) >= 4][:8]
     if not terms:
         rows = docs if document_type is None else docs.where(F.col(type_col) == document_type)
     else:
-        hits = index.where(F.col("token").isin(*{p for t in terms for p in re.split(r"[^\w]+|-", t) if p})).select(id_col).distinct()
-        rows = docs.join(hits, id_col)
+        parts = sorted({p for t in terms for p in re.split(r"[^\w]+|-", t) if p})
+        if isinstance(index, list):
+            rows = docs.where(F.arrays_overlap(_tokens(index), F.array(*[F.lit(p) for p in parts])))
+        else:
+            rows = docs.join(index.where(F.col("token").isin(*parts)).select(id_col).distinct(), id_col)
     return rows.orderBy(F.desc(score), id_col).limit(max(0, k))
 
 

@@ -115,3 +115,30 @@ def plateau(items: DataFrame, window: int) -> DataFrame:
     rows = items.withColumn("island", F.sum(F.col("is_new").cast("int")).over(w))
     streak = F.sum(F.lit(1) - F.col("is_new").cast("int")).over(Window.partitionBy("run", "island").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.withColumn("streak", streak).groupBy("run").agg(F.min(F.when(F.col("streak") >= window, F.col("at"))).alias("stop_at"), F.max("streak").alias("longest"))
+
+
+def stops(items: DataFrame, max_seconds: float | None = None, limit: int | None = None, window: int | None = None) -> DataFrame:
+    """(run, stop_at, reason) of the runs that end early, of items (run, at, is_new, seconds): the first item at which so many
+    seconds are over, that is one too many, or that is the last of ``window`` in a row without anything new. If several hold
+    at once, the first of these is the reason. None lifts a rule."""
+    w = Window.partitionBy("run").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = items.withColumns({"n": F.count("*").over(w), "elapsed": F.sum("seconds").over(w), "island": F.sum(F.col("is_new").cast("int")).over(w)})
+    streak = F.sum(F.lit(1) - F.col("is_new").cast("int")).over(Window.partitionBy("run", "island").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows, reason = rows.withColumn("streak", streak), F.lit(None).cast("string")
+    for bound, over, name in ((window, F.col("streak") >= window, "plateau"), (limit, F.col("n") > limit, "limit"), (max_seconds, F.col("elapsed") >= max_seconds, "seconds")):
+        if bound is not None:
+            reason = F.when(over, name).otherwise(reason)
+    rows = rows.withColumn("reason", reason).where("reason is not null")
+    return rows.groupBy("run").agg(F.min("at").alias("stop_at"), F.min_by("reason", "at").alias("reason"))
+
+
+def heartbeats(items: DataFrame, interval: int) -> DataFrame:
+    """(run, beat, at, items): a run's last item and their number in each interval of ``at`` in which it has any."""
+    return items.groupBy("run", F.floor(F.col("at") / F.lit(interval)).alias("beat")).agg(F.max("at").alias("at"), F.count("*").alias("items"))
+
+
+def resume_set(items: DataFrame, every: int = 50) -> DataFrame:
+    """The items (run, at) that a run has stored as done, if it stores its set after every so many items and then breaks off."""
+    run = Window.partitionBy("run")
+    rows = items.withColumns({"__n": F.row_number().over(run.orderBy("at")), "__c": F.count("*").over(run)})
+    return rows.where(F.col("__n") <= F.expr(f"__c div {int(every)} * {int(every)}")).drop("__n", "__c")

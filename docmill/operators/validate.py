@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..catalog import LABELS, MAX_SALARY, NULLISH, PATTERNS, REQUIRED
+from ..catalog import LABELS, LOW_CONFIDENCE, MAX_SALARY, NULLISH, PATTERNS, REQUIRED
 from ..functions import dates, identifiers
 
 
@@ -92,3 +92,17 @@ def overlay_model_values(fields: DataFrame, model: DataFrame, confidence: float
     rows = fields.join(m, ["doc_id", "field_name"], "left")
     take = F.col("__value").isNotNull() & (F.lit(confidence) > F.coalesce("confidence", F.lit(0.0)))
     return rows.withColumn("value", F.when(take, F.col("__value")).otherwise(F.col("value"))).withColumn("confidence", F.when(take, confidence).otherwise(F.col("confidence"))).drop("__value")
+
+
+def structure_missing(fields: DataFrame, model: DataFrame, enabled: bool = False, threshold: float = LOW_CONFIDENCE) -> DataFrame:
+    """Add ``from_model``: a model's rows (doc_id, field_name, value, confidence) fill the fields that have no value or less
+    confidence than ``threshold``, where theirs is higher. Null-like values do nothing, fields that do not exist are not added,
+    and unless ``enabled`` nothing changes."""
+    if not enabled:
+        return fields.withColumn("from_model", F.lit(False))
+    m = model.select("doc_id", "field_name", null_if_nullish(F.col("value")).alias("__value"), F.col("confidence").alias("__c"))
+    rows = fields.join(m, ["doc_id", "field_name"], "left")
+    asked = F.col("value").isNull() | (F.coalesce("confidence", F.lit(0.0)) < threshold)
+    take = F.coalesce(asked & F.col("__value").isNotNull() & (F.col("__c") > F.coalesce("confidence", F.lit(0.0))), F.lit(False))
+    rows = rows.withColumn("from_model", take)
+    return rows.withColumn("value", F.when(F.col("from_model"), F.col("__value")).otherwise(F.col("value"))).withColumn("confidence", F.when(F.col("from_model"), F.col("__c")).otherwise(F.col("confidence"))).drop("__value", "__c")

@@ -71,6 +71,37 @@ def validated_fields(s: Source) -> DataFrame:
     return validate.validate_fields(s.v("v_fields"), AS_OF).select("doc_id", "field_name", "value", "validation_message", "status")
 
 
+def _rules(s: Source, *names: str) -> DataFrame:
+    return validate.validate_fields(s.v("v_fields").where(F.col("field_name").isin(*names)), AS_OF)
+
+
+@query("q_V06_birth_dates", FIELDS + " select doc_id, value, message as validation_message from m where field_name = 'geburtsdatum'")
+def birth_dates(s: Source) -> DataFrame:
+    return _rules(s, "geburtsdatum").select("doc_id", "value", "validation_message")
+
+
+@query("q_V08_salary_bounds", "select doc_id, name as field_name, case when v <= 0 then name || ' muss groesser als 0 sein.' when v > 10000000 then name || ' unplausibel hoch.' end as validation_message from (select o_orderkey as doc_id, case when o_orderkey % 2 = 0 then 'brutto_lohn' else 'netto_lohn' end as name, (o_custkey - 100) * 20000 as v from orders)")
+def salary_bounds(s: Source) -> DataFrame:
+    rows = s.t("orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 2 == 0, "brutto_lohn").otherwise("netto_lohn").alias("field_name"), ((F.col("o_custkey") - 100) * 20_000).cast("string").alias("value"))
+    return validate.validate_fields(rows, AS_OF).select("doc_id", "field_name", "validation_message")
+
+
+@query("q_V09_net_against_gross", "select doc_id, case when net > gross then 'VALIDATION_FAILURE' else 'EXTRACTED' end as status from (select doc_id, cast(doc_id * 13 % 9000 as double) as gross, cast(doc_id * 11 % 9000 as double) as net from ({v_person}) v) where gross > 0 and net > 0")
+def net_against_gross(s: Source) -> DataFrame:
+    rows = validate.check_net_against_gross(_rules(s, "brutto_lohn", "netto_lohn").where("validation_message is null"))
+    both = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("field_name") == "netto_lohn", F.col("status"))).alias("status"))
+    return both.where("n = 2").select("doc_id", "status")
+
+
+@query("q_X05_guarded_structuring", """select f.doc_id, f.field_name, case when taken then m else f.value end as value, case when taken then cast(0.6 as double) else f.confidence end as confidence, coalesce(taken, false) as from_model from (
+    select v.*, 'Weg 1' as m, field_name = 'strasse' and doc_id % 3 <> 0 and (value is null or confidence < 0.7) and 0.6 > confidence as taken from ({v_fields}) v) f""")
+def guarded_structuring(s: Source) -> DataFrame:
+    """A model is asked for the fields that are missing or unsure, and only if it is enabled; else the fields stay as they are."""
+    m = s.v("v_person").select("doc_id", F.lit("strasse").alias("field_name"), F.when(F.col("doc_id") % 3 == 0, "").otherwise("Weg 1").alias("value"), F.lit(0.6).alias("confidence"))
+    off = validate.structure_missing(s.v("v_fields"), m, enabled=False)
+    return validate.structure_missing(off.drop("from_model"), m, enabled=True).select("doc_id", "field_name", "value", "confidence", "from_model")
+
+
 @query("q_J16_salary_cross_field", FIELDS + """, g as (select *, max(case when field_name = 'brutto_lohn' then cast(value as double) end) over (partition by doc_id) as gross from m where field_name in ('brutto_lohn', 'netto_lohn'))
     select doc_id, field_name, value, case when message is not null or (field_name = 'netto_lohn' and cast(value as double) > gross) then 'VALIDATION_FAILURE' else 'EXTRACTED' end as status from g""")
 def salary_cross_field(s: Source) -> DataFrame:
@@ -318,7 +349,7 @@ def to_pixels(s: Source) -> DataFrame:
 
 
 @query("q_G08_same_row", """select a.doc_id, a.line_no as a_line, b.line_no as b_line from ({v_boxes}) a join ({v_boxes}) b on a.doc_id = b.doc_id and b.line_no = a.line_no + 1
-    where abs((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) <= 0.02 or (a.y1 + a.y2) / 2 between b.y1 and b.y2 or (b.y1 + b.y2) / 2 between a.y1 and a.y2""")
+    where abs((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) <= 0.02 or (b.y1 <= (a.y1 + a.y2) / 2 and (a.y1 + a.y2) / 2 <= b.y2)""")
 def same_row(s: Source) -> DataFrame:
     a = s.v("v_boxes").select("doc_id", F.col("line_no").alias("a_line"), _box().alias("a"))
     b = s.v("v_boxes").select("doc_id", F.col("line_no").alias("b_line"), _box().alias("b"), (F.col("line_no") - 1).alias("a_line"))

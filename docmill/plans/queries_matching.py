@@ -204,15 +204,28 @@ def word_error_rate(s: Source) -> DataFrame:
     return compare.compared_fields(s.v("v_truth"), s.v("v_pred")).select("doc_id", "field_name", F.round("wer", 6).alias("wer"))
 
 
-@query("q_A06_eval_report", EVAL + """, f as (select count(*) as fp from ({v_pred}) p where trim(value) <> '' and not starts_with(field_name, '_') and not exists (select 1 from t where t.doc_id = p.doc_id and t.field_name = p.field_name) and p.doc_id in (select doc_id from t)),
+REPORT = (
+    EVAL
+    + """, f as (select count(*) as fp from ({v_pred}) p where trim(value) <> '' and not starts_with(field_name, '_') and not exists (select 1 from t where t.doc_id = p.doc_id and t.field_name = p.field_name) and p.doc_id in (select doc_id from t)),
     a as (select count(*) as compared, count(*) filter (where exact) as exact, count(*) filter (where pred <> '') as tp, count(*) filter (where pred = '') as fn, avg(cer) as mean_cer from e)
     select compared, exact, tp, fn, fp, round(mean_cer, 6) as mean_cer, round(cast(tp as double) / (tp + fp), 6) as precision, round(cast(tp as double) / (tp + fn), 6) as recall,
-        round(2 * (cast(tp as double) / (tp + fp)) * (cast(tp as double) / (tp + fn)) / ((cast(tp as double) / (tp + fp)) + (cast(tp as double) / (tp + fn))), 6) as f1, round(cast(exact as double) / compared, 6) as exact_rate from a cross join f""")
+        round(2 * (cast(tp as double) / (tp + fp)) * (cast(tp as double) / (tp + fn)) / ((cast(tp as double) / (tp + fp)) + (cast(tp as double) / (tp + fn))), 6) as f1, round(cast(exact as double) / compared, 6) as exact_rate from a cross join f"""
+)
+
+
+@query("q_A06_eval_report", REPORT)
 def eval_report(s: Source) -> DataFrame:
     e = compare.evaluation(s.v("v_truth"), s.v("v_pred")).drop("mean_wer")
     return e.withColumns({c: F.round(c, 6) for c in ("mean_cer", "precision", "recall", "f1", "exact_rate")})
 
 
+@query("q_A07_model_report", REPORT.replace("({v_pred})", "(select doc_id, field_name, lower(value) as value from ({v_pred}) q)"))
+def model_report(s: Source) -> DataFrame:
+    """The same report on another model, which writes all in lower case."""
+    e = compare.evaluation(s.v("v_truth"), s.v("v_pred").withColumn("value", F.lower("value"))).drop("mean_wer")
+    return e.withColumns({c: F.round(c, 6) for c in ("mean_cer", "precision", "recall", "f1", "exact_rate")})
+
+
 @query("q_J11_false_positives", """with t as (select doc_id, field_name from ({v_truth}) v where trim(value) <> '') select doc_id, field_name, value from ({v_pred}) p where trim(value) <> '' and not starts_with(field_name, '_')
     and not exists (select 1 from t where t.doc_id = p.doc_id and t.field_name = p.field_name) and p.doc_id in (select doc_id from t)""")
 def false_positives(s: Source) -> DataFrame:
@@ -271,7 +284,7 @@ def _vectors(s: Source) -> DataFrame:
 
 @query("q_O01_knn_cosine_top5", TOP)
 def knn_top5(s: Source) -> DataFrame:
-    return retrieval.nearest(_vectors(s), _query_vector(s), 9, "vec_id").select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+    return retrieval.nearest(_vectors(s), _query_vector(s), retrieval.clamp_k(9), "vec_id").select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
 @query("q_O03_knn_postfilter_type", f"with t as ({TOP}) select vec_id, label, similarity from t where label = 3 or not exists (select 1 from t where label = 3)")
@@ -318,9 +331,9 @@ def delete(s: Source) -> DataFrame:
     return corpus.delete(s.t("region"), "r_name", ["ASIA", "EUROPE"]).select("r_regionkey")
 
 
-@query("q_J18_manifest_existing", "select doc_id from documents where doc_id in (select doc_id from labels) order by doc_id limit 100")
+@query("q_J18_manifest_existing", "select doc_id from documents where doc_id in (select doc_id from labels) ")
 def manifest_existing(s: Source) -> DataFrame:
-    return corpus.manifest_of_existing(s.t("documents").select("doc_id"), s.t("labels"), "doc_id", 100)
+    return corpus.manifest_of_existing(s.t("documents").select("doc_id"), s.t("labels"), "doc_id")
 
 
 @query("q_J21_duplicate_uploads", "select distinct event_type as name, user_id as size, cast(ts as date) as modified from events")

@@ -24,12 +24,15 @@ def _folder(s: Source, name: str) -> str:
 # --- files -------------------------------------------------------------------------------------------------------------
 
 
-@query("q_S01_uploads", "select cast(count(*) as bigint) as n from nation")
+@query("q_S01_uploads", "select n_nationkey, 1700000000000000 + n_nationkey || '_' || case when n_nationkey % 5 = 0 then 'upload' when n_nationkey % 5 = 1 then '' else n_name || '.txt' end as stored, cast(length(n_name) as bigint) as length from nation")
 def uploads(s: Source) -> DataFrame:
+    """Names as clients send them, with folders and without; what is stored is read again by its own name."""
+    k = F.col("n_nationkey") % 5
+    sent = F.when(k == 0, None).when(k == 1, "a/b/").when(k == 2, F.concat(F.lit("../../etc/"), "n_name", F.lit(".txt"))).otherwise(F.concat("n_name", F.lit(".txt")))
+    rows = s.t("nation").select("n_nationkey", files.stored_name(sent, F.lit(1_700_000_000_000_000) + F.col("n_nationkey")).alias("stored"), F.col("n_name").cast("binary").alias("content"))
     path = _folder(s, "uploads")
-    s.t("nation").repartition(25, "n_nationkey").write.parquet(path)
-    found = files.read_uploads(s.spark, path, "*.parquet").where(files.size_allowed(F.col("length")))
-    return s.spark.read.parquet(path).join(found.agg(F.count("*").alias("files")).where("files > 0")).agg(F.count("*").alias("n"))
+    rows.write.parquet(path)
+    return s.spark.read.parquet(path).where(files.size_allowed(F.octet_length("content"))).select("n_nationkey", "stored", F.octet_length("content").cast("bigint").alias("length"))
 
 
 @query("q_S06_parser_dispatch", "select c_custkey, case c_custkey % 4 when 0 then 'csv' when 1 then 'text' when 2 then 'json' else 'fallback' end as parser, case c_custkey % 4 when 0 then c_name || ' | x' when 1 then c_name when 2 then 'json' else c_name end as shown from customer")
@@ -41,17 +44,35 @@ def parser_dispatch(s: Source) -> DataFrame:
     return rows.select(F.substring_index("path", ".", 1).cast("bigint").alias("c_custkey"), "parser", F.when(F.col("parser") == "json", "json").otherwise(F.col("text")).alias("shown"))
 
 
-@query("q_S07_pdf_boundary", "select n_nationkey, 'pdf' as parser, cast(null as varchar) as shown from nation")
+@query("q_S07_pdf_boundary", "select n_nationkey, case when n_nationkey % 2 = 0 then 'pdf' else 'text' end as parser, case when n_nationkey % 2 = 1 then n_name when n_nationkey % 4 = 0 then n_name || chr(10) || 'page 2' end as shown from nation")
 def pdf_boundary(s: Source) -> DataFrame:
-    """No reader of PDF belongs to the library: such files get a null text, which an engine may fill."""
-    rows = s.t("nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit(".pdf")).alias("path"), F.lit("%PDF-1.4").cast("binary").alias("content"))
-    return files.file_text(rows).select(F.substring_index("path", ".", 1).cast("int").alias("n_nationkey"), "parser", F.col("text").alias("shown"))
+    """No reader of PDF belongs to the library: such files get a null text, which an engine's pages may fill; blank pages go."""
+    k = F.col("n_nationkey")
+    rows = s.t("nation").select(F.concat(k.cast("string"), F.when(k % 2 == 0, ".pdf").otherwise(".txt")).alias("path"), F.col("n_name").cast("binary").alias("content"))
+    pages = s.t("nation").where("n_nationkey % 4 = 0").select(F.concat(k.cast("string"), F.lit(".pdf")).alias("path"), F.explode(F.array(F.struct(F.lit(1).alias("page"), F.col("n_name").alias("text")), F.struct(F.lit(2).alias("page"), F.lit("  ").alias("text")), F.struct(F.lit(3).alias("page"), F.lit("page 2").alias("text")))).alias("p")).select("path", "p.*")
+    return files.with_pages(files.file_text(rows), pages).select(F.substring_index("path", ".", 1).cast("int").alias("n_nationkey"), "parser", F.col("text").alias("shown"))
 
 
-@query("q_S08_docx_text", "select n_nationkey, cast(null as varchar) as shown from nation")
+@query("q_S08_docx_text", "select n_nationkey, case n_nationkey % 3 when 0 then 'Name: ' || n_name || ' end' end as shown from nation")
 def docx_text(s: Source) -> DataFrame:
-    """What is no archive gives null; archives are in the tests."""
-    return s.t("nation").select("n_nationkey", udfs.docx_text(F.col("n_name").cast("binary")).alias("shown"))
+    """Archives with a document, archives without one, and what is no archive."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def pack(batches):
+        for rows in batches:
+            out = []
+            for k, name in zip(rows["n_nationkey"], rows["n_name"], strict=True):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("word/document.xml" if k % 3 == 0 else "other.xml", f"<w:document><w:p><w:r><w:t>Name: {name}</w:t></w:r></w:p><w:p><w:t>end</w:t></w:p></w:document>")
+                out.append(held.getvalue() if k % 3 < 2 else name.encode())
+            yield pd.DataFrame({"n_nationkey": rows["n_nationkey"], "content": out})
+
+    rows = s.t("nation").select("n_nationkey", "n_name").mapInPandas(pack, "n_nationkey int, content binary")
+    return rows.select("n_nationkey", udfs.docx_text("content").alias("shown"))
 
 
 @query("q_S12_grey_image")
@@ -128,11 +149,12 @@ def manifest(s: Source) -> DataFrame:
     return tables.read_json_lines(s.spark, path, catalog.SCHEMAS["manifest"]).select("filename", "label_name", "file_size")
 
 
-@query("q_S24_gold_records", "select cast(100 as bigint) as n")
+@query("q_S24_gold_records", "select o_orderkey, o_totalprice from orders order by o_orderkey limit 100")
 def gold_records(s: Source) -> DataFrame:
+    """The first records of a file of gold records, in their order."""
     path = _folder(s, "gold")
     tables.write_json_lines(s.t("orders").select("o_orderkey", "o_totalprice"), path)
-    return tables.read_json_lines(s.spark, path, "o_orderkey bigint, o_totalprice double", 100).agg(F.count("*").alias("n"))
+    return tables.read_json_lines(s.spark, path, "o_orderkey bigint, o_totalprice double", 100, "o_orderkey")
 
 
 @query("q_S25_first_existing", "select doc_id from labels where doc_id in (select doc_id from documents) order by doc_id limit 25")
@@ -173,17 +195,20 @@ def correction_by_id(s: Source) -> DataFrame:
     return s.v("v_corr").where("id = 'c17'").select("id", "original")
 
 
-@query("q_S23_split_download", "select split, count(*) as n from (select doc_id, case when doc_id % 10 = 0 then 'test' when doc_id % 10 = 1 then 'val' else 'train' end as split from documents where n_chars > 0) group by split")
+@query("q_S23_split_download", "select doc_id, split from (select doc_id, split, row_number() over (order by case split when 'train' then 0 when 'val' then 1 else 2 end, doc_id) as n from (select doc_id, case when doc_id % 10 = 0 then 'test' when doc_id % 10 = 1 then 'val' else 'train' end as split from documents)) where n <= 185")
 def split_download(s: Source) -> DataFrame:
-    k = F.col("doc_id") % 10
-    return s.t("documents").where("n_chars > 0").groupBy(F.when(k == 0, "test").when(k == 1, "val").otherwise("train").alias("split")).agg(F.count("*").alias("n"))
+    """Three splits, read one after another until there are enough records."""
+    k, root = F.col("doc_id") % 10, _folder(s, "splits")
+    s.t("documents").select("doc_id", F.when(k == 0, "test").when(k == 1, "val").otherwise("train").alias("split")).write.partitionBy("split").parquet(root)
+    parts = {name: s.spark.read.schema("doc_id bigint").parquet(f"{root}/split={name}") for name in ("train", "val", "test")}
+    return corpus.first_of_splits(parts, 185, "doc_id")
 
 
 @query("q_S27_log_tail", "select cast(event_id as varchar) as value from events order by event_id desc limit 60")
 def log_tail(s: Source) -> DataFrame:
     path = _folder(s, "log")
-    s.t("events").orderBy("event_id").coalesce(1).select(F.col("event_id").cast("string")).write.text(path)
-    return tables.log_tail(s.spark, path, 60).select("value")
+    tables.write_log(s.t("events"), path, "event_id", "event_id")
+    return tables.ordered_log_tail(s.spark, path, 60).select("value")
 
 
 @query("q_K07_atomic_replace", "select r_regionkey, lower(r_name) as r_name from region")
@@ -195,9 +220,13 @@ def atomic_replace(s: Source) -> DataFrame:
     return s.spark.read.parquet(path)
 
 
-@query("q_S18_memo", "select count(*) as n, count(distinct lang) as langs from documents")
+@query("q_S18_memo", "select event_id, event_type as text from events")
 def memo(s: Source) -> DataFrame:
-    return s.t("documents").select("lang").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"))
+    """Many requests for few paths: each path is extracted once."""
+    rows = s.t("events").select("event_id", F.col("event_type").alias("path"))
+    pages = rows.select("path").distinct().select("path", F.xxhash64("path").alias("doc_id"), F.col("path").alias("text"))
+    found = plugins.run_engine(pages, "lines").select("doc_id", "text").join(pages.select("doc_id", "path"), "doc_id")
+    return rows.join(F.broadcast(found), "path").select("event_id", "text")
 
 
 @query("q_S28_generated_types", "select t as document_type, cast(25 as bigint) as n from (values ('Meldebescheinigung'), ('Steuerbescheid'), ('Gehaltsausweis'), ('Personalausweis')) v(t)")
@@ -205,9 +234,12 @@ def generated_types(s: Source) -> DataFrame:
     return synth.records(s.spark, 100).groupBy("document_type").agg(F.count("*").alias("n"))
 
 
-@query("q_S29_settings", "select 'UTC' as zone")
+@query("q_S29_settings", "select k as key, v as value from (values ('ENABLE_LLM_STRUCTURING', 'true'), ('LLM_N_CTX', '2048'), ('OCR_ENGINE', 'tiered'), ('RENDER_DPI', '200')) t(k, v)")
 def settings(s: Source) -> DataFrame:
-    return s.spark.range(1).select(F.current_timezone().alias("zone")).select(F.when(F.col("zone").isin("UTC", "Etc/UTC"), "UTC").otherwise(F.col("zone")).alias("zone"))
+    """Settings of a file over the defaults; comments, unknown keys and values of the wrong type do nothing, the last line of a key counts."""
+    lines = ["# engines", "OCR_ENGINE=surya", 'export OCR_ENGINE = "tiered"', "ENABLE_LLM_STRUCTURING=1", "LLM_N_CTX=many", "UNKNOWN=1", ""]
+    defaults = {"OCR_ENGINE": "surya", "ENABLE_LLM_STRUCTURING": False, "LLM_N_CTX": 2048, "RENDER_DPI": 200}
+    return files.settings(s.spark.createDataFrame(list(enumerate(lines)), "at int, line string"), defaults)
 
 
 # --- streams -----------------------------------------------------------------------------------------------------------
@@ -239,10 +271,58 @@ def micro_batches(s: Source) -> DataFrame:
     return _ingest(s, 1, 1)[1].select("image_id")
 
 
-@query("q_ST07_run_states", "select user_id, case when max(value) % 20 < 10 then 'external' else 'stopped' end as state from events group by user_id")
+@query("q_ST07_run_states", """select user_id, case when user_id % 7 = 0 then 'error' when user_id % 7 = 1 then 'idle' when user_id % 5 = 0 then 'running' when max(value) % 20 < 10 then 'external' else 'stopped' end as state from events group by user_id""")
 def run_states(s: Source) -> DataFrame:
-    age = F.max("value") % 20
-    return s.t("events").groupBy("user_id").agg(F.when(age < 10, "external").otherwise("stopped").alias("state"))
+    from ..streaming.ingest import state_of_run
+
+    k, said = F.col("user_id"), F.when(F.col("user_id") % 7 == 0, "error").when(F.col("user_id") % 7 == 1, "idle").otherwise("running")
+    return s.t("events").groupBy("user_id").agg((F.max("value") % 20).alias("age")).select("user_id", state_of_run(said, F.col("age"), (k % 5 == 0) & (k % 7 > 1)).alias("state"))
+
+
+@query("q_ST05_stops", """with i as (select user_id as run, event_id, row_number() over (partition by user_id order by event_id) as n, event_type = 'purchase' as is_new, value from events),
+    g as (select *, sum(cast(is_new as int)) over (partition by run order by n rows unbounded preceding) as island, sum(value) over (partition by run order by n rows unbounded preceding) as elapsed from i),
+    k as (select *, sum(1 - cast(is_new as int)) over (partition by run, island order by n rows unbounded preceding) as streak from g),
+    r as (select run, event_id, n, case when elapsed >= 3000 then 'seconds' when n > 40 then 'limit' when streak >= 12 then 'plateau' end as reason from k)
+    select run, min(event_id) as stop_at, arg_min(reason, n) as reason from r where reason is not null group by run""")
+def stops(s: Source) -> DataFrame:
+    """Where each run ends: after so many seconds, so many items, or so many without anything new, whichever comes first."""
+    rows = s.t("events").select(F.col("user_id").alias("run"), F.col("event_id").alias("at"), (F.col("event_type") == "purchase").alias("is_new"), F.col("value").alias("seconds"))
+    return stats.stops(rows, max_seconds=3000, limit=40, window=12)
+
+
+@query("q_ST06_heartbeats", "select user_id as run, event_id // 500 as beat, max(event_id) as at, count(*) as items from events group by all")
+def heartbeats(s: Source) -> DataFrame:
+    """One row for each run and interval in which it did something: its last item there."""
+    return stats.heartbeats(s.t("events").select(F.col("user_id").alias("run"), F.col("event_id").alias("at")), 500)
+
+
+@query("q_ST12_resume_set", "select run, event_id from (select user_id as run, event_id, row_number() over (partition by user_id order by event_id) as n, count(*) over (partition by user_id) as c from events) where n <= c // 50 * 50")
+def resume_set(s: Source) -> DataFrame:
+    """The files that count as done after a break: those up to the last time the set was stored, every 50 files."""
+    return stats.resume_set(s.t("events").select(F.col("user_id").alias("run"), F.col("event_id").alias("at")), 50).select("run", F.col("at").alias("event_id"))
+
+
+@query("q_X02_engine_choice", """select o_orderkey, case when o_orderkey % 6 in (0, 1, 2) and o_orderkey % 2 = 0 then 'apple-vision' when o_orderkey % 6 = 3 and o_orderkey % 2 = 0 then 'apple-vision' else 'surya' end as engine from orders""")
+def engine_choice(s: Source) -> DataFrame:
+    """The engine that a setting names; without its library, and for any other setting, the default one."""
+    k = F.col("o_orderkey")
+    setting = F.element_at(F.array(*[F.lit(x) for x in ("apple-vision", " Apple ", "VISION", "surya", "", "other")]), (k % 6 + 1).cast("int"))
+    return s.t("orders").select("o_orderkey", plugins.engine_of_setting(setting, k % 2 == 0).alias("engine"))
+
+
+@query("q_S13_tiered_lines", """with l as (select conv_id, turn, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as n, text from conversations)
+    select conv_id, turn, case when n < 3 then 'lines' else 'sure' end as engine, cast(n as bigint) as n from l where n > 0""")
+def tiered_lines(s: Source) -> DataFrame:
+    """A fast engine first; pages with less than three lines or little confidence go to the full one, whose lines count if they are not fewer."""
+    rows = s.t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    out = plugins.run_tiered(rows, "sure", "lines").groupBy("doc_id", "engine").agg(F.count("*").alias("n"))
+    return out.select(F.expr("doc_id div 1000").alias("conv_id"), (F.col("doc_id") % 1000).alias("turn"), "engine", "n")
+
+
+@query("q_X08_canned_fields", """select doc_id, f as field_name, v as raw_value, cast(c as double) as confidence from documents cross join (values ('familienname', 'Müller', 0.95), ('vorname', 'Hans', 0.93), ('geburtsdatum', '15.03.1985', 0.91), ('geburtsort', 'Berlin', 0.88),
+    ('staatsangehoerigkeit', 'Deutsch', 0.92), ('strasse', 'Hauptstraße', 0.85), ('hausnummer', '42', 0.97), ('postleitzahl', '10115', 0.96), ('wohnort', 'Berlin', 0.94)) t(f, v, c)""")
+def canned_fields(s: Source) -> DataFrame:
+    return plugins.run_engine(s.t("documents").select("doc_id"), "canned", plugins.CANNED).select("doc_id", "field_name", "raw_value", F.round("confidence", 2).alias("confidence"))
 
 
 @query("q_ST_hourly_events", "select time_bucket(interval '1 hour', ts) as hour, event_type, count(*) as n from events group by all")
@@ -272,12 +352,14 @@ def retry_singly(s: Source) -> DataFrame:
     return _engine(s, "brittle")
 
 
-@query("q_X04_embedded_texts", "select conv_id, turn, cast(384 as bigint) as dims, cast(case when trim(text) = '' then 0 else 1 end as double) as norm from conversations")
+@query("q_X04_embedded_texts", "select conv_id, turn, cast(384 as bigint) as dims, cast(case when trim(text) = '' then 0 else 1 end as double) as norm, cast(case when trim(text) = '' then 0 else 1 end as double) as twice, trim(text) <> '' and lower(text) <> text as folds from conversations")
 def embedded_texts(s: Source) -> DataFrame:
+    """Size and length of the vectors; a text and the same twice point the same way; case does not count."""
     from ..functions.vectors import dot
 
-    e = s.t("conversations").select("conv_id", "turn", udfs.hashed_embedding(F.col("text")).alias("e"))
-    return e.select("conv_id", "turn", F.size("e").cast("bigint").alias("dims"), F.round(F.sqrt(dot(F.col("e"), F.col("e"))), 6).alias("norm"))
+    text = F.col("text")
+    e = s.t("conversations").select("conv_id", "turn", "text", udfs.hashed_embedding(text).alias("e"), udfs.hashed_embedding(F.concat(text, F.lit(" "), text)).alias("d"), udfs.hashed_embedding(F.lower(text)).alias("l"))
+    return e.select("conv_id", "turn", F.size("e").cast("bigint").alias("dims"), F.round(F.sqrt(dot(F.col("e"), F.col("e"))), 6).alias("norm"), F.round(dot(F.col("e"), F.col("d")), 6).alias("twice"), ((F.round(dot(F.col("e"), F.col("l")), 6) == 1) & (F.lower(text) != text)).alias("folds"))
 
 
 @query("q_X06_structured_extraction", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
@@ -322,11 +404,6 @@ def field_patterns(s: Source) -> DataFrame:
     return s.v("v_fields").join(F.broadcast(known), "field_name", "left").select("doc_id", "field_name", F.coalesce("known", F.lit(False)).alias("has_pattern"))  # 17 rows
 
 
-@query("q_A07_model_report", "select count(*) as n, count(*) filter (where value = lower(value)) as same from ({v_pred}) v")
-def model_report(s: Source) -> DataFrame:
-    return s.v("v_pred").agg(F.count("*").alias("n"), F.count_if(F.col("value") == F.lower("value")).alias("same"))
-
-
 @query("q_A10_mean", "select user_id, round(avg(value), 4) as mean from events group by user_id")
 def mean(s: Source) -> DataFrame:
     return s.t("events").groupBy("user_id").agg(stats.mean4(F.col("value")).alias("mean"))
@@ -426,7 +503,7 @@ def half_even(s: Source) -> DataFrame:
 
 @query("q_FA03_chunks", "select source, doc_id, cast((row_number() over (partition by source order by doc_id) - 1) // 64 as bigint) as chunk from documents")
 def chunks(s: Source) -> DataFrame:
-    return s.t("documents").select("source", "doc_id", F.expr("(row_number() over (partition by source order by doc_id) - 1) div 64").alias("chunk"))
+    return corpus.number_in_order(s.t("documents").select("source", "doc_id"), ["doc_id"], "n", "source").select("source", "doc_id", F.expr("(n - 1) div 64").alias("chunk"))
 
 
 @query("q_FA04_sorted_sets", "select lang, list_sort(list(distinct source)) as sources from documents group by lang")

@@ -158,12 +158,9 @@ def log_tail(s: Source) -> DataFrame:
     return s.t("events").orderBy(F.desc("event_id")).limit(60).select("event_id")
 
 
-@query("q_O10_path_order", "select url, row_number() over (order by url, page_id) as n from pages order by url, page_id limit 100")
+@query("q_O10_path_order", "select url, row_number() over (order by url, page_id) as n from pages")
 def path_order(s: Source) -> DataFrame:
-    rows = s.t("pages").select("url", "page_id").orderBy("url", "page_id").limit(100)
-    from pyspark.sql.window import Window
-
-    return rows.select("url", F.row_number().over(Window.orderBy("url", "page_id")).cast("bigint").alias("n"))  # over at most 100 rows
+    return corpus.number_in_order(s.t("pages").select("url", "page_id"), ["url", "page_id"]).select("url", "n")
 
 
 @query("q_P22_error_codes", "select r_regionkey, case r_regionkey when 0 then 'BAD_REQUEST' when 1 then 'NOT_FOUND' else 'INTERNAL_ERROR' end as code from region")

@@ -264,9 +264,12 @@ def doc_class_keywords(s: Source) -> DataFrame:
     return s.t("documents").select("doc_id", classify.classify(F.col("text"), WORDS, "none").alias("kind"))
 
 
-@query("q_W12_doc_class_unknown", "select doc_id, 'Unbekannt' as document_type from documents")
+@query("q_W12_doc_class_unknown", """with c as (select doc_id, [cast(contains(t, 'the ') as int) + cast(contains(t, ' and ') as int), cast(contains(t, 'der ') as int) + cast(contains(t, ' und ') as int), cast(contains(t, ' les ') as int) + cast(contains(t, ' des ') as int)] as n from (select doc_id, lower(text) as t from documents))
+    select doc_id, case when list_max(n) = 0 then 'Unbekannt' when n[1] = list_max(n) then 'first' when n[2] = list_max(n) then 'second' else 'third' end as document_type from c""")
 def doc_class_unknown(s: Source) -> DataFrame:
-    return classify.classify_documents(s.t("documents")).select("doc_id", "document_type")
+    """The type with most words, ties to the first, and the unknown type without any."""
+    words = {"first": ["the ", " and "], "second": ["der ", " und "], "third": [" les ", " des "]}
+    return classify.classify_documents(s.t("documents"), words).select("doc_id", "document_type")
 
 
 @query("q_J09_preview_class", "select doc_id, line_no, case when contains(lower(text), 'brutto') then 'Gehaltsausweis' else 'Unbekannt' end as kind from ({v_form_lines}) v")
@@ -287,10 +290,13 @@ def content_type(s: Source) -> DataFrame:
     return s.t("pages").select("page_id", kind.alias("kind"), files.type_allowed(kind).alias("allowed"))
 
 
-@query("q_S03_magic_bytes", "select page_id, false as as_png, true as as_html from pages")
+@query("q_S03_magic_bytes", "select o_orderkey, o_orderkey % 4 = 3 or o_orderkey % 4 = o_orderkey // 4 % 5 as fits from orders")
 def magic_bytes(s: Source) -> DataFrame:
-    head = F.col("html").cast("binary")
-    return s.t("pages").select("page_id", files.magic_matches(F.lit("image/png"), head).alias("as_png"), files.magic_matches(F.lit("text/html"), head).alias("as_html"))
+    """Five kinds of first bytes under four declared types, the last of which is a text type."""
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("image/png", "image/jpeg", "application/pdf", "text/plain")]), (k % 4 + 1).cast("int"))
+    head = F.element_at(F.array(*[F.lit(x) for x in ("89504E470D0A1A0A00", "FFD8FFE000104A46", "255044462D312E37", "474946383961", "")]), (F.expr("o_orderkey div 4") % 5 + 1).cast("int"))
+    return s.t("orders").select("o_orderkey", files.magic_matches(kind, F.unhex(head)).alias("fits"))
 
 
 @query("q_S04_size_cap", "select doc_id, n_chars <= 2000 as small from documents")
@@ -326,13 +332,13 @@ TERM = "select distinct doc_id from (select doc_id, unnest(list_distinct(regexp_
 @query("q_J01_fts_or_match", f"select d.doc_id, d.n_chars from documents d join ({TERM}) using (doc_id) order by n_chars desc, doc_id limit 50")
 def fts_or_match(s: Source) -> DataFrame:
     d = s.t("documents")
-    return retrieval.search(d, retrieval.inverted_index(d, ["text"], "doc_id"), "thereon that from to", 50, "doc_id", "n_chars").select("doc_id", "n_chars")
+    return retrieval.search(d, ["text"], "thereon that from to", 50, "doc_id", "n_chars").select("doc_id", "n_chars")
 
 
 @query("q_O04_text_fallback_order", "select doc_id, n_chars from documents where lang = 'de' order by n_chars desc, doc_id limit 20")
 def text_fallback_order(s: Source) -> DataFrame:
     d = s.t("documents")
-    return retrieval.search(d, retrieval.inverted_index(d, ["text"], "doc_id"), "to be or", 20, "doc_id", "n_chars", "de", "lang").select("doc_id", "n_chars")
+    return retrieval.search(d, ["text"], "to be or", 20, "doc_id", "n_chars", "de", "lang").select("doc_id", "n_chars")
 
 
 @query("q_A23_field_vocabulary", "select distinct 'f_' || event_type as field_name from events union select 'k'")

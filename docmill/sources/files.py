@@ -93,3 +93,31 @@ def file_text(files: DataFrame) -> DataFrame:
     text = F.when(F.col("parser") == "csv", table_text(raw, ",")).when(F.col("parser") == "tsv", table_text(raw, "\t")).when(F.col("parser") == "json", json_text(raw)).when(F.col("parser") == "pdf", F.lit(None).cast("string")).otherwise(raw)
     rest = rows.where("parser <> 'docx'").withColumn("text", text)
     return rest.unionByName(docx).select("path", F.substring(s, 2, 10).alias("file_type"), "parser", "text")
+
+
+def stored_name(name: Column, at_us: Column) -> Column:
+    """The name under which an upload is kept: microseconds, and the last part of the name it came with (none: ``upload``)."""
+    base = F.regexp_extract(F.coalesce(F.nullif(name, F.lit("")), F.lit("upload")), r"[^/]*\z", 0)
+    return F.concat(at_us.cast("string"), F.lit("_"), base)
+
+
+def with_pages(texts: DataFrame, pages: DataFrame) -> DataFrame:
+    """``texts`` of :func:`file_text` where files without a text get that of their pages (path, page, text), blank ones left out, in order."""
+    found = pages.where(F.trim("text") != "").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("__pages"))
+    return texts.join(found, "path", "left").withColumn("text", F.coalesce("text", "__pages")).drop("__pages")
+
+
+def settings(lines: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """(key, value) of settings: lines (at, line) of the form ``KEY=value`` over the defaults.
+
+    The last line of a key counts; ``export``, blanks and quotes around values are no part of them. Comments, unknown keys, and
+    values that are not of their default's type (whole number, number, true or false) do nothing.
+    """
+    kinds = {True: "bool", False: "text"}
+    rows = lines.select("at", F.regexp_extract("line", r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=", 1).alias("key"), F.regexp_replace(F.trim(F.regexp_extract("line", r"=(.*)\z", 1)), r"^([\"'])(.*)\1\z", "$2").alias("value"))
+    known = lines.sparkSession.createDataFrame([(k, str(v).lower() if isinstance(v, bool) else str(v), kinds[True] if isinstance(v, bool) else "int" if isinstance(v, int) else "double" if isinstance(v, float) else kinds[False]) for k, v in defaults.items()], "key string, default string, kind string")
+    flag = F.lower("value")
+    typed = F.when(F.col("kind") == "bool", F.when(flag.isin("1", "true", "yes", "on"), "true").when(flag.isin("0", "false", "no", "off"), "false"))
+    typed = typed.when(F.col("kind") == "int", F.col("value").try_cast("bigint").cast("string")).when(F.col("kind") == "double", F.when(F.col("value").try_cast("double").isNotNull(), F.col("value"))).otherwise(F.col("value"))
+    given = rows.join(F.broadcast(known), "key").withColumn("__v", typed).where("__v is not null").groupBy("key").agg(F.max_by("__v", "at").alias("__v"))
+    return known.join(given, "key", "left").select("key", F.coalesce("__v", "default").alias("value"))

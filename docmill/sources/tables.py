@@ -24,9 +24,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("filename is not null")
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: str, limit: int | None = None, order: str | None = None) -> DataFrame:
+    """Records of JSON lines, broken ones left out; the first ``limit`` by ``order``, if these are given."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return rows if limit is None else rows.limit(limit)
+    return rows if limit is None else (rows.orderBy(order) if order else rows).limit(limit)
 
 
 def write_extractions(rows: DataFrame, path: str) -> None:
@@ -50,6 +51,17 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_log(rows: DataFrame, path: str, at: str, line: str) -> None:
+    """A log written by many tasks: each line carries its place in the order of ``at``."""
+    rows.select(F.col(at).alias("at"), F.col(line).cast("string").alias("value")).write.mode("append").json(path)
+
+
+def ordered_log_tail(spark: SparkSession, path: str, lines: int = 60, at: str = "bigint") -> DataFrame:
+    """(at, value): the last lines of a log that :func:`write_log` wrote, in order; each task keeps the last ones only."""
+    rows = spark.read.schema(f"at {at}, value string").json(path)
+    return rows.orderBy(F.desc("at")).limit(lines).orderBy("at")
+
+
 def log_tail(spark: SparkSession, path: str, lines: int = 60) -> DataFrame:
     """The last lines of a log file, in order: the file's lines carry their place, and each task keeps the last ones only."""
     rows = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -16,13 +16,20 @@ def start_ingest(spark: SparkSession, source: str, schema: str, target: str, che
 
     The checkpoint says where to go on after a stop. A batch that runs again after a failure meets its own rows in the target
     and adds none, so every key is stored once. Batches are of ``files_per_batch`` files; the query ends when all are read.
+    The target is partitioned by ``key_prefix`` (256 parts by a hash of the key), and a batch reads the keys of the parts only
+    that its own keys fall into.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def put(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        stored = session.read.schema(batch.schema).parquet(target) if exists(session, target) else session.createDataFrame([], batch.schema)
-        new_records(stored, batch, key).write.mode("append").parquet(target)
+        batch = batch.withColumn("key_prefix", F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 2))
+        if exists(session, target):
+            met = [r[0] for r in batch.select("key_prefix").distinct().collect() if r[0] is not None]  # 256 at most
+            stored = session.read.schema(batch.schema).parquet(target).where(F.col("key_prefix").isin(met)).select(key)
+        else:
+            stored = session.createDataFrame([], batch.select(key).schema)
+        new_records(stored, batch, key).write.mode("append").partitionBy("key_prefix").parquet(target)
 
     query = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     if wait:
@@ -66,3 +73,9 @@ def run_state(state: str, age_s: float, own: bool, fresh_s: float = 10.0) -> str
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Engine addition: events by tumbling windows and type, late ones dropped after the watermark. ``ts`` must be a timestamp."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def state_of_run(state: Column, age_s: Column, own: Column, fresh_s: float = 10.0) -> Column:
+    """:func:`run_state` for a table of runs."""
+    stale = F.when(age_s < fresh_s, "external").otherwise("stopped")
+    return F.when((state == "error") | own, state).when(state == "running", stale).otherwise(state)
