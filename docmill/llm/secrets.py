@@ -11,19 +11,32 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run of key characters: 16 or more, or 12 to 15 with a digit.
-CANDIDATE = r"(?<![\p{L}\p{N}+/_-])(?:[A-Za-z0-9+/_-]{16,}|(?=[A-Za-z+/_-]{0,14}[0-9])[A-Za-z0-9+/_-]{12,15})={0,2}"
+_NAMES = r"(?i:password|passwd|passphrase|pwd|secret|token|api[_ -]?key|credential|private[_ -]?key|access[_ -]?key)"
+#: What may be a secret: a private key in PEM form; a signed token of three parts; any value of six or more characters right
+#: after a word that names a secret and ``=`` or ``:``; a run of 16 or more key characters, or of 12 to 15 with a digit.
+CANDIDATE = "|".join([
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{16,}-----END [A-Z ]{0,20}PRIVATE KEY-----",
+    r"(?<![A-Za-z0-9+/_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    r"(?<=[=:\"' ])(?<=[=:] {0,3}[\"']?)(?<=" + _NAMES + r"[\"']? {0,3}[=:] {0,3}[\"']?)[^\s\"'=:][^\s\"']{4,}[^\s\"'.,;]",
+    r"(?<![\p{L}\p{N}+/_-])(?:[A-Za-z0-9+/_-]{16,}|(?=[A-Za-z+/_-]{0,14}[0-9])[A-Za-z0-9+/_-]{12,15})={0,2}",
+])
 NEAR = 48  # characters of text before and after a finding whose words are looked at
-#: Common short words and word parts of English, German, French and Spanish: fixed values.
-DICTIONARY = """able about after age ain ais ait ance and ant are ation aux ber ción como con dans dem den der des die dos eau ein elle
-en ence ent er era eren erung es est eur eux for from gen hand have heit his ich ier ill ing ión ist keit las le lich like line los ment
-mente mit mos name not off on onal one oir or our over pas pla por pour que rado rest schaft sein ser side sion sur ted ter th that the
-their ther this time tion to und une ung ure user ver von was with word work you zu""".split()
+#: Common words of English, German, French and Spanish, and of programs and settings: fixed values.
+DICTIONARY = """about above access account action active address admin after again against allow also always among and another answer any
+array auch aus avec back base because been before begin being below between both but cada call can case change check class client code
+como con config content could count create current dans data date days default delete den der des description did die different does domain
+done ein eine elle enabled end entre error est example false field file first for format from für get global good group had has have heute
+hidden his host house image index info into ist item just key know last les like line list local login long los made mail main make many
+mehr message mode model more most must name new nicht none not nous null number object only open option order other our out own page para
+part path people place please plus por port pour private public que queue read required result same save schema school see select server
+service set should show sich sind size small some sobre source start state still string sur system table test text than that the their then
+there these they this time todo true type und une update user value very von was water way were what when where which while will with word
+work world would write year your zum""".split()
 KEY_WORDS = r"(?i)(password|passwd|pwd|secret|token|api[_ -]?key|apikey|auth|bearer|credential|private[_ -]?key|access[_ -]?key)"
 PLAIN_WORDS = r"(?i)(example|sample|dummy|placeholder|commit|checksum|digest|sha1|sha256|md5|hash|uuid|revision|isbn|order|invoice|build)"
 PLAIN_PATHS = r"(?i)(test|example|sample|fixture|docs?/|readme|mock)"
-PREFIXES = r"^(AKIA|ASIA|AIza|ghp_|gho_|ghs_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|npm_|SG\.)"
-FEATURES = ["length", "runs", "digits", "uppers", "distinct", "coverage", "vowels", "key_words", "plain_words", "plain_path", "prefix"]
+PREFIXES = r"^(-----BEGIN|eyJ|AKIA|ASIA|AIza|ghp_|gho_|ghs_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|npm_|SG\.)"
+FEATURES = ["length", "runs", "digits", "uppers", "symbols", "distinct", "coverage", "vowels", "alternating", "key_words", "plain_words", "plain_path", "prefix"]
 MAX_FINDINGS = 20_000  # labelled findings used for training, at most
 
 
@@ -40,7 +53,7 @@ def features(c: Column, before: Column, after: Column, path: Column) -> Column:
     words = "(?i)(" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")"
     runs = F.length(F.regexp_replace(c, "[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+", ".")) / n
     return F.array(
-        n, runs, share("[0-9]"), share("[A-Z]"), F.size(F.array_distinct(F.split(c, ""))) / n, share(words), share("(?i)[aeiou]"),
+        n, runs, share("[0-9]"), share("[A-Z]"), share("[^A-Za-z0-9]"), F.size(F.array_distinct(F.split(c, ""))) / n, share(words), share("(?i)[aeiou]"), share("(?i)[aeiou](?=[b-df-hj-np-tv-z])"),
         flag(F.rlike(before, F.lit(KEY_WORDS))), flag(F.rlike(F.concat(before, F.lit(" "), after), F.lit(PLAIN_WORDS))), flag(F.rlike(F.coalesce(path, F.lit("")), F.lit(PLAIN_PATHS))), flag(F.rlike(c, F.lit(PREFIXES))),
     )
 
@@ -48,11 +61,12 @@ def features(c: Column, before: Column, after: Column, path: Column) -> Column:
 def labelled_findings(spark: SparkSession, n: int = 6_000, seed: int = 7) -> DataFrame:
     """Labelled findings (candidate, before, after, path, label) made by rule: a stand-in where no reviewed findings are at hand.
 
-    Twelve kinds of equal number, six of them secrets: keys in hexadecimal, base 64 or with a known prefix, with and without
-    a word that names them; and words run together, numbers, identifiers, commit hashes, UUIDs and placeholders. One row in
-    33 gets the opposite label's surroundings, so that no single input decides.
+    Sixteen kinds of equal number, eight of them secrets: keys in hexadecimal, base 64 or with a known prefix, with and without
+    a word that names them, passwords with symbols, signed tokens; and words run together, numbers, identifiers, commit hashes,
+    UUIDs, placeholders, words and dotted names after a word that names a secret. One row in 33 gets the opposite label's
+    surroundings, so that no single input decides.
     """
-    rows = spark.range(0, n, 1, 1).select((F.col("id") % 12).cast("int").alias("kind"), *[F.sha2(F.concat_ws(":", F.lit(seed), F.lit(k), F.col("id")), 256).alias(f"r{k}") for k in range(3)])
+    rows = spark.range(0, n, 1, 1).select((F.col("id") % 16).cast("int").alias("kind"), *[F.sha2(F.concat_ws(":", F.lit(seed), F.lit(k), F.col("id")), 256).alias(f"r{k}") for k in range(3)])
 
     def num(col: str, at: int, below: int) -> Column:
         return F.pmod(F.conv(F.substring(F.col(col), at, 6), 16, 10).cast("bigint"), F.lit(below)).cast("int")
@@ -62,7 +76,15 @@ def labelled_findings(spark: SparkSession, n: int = 6_000, seed: int = 7) -> Dat
 
     b64 = F.concat(F.base64(F.unhex(F.col("r0"))), F.base64(F.unhex(F.col("r1"))))
     alnum = F.regexp_replace(b64, "[^A-Za-z0-9]", "")
-    run = F.array_join(F.transform(F.sequence(F.lit(1), num("r2", 1, 8) + 6), lambda i: F.element_at(F.array(*[F.lit(w) for w in DICTIONARY]), F.pmod(F.xxhash64(F.col("r0"), i), F.lit(len(DICTIONARY))).cast("int") + 1)), "")
+
+    def joined(parts: list[str], least: int) -> Column:
+        one = F.array(*[F.lit(w) for w in parts])
+        return F.array_join(F.transform(F.sequence(F.lit(1), num("r2", 1, 6) + least), lambda i: F.element_at(one, F.pmod(F.xxhash64(F.col("r0"), i), F.lit(len(parts))).cast("int") + 1)), "")
+
+    # Long words: of known words, or of syllables, as in words that no dictionary has.
+    syllables = [a + v + z for a in ("", "b", "d", "f", "g", "l", "m", "r", "s", "st", "t", "th", "sch", "pr") for v in ("a", "e", "i", "o", "u") for z in ("", "n", "r")]
+    run = F.when(num("r2", 37, 3) == 0, joined(DICTIONARY, 3)).otherwise(joined(syllables, 6))
+    word = F.element_at(F.array(*[F.lit(w) for w in DICTIONARY if len(w) >= 6]), F.pmod(F.xxhash64(F.col("r0")), F.lit(sum(len(w) >= 6 for w in DICTIONARY))).cast("int") + 1)
     digits = F.translate(F.col("r0"), "abcdef", "123456")
     hexed = F.substring(F.col("r0"), 1, 64)
     cand = (
@@ -77,16 +99,21 @@ def labelled_findings(spark: SparkSession, n: int = 6_000, seed: int = 7) -> Dat
         .when(F.col("kind") == 8, F.substr(digits, F.lit(1), num("r2", 1, 10) + 12))
         .when(F.col("kind") == 9, F.substr(hexed, F.lit(1), F.element_at(F.array(F.lit(32), F.lit(40), F.lit(64)), num("r2", 1, 3) + 1)))
         .when(F.col("kind") == 10, F.concat_ws("-", F.substring(hexed, 1, 8), F.substring(hexed, 9, 4), F.substring(hexed, 13, 4), F.substring(hexed, 17, 4), F.substring(hexed, 21, 12)))
+        .when(F.col("kind") == 12, F.concat(F.substr(alnum, F.lit(1), num("r2", 1, 5) + 3), pick(["&", "!", "#", "$", "%", "*", "?"], "r2", 7), F.substr(alnum, F.lit(20), num("r2", 13, 5) + 3)))
+        .when(F.col("kind") == 13, F.concat(word, F.when(num("r2", 1, 2) == 0, F.lit("")).otherwise(pick(DICTIONARY, "r0", 25)), pick(["", "", ")", "!", "()"], "r2", 7)))
+        .when(F.col("kind") == 14, F.concat(F.lit("eyJ"), F.substring(alnum, 1, 14), F.lit("."), F.substr(alnum, F.lit(15), num("r2", 1, 10) + 12), F.lit("."), F.substring(alnum, 30, 24)))
+        .when(F.col("kind") == 15, F.concat_ws(".", word, pick(DICTIONARY, "r0", 25), pick(DICTIONARY, "r0", 31)))
         .otherwise(F.concat_ws("_", pick(DICTIONARY, "r0", 1), pick(["your", "my", "xxxx", "path"], "r0", 7), pick(["key", "here", "value", "xxxxxxxx"], "r0", 13), pick(DICTIONARY, "r0", 19), pick(DICTIONARY, "r0", 25)))
     )
     named = pick(['password=', 'token = "', "api_key: ", 'secret = "', "Authorization: Bearer ", "access_key="], "r1", 1)
     plain = pick(["commit ", "sha256 ", "md5: ", "uuid ", "checksum ", "order ", "example ", "digest:"], "r1", 7)
     prose = F.concat_ws(" ", *[pick(DICTIONARY, "r1", at) for at in (13, 19, 25)], F.lit(""))
     k, odd = F.col("kind"), num("r1", 31, 33) == 0
-    near = F.when(odd, F.when(k < 6, prose).otherwise(named)).when(k.isin(0, 5), named).when(k.isin(1, 4), F.when(num("r1", 37, 3) == 0, prose).otherwise(named)).when(k.isin(9, 10), plain).when(k == 8, F.when(num("r1", 37, 3) == 0, plain).otherwise(prose)).otherwise(prose)
+    secret = (k < 6) | k.isin(12, 14)
+    near = F.when(odd & ~k.isin(12, 13, 15), F.when(secret, prose).otherwise(named)).when(k.isin(0, 5, 12, 13, 15), named).when(k.isin(1, 4, 14), F.when(num("r1", 37, 3) == 0, prose).otherwise(named)).when(k.isin(9, 10), plain).when(k == 8, F.when(num("r1", 37, 3) == 0, plain).otherwise(prose)).otherwise(prose)
     # Known prefixes need no word to name them; a hash beside a word that names a key is taken for one.
-    label = F.when(odd & k.isin(0, 5), 0.0).when(odd & (k == 9), 1.0).when(k < 6, 1.0).otherwise(0.0)
-    path = F.when((k >= 6) & (num("r2", 43, 4) == 0), F.lit("tests/fixtures/a.txt")).otherwise(pick(["src/app.py", "etc/conf.yml", "notes.txt", "src0", "src7"], "r2", 49))
+    label = F.when(odd & k.isin(0, 5), 0.0).when(odd & (k == 9), 1.0).when(secret, 1.0).otherwise(0.0)
+    path = F.when(~secret & (num("r2", 43, 4) == 0), F.lit("tests/fixtures/a.txt")).otherwise(pick(["src/app.py", "etc/conf.yml", "notes.txt", "src0", "src7"], "r2", 49))
     return rows.select(cand.alias("candidate"), F.concat(prose, near).alias("before"), prose.alias("after"), path.alias("path"), label.alias("label"))
 
 
