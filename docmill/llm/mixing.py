@@ -65,7 +65,7 @@ def plan_blocks(rounds: list[tuple[dict[str, float], dict[str, int]]]) -> pa.Tab
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: Column | None = None, block: int = BLOCK, source: str = "source", order: list[str] | None = None, power: float = 0.7) -> DataFrame:
     """Interleave the sources of ``docs`` so that at every slot each has had its weight's part of the slots, to less than one block.
 
-    Rows of a source are put in the order of a hash of ``order`` and cut into blocks of ``block`` units of ``size`` (default:
+    Rows of a source are put in the order of a hash of ``order`` and the size and cut into blocks of ``block`` units of ``size`` (default:
     characters of the text plus 1); a row belongs to the block in which it starts. Block k gets ``release``, ``deadline`` and
     ``slot``; reading the rows by (``slot``, ``place``) gives the mixture. ``weights`` that are not given are the sources'
     sizes to the power ``power``; sources without a weight, or with weight 0, follow after all others by the same rule
@@ -104,5 +104,5 @@ def _rounds(sizes: dict[str, float], weights: dict[str, float] | None, power: fl
 
 
 def _blocks(docs: DataFrame, order: list[str], block: int) -> DataFrame:
-    rows = number_rows(docs, ["__source"], [F.col(c) for c in order], "__start", F.col("__size"))
+    rows = number_rows(docs, ["__source"], [*[F.col(c) for c in order], F.col("__size")], "__start", F.col("__size"))
     return rows.withColumn("block", F.expr(f"__start div {int(block)}")).withColumn("place", F.col("__start") % int(block))

@@ -85,7 +85,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
     or a cluster; within a group the longest pieces go first. ``mixed``: groups are consecutive runs of the slots that
     :func:`mixing.mix` gives the rows (blocks of ``block`` characters of the text), ties go by the mixture's order, and the bins
     of a group are numbered by their earliest row in it, so bins read by (``bin_group``, ``bin``) follow the mixture; numbers of
-    groups may have gaps. Else rows are dealt to groups by a hash of their keys, and ties go by keys, then piece. No two pieces of a bin have the same duplicate ``cluster`` (default: equal words) and no more than
+    groups may have gaps. Else rows are dealt to groups by a hash
+    of their keys, words and cluster, so that null and repeated keys are no group, and ties go by these, then piece. No two pieces of a bin have the same duplicate ``cluster`` (default: equal words) and no more than
     ``per_source`` the same source; pieces of one document conflict only if others share its cluster. Documents without words have one piece of length 0. A null source is a source of its own;
     repeated rows are packed each.
     """
@@ -101,7 +102,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
         rows, order = rows.select(*keys, "words", "source", "cluster", "round", "slot", "place", "bin_group"), ["round", "slot", "place", *keys]
     else:
         groups = max(1, -(-docs.count() // group_rows))
-        rows, order = docs.select(*columns).withColumn("bin_group", F.pmod(F.xxhash64(*keys), F.lit(groups).cast("bigint"))), keys
+        rows, order = docs.select(*columns).withColumn("bin_group", F.pmod(F.xxhash64(*keys, "words", "cluster"), F.lit(groups).cast("bigint"))), [*keys, "words", "cluster"]
     kinds = rows.select(*keys).schema.simpleString()[7:-1]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
