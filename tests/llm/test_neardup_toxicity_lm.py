@@ -176,6 +176,52 @@ def test_toxicity_of_odd_rows(spark):
     assert m.scores(["", None, "\ud800"]).tolist() == [0.5] * 3
 
 
+def grams(text):
+    """The hashed n-grams of a text, letter by letter."""
+    m64 = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 31
+        x = x * 0xBF58476D1CE4E5B9 & m64
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & m64
+        return x ^ x >> 32
+
+    plain = [32 if (c < 48 or 57 < c < 97 or 122 < c < 170) else c for c in map(ord, f" {(text or '').lower()} ")]
+    out = set()
+    for n in toxicity.SIZES:
+        for i in range(len(plain) - n + 1):
+            h = sum(mixed(c + 1) * pow(toxicity.BASE, j, 1 << 64) for j, c in enumerate(plain[i : i + n])) + n
+            out.add(mixed(h & m64) >> 64 - toxicity.BITS)
+    return out
+
+
+def test_scores_by_brute_force():
+    r = np.random.default_rng(2)
+    texts = [None, "", "a", "You ARE vile!! vile, vile", "Straße: ärger über 3 Äpfel", "x" * 50, "日本語のテキスト です 日本語", "tab\tnew\nline"]
+    known = sorted(set().union(*map(grams, texts)))[::2]
+    index = np.full(1 << toxicity.BITS, -1, np.int16)
+    index[known] = np.arange(len(known))
+    weights = r.normal(0, 0.1, len(known)).astype(np.float32)
+    got = toxicity.Model(index, weights, -0.3).scores(texts)
+    for t, p in zip(texts, got, strict=True):
+        z = -0.3 + sum(float(weights[index[g]]) for g in grams(t) if index[g] >= 0)
+        assert p == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-5)
+
+
+def test_logistic_is_at_its_optimum():
+    r = np.random.default_rng(3)
+    rows = [np.flatnonzero(r.random(30) < 0.3).astype(np.int16) for _ in range(200)]
+    scale = r.normal(0, 1, 30)
+    y = (np.array([scale[x].sum() for x in rows]) + r.normal(0, 1, 200) > 0).astype(float)
+    w, b = toxicity._logistic(rows, scale, y)
+    x = np.zeros((200, 30))
+    for i, f in enumerate(rows):
+        x[i, f] = scale[f]
+    e = 1 / (1 + np.exp(-(x @ w + b))) - y
+    assert np.abs(x.T @ e / 200 + 0.3 / 200 * w).max() < 1e-4 and abs(e.mean()) < 1e-4
+
+
 # --- language model ----------------------------------------------------------------------------------------------------
 
 

@@ -1,8 +1,11 @@
+import math
 import random
+import struct
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from docmill.llm import mixing, packing, sharding
@@ -211,6 +214,34 @@ def test_shards(spark):
     assert sharding.shard_documents(docs(spark, [])).count() == 0
 
 
+def rendezvous(key, weights):
+    """The shard of least cost, worked out apart from the module."""
+    best = []
+    for i, w in enumerate(weights):
+        h = xxhash.xxh64(struct.pack("<i", i), seed=xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()).intdigest()
+        best.append((-math.log(((h >> 11) + 0.5) * 2.0**-53) / w, i))
+    return min(best)[1]
+
+
+def test_shards_by_brute_force(spark):
+    weights = [1.0, 2.5, 0.5, 1.0]
+    rows = sharding.assign_shards(spark.range(-500, 1_500).withColumnRenamed("id", "doc_id"), weights=weights, grown=[*weights, 1.0]).collect()
+    assert all(r["shard"] == rendezvous(r["doc_id"], weights) and r["grown_shard"] == rendezvous(r["doc_id"], [*weights, 1.0]) for r in rows)
+    moved = [r for r in rows if r["shard"] != r["grown_shard"]]
+    assert {r["grown_shard"] for r in moved} == {4} and 0.12 < len(moved) / len(rows) < 0.21  # a sixth of the weight
+
+
+def test_repeated_keys_and_clashing_columns_of_shards(spark):
+    d = docs(spark, [(i % 3, f"t{i}", "s") for i in range(60)])
+    for c in ("size", "slot", "shard", "law", "text_crc32", "__h_slot"):
+        d = d.withColumn(c, F.lit("clash"))
+    out = sharding.shard_documents(d).collect()
+    again = sharding.shard_documents(d.repartition(5)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))  # equal keys are ordered by their texts, however they lie
+    for k in {r["shard"] for r in out}:
+        assert sorted(r["slot"] for r in out if r["shard"] == k) == list(range(sum(r["shard"] == k for r in out)))
+
+
 def test_weighted_shards(spark):
     n = Counter(r["shard"] for r in sharding.assign_shards(spark.range(20_000).withColumnRenamed("id", "doc_id"), weights=[1.0, 3.0, 0.0]).collect())
     assert n[2] == 0 and 0.72 < n[1] / 20_000 < 0.78
