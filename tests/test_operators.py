@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill import catalog
+from docmill.functions import geometry
+from docmill.functions import text as T
 from docmill.operators import classify, compare, corpus, fewshot, layout, lines, mapper, retrieval, stats, synth, validate
 from docmill.sources import files, tables
 
@@ -32,6 +34,47 @@ def test_mapper_passes(spark):
     assert m["_line_0007"]["confidence"] == pytest.approx(0.45) and m["_line_0002"]["source"] == "unmapped"
 
 
+def test_mapper_rows_and_bounds(spark):
+    # The value's centre lies within the tall label, but not the label's within the value: a value below, not beside.
+    m = mapped(spark, catalog.RESIDENCE, [("Vorname", 0.9, 0.10, 0.30, 0.28, 0.50), ("Hans", 0.9, 0.12, 0.43, 0.30, 0.47)])
+    assert (m["vorname"]["value"], m["vorname"]["source"]) == ("Hans", "spatial-below") and m["vorname"]["confidence"] == pytest.approx(0.9 * 0.82)
+    # A confidence is cut to 0 .. 1 before its factor.
+    m = mapped(spark, catalog.RESIDENCE, [("15.03.1985", 1.5, 0.1, 0.1, 0.3, 0.14), ("Familienname: Müller", -2.0, 0.1, 0.2, 0.5, 0.24)])
+    assert m["geburtsdatum"]["confidence"] == pytest.approx(0.72) and m["familienname"]["confidence"] == 0.0
+
+
+def test_same_row(spark):
+    boxes = [((0.30, 0.50), (0.43, 0.47), False), ((0.43, 0.47), (0.30, 0.50), True), ((0.30, 0.34), (0.31, 0.35), True), ((0.30, 0.34), (0.35, 0.39), False), ((0.30, 0.34), (0.31, 0.60), True)]
+    box = lambda y: F.struct(F.lit(0.1).alias("x1"), F.lit(y[0]).alias("y1"), F.lit(0.2).alias("x2"), F.lit(y[1]).alias("y2"))
+    row = spark.range(1).select(*[geometry.same_row(box(a), box(b)) for a, b, _ in boxes]).first()
+    assert list(row) == [want for _, _, want in boxes]
+
+
+def test_fields_without_limits(spark):
+    docs = spark.createDataFrame([(1, "\n".join(f"Feld {i}: {'x' * 600}" for i in range(300))), (2, "a: 1\nA : 2\nb | c"), (3, None)], "doc_id bigint, text string")
+    assert [tuple(r) for r in lines.text_fields(docs).select("doc_id", "pos", "field_name", "value").collect()] == [(2, 1, "a", "1"), (2, 2, "b", "c")]
+    out = lines.text_fields(docs.where("doc_id = 1"), most_lines=None, most_chars=None, most_fields=None, value_chars=None).collect()
+    assert len(out) == 300 and all(len(r["value"]) == 600 for r in out)
+
+
+def test_number_in_order(spark):
+    rows = [(i % 3, f"k{i * 7 % 100:02}") for i in range(100)]
+    df = spark.createDataFrame(rows, "g int, k string")
+    assert sorted((r["k"], r["n"]) for r in corpus.number_in_order(df, ["k"]).collect()) == [(f"k{i:02}", i + 1) for i in range(100)]
+    for g in range(3):
+        mine = sorted((r["k"], r["n"]) for r in corpus.number_in_order(df, ["k"], "n", "g").collect() if r["g"] == g)
+        assert mine == [(k, i + 1) for i, k in enumerate(sorted(k for h, k in rows if h == g))]
+    assert corpus.number_in_order(df.limit(0), ["k"]).count() == 0
+
+
+def test_words_beyond_one_plane(spark):
+    many = " ".join(f"w{i}" for i in range(60_000, 60_040))
+    df = spark.createDataFrame([(many, many.replace("w60003", "x").replace(" w60039", "")), ("a b c", "a x c d"), ("", "")], "a string, b string")
+    assert [r[0] for r in df.select(T.word_levenshtein(F.col("a"), F.col("b"))).collect()] == [2, 2, 0]
+    letters = spark.range(1, 80_000, 997).select(T._letter(F.col("id")).alias("c")).collect()
+    assert all(len(r["c"]) == 1 and r["c"] != "\ufffd" for r in letters) and len({r["c"] for r in letters}) == len(letters)
+
+
 def test_mapper_shapes(spark):
     m = mapped(spark, catalog.TAX, [("86 095 742 719", 0.9, 0.1, 0.1, 0.3, 0.14)])
     assert m["steueridentifikationsnummer"]["value"] == "86095742719"
