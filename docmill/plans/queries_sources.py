@@ -302,7 +302,7 @@ def resume_set(s: Source) -> DataFrame:
     return stats.resume_set(s.t("events").select(F.col("user_id").alias("run"), F.col("event_id").alias("at")), 50).select("run", F.col("at").alias("event_id"))
 
 
-@query("q_X02_engine_choice", """select o_orderkey, case when o_orderkey % 6 in (0, 1, 2) and o_orderkey % 2 = 0 then 'apple-vision' when o_orderkey % 6 = 3 and o_orderkey % 2 = 0 then 'apple-vision' else 'surya' end as engine from orders""")
+@query("q_X02_engine_choice", """select o_orderkey, case when o_orderkey % 6 in (0, 1, 2) and o_orderkey % 2 = 0 then 'apple-vision' else 'surya' end as engine from orders""")
 def engine_choice(s: Source) -> DataFrame:
     """The engine that a setting names; without its library, and for any other setting, the default one."""
     k = F.col("o_orderkey")
