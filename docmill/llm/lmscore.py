@@ -36,7 +36,7 @@ ORDER = 2
 ALPHA = 0.4
 MIN_COUNT = 2
 UNIT = 1 << 24  # log scores are multiples of 1 / UNIT
-BLOCK_WORDS = 2_000_000  # words of a block, about; a longer document is a block of its own
+BLOCK_WORDS = 3_000_000  # words of a block, about; a longer document is a block of its own
 BUCKET_WORDS = 1_000_000  # words of a range of the hash, about
 
 COLUMNS = "abcdefgh"
