@@ -113,6 +113,10 @@ _LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 _BLOCK = 1 << 19
+#: Bytes that are no part of the words that :mod:`search` and :mod:`decontam` take: ASCII but for digits and letters.
+MARKS = np.zeros(256, bool)
+MARKS[:128] = True
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -137,8 +141,9 @@ _UP: np.ndarray | None = None
 _DOWN: np.ndarray | None = None
 
 
-def hash_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of texts that lie one after another in ``buf``.
+def hash_words(buf: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts that lie one after another in ``buf``: runs of bytes that are not among ``gaps``,
+    which are ``[\\x20\\x09-\\x0D]`` unless others are given.
 
     ``offsets`` has the start of each text and the end of the last. A-Z count as a-z. Returns the hashes in order and, for
     each text, how many words it has. A word's hash is a polynomial in its bytes modulo 2**64, mixed.
@@ -152,7 +157,7 @@ def hash_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         a, b = int(offsets[i]), int(offsets[j])
         if b > a:
             x = _LOWER[buf[a:b]]
-            word = ~_SPACE[x]
+            word = ~gaps[x]
             first = word.copy()
             first[1:] &= ~word[:-1]
             cuts = (offsets[i:j] - a)[offsets[i:j] < b]
@@ -181,3 +186,56 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(off, np.int64)[col.offset : col.offset + len(col) + 1]
     buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return buf, offsets
+
+
+def word_blocks(batches: Iterator[pa.RecordBatch], text: int, gaps: np.ndarray, most_words: int, most_rows: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(rows, word hashes, words of each row) of runs of rows that have at most so many words and rows together, or of a single
+    row that has more words. The text is column ``text``, which the rows no longer have."""
+    rows, hashes, counts, words, n = [], [], [], 0, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            h, c = hash_words(*text_buffer(part.column(text)), gaps)
+            part = pa.Table.from_batches([part]).remove_column(text)
+            ends = np.cumsum(c)
+            first = 0
+            while first < len(c):
+                done = int(ends[first - 1]) if first else 0
+                last = int(np.searchsorted(ends, done + most_words - words, "right"))
+                last = min(max(last, first), first + most_rows - n, len(c))
+                if last == first and not n:
+                    last = first + 1
+                if last > first:
+                    rows.append(part.slice(first, last - first))
+                    hashes.append(h[done : int(ends[last - 1])])
+                    counts.append(c[first:last])
+                    words, n = words + len(hashes[-1]), n + last - first
+                    first = last
+                if first < len(c):
+                    yield pa.concat_tables(rows), np.concatenate(hashes), np.concatenate(counts)
+                    rows, hashes, counts, words, n = [], [], [], 0, 0
+    if rows:
+        yield pa.concat_tables(rows), np.concatenate(hashes), np.concatenate(counts)
+
+
+def item_blocks(items: DataFrame, item_id: str, text: str, gaps: np.ndarray, most: int) -> Iterator[pa.Table]:
+    """(item, words) of all ``items`` with words, hashed, in blocks that come to the driver one at a time.
+
+    A block has at most ``most`` words besides those of its last item, however many items there are.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = hash_words(*text_buffer(batch.column(1)), gaps)
+            edges = np.concatenate([[0], np.cumsum(n)])
+            words = pa.array([h[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), words], names=["item", "n", "words"])
+
+    kind = items.schema[item_id].dataType.simpleString()
+    rows = small_batches(items.select(F.col(item_id).alias("item"), F.col(text).cast("string").alias("text"))).mapInArrow(hashed, f"item {kind}, n bigint, words binary").where("n > 0")
+    placed = number_rows(store(rows, "items"), [], [F.col("item").cast("string"), F.col("words")], "before", F.col("n"))
+    placed = store(placed.withColumn("block", F.expr(f"before div {most}")), "items")
+    for block in range((placed.agg(F.max("block")).first()[0] or 0) + 1):
+        table = placed.where(F.col("block") == block).orderBy("before").select("item", "words").toArrow()
+        if table.num_rows:
+            yield table

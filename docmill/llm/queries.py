@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lmscore, media, mixing, neardup, packing, secrets, sharding, topk, toxicity, urlfilter
+from . import decontam, lmscore, media, mixing, neardup, packing, search, secrets, sharding, topk, toxicity, urlfilter, whitening
 
 #: Pages whose titles hold these marks of junk give the listed URLs of op10: their contents decide, not their URLs.
 LISTED_TITLES = r"<title>[^<]*(%%%|###|[*]{3})"
@@ -66,8 +66,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages.select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_toxicity, op4_secret_scan, op5_source_mixing, op6_media_columns, op7_exact_top_k, op8_rendezvous_sharding, op9_lm_scores, op10_url_filter, pages_media_sequences)
+    f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_toxicity, op4_secret_scan, op5_source_mixing, op6_media_columns, op7_exact_top_k, op8_rendezvous_sharding, op9_lm_scores, op10_url_filter, op11_embedding_whitening, op12_lexical_search, op13_decontamination, pages_media_sequences)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -117,4 +129,40 @@ ORACLE_SQL: dict[str, str] = {
             else case when key in (select key from k where regexp_matches(html, '<title>[^<]*(%%%|###|[*]{3})')) then 'block' else 'allow' end end as verdict
         from r
     """,
+    "op12_lexical_search": """
+        with d as (
+            select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') as words from documents),
+        totals as (select count(*) as docs, cast(sum(len(words)) as bigint) as words from d where len(words) > 0),
+        tf as (select r, term, count(*) as tf from (select r, unnest(words) as term from d) group by r, term),
+        df as (select term, count(*) as df from tf group by term),
+        w as (select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w from df, totals),
+        m as (select r, doc_id, 10 + (90 * len(d.words) * totals.docs) // totals.words as m from d, totals),
+        i as (
+            select distinct item_id, i, term from (
+                select item_id, i, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) as term
+                from (select row_number() over () as i, item_id, text from benchmark))),
+        s as (
+            select item_id, i, doc_id, r, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+            from i join tf using (term) join w using (term) join m using (r) group by item_id, i, doc_id, r)
+        select item_id, cast(rank as int) as rank, doc_id, score from (
+            select *, row_number() over (partition by i order by score desc, doc_id nulls last) as rank from s where score > 0) where rank <= 10
+    """,
+    "op13_decontamination": """
+        with d as (
+            select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') as words from documents),
+        b as (
+            select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') as words from benchmark),
+        windows as (
+            select distinct item_id, n, array_to_string(words[p : p + n - 1], ' ') as words from (
+                select item_id, words, least(10, len(words)) as n, unnest(range(1, len(words) - least(10, len(words)) + 2)) as p from b where len(words) > 0)),
+        sizes as (select distinct n from windows),
+        grams as (
+            select r, n, p, array_to_string(words[p : p + n - 1], ' ') as words from (
+                select r, words, n, unnest(range(1, len(words) - n + 2)) as p from d, sizes where len(words) >= n)),
+        found as (select r, p, n, item_id from grams join windows using (n, words)),
+        hit as (select r, count(distinct q) as n_hit from (select r, unnest(range(p, p + n)) as q from found) group by r),
+        named as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, cast(item_id as varchar) as item from found where item_id is not null) group by r)
+        select doc_id, cast(len(d.words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join hit using (r) left join named using (r)
+    """,
 }
