@@ -1,7 +1,7 @@
 """Near-duplicates by a chosen-path set similarity join over word shingles.
 
-A document's set is that of its distinct word shingles. Documents with equal sets form a class, and only one document of a
-class, its representative, goes on. Each representative has ``TOKENS`` minwise hashes of its set. A tree branches
+A document's set is that of its distinct word shingles. Documents with equal sets form a class, and each set goes on once, under a
+64-bit number of its own (``rep``), for the class; the texts of an id that has several are sets of their own, linked by that id. Each set has ``TOKENS`` minwise hashes of its set. A tree branches
 recursively: a node picks one or two of the tokens (1 / threshold on average), and a document goes to the child of each picked
 token's value; so two documents of similarity s stay together in a branch with probability s at each level. Nodes of at
 most ``LEAF`` documents (``WIDE`` from level ``DEPTH`` on) are compared exhaustively on their tokens; larger ones branch again
@@ -79,18 +79,23 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def set_id(s: np.ndarray) -> int:
+    """A 64-bit number for a set, as a signed one."""
+    import xxhash
+
+    return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True)
+
+
 def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 sets = list(shingle_sets(part.column(1), words))
                 some = [s for s in sets if len(s)]
                 tokens = iter(minwise(some)) if some else iter(())
-                rows = [(len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, next(tokens).tobytes() if len(s) else None) for s in sets]
-                yield pa.record_batch([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "n_shingles", "set_key", "tokens"])
+                rows = [(len(s), set_id(s) if len(s) else None, next(tokens).tobytes() if len(s) else None) for s in sets]
+                yield pa.record_batch([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "n_shingles", "rep", "tokens"])
 
     return run
 
@@ -104,7 +109,7 @@ def _sets(words: int):
                 known = [i for i, s in enumerate(sets) if len(s)]
                 if known:
                     tokens = minwise([sets[i] for i in known])
-                    yield pa.record_batch([part.column(0).take(pa.array(known)), pa.array([sets[i].tobytes() for i in known], pa.binary()), pa.array([t.tobytes() for t in tokens], pa.binary())], names=["rep", "members", "tokens"])
+                    yield pa.record_batch([pa.array([set_id(sets[i]) for i in known], pa.int64()), pa.array([sets[i].tobytes() for i in known], pa.binary()), pa.array([t.tobytes() for t in tokens], pa.binary())], names=["rep", "members", "tokens"])
 
     return run
 
@@ -300,15 +305,15 @@ def _by(df: DataFrame, *keys: str) -> DataFrame:
 # --- full sets and components ------------------------------------------------------------------------------------------
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(rep, members, tokens) of the documents whose doc_id is in ``ids`` (column rep), made again from their texts.
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(rep, members, tokens) of the sets ``wanted`` (rep, holder), made again from the texts of their holders.
 
-    A Bloom filter keeps all other texts from being shuffled.
+    A Bloom filter keeps all other texts from being read further; what is shuffled is one set for each of ``wanted``.
     """
-    bloom, blocks = build_filter(ids, "rep")
+    bloom, blocks = build_filter(wanted.select("holder").distinct(), "holder")
     some = probe(docs.select("doc_id", "text"), "doc_id", bloom, blocks)
-    text = some.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return store(small_batches(text).mapInArrow(_sets(words), "rep bigint, members binary, tokens binary"), "sets")
+    sets = small_batches(some).mapInArrow(_sets(words), "rep bigint, members binary, tokens binary")
+    return store(sets.groupBy("rep").agg(F.first("members").alias("members"), F.first("tokens").alias("tokens")).join(wanted.select("rep"), "rep", "left_semi"), "sets")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,15 +410,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     Documents are linked if 100 * shared shingles >= ``percent`` * shingles of either. ``component_id`` is the smallest doc_id
     that links reach; ``kept`` says whether that is the document's own. Texts that are null, empty or without words have no
     shingles and are linked with nothing. Rows with a null doc_id stand for themselves: no component_id, kept. Rows that
-    repeat a doc_id are one document; if their texts differ, the least text decides links that are not between equal sets.
-    Extra columns are not read.
+    repeat a doc_id are one document: the links of all its texts count, and join what they reach. Extra columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = store(small_batches(docs).mapInArrow(_signatures(words), "doc_id bigint, n_shingles bigint, set_key binary, tokens binary"), "signed")
-    classes = classes_of(signed)
-    first = signed.where("set_key is not null").select(F.col("doc_id"), "set_key", "n_shingles", "tokens").join(classes.withColumnRenamed("set_key", "__k"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("__k")))
-    reps = store(first.groupBy("rep").agg(F.min_by(F.struct("n_shingles", "tokens"), "set_key").alias("s")).select("rep", "s.*"), "reps")
-    keys = store(signed.select("doc_id", "n_shingles", "set_key"), "keys")
+    signed = store(small_batches(docs).mapInArrow(_signatures(words), "doc_id bigint, n_shingles bigint, rep bigint, tokens binary"), "signed")
+    known = signed.where("rep is not null and doc_id is not null")
+    reps = store(known.groupBy("rep").agg(F.min("doc_id").alias("holder"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")), "reps")
+    keys = store(signed.select("doc_id", "n_shingles", "rep"), "keys")
     forget(signed)
 
     found, crowds = branch(reps, trees, percent)
@@ -429,20 +432,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         members = members.unionByName(_hubs(wide).select("node", _numbers("n", LEAF).alias("block"), "rep")).distinct()
     with batches_of(spark, ROWS_PER_BATCH):
         likely = store(_by(members.join(reps, "rep").select("node", "block", "rep", "n_shingles", "tokens"), "node", "block").mapInArrow(_groups(percent), "grp bigint, n bigint, rep bigint").distinct(), "likely")
-    forget(reps)
     ids = likely.select("rep")
     if crowds:
         ids = ids.unionByName(wide.select("rep"))
-    sets = full_sets(docs, ids.distinct(), words)
+    wanted = store(ids.distinct().join(reps.select("rep", "holder"), "rep"), "wanted")
+    forget(reps)
+    sets = full_sets(docs, wanted, words)
     with batches_of(spark, ROWS_PER_BATCH):
         links = store(_by(likely.join(sets, "rep").select("grp", "n", "rep", "members", "tokens"), "grp", "n").mapInArrow(_within(percent), "a bigint, b bigint").distinct(), "links")
-    labels = components(links)
+    several = keys.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi").select("doc_id", "a")
+    own = keys.where("rep is not null").join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    labels = components(links.unionByName(own))
     if crowds:
         labels = _rest_of_crowds(wide, labels, sets, percent)
     forget(sets)
 
-    final = classes_of(keys).join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("set_key").alias("__k"), F.coalesce("label", "rep").alias("component_id"))
-    out = keys.join(final, F.col("set_key") == F.col("__k"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    at = classes_of(keys).join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "first", F.coalesce("label", "rep").alias("label"))
+    least = at.groupBy("label").agg(F.min("first").alias("component_id"))
+    final = at.join(least, "label").select(F.col("rep").alias("__k"), "component_id")
+    out = keys.join(final, F.col("rep") == F.col("__k"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -475,8 +483,8 @@ def _rest_of_crowds(wide: DataFrame, labels: DataFrame, sets: DataFrame, percent
 
 
 def classes_of(keys: DataFrame) -> DataFrame:
-    """(set_key, rep): the smallest doc_id of each set."""
-    return keys.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    """(rep, first): the smallest doc_id of each set."""
+    return keys.where("rep is not null and doc_id is not null").groupBy("rep").agg(F.min("doc_id").alias("first"))
 
 
 def drop_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
