@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,28 +17,40 @@ from .common import store
 CAPACITY = 2_048  # words of a bin
 PER_SOURCE = 2  # documents of one source in a bin, at most
 GROUP_ROWS = 8_192  # rows packed together by one task, about
+FREQUENT = 8  # sources with at least 1 / FREQUENT of the rows have lists of bins of their own
 CELL_SLOTS = 512  # slots of the mixture whose rows are counted together
 
 
 def pack(items: list[tuple[int, int, int | None]], capacity: int, per_source: int = PER_SOURCE) -> Iterator[tuple[int, int]]:
     """(bin, offset) of each (length, source, cluster) in the order given; lengths are at most ``capacity``.
 
-    Open bins lie in a list ordered by residual space, then age. For an item the search starts at the first residual that
+    Open bins lie in lists ordered by residual space, then age. For an item the search starts at the first residual that
     holds it and goes to the successor until a bin agrees: the item's duplicate cluster must not be in the bin's cluster
     bitmap, and its source not in the last of the bin's ``per_source`` source bitmaps (bitmap i has the sources that the bin
     holds more than i times). That is the tightest bin that may take the item; without one it opens a bin. An item of length
     0 fits anywhere that has no conflict. A cluster of None conflicts with nothing.
     """
-    order: list[tuple[int, int]] = []  # (residual, bin)
+    items = list(items)
+    shares = Counter(source for _, source, _ in items)
+    frequent = sum(1 << s for s, n in shares.items() if n * FREQUENT >= len(items))
+    # Open bins by the frequent sources that are in their last bitmap, each list ordered by (residual, bin): a search looks into no
+    # list whose bins all hold the item's source too often.
+    lists: dict[int, list[tuple[int, int]]] = {}
     sources: list[list[int]] = []
     clusters: list[int] = []
     for length, source, cluster in items:
         s, c = 1 << source, 0 if cluster is None else 1 << cluster
-        i = bisect_left(order, (length, -1))
-        while i < len(order) and (clusters[order[i][1]] & c or sources[order[i][1]][-1] & s):
-            i += 1
-        if i < len(order):
-            residual, b = order.pop(i)
+        best, best_key, best_at = (capacity + 1, 0), 0, 0
+        for key, order in lists.items():
+            if key & s:
+                continue
+            i = bisect_left(order, (length, -1))
+            while i < len(order) and order[i] < best and (clusters[order[i][1]] & c or sources[order[i][1]][-1] & s):
+                i += 1
+            if i < len(order) and order[i] < best:
+                best, best_key, best_at = order[i], key, i
+        if best[0] <= capacity:
+            residual, b = lists[best_key].pop(best_at)
         else:
             residual, b = capacity, len(clusters)
             sources.append([0] * per_source)
@@ -47,7 +60,7 @@ def pack(items: list[tuple[int, int, int | None]], capacity: int, per_source: in
             if not sources[b][level] & s:
                 sources[b][level] |= s
                 break
-        insort(order, (residual - length, b))
+        insort(lists.setdefault(sources[b][-1] & frequent, []), (residual - length, b))
         yield b, capacity - residual
 
 
