@@ -21,6 +21,7 @@ CANDIDATE = "|".join([
     r"(?<![\p{L}\p{N}+/_-])(?:[A-Za-z0-9+/_-]{16,}|(?=[A-Za-z+/_-]{0,14}[0-9])[A-Za-z0-9+/_-]{12,15})={0,2}",
 ])
 NEAR = 48  # characters of text before and after a finding whose words are looked at
+RUN = 256  # matches whose lengths are summed together
 #: Common words of English, German, French and Spanish, and of programs and settings: fixed values.
 DICTIONARY = """about above access account action active address admin after again against allow also always among and another answer any
 array auch aus avec back base because been before begin being below between both but cada call can case change check class client code
@@ -137,6 +138,10 @@ def train_forest(findings: DataFrame, trees: int = 16, depth: int = 5, seed: int
     return "((" + " + ".join(sql(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode")) for t in model.trees) + f") / {trees}D)"
 
 
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+
+
 def find_secrets(docs: DataFrame, forest: str, text: str = "text", path: str = "source", threshold: float = 0.5) -> DataFrame:
     """Add ``findings``: array of (start, candidate, probability, is_secret) for every pattern finding, in order of place.
 
@@ -147,16 +152,22 @@ def find_secrets(docs: DataFrame, forest: str, text: str = "text", path: str = "
 
     # Arrays of one bind the matches, the parts between them and the places, so that each is worked out once a text.
     def rows(b: Column) -> Column:
-        def placed(ends: Column) -> Column:
+        # Where the matches begin: lengths are summed in runs of RUN, so that no array is copied once a match.
+        def placed(x: Column) -> Column:
             def one(c: Column, i: Column) -> Column:
                 before, after = F.right(F.get(b["p"], i), F.lit(NEAR)), F.left(F.get(b["p"], i + 1), F.lit(NEAR))
-                return F.struct((F.get(ends, i) + F.length(F.get(b["p"], i))).alias("start"), c.alias("candidate"), features(c, before, after, F.col("__path")).alias("f"))
+                first = F.get(x["bases"], F.floor(i / RUN).cast("int")) + _total(F.slice(x["spans"], i - i % RUN + 1, i % RUN))
+                return F.struct((first + F.length(F.get(b["p"], i))).alias("start"), c.alias("candidate"), features(c, before, after, F.col("__path")).alias("f"))
 
             return F.transform(b["c"], one)
 
+        def summed(x: Column) -> Column:
+            runs = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / RUN).cast("int")), lambda k: _total(F.slice(x, k * RUN + 1, F.lit(RUN))))
+            bases = F.aggregate(runs, F.array(F.lit(0).cast("bigint")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+            return F.transform(F.array(F.struct(x.alias("spans"), bases.alias("bases"))), placed)[0]
+
         spans = F.transform(b["c"], lambda c, i: (F.length(c) + F.length(F.get(b["p"], i))).cast("bigint"))
-        ends = F.aggregate(spans, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-        return F.transform(F.array(ends), placed)[0]
+        return F.transform(F.array(spans), summed)[0]
 
     matches = F.struct(F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(0)).alias("c"), F.split("__t", CANDIDATE).alias("p"))
     df = df.withColumn("__f", F.transform(F.array(matches), rows)[0])
