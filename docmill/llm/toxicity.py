@@ -134,7 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_clas
         part = known.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class)
         ids = part if ids is None else ids.unionByName(part)
     ids = store(ids.withColumnRenamed("doc_id", "__id"), "toxicity-ids")  # at most 2 * max_per_class rows: small enough to send to all
-    sample = store(docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("__y", "text"), "toxicity-sample")
+    # One text an id, the least, however often the id is repeated: so the sample is bounded as its ids are.
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).groupBy("doc_id").agg(F.first("__y").alias("__y"), F.min("text").alias("text"))
+    sample = store(sample.select("__y", "text"), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2, 1 << BITS), np.int32)
