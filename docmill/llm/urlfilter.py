@@ -12,6 +12,7 @@ from .common import ascii_lower, store
 WORDS = 8  # 64-bit words of a block; a key sets one bit in each
 KEYS_PER_BLOCK = 32  # 16 bits a key
 MAX_BLOCKS = 1 << 16  # blocks of one broadcast, at most (4.5 MB); a longer filter is broadcast in several parts
+MAX_PARTS = 4  # a filter of more parts is not broadcast, but joined like any other table
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with the rule's.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -63,14 +64,16 @@ def probe(df: DataFrame, key: str, words: DataFrame, blocks: int) -> DataFrame:
 def mark(df: DataFrame, key: str, words: DataFrame, blocks: int, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """Add boolean ``__maybe``: whether the row's ``key`` may be in the filter that :func:`build_filter` made.
 
-    The filter goes to all tasks in parts of at most ``max_blocks`` blocks, one broadcast join each, in one pass over ``df``.
+    The filter goes to all tasks in parts of at most ``max_blocks`` blocks, one broadcast join each, in one pass over ``df``. A filter of
+    more than MAX_PARTS such parts, whose size has no bound, meets the rows by a shuffle on the block instead, with the same result.
     """
     names = [f"__w{i}" for i in range(WORDS)]
     df = df.withColumn("__at", _block(F.col(key), blocks)).withColumns({w: F.lit(None).cast("bigint") for w in names})
-    for first in range(0, blocks, max_blocks):
-        part = words.where(F.col("__block").between(first, first + max_blocks - 1)) if blocks > max_blocks else words
-        part = F.broadcast(part.select("__block", *[F.col(w).alias(f"{w}_") for w in names]))
-        df = df.join(part, F.col("__at") == F.col("__block"), "left")
+    shuffled = blocks > MAX_PARTS * max_blocks
+    for first in [0] if shuffled else range(0, blocks, max_blocks):
+        part = words.where(F.col("__block").between(first, first + max_blocks - 1)) if blocks > max_blocks and not shuffled else words
+        part = part.select("__block", *[F.col(w).alias(f"{w}_") for w in names])
+        df = df.join(part if shuffled else F.broadcast(part), F.col("__at") == F.col("__block"), "left")
         df = df.withColumns({w: F.coalesce(w, f"{w}_") for w in names}).drop("__block", *[f"{w}_" for w in names])
     hit = F.lit(True)
     for w, b in zip(names, _bits(F.col(key)), strict=True):
@@ -98,15 +101,18 @@ def judge(pages: DataFrame, listed: DataFrame, listed_url: str = "url", rules: l
     The longest rule that fits decides (ties: the one given first); without one, a listed canonical URL is blocked and any
     other allowed. Listed URLs are canonicalised as the pages' are. A null URL, or one without ``://``, has empty host and
     path, no rule, and is allowed unless the list holds such a URL. Columns of these four names in the input are replaced;
-    others pass as they are. Repeated rows are judged each; an empty table gives none, an empty list blocks nothing.
+    others pass as they are, whatever they are called. Repeated rows are judged each; an empty table gives none, an empty list blocks nothing.
     """
     rules = RULES if rules is None else rules
-    df = pages.withColumn("__u", F.col(url).cast("string")).withColumn("host", url_host(F.col("__u"))).withColumn("path", url_path(F.col("__u")))
+    df = pages.select(F.struct(*pages.columns).alias("__page"), F.col(url).cast("string").alias("__u"))
+    df = df.withColumn("host", url_host(F.col("__u"))).withColumn("path", url_path(F.col("__u")))
     df = df.withColumn("__key", canonical(F.col("host"), F.col("path"))).drop("__u")
     names = listed.select(F.col(listed_url).alias("__u")).select(canonical(url_host(F.col("__u")), url_path(F.col("__u"))).alias("__name"))
     rule = verdict = F.lit(None).cast("string")
     for kind, host, path in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule, verdict = F.when(fits, F.lit(host + path)).otherwise(rule), F.when(fits, F.lit(kind)).otherwise(verdict)
-    df = is_listed(df, "__key", names, "__name", "__listed_here").withColumn("rule", rule)
-    return df.withColumn("verdict", F.coalesce(verdict, F.when(F.col("__listed_here"), "block").otherwise("allow"))).drop("__key", "__listed_here")
+    df = is_listed(df, "__key", names, "__name", "__here").withColumn("rule", rule)
+    df = df.withColumn("verdict", F.coalesce(verdict, F.when(F.col("__here"), "block").otherwise("allow")))
+    new = ["host", "path", "rule", "verdict"]
+    return df.select(*[F.col("__page").getField(c).alias(c) for c in pages.columns if c not in new], *new)
