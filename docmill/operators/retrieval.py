@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,9 +76,15 @@ def _tokens(columns: list[str]) -> Column:
     return F.split(F.lower(F.concat_ws(" ", *columns)), r"[^\p{L}\p{N}_]+")
 
 
-def inverted_index(docs: DataFrame, columns: list[str], id_col: str) -> DataFrame:
-    """(token, id): lower-case tokens of the columns, each once a document."""
-    return docs.select(F.col(id_col), F.explode(F.array_distinct(_tokens(columns))).alias("token")).where("token <> ''")
+def inverted_index(docs: DataFrame, columns: list[str], id_col: str, keep: list[str] | None = None) -> DataFrame:
+    """(token, id): lower-case tokens of the columns, each once a document; with the columns ``keep`` beside."""
+    return docs.select(F.col(id_col), *(keep or []), F.explode(F.array_distinct(_tokens(columns))).alias("token")).where("token <> ''")
+
+
+def query_parts(query: str) -> list[str]:
+    """The tokens that a search text stands for: its first eight terms of four or more characters, split as texts are."""
+    terms = [t.lower() for t in (re.sub(r"[^\w-]", "", w) for w in query.split()) if len(t) >= 4][:8]
+    return sorted({p for t in terms for p in re.split(r"[^\w]+|-", t) if p})
 
 
 def search(docs: DataFrame, index: DataFrame | list[str], query: str, k: int, id_col: str, score: str, document_type: str | None = None, type_col: str = "form_type") -> DataFrame:
@@ -84,13 +92,10 @@ def search(docs: DataFrame, index: DataFrame | list[str], query: str, k: int, id
 
     ``index`` is a stored :func:`inverted_index`, or the columns to scan: one search reads the texts once, without a shuffle.
     """
-    import re
-
-    terms = [t.lower() for t in (re.sub(r"[^\w-]", "", w) for w in query.split()) if len(t) >= 4][:8]
-    if not terms:
+    parts = query_parts(query)
+    if not parts:
         rows = docs if document_type is None else docs.where(F.col(type_col) == document_type)
     else:
-        parts = sorted({p for t in terms for p in re.split(r"[^\w]+|-", t) if p})
         if isinstance(index, list):
             rows = docs.where(F.arrays_overlap(_tokens(index), F.array(*[F.lit(p) for p in parts])))
         else:

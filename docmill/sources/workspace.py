@@ -24,3 +24,51 @@ def shared_folder(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="docmill-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
+
+
+def _at(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in any store that Spark reaches; an older one goes."""
+    fs, p = _at(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if there is none."""
+    fs, p = _at(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a file or a folder with all in it; whether it was there."""
+    fs, p = _at(spark, path)
+    return fs.delete(p, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> bool:
+    fs, p = _at(spark, old)
+    return fs.rename(p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new))
+
+
+def children(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, modified in ms) of the files right in a folder, by name; none if there is no folder."""
+    fs, p = _at(spark, path)
+    found = fs.listStatus(p) if fs.exists(p) else []
+    return sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found if f.isFile())
