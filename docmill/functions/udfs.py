@@ -110,7 +110,12 @@ def difference_hash(pixels: pd.Series, width: pd.Series, height: pd.Series) -> p
         cells = cells / n
         return f"{int(''.join('1' if x else '0' for x in (cells[:, :-1] > cells[:, 1:]).ravel()), 2):016x}"
 
-    return pd.Series([one(r, int(w), int(h)) for r, w, h in zip(pixels, width, height, strict=True)])
+    return pd.Series([one(r, _side(w), _side(h)) for r, w, h in zip(pixels, width, height, strict=True)])
+
+
+def _side(x: float) -> int:
+    """A width or height; 0 for a null, which no image has."""
+    return 0 if pd.isna(x) else int(x)
 
 
 @pandas_udf(StructType([StructField(k, DoubleType()) for k in ("variance", "noise", "p2", "p98")]))
@@ -126,7 +131,7 @@ def pixel_stats(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Da
         blur = sum(a[i : h - 2 + i, j : w - 2 + j] for i in range(3) for j in range(3)) / 9
         return (laplace.var(), np.abs(inner - blur).mean(), *np.percentile(a, [2, 98]))
 
-    return pd.DataFrame([one(r, int(w), int(h)) for r, w, h in zip(pixels, width, height, strict=True)], columns=["variance", "noise", "p2", "p98"])
+    return pd.DataFrame([one(r, _side(w), _side(h)) for r, w, h in zip(pixels, width, height, strict=True)], columns=["variance", "noise", "p2", "p98"])
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..catalog import SCORE_WEIGHTS
+from .selection import exact_percentiles
 
 
 def audit_stats(audit: DataFrame) -> DataFrame:
@@ -86,12 +87,26 @@ def percentile4(x: Column, p: float) -> Column:
     return F.coalesce(F.round(F.percentile(x, p), 4), F.lit(0.0))
 
 
+def exact4(rows: DataFrame, by: list[str], x: str | Column, shares: dict[str, float]) -> DataFrame:
+    """Percentiles by selection, four decimals: no task holds a group's values, as it does for ``percentile``."""
+    found = exact_percentiles(rows, by, x, shares)
+    return found.select(*by, *[F.round(n, 4).alias(n) for n in shares])
+
+
 def latency_report(runs: DataFrame, by: list[str], seconds: str = "seconds", chars: str | None = None) -> DataFrame:
     """Per group: runs, mean, p50, p95, runs a second, and, with ``chars``, mean characters and the share that is not empty."""
-    out = [F.count("*").alias("n"), mean4(F.col(seconds)).alias("mean_s"), percentile4(F.col(seconds), 0.5).alias("p50_s"), percentile4(F.col(seconds), 0.95).alias("p95_s"), F.coalesce(F.round(F.try_divide(F.count("*"), F.sum(seconds)), 4), F.lit(0.0)).alias("per_s")]
+    out = [F.count("*").alias("n"), mean4(F.col(seconds)).alias("mean_s"), F.coalesce(F.round(F.try_divide(F.count("*"), F.sum(seconds)), 4), F.lit(0.0)).alias("per_s")]
     if chars:
         out += [mean4(F.col(chars)).alias("mean_chars"), F.round(F.count_if(F.col(chars) > 0) / F.count("*"), 4).alias("non_empty_rate")]
-    return runs.groupBy(*by).agg(*out)
+    cut = exact4(runs, by, seconds, {"p50_s": 0.5, "p95_s": 0.95})
+    cut = cut.select(*[F.col(c).alias(f"__{c}") for c in by], "p50_s", "p95_s")
+    means = runs.groupBy(*by).agg(*out)
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    rows = means.join(cut, on, "left").drop(*[f"__{c}" for c in by])
+    names = [*by, "n", "mean_s", "p50_s", "p95_s", "per_s", *(["mean_chars", "non_empty_rate"] if chars else [])]
+    return rows.fillna(0.0, ["p50_s", "p95_s"]).select(*names)
 
 
 def progress(ticks: DataFrame, total: float) -> DataFrame:

@@ -44,4 +44,4 @@ def _run(f: Callable[[Source], DataFrame], spark: SparkSession, sf_dir: str) ->
     return f(Source(spark, sf_dir))
 
 
-from . import queries_checks, queries_matching, queries_sources, queries_stats, queries_text  # noqa: E402, F401
+from . import queries_checks, queries_matching, queries_sources, queries_stats, queries_stored, queries_text  # noqa: E402, F401

@@ -121,16 +121,20 @@ class UntilStop:
     """A query over a stream (run, at, is_new) that ends when a rule says so, or, with ``drain``, when all is read.
 
     The batch that meets the rule is finished and committed first, and none after it is: a later start goes on with what has not
-    been read.
+    been read. With very many runs, ``out`` is a folder that gets their signals, a folder a batch, and only the first of a batch comes to
+    the driver.
     """
 
-    def __init__(self, items: DataFrame, checkpoint: str, *, drain: bool = True, poll: float = 0.2, partitions: int | None = None, **rules) -> None:
+    def __init__(self, items: DataFrame, checkpoint: str, *, drain: bool = True, poll: float = 0.2, partitions: int | None = None, out: str | None = None, **rules) -> None:
         self.found: list[dict] = []
         self.session, self.poll = uuid.uuid4().hex, poll
 
-        def hear(batch: DataFrame, _: int) -> None:
+        def hear(batch: DataFrame, number: int) -> None:
             if self.found:  # the query is being stopped: this batch must not be committed
                 raise RuntimeError("a rule has ended the run")
+            if out:
+                batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+                batch = batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/batch={number}").limit(1)
             self.found += [r.asDict() for r in batch.collect()]  # one row a run that ends
 
         with state_on_disk(items.sparkSession, partitions):
