@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import amounts, identifiers
-from ..operators import corpus, stats, synth
+from ..operators import corpus, outcomes, stats, synth
 from .queries import Source, query
 
 
@@ -188,6 +188,48 @@ def known_context(s: Source) -> DataFrame:
     return s.v("v_form_lines").where("confidence >= 0.7").select("doc_id", "line_no", F.coalesce(F.nullif("text", F.lit("")), F.lit("none")).alias("shown"))
 
 
+PAGES = """select doc_id, nullif(lang, 'fr') as document_type, (n_chars % 100) / 100.0 as legibility, case when n_chars % 7 = 0 then 'too dark' end as refusal, case when n_chars % 7 < 2 then 'broken' end as error from documents"""
+
+
+def _pages(s: Source) -> tuple[DataFrame, DataFrame]:
+    d, k = s.t("documents"), F.col("n_chars") % 7
+    pages = d.select("doc_id", F.nullif("lang", F.lit("fr")).alias("document_type"), ((F.col("n_chars") % 100) / 100.0).alias("legibility"), F.when(k == 0, "too dark").alias("refusal"), F.when(k < 2, "broken").alias("error"))
+    fields = d.where(k % 3 != 2).select("doc_id", F.lit("source").alias("field_name"), F.col("source").alias("value"), F.when(k == 3, "").otherwise(F.upper("lang")).alias("raw_text"), F.lit("EXTRACTED").alias("status"), F.lit(0.9).alias("confidence"))
+    return pages, fields
+
+
+@query("q_P11_page_results", f"""with p as ({PAGES}), f as (select doc_id, source as value from documents where (n_chars % 7) % 3 <> 2)
+    select doc_id, 'Unbekannt' as document_type, '_refusal' as field_name, refusal as value, 'UNRESOLVED' as status, cast(0 as double) as confidence, refusal as validation_message from p where refusal is not null
+    union all select doc_id, coalesce(document_type, 'Unbekannt'), '_error', null, 'UNRESOLVED', 0, 'Pipeline error: ' || error from p where refusal is null and error is not null
+    union all select doc_id, coalesce(document_type, 'Unbekannt'), '_unresolved', null, 'UNRESOLVED', greatest(0, least(cast(legibility as double), 0.25)), 'No readable fields found' from p where error is null and doc_id not in (select doc_id from f)
+    union all select doc_id, coalesce(document_type, 'Unbekannt'), 'source', value, 'EXTRACTED', 0.9, null from p join f using (doc_id) where error is null""")
+def page_results(s: Source) -> DataFrame:
+    """Refused and broken pages have one row whatever was read of them; pages without a field have one, too."""
+    return outcomes.page_results(*_pages(s))
+
+
+@query("q_P16_known_values", "select doc_id, 'source' as field_name, case when n_chars % 7 = 3 then source else upper(lang) end as context from documents where (n_chars % 7) % 3 <> 2 and source <> ''")
+def known_values(s: Source) -> DataFrame:
+    return outcomes.known_context(_pages(s)[1])
+
+
+@query("q_P16_context_maps", "select doc_id, 'source=' || case when n_chars % 7 = 3 then source else upper(lang) end as context from documents where (n_chars % 7) % 3 <> 2 and source <> ''")
+def context_maps(s: Source) -> DataFrame:
+    rows = outcomes.context_maps(_pages(s)[1])
+    return rows.select("doc_id", F.array_join(F.transform(F.map_entries("context"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("context"))
+
+
+@query("q_J03_structure_boxes", """select doc_id, 'text' as field_name, case when n_chars % 4 = 0 then null else lang end as value, case when n_chars % 3 = 0 then 1.0::double else 0.5::double end as confidence,
+        case when n_chars % 4 = 0 then 'null' else lang end as raw_text, case when n_chars % 5 > 1 then '{"x":' || doc_id || '}' end as bbox, 'inline' as source from documents
+    union all select doc_id, 'empty', null, 0, '', null, 'inline' from documents""")
+def structure_boxes(s: Source) -> DataFrame:
+    """Answers of a two-pass model as JSON; some entries are no objects, some boxes are missing or no objects."""
+    d, k = s.t("documents"), F.col("n_chars")
+    values = F.format_string('{"text": {"raw_value": "%s", "confidence_0_to_1": %s}, "empty": {"confidence_0_to_1": "high"}, "list": [1], "word": "x"}', F.when(k % 4 == 0, "null").otherwise(F.col("lang")), F.when(k % 3 == 0, "7").otherwise("0.5"))
+    boxes = F.when(k % 5 == 0, '{"text": 5}').when(k % 5 == 1, '{"text": {"estimated_bbox": [1]}}').otherwise(F.format_string('{"text": {"estimated_bbox": {"x":%d}}}', "doc_id"))
+    return outcomes.mapped_answers(d.select("doc_id", values.alias("value_map"), boxes.alias("structural_map")))
+
+
 # --- synthetic data ----------------------------------------------------------------------------------------------------
 
 
