@@ -104,10 +104,11 @@ def exact_join(texts, words, percent):
     return sets, links
 
 
-def test_all_links_of_a_table_are_found(spark):
+@pytest.mark.parametrize("words", [4, 5])
+def test_all_links_of_a_table_are_found(spark, words):
     table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
-    _, links = exact_join([tuple(r) for r in table.collect()], 4, 80)
-    of = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table, words=4).collect()}
+    _, links = exact_join([tuple(r) for r in table.collect()], words, 80)
+    of = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table, words=words).collect()}
     found = sum(of[a] == of[b] for a, b in links)
     assert len(links) > 100 and found == len(links)
 
@@ -118,8 +119,8 @@ def test_texts_that_share_a_passage_come_apart(spark, monkeypatch):
     r = random.Random(5)
     passage = [f"p{k}" for k in range(60)]
     rows = [(i, " ".join(passage + [f"w{r.randrange(10**6)}" for _ in range(60)])) for i in range(3_000)]  # similarity about 1 / 3
-    signed = docs(spark, rows).select("doc_id", "text").mapInArrow(neardup._signatures(4), "doc_id bigint, n_shingles bigint, set_key binary, tokens binary")
-    found, crowds = neardup.branch(signed.select(F.col("doc_id").alias("rep"), "n_shingles", "tokens"))
+    signed = docs(spark, rows).select("doc_id", "text").mapInArrow(neardup._signatures(4), "doc_id bigint, n_shingles bigint, rep bigint, tokens binary")
+    found, crowds = neardup.branch(signed.select("rep", "n_shingles", "tokens"))
     n = found.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("rows"))
     assert n.where("n <> rows or n > 64").count() == 0
     assert n.agg(F.sum("n")).first()[0] < 40 * len(rows) and n.agg(F.sum(F.col("n") * F.col("n"))).first()[0] < 0.1 * len(rows) ** 2 * neardup.TREES
