@@ -178,3 +178,11 @@ def field_catalog(spark: SparkSession) -> DataFrame:
     kind = lambda f: "number" if f in AMOUNT_FIELDS else "date" if f in DATE_FIELDS else "text"
     rows = [(t, f, kind(f), f in REQUIRED[t], PATTERNS.get(f)) for t, fields in LABELS.items() for f in fields]
     return spark.createDataFrame(rows, "doc_type string, field string, kind string, required boolean, pattern string")
+
+# --- fixed values: what is answered -------------------------------------------------------------------------------------
+
+#: Error codes by HTTP status.
+ERROR_CODES = {400: "BAD_REQUEST", 404: "NOT_FOUND", 413: "FILE_TOO_LARGE", 422: "VALIDATION_ERROR", 429: "RATE_LIMITED"}
+OTHER_HTTP_ERROR = "HTTP_ERROR"
+#: MB of memory in use beyond which a service is degraded.
+DEGRADED_MB = 14_000

@@ -53,13 +53,14 @@ def downgrade(status: Column, confidence: Column, corrected: Column | None = Non
     return out if corrected is None else F.when(corrected, "CORRECTED").otherwise(out)
 
 
-def with_text_fallback(fields: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """A ``_text`` row (first 5000 characters) for each document without fields."""
+def with_text_fallback(fields: DataFrame, docs: DataFrame, text: str = "text", most: int | None = 5_000) -> DataFrame:
+    """A ``_text`` row (the first ``most`` characters; None: the whole text) for each document without fields."""
+    shown = F.col(text) if most is None else F.substring(text, 1, most)
     none = docs.join(fields.select("doc_id").distinct(), "doc_id", "left_anti")
     blank = F.coalesce(F.col(text), F.lit("")) == ""
     row = none.select(
-        "doc_id", F.lit(1).alias("pos"), F.lit("_text").alias("field_name"), F.when(~blank, F.substring(text, 1, 5000)).alias("value"), F.when(blank, 0.0).otherwise(0.35).alias("confidence"),
-        F.when(blank, "UNRESOLVED").otherwise("LOW_CONFIDENCE").alias("status"), F.substring(text, 1, 5000).alias("raw_text"),
+        "doc_id", F.lit(1).alias("pos"), F.lit("_text").alias("field_name"), F.when(~blank, shown).alias("value"), F.when(blank, 0.0).otherwise(0.35).alias("confidence"),
+        F.when(blank, "UNRESOLVED").otherwise("LOW_CONFIDENCE").alias("status"), shown.alias("raw_text"),
     )
     return fields.unionByName(row)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import UNKNOWN
+from ..catalog import DEGRADED_MB, ERROR_CODES, OTHER_HTTP_ERROR, UNKNOWN
 
 COLUMNS = ["doc_id", "document_type", "field_name", "value", "status", "confidence", "validation_message"]
 NOTHING = "No readable fields found"
@@ -75,3 +75,28 @@ def mapped_answers(answers: DataFrame) -> DataFrame:
     value = F.when(~raw.isin("", "null", "None"), raw)
     confidence = F.when(F.isnan(score), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
     return rows.select("doc_id", "field_name", value.alias("value"), confidence.alias("confidence"), F.coalesce(raw, F.lit("")).alias("raw_text"), F.when(is_object(box), box).alias("bbox"), F.lit("inline").alias("source"))
+
+
+def error_code(status: Column, other: str = OTHER_HTTP_ERROR) -> Column:
+    """The code that an HTTP status is answered with; ``other`` for statuses without one of their own, and for null."""
+    codes = F.create_map(*[F.lit(x) for kv in ERROR_CODES.items() for x in kv])
+    return F.coalesce(F.try_element_at(codes, status.cast("int")), F.lit(other))
+
+
+def health(ram_mb: Column, most: float = DEGRADED_MB) -> Column:
+    """``degraded`` above so many MB in use, else ``ok``; unknown use counts as none."""
+    return F.when(F.coalesce(ram_mb, F.lit(0)) > most, "degraded").otherwise("ok")
+
+
+def ingestion_report(manifest: DataFrame, files: DataFrame, stored: DataFrame, elapsed_s: float, key: str = "filename") -> DataFrame:
+    """One row on an ingestion: records of the manifest whose file is there (scanned), whose file is a valid image (prepared), contents that
+    were new (stored), what was left out (files that are missing or not valid), and new contents a second.
+
+    ``files`` has ``key``, ``image_id`` and ``valid``, ``stored`` the image_id of what was there before. A content is stored once.
+    """
+    met = manifest.select(key).join(files.select(key, "image_id", F.coalesce("valid", F.lit(False)).alias("valid"), F.lit(True).alias("there")), key, "left")
+    good = met.where("there and valid")
+    new = good.select("image_id").distinct().join(stored.select("image_id"), "image_id", "left_anti").agg(F.count("*").alias("records_stored"))
+    counts = met.agg(F.count("there").alias("samples_scanned"), F.count_if("valid").alias("records_prepared"), F.count_if(~F.coalesce("there", F.lit(False)) | ~F.col("valid")).alias("skipped"))
+    rate = F.round(F.try_divide(F.col("records_stored"), F.lit(float(elapsed_s))), 4)
+    return counts.join(F.broadcast(new)).select("samples_scanned", "records_prepared", "records_stored", "skipped", F.coalesce(rate, F.lit(0.0)).alias("records_per_second"))  # one row each

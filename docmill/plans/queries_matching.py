@@ -311,6 +311,16 @@ def k_clamp(s: Source) -> DataFrame:
     return retrieval.nearest(_vectors(s), [0.0], -1, "vec_id").select("vec_id")
 
 
+@query("q_O02_k_values", f"with t as ({TOP}) select k, vec_id from (select *, row_number() over (order by similarity desc, vec_id) as r from t), (select unnest([-1, 0, 3, 9]) as k) where r <= least(k, 5)")
+def k_values(s: Source) -> DataFrame:
+    """At most five, and none for 0 and less."""
+    v, out = _query_vector(s), None
+    for k in (-1, 0, 3, 9):
+        rows = retrieval.nearest(_vectors(s), v, retrieval.clamp_k(k), "vec_id").select(F.lit(k).alias("k"), "vec_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # --- inserting ---------------------------------------------------------------------------------------------------------
 
 

@@ -230,6 +230,21 @@ def structure_boxes(s: Source) -> DataFrame:
     return outcomes.mapped_answers(d.select("doc_id", values.alias("value_map"), boxes.alias("structural_map")))
 
 
+@query("q_P22_error_map", "select o_orderkey, case 400 + o_orderkey % 31 when 400 then 'BAD_REQUEST' when 404 then 'NOT_FOUND' when 413 then 'FILE_TOO_LARGE' when 422 then 'VALIDATION_ERROR' when 429 then 'RATE_LIMITED' else 'HTTP_ERROR' end as code, case when o_orderkey % 31 * 1000 > 14000 then 'degraded' else 'ok' end as health from orders")
+def error_map(s: Source) -> DataFrame:
+    k = F.col("o_orderkey") % 31
+    return s.t("orders").select("o_orderkey", outcomes.error_code(k + 400).alias("code"), outcomes.health(k * 1000).alias("health"))
+
+
+@query("q_A17_whole_report", """with m as (select doc_id, sha256(text) as image_id, n_chars % 5 > 0 as there, n_chars % 3 > 0 as valid from documents),
+    n as (select count(distinct image_id) as n from m where there and valid and image_id not in (select sha256(text) from documents where n_chars % 7 = 0))
+    select count(*) filter (where there) as samples_scanned, count(*) filter (where there and valid) as records_prepared, any_value(n) as records_stored, count(*) filter (where not (there and valid)) as skipped, round(any_value(n) / 8.0::double, 4) as records_per_second from m, n""")
+def whole_report(s: Source) -> DataFrame:
+    d = s.t("documents").withColumn("image_id", F.sha2(F.col("text").cast("binary"), 256))
+    files = d.where("n_chars % 5 > 0").select("doc_id", "image_id", (F.col("n_chars") % 3 > 0).alias("valid"))
+    return outcomes.ingestion_report(d, files, d.where("n_chars % 7 = 0").select("image_id"), 8.0, "doc_id")
+
+
 # --- synthetic data ----------------------------------------------------------------------------------------------------
 
 

@@ -56,11 +56,17 @@ def admitted(files: DataFrame) -> DataFrame:
     return files.where(ok).withColumn("content_type", kind).withColumn("is_image", is_image(F.col("path")))
 
 
-def decoded(content: Column) -> Column:
-    """Bytes as text: zero bytes as blanks if one is among the first 4096, malformed UTF-8 dropped, 200 000 characters."""
-    text = F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+def decoded(content: Column, most: int | None = MAX_TEXT_CHARS) -> Column:
+    """Bytes as text: zero bytes as blanks if one is among the first 4096, malformed UTF-8 dropped, 200 000 characters (None: all).
+
+    Malformed bytes are read as U+FFFD; so that one which was written stays, it is kept aside, after U+0001, meanwhile.
+    """
+    raw = content.cast("string")
+    kept = F.replace(F.replace(raw, F.lit("\x01"), F.lit("\x010")), F.lit("\ufffd"), F.lit("\x011"))
+    text = F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit(""))
+    text = F.replace(F.replace(text, F.lit("\x011"), F.lit("\ufffd")), F.lit("\x010"), F.lit("\x01"))
     text = F.when(F.instr(F.substring(text, 1, 4096), "\x00") > 0, F.replace(text, F.lit("\x00"), F.lit(" "))).otherwise(text)
-    return F.substring(text, 1, MAX_TEXT_CHARS)
+    return text if most is None else F.substring(text, 1, most)
 
 
 def table_text(text: Column, separator: str) -> Column:

@@ -59,3 +59,18 @@ def test_table_function_equals_the_expression(spark):
     named.createOrReplaceTempView("some_lines")
     got = spark.sql("select doc_id, value from first_keys(table(some_lines))")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_decoding_keeps_what_was_written(spark):
+    from docmill.sources import files
+
+    texts = [b"a\xff\xfeb", "x�y".encode(), b"\x01\xef\xbf\xbd\xc3z\x010", b"a\x00b", b"", None, b"x" * 5000 + b"\x00y", "ü".encode() * 3]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, b binary").select("i", files.decoded(F.col("b"), None).alias("t"), files.decoded(F.col("b"), 2).alias("two")).orderBy("i").collect()
+    assert [r["t"] for r in rows] == ["ab", "x�y", "\x01�z\x010", "a b", "", None, "x" * 5000 + "\x00y", "üüü"] and rows[7]["two"] == "üü"
+
+
+def test_codes_and_health(spark):
+    d = spark.createDataFrame([(400, 14000.0), (404, 14000.5), (413, None), (422, 0.0), (429, 0.0), (500, 0.0), (None, 0.0)], "s int, m double")
+    rows = d.select(outcomes.error_code(F.col("s")).alias("c"), outcomes.health(F.col("m")).alias("h")).collect()
+    assert [r["c"] for r in rows] == ["BAD_REQUEST", "NOT_FOUND", "FILE_TOO_LARGE", "VALIDATION_ERROR", "RATE_LIMITED", "HTTP_ERROR", "HTTP_ERROR"]
+    assert [r["h"] for r in rows] == ["ok", "degraded", "ok", "ok", "ok", "ok", "ok"]
