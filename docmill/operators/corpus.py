@@ -78,6 +78,23 @@ def number_in_order(rows: DataFrame, order: list[str], out: str = "n", group: st
     return placed.join(least, F.col(group).eqNullSafe(F.col("__g")), "left").withColumn(out, F.col(out) - F.col("__least") + 1).drop("__g", "__least")
 
 
+def running_totals(rows: DataFrame, order: list[str], group: str, totals: dict[str, Column]) -> DataFrame:
+    """Add, for each name of ``totals``, the sum of its column over the rows of the ``group`` up to this one in the order of the columns ``order``.
+
+    Rows are sorted by ranges; a range's part of a group is summed up in one task, and the sums of the parts before (one row a task
+    and group) are added to it. So a group with a third of all rows is many tasks. Null counts as 0. Rows that agree in ``order`` may swap places.
+    """
+    keys = [group, *order]
+    placed = rows.withColumns({f"__x_{n}": F.coalesce(c, F.lit(0)) for n, c in totals.items()}).repartitionByRange(*keys).withColumn("__p", F.spark_partition_id())
+    placed = written(placed, "placed")
+    upto = Window.partitionBy("__p", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a range's part of a group
+    before = Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # over one row a task
+    parts = placed.groupBy(group, "__p").agg(*[F.sum(f"__x_{n}").alias(f"__s_{n}") for n in totals])
+    parts = parts.select(F.col(group).alias("__g"), F.col("__p").alias("__q"), *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in totals])
+    out = placed.withColumns({f"__u_{n}": F.sum(f"__x_{n}").over(upto) for n in totals}).join(parts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
+    return out.select(*rows.columns, *[(F.col(f"__u_{n}") + F.col(f"__b_{n}")).alias(n) for n in totals])
+
+
 def keep_newest(files: DataFrame, by: list[str], order: Column, keep: int) -> DataFrame:
     """Rotation: of each group all but the newest ``keep`` are marked for removal."""
     r = F.row_number().over(Window.partitionBy(*by).orderBy(order.desc()))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..catalog import SCORE_WEIGHTS
+from ..sources.workspace import written
+from .corpus import number_in_order, running_totals
 from .selection import exact_percentiles
 
 
@@ -117,34 +119,52 @@ def progress(ticks: DataFrame, total: float) -> DataFrame:
 
 
 def score_series(points: DataFrame, keep: int = 48) -> DataFrame:
-    """The last ``keep`` points of (run, at, score) after equal neighbours are collapsed, with the change from the one before."""
-    w = Window.partitionBy("run").orderBy("at")
-    rows = points.withColumn("before", F.lag("score").over(w)).where("before is null or before <> score")
-    rows = rows.withColumn("delta", F.coalesce(F.col("score") - F.lag("score").over(w), F.lit(0.0)))
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("run").orderBy(F.desc("at")))).where(F.col("r") <= keep).drop("r", "before")
+    """The last ``keep`` points of (run, at, score) after equal neighbours are collapsed, with the change from the one before.
+
+    Neighbours meet by their numbers in an equality join; the only window is over the last points of a run.
+    """
+    rows = number_in_order(points.select("run", "at", "score"), ["at"], "__n", "run")
+    last = rows.select("run", (F.col("__n") + 1).alias("__n"), F.col("score").alias("__before"))
+    kept = rows.join(last, ["run", "__n"], "left").where("__before is null or __before <> score").select("run", "at", "score")
+    kept = number_in_order(kept, ["at"], "__k", "run")
+    count = kept.groupBy("run").agg(F.max("__k").alias("__last"))
+    tail = kept.join(count, "run").where(F.col("__k") >= F.col("__last") - keep)  # keep + 1 of a run
+    delta = F.coalesce(F.col("score") - F.lag("score").over(Window.partitionBy("run").orderBy("__k")), F.lit(0.0))
+    return tail.withColumn("delta", delta).where(F.col("__k") > F.col("__last") - keep).select("run", "at", "score", "delta")
+
+
+def _streaks(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The items with ``n`` (their number in the run), ``island`` (new items so far) and ``elapsed`` seconds, and of each island ``base``, the number
+    of the new item that begins it (0: none), and ``last``, that of its last item."""
+    seconds = F.col("seconds") if "seconds" in items.columns else F.lit(0)
+    rows = written(running_totals(items, ["at"], "run", {"n": F.lit(1).cast("bigint"), "island": F.col("is_new").cast("bigint"), "elapsed": seconds}), "runs")
+    islands = rows.groupBy("run", "island").agg(F.min("n").alias("first"), F.max("n").alias("last"))
+    return rows, islands.select("run", F.when(F.col("island") == 0, 0).otherwise(F.col("first")).alias("base"), "last")
 
 
 def plateau(items: DataFrame, window: int) -> DataFrame:
-    """Per run of (run, at, is_new): the first item at which ``window`` items in a row brought nothing new, or null."""
-    w = Window.partitionBy("run").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = items.withColumn("island", F.sum(F.col("is_new").cast("int")).over(w))
-    streak = F.sum(F.lit(1) - F.col("is_new").cast("int")).over(Window.partitionBy("run", "island").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("streak", streak).groupBy("run").agg(F.min(F.when(F.col("streak") >= window, F.col("at"))).alias("stop_at"), F.max("streak").alias("longest"))
+    """Per run of (run, at, is_new): the first item at which ``window`` items in a row brought nothing new, or null; and the longest such
+    row. Runs are numbered by many tasks and stretches are aggregated, so no run is one task."""
+    rows, islands = _streaks(items)
+    per = islands.groupBy("run").agg(F.min(F.when(F.col("last") - F.col("base") >= window, F.col("base") + window)).alias("n"), F.max(F.col("last") - F.col("base")).alias("longest"))
+    return per.join(rows.select("run", "n", F.col("at").alias("stop_at")), ["run", "n"], "left").select("run", "stop_at", "longest")
 
 
 def stops(items: DataFrame, max_seconds: float | None = None, limit: int | None = None, window: int | None = None) -> DataFrame:
     """(run, stop_at, reason) of the runs that end early, of items (run, at, is_new, seconds): the first item at which so many
     seconds are over, that is one too many, or that is the last of ``window`` in a row without anything new. If several hold
-    at once, the first of these is the reason. None lifts a rule."""
-    w = Window.partitionBy("run").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = items.withColumns({"n": F.count("*").over(w), "elapsed": F.sum("seconds").over(w), "island": F.sum(F.col("is_new").cast("int")).over(w)})
-    streak = F.sum(F.lit(1) - F.col("is_new").cast("int")).over(Window.partitionBy("run", "island").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows, reason = rows.withColumn("streak", streak), F.lit(None).cast("string")
-    for bound, over, name in ((window, F.col("streak") >= window, "plateau"), (limit, F.col("n") > limit, "limit"), (max_seconds, F.col("elapsed") >= max_seconds, "seconds")):
-        if bound is not None:
-            reason = F.when(over, name).otherwise(reason)
-    rows = rows.withColumn("reason", reason).where("reason is not null")
-    return rows.groupBy("run").agg(F.min("at").alias("stop_at"), F.min_by("reason", "at").alias("reason"))
+    at once, the first of these is the reason. None lifts a rule. No run is one task."""
+    rows, islands = _streaks(items)
+    found = rows.where("false").select("run", "n", F.lit(0).alias("place"), F.lit("").alias("reason"))
+    if max_seconds is not None:
+        found = found.unionByName(rows.where(F.col("elapsed") >= max_seconds).groupBy("run").agg(F.min("n").alias("n")).select("run", "n", F.lit(0).alias("place"), F.lit("seconds").alias("reason")))
+    if limit is not None:
+        found = found.unionByName(rows.where(F.col("n") == limit + 1).select("run", "n", F.lit(1).alias("place"), F.lit("limit").alias("reason")))
+    if window is not None:
+        ends = islands.where(F.col("last") - F.col("base") >= window).groupBy("run").agg(F.min(F.col("base") + window).alias("n"))
+        found = found.unionByName(ends.select("run", "n", F.lit(2).alias("place"), F.lit("plateau").alias("reason")))
+    first = found.groupBy("run").agg(F.min(F.struct("n", "place", "reason")).alias("x")).select("run", "x.n", "x.reason")
+    return first.join(rows.select("run", "n", F.col("at").alias("stop_at")), ["run", "n"]).select("run", "stop_at", "reason")
 
 
 def heartbeats(items: DataFrame, interval: int) -> DataFrame:
@@ -154,6 +174,7 @@ def heartbeats(items: DataFrame, interval: int) -> DataFrame:
 
 def resume_set(items: DataFrame, every: int = 50) -> DataFrame:
     """The items (run, at) that a run has stored as done, if it stores its set after every so many items and then breaks off."""
-    run = Window.partitionBy("run")
-    rows = items.withColumns({"__n": F.row_number().over(run.orderBy("at")), "__c": F.count("*").over(run)})
-    return rows.where(F.col("__n") <= F.expr(f"__c div {int(every)} * {int(every)}")).drop("__n", "__c")
+    rows = number_in_order(items, ["at"], "__n", "run")
+    counts = rows.groupBy(F.col("run").alias("__run")).agg(F.count("*").alias("__c"))
+    rows = rows.join(counts, F.col("run").eqNullSafe(F.col("__run")))
+    return rows.where(F.col("__n") <= F.expr(f"__c div {int(every)} * {int(every)}")).select(*items.columns)

@@ -90,3 +90,33 @@ def test_rotation_by_size(spark, tmp_path, monkeypatch):
     put("d.jsonl", ["5555555"])
     assert rotation.rotate(spark, str(log), str(archive), "s3", most=6, keep=2) == {"archived": "s3", "files": 1, "bytes": 8, "removed": ["s1"]}
     assert held() == [("s2", "4444444"), ("s3", "5555555")] and not (archive / "s2x").exists() and not list(log.glob("*.jsonl"))
+
+
+def test_runs_by_brute_force(spark):
+    from docmill.operators import stats
+
+    r = random.Random(9)
+    rows = [("hot" if r.random() < 0.7 else r.choice("abcd"), i, r.random() < 0.15, float(r.randrange(5)), float(r.randrange(3))) for i in range(900)] + [("idle", 5000 + i, False, 1.0, 1.0) for i in range(7)]
+    d = spark.createDataFrame(rows, "run string, at bigint, is_new boolean, seconds double, score double").repartition(6)
+    window, limit, most = 9, 500, 400.0
+    stops, plateaus, series = {}, {}, []
+    for run in {x[0] for x in rows}:
+        n = streak = longest = 0
+        elapsed, seen, last, kept = 0.0, None, None, []
+        for _, at, is_new, seconds, score in sorted((x for x in rows if x[0] == run), key=lambda x: x[1]):
+            n, streak, elapsed = n + 1, 0 if is_new else streak + 1, elapsed + seconds
+            longest = max(longest, streak)
+            if streak >= window and seen is None:
+                seen = at
+            reason = "seconds" if elapsed >= most else "limit" if n > limit else "plateau" if streak >= window else None
+            if reason and run not in stops:
+                stops[run] = (at, reason)
+            if score != last:
+                kept.append((at, score, score - last if last is not None else 0.0))
+            last = score
+        plateaus[run] = (seen, longest)
+        series += [(run, *x) for x in kept[-48:]]
+    assert {x["run"]: (x["stop_at"], x["reason"]) for x in stats.stops(d, most, limit, window).collect()} == stops
+    assert {x["run"]: (x["stop_at"], x["longest"]) for x in stats.plateau(d, window).collect()} == plateaus
+    assert sorted(tuple(x) for x in stats.score_series(d.select("run", "at", "score")).collect()) == sorted(series)
+    assert stats.stops(d).count() == 0 and stats.plateau(d.where("false"), 3).count() == 0
