@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import raster
+from ..functions import raster, udfs
 from ..operators import dictionary
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import build_index
@@ -190,3 +190,26 @@ def image_files(s: Source) -> DataFrame:
     grey = F.transform(F.concat("embedding", "embedding"), lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.round(x.cast("double") * 200 + 128).cast("int"))).cast("bigint")), 2, "0"))
     files = s.t("embeddings").select("vec_id", raster.portable_grey(F.unhex(F.array_join(grey, "")), F.lit(16), F.lit(8)).alias("content"))
     return raster.grey_images(files).select("vec_id", "width", "height", F.sha2(F.hex("grey").cast("binary"), 256).alias("pixels"))
+
+
+@query("q_D08_neighbour_distance", """with g as (select vec_id, list_transform(list_concat(embedding, embedding[1:8]), lambda x: cast(greatest(0, least(255, round(cast(x as double) * 200 + 128))) as int)) as p from embeddings),
+    b as (select vec_id, list_transform(range(0, 64), lambda i: p[(i // 8) * 9 + i % 8 + 1] > p[(i // 8) * 9 + i % 8 + 2]) as bits from g)
+    select a.vec_id, cast(list_sum(list_transform(range(1, 65), lambda i: cast(a.bits[i] <> c.bits[i] as int))) as int) as distance from b a join b c on c.vec_id = a.vec_id + 1""")
+def neighbour_distance(s: Source) -> DataFrame:
+    """The difference hashes of two pages of 9 x 8 pixels, made of a vector and of the next one, compared."""
+    grey = F.transform(F.concat("embedding", F.slice("embedding", 1, 8)), lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.round(x.cast("double") * 200 + 128).cast("int"))).cast("bigint")), 2, "0"))
+    files = s.t("embeddings").select("vec_id", raster.portable_grey(F.unhex(F.array_join(grey, "")), F.lit(9), F.lit(8)).alias("content"))
+    pages = raster.grey_images(files).select("vec_id", udfs.difference_hash("grey", "width", "height").alias("h"))
+    after = pages.select((F.col("vec_id") - 1).alias("vec_id"), F.col("h").alias("next"))
+    return pages.join(after, "vec_id").select("vec_id", udfs.hamming(F.col("h"), F.col("next")).cast("int").alias("distance"))
+
+
+@query("q_ST06_live_heartbeats", "select 4 as batches, count(*) as rows, true as beats from documents")
+def live_heartbeats(s: Source) -> DataFrame:
+    """Four files of documents taken in one after another under control: its points of progress, and that its heart beat meanwhile."""
+    root = _folder(s, "beats")
+    s.t("documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("image_id"), "doc_id").repartitionByRange(4, "doc_id").write.parquet(f"{root}/in")
+    control = RunControl(s.spark, f"{root}/state", interval=0.25)
+    control.start(lambda: start_ingest(s.spark, f"{root}/in", "image_id string, doc_id bigint", f"{root}/out", f"{root}/checkpoint", files_per_batch=1, wait=False))
+    done = control.wait()
+    return s.spark.createDataFrame([(sum(p["rows"] > 0 for p in control.progress()), done["rows"], control.beats >= 2)], "batches int, rows bigint, beats boolean")
