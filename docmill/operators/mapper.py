@@ -6,6 +6,10 @@ the JVM. Only the passes in which lines are used up one after another run in Pyt
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,10 +26,19 @@ def _plain(name: str) -> str:
     return "".join(c for c in name.lower() if c.isalnum())
 
 
-def _synonyms() -> Column:
-    """Every synonym as (type, name, length, minus its place in the dictionary, field): a literal of fixed size."""
-    rows = [(t, _plain(n), f) for t, fields in LABELS.items() for f, names in fields.items() for n in names]
-    return F.array(*[F.struct(F.lit(t).alias("t"), F.lit(n).alias("name"), F.lit(len(n)).alias("n"), F.lit(-i).alias("o"), F.lit(f).alias("field")) for i, (t, n, f) in enumerate(rows)])
+def _by_type(doc_type: Column, of: Callable[[list[tuple[str, str]]], Column]) -> Column:
+    """What ``of`` makes of a type's synonyms (name, field), given in the order in which they win: the longest first, then the dictionary's order.
+
+    A literal type leaves its own branch alone in the plan.
+    """
+    out = F
+    for t, fields in LABELS.items():
+        names: dict[str, str] = {}
+        for f, synonyms in fields.items():
+            for n in synonyms:
+                names.setdefault(_plain(n), f)
+        out = out.when(doc_type == t, of(sorted(names.items(), key=lambda x: -len(x[0]))))
+    return out
 
 
 def match_label(key: Column, doc_type: Column) -> Column:
@@ -35,20 +48,30 @@ def match_label(key: Column, doc_type: Column) -> Column:
     """
 
     def best(k: Column) -> Column:
-        def fits(s: Column) -> Column:
-            inside = F.contains(k, s["name"]) | ((F.length(k) >= 4) & F.contains(s["name"], k))
-            return (s["t"] == doc_type) & (k != "") & F.when(s["n"] < 4, k == s["name"]).otherwise(inside)
+        def first(names: list[tuple[str, str]]) -> Column:
+            out = F.when(k == "", F.lit(None).cast("string"))
+            for name, field in names:
+                inside = F.contains(k, F.lit(name)) | ((F.length(k) >= 4) & F.contains(F.lit(name), k))
+                out = out.when(k == name if len(name) < 4 else inside, field)
+            return out
 
-        return F.array_max(F.transform(F.filter(_synonyms(), fits), lambda s: F.struct(s["n"].alias("n"), s["o"].alias("o"), s["field"].alias("field"))))
+        return _by_type(doc_type, first)
 
-    return F.transform(F.array(T.alnum_key(key)), best)[0]["field"]  # the array binds the key, so that it is made once
+    return F.transform(F.array(T.alnum_key(key)), best)[0]  # the array binds the key, so that it is made once
 
 
 def looks_like_label(text: Column, doc_type: Column) -> Column:
     """A synonym of three or more characters is in the line, and the line has at most four more."""
 
     def any_fits(k: Column) -> Column:
-        return F.exists(_synonyms(), lambda s: (s["t"] == doc_type) & (s["n"] >= 3) & F.contains(k, s["name"]) & (F.length(k) <= s["n"] + 4))
+        def some(names: list[tuple[str, str]]) -> Column:
+            out = F
+            for n in sorted({len(name) for name, _ in names if len(name) >= 3}):
+                # Names of n characters fit lines of at most n + 4: for a longer line none of them is looked for.
+                out = out.when(F.length(k) <= n + 4, reduce(or_, [F.contains(k, F.lit(name)) for name, _ in names if len(name) >= n]))
+            return out
+
+        return _by_type(doc_type, some)
 
     return F.coalesce(F.transform(F.array(T.alnum_key(text)), any_fits)[0], F.lit(False))
 
@@ -60,42 +83,73 @@ def kind_of(field: str) -> str:
     return "amount" if field in AMOUNT_FIELDS else "date" if field in DATE_FIELDS else KINDS.get(field, "text")
 
 
-def coerced(s: Column) -> Column:
-    """The value of a text under each kind of field; null where it has none."""
-    def kinds(t: Column) -> Column:
-        return F.struct(
-            amounts.parse_amount(t).cast("string").alias("amount"), dates.find_date(t).alias("date"), identifiers.postal_code(t).alias("plz"), F.nullif(identifiers.tax_id_text(t), F.lit("")).alias("tax_id"),
-            identifiers.document_number(t).alias("number"), identifiers.tax_class(t).alias("tax_class"), F.nullif(identifiers.assessment_year(t), F.lit("")).alias("year"), F.nullif(t, F.lit("")).alias("text"),
-        )
+def _kinds(t: Column) -> dict[str, Column]:
+    """The value of a squeezed text without markup under each kind of field; null where it has none."""
+    return {
+        "amount": amounts.parse_amount(t).cast("string"), "date": dates.find_date(t), "plz": identifiers.postal_code(t), "tax_id": F.nullif(identifiers.tax_id_text(t), F.lit("")),
+        "number": identifiers.document_number(t), "tax_class": identifiers.tax_class(t), "year": F.nullif(identifiers.assessment_year(t), F.lit("")), "text": F.nullif(t, F.lit("")),
+    }
+
 
-    return F.transform(F.array(T.squeeze(T.strip_markup(s))), kinds)[0]
+def coerced(s: Column, wanted: Column | None = None) -> Column:
+    """The value of a text under each kind of field, or under those in the array ``wanted`` alone; null where it has none."""
+
+    def values(t: Column) -> Column:
+        return F.struct(*[(c if wanted is None else F.when(F.array_contains(wanted, k), c)).alias(k) for k, c in _kinds(t).items()])
+
+    return F.transform(F.array(T.squeeze(T.strip_markup(s))), values)[0]
 
 
 def coerce(field: Column, s: Column) -> Column:
-    """The value of a text for a field given as a column."""
-    c = coerced(s)
-    out = c["text"]
-    for kind, names in (("amount", AMOUNT_FIELDS), ("date", DATE_FIELDS), *((k, [f]) for f, k in KINDS.items())):
-        out = F.when(field.isin(names), c[kind]).otherwise(out)
-    return out
+    """The value of a text for a field given as a column; it is worked out under that field's kind alone."""
 
+    def chosen(t: Column) -> Column:
+        kinds, out = _kinds(t), F
+        for kind, names in ((k, [f]) for f, k in KINDS.items()):
+            out = out.when(field.isin(names), kinds[kind])
+        return out.when(field.isin(list(DATE_FIELDS)), kinds["date"]).when(field.isin(list(AMOUNT_FIELDS)), kinds["amount"]).otherwise(kinds["text"])
 
-def read_lines(lines: DataFrame) -> DataFrame:
-    """Lines with what each says by itself: label, inline value, coercions, and the three shapes looked for without a label."""
-    t = T.squeeze(F.col("text"))
-    rows = lines.withColumn("t", t).where("t <> ''")
-    rows = rows.withColumn("kv", F.transform(F.array("t"), lambda x: T.split_at(x, [":", "=", "\t"]))[0])
+    return F.transform(F.array(T.squeeze(T.strip_markup(s))), chosen)[0]
+
+
+def _bound(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is worked out once a row: filters on it, and columns made of it, aren't rewritten in terms of what it is made of."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _labelled(lines: DataFrame) -> DataFrame:
+    """Lines that aren't blank with ``t`` (squeezed), ``kv``, ``inline`` (a label and a value in one line) and ``field``, which the label names."""
+    rows = _bound(lines, "t", T.squeeze(F.col("text"))).where("t <> ''")
+    rows = _bound(rows, "kv", T.split_at(F.col("t"), [":", "=", "\t"]))
     inline = (F.col("kv.key") != "") & (F.col("kv.value") != "")
     label = F.when(inline, F.col("kv.key")).when((F.col("kv.key") != "") & (F.col("kv.value") == ""), F.col("kv.key")).when(F.coalesce(F.col("kv.value"), F.lit("")) == "", F.col("t")).otherwise("")
-    rows = rows.withColumn("inline", F.coalesce(inline, F.lit(False))).withColumn("label", label)
-    rows = rows.withColumn("field", match_label(F.col("label"), F.col("doc_type"))).withColumn("labelish", looks_like_label(F.col("t"), F.col("doc_type")))
-    rows = rows.withColumn("own", F.when(F.col("inline"), coerced(F.col("kv.value")))).withColumn("whole", coerced(F.col("t")))
+    return _bound(rows.withColumn("inline", F.coalesce(inline, F.lit(False))), "field", match_label(label, F.col("doc_type")))
+
+
+def _own() -> Column:
+    """The inline value under the kind of the line's field."""
+    return F.when(F.col("inline") & F.col("field").isNotNull(), coerce(F.col("field"), F.col("kv.value")))
+
+
+def _confidence() -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.coalesce("confidence", F.lit(DEFAULT_CONFIDENCE)).cast("double"), F.lit(1.0)))
+
+
+def read_lines(lines: DataFrame) -> DataFrame:
+    """Lines with what each says by itself: label, inline value, coercions, and the three shapes looked for without a label."""
+    rows = _bound(_labelled(lines), "labelish", looks_like_label(F.col("t"), F.col("doc_type")))
+    # A whole line is a value only for a label of its document that has none in its own line, and only under that label's kind.
+    kinds = F.create_map(*[F.lit(x) for f in sorted({f for fields in LABELS.values() for f in fields}) for x in (f, kind_of(f))])
+    asked = F.collect_set(F.when(~F.col("inline"), F.element_at(kinds, F.col("field")))).over(Window.partitionBy("doc_id"))
+    value = ~F.col("labelish") & F.col("x1").isNotNull() & (F.size("asked") > 0)
+    rows = rows.withColumn("own", _own()).withColumn("asked", asked)
+    rows = _bound(rows, "whole", F.when(value, coerced(F.col("t"), F.col("asked"))))
     shown = F.regexp_replace(F.col("t"), r"[^A-Za-zÄÖÜäöüß\s\-]", "")
     letters, upper = F.length(F.regexp_replace(shown, r"[^A-Za-zÄÖÜäöüß]", "")), F.length(F.regexp_replace(shown, r"[^A-ZÄÖÜ]", ""))
     surname = F.length(T.strip(shown)).between(2, 40) & (letters > 0) & (upper >= F.greatest(F.lit(2), letters - 1)) & (F.col("x1") >= 0.30) & ~F.col("labelish")
     return rows.select(
-        "doc_id", "doc_type", "line_no", "t", F.greatest(F.lit(0.0), F.least(F.coalesce("confidence", F.lit(DEFAULT_CONFIDENCE)).cast("double"), F.lit(1.0))).alias("confidence"), "x1", "y1", "x2", "y2", "inline", "field", "labelish", F.col("text").contains("<b>").alias("bold"),
-        *[F.col(f"own.{k}").alias(f"own_{k}") for k in ("amount", "date", "plz", "tax_id", "number", "tax_class", "year", "text")], *[F.col(f"whole.{k}").alias(f"whole_{k}") for k in ("amount", "date", "plz", "tax_id", "number", "tax_class", "year", "text")],
+        "doc_id", "doc_type", "line_no", "t", _confidence().alias("confidence"), "x1", "y1", "x2", "y2", "inline", "field", "labelish", F.col("text").contains("<b>").alias("bold"),
+        "own", *[F.col(f"whole.{k}").alias(f"whole_{k}") for k in ("amount", "date", "plz", "tax_id", "number", "tax_class", "year", "text")],
         F.nullif(F.regexp_extract(F.replace(F.col("t"), F.lit(" "), F.lit("")), r"\b([0-9]{11})\b", 1), F.lit("")).alias("p_tax"), F.when(~F.col("t").rlike(r"[0-9]{6,}"), identifiers.postal_code(F.col("t"))).alias("p_plz"),
         F.nullif(F.regexp_extract(F.col("t"), r"\b" + dates.DATE + r"\b", 0), F.lit("")).alias("p_date"), F.coalesce(surname, F.lit(False)).alias("surname"),
     )
@@ -151,7 +205,7 @@ def _assign(lines: list) -> list[tuple]:
     doc_type = page.rows[0].doc_type
     for i, r in page.free():
         if r.inline and r.field is not None and not page.settled(r.field):
-            page.put(r.field, getattr(r, "own_" + kind_of(r.field)), r, "inline")
+            page.put(r.field, r.own, r, "inline")
             page.used[i] = True
     for i, r in page.free():
         if r.inline or r.field is None or page.settled(r.field):
@@ -188,13 +242,7 @@ def map_fields(lines: DataFrame) -> DataFrame:
 
 def inline_fields(lines: DataFrame) -> DataFrame:
     """The first pass alone, set-based: per document and field the inline value of highest confidence (ties: the earlier line)."""
-    rows = read_lines(lines).where("inline and field is not null")
-    value = F.lit(None).cast("string")
-    for kind in ("amount", "date", "plz", "tax_id", "number", "tax_class", "year"):
-        names = AMOUNT_FIELDS if kind == "amount" else DATE_FIELDS if kind == "date" else [f for f, k in KINDS.items() if k == kind]
-        value = F.when(F.col("field").isin(names), F.col("own_" + kind)).otherwise(value)
-    special = [*AMOUNT_FIELDS, *DATE_FIELDS, *KINDS]
-    rows = rows.withColumn("value", F.when(F.col("field").isin(special), value).otherwise(F.col("own_text"))).where("value is not null")
+    rows = _bound(_labelled(lines).where("inline and field is not null"), "value", _own()).where("value is not null").withColumn("confidence", _confidence())
     best = F.row_number().over(Window.partitionBy("doc_id", "field").orderBy(F.desc("confidence"), "line_no"))
     return rows.withColumn("r", best).where("r = 1").select("doc_id", F.col("field").alias("field_name"), "value", "confidence", "line_no")
 

@@ -465,7 +465,7 @@ def postal_code(s: Source) -> DataFrame:
 
 @query("q_FS18_surnames", "select c_custkey, 'familienname' as field_name, c_mktsegment as value from customer")
 def surnames(s: Source) -> DataFrame:
-    rows = s.t("customer").select(F.col("c_custkey").alias("doc_id"), F.lit(catalog.ID_CARD).alias("doc_type"), F.lit(1).alias("line_no"), F.col("c_mktsegment").alias("text"), F.lit(0.9).alias("confidence"), F.lit(0.4).alias("x1"), F.lit(0.2).alias("y1"), F.lit(0.6).alias("x2"), F.lit(0.24).alias("y2"))
+    rows = s.dealt("customer").select(F.col("c_custkey").alias("doc_id"), F.lit(catalog.ID_CARD).alias("doc_type"), F.lit(1).alias("line_no"), F.col("c_mktsegment").alias("text"), F.lit(0.9).alias("confidence"), F.lit(0.4).alias("x1"), F.lit(0.2).alias("y1"), F.lit(0.6).alias("x2"), F.lit(0.24).alias("y2"))
     return mapper.map_fields(rows).where("source = 'card-surname'").select(F.col("doc_id").alias("c_custkey"), "field_name", "value")
 
 
