@@ -19,10 +19,13 @@ def parse_amount(s: Column) -> Column:
 
 def parse_whole(s: Column) -> Column:
     """A text that is nothing but an amount (currency apart) as a double, else null; used to compare values."""
-    t = F.trim(F.regexp_replace(s, r"€|EUR", ""))
-    comma = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    dots = F.when(t.rlike(r"\.\d{3}\z"), F.replace(t, F.lit("."), F.lit(""))).otherwise(t)
-    return F.when(t.rlike(r"^[0-9.,]+\z"), F.when(t.contains(","), comma).otherwise(dots).try_cast("double"))
+
+    def number(t: Column) -> Column:
+        comma = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        dots = F.when(t.rlike(r"\.\d{3}\z"), F.replace(t, F.lit("."), F.lit(""))).otherwise(t)
+        return F.when(t.rlike(r"^[0-9.,]+\z"), F.when(t.contains(","), comma).otherwise(dots).try_cast("double"))
+
+    return F.transform(F.array(F.trim(F.regexp_replace(s, r"€|EUR", ""))), number)[0]
 
 
 def close(a: Column, b: Column) -> Column:

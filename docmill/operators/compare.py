@@ -44,7 +44,8 @@ def compared_fields(truth: DataFrame, pred: DataFrame) -> DataFrame:
     p = pred.select("doc_id", "field_name", T.squeeze(F.col("value")).alias("pred"))
     rows = t.join(p, ["doc_id", "field_name"], "left").withColumn("pred", F.coalesce("pred", F.lit("")))
     amount = F.col("field_name").isin(*AMOUNT_FIELDS)
-    pf, tf = amounts.parse_whole(F.col("pred")), amounts.parse_whole(F.col("truth"))
+    rows = rows.withColumn("pf", F.when(amount, amounts.parse_whole(F.col("pred")))).withColumn("tf", F.when(amount, amounts.parse_whole(F.col("truth"))))
+    pf, tf = F.col("pf"), F.col("tf")
     def shown(text: Column, number: Column) -> Column:
         return F.when(amount, F.when(number.isNotNull(), F.format_string("%.2f", number)).otherwise(text)).otherwise(T.folded(text))
 
