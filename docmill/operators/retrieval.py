@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..catalog import TOP_CORRECTIONS
@@ -24,16 +30,88 @@ def nearest(rows: DataFrame, query: list[float], k: int, id_col: str = "id", vec
     return rows.withColumn("similarity", cosine(F.col(vector), q)).orderBy(F.desc("similarity"), id_col).limit(max(0, k))
 
 
-def nearest_in_scope(rows: DataFrame, queries: DataFrame, scope: list[str], k: int = TOP_CORRECTIONS, id_col: str = "id", parts: int = 16) -> DataFrame:
-    """Filter, then top-k: for each query (query_id, q, scope columns) its k most similar rows of the same scope.
-
-    An equality join on the scope and a part of it: the rows of a scope are dealt to ``parts`` tasks, to each of which the scope's
-    queries go, and each keeps k rows a query before these are ranked together. So a scope with a third of all rows is no task.
+NEAR = 1 << 22  # similarities that a task holds at once
+SURE = 1e-9  # more than what two ways to add up a product may differ by
+
+
+def _matrix(vectors: list, width: int) -> np.ndarray:
+    return np.array(vectors, np.float64).reshape(len(vectors), width)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of rows from left to right, as :func:`~docmill.functions.vectors.dot` adds."""
+    return np.cumsum(x, axis=1)[:, -1]
+
+
+def _best_of_group(k: int, id_col: str, scope: list[str]):
+    """Of a group's rows those that are among the ``k`` nearest of each of its queries: a product of matrices leaves few pairs, whose cosines
+    are then added up as :func:`~docmill.functions.vectors.cosine` does."""
+
+    def units(held: list, widths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        at = np.flatnonzero(widths == width)
+        x = _matrix([held[i] for i in at], width)
+        norm = np.sqrt(_sums(x * x))
+        plain = np.isfinite(norm) & ((norm > 1e-150) | (norm == 0))
+        return at, x, norm, np.where(plain[:, None], x / np.where(norm > 0, norm, 1.0)[:, None], np.nan)
+
+    def width_of(v: list | None) -> int:
+        return 0 if v is None or None in v else len(v)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, asked = right.column(id_col).combine_chunks(), left.column("query_id").combine_chunks()
+        place = np.empty(len(ids), np.int64)
+        place[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+        vectors, wanted = right.column("embedding").to_pylist(), left.column("q").to_pylist()
+        wide, asked_wide = np.array([width_of(v) for v in vectors], np.int64), np.array([width_of(v) for v in wanted], np.int64)
+        out_q, out_r, out_s = [], [], []
+        for width in sorted(set(asked_wide.tolist())) if len(ids) and k > 0 else []:
+            with np.errstate(all="ignore"):
+                rows_at, x, norm, unit = units(vectors, wide, width) if width else (np.zeros(0, np.int64), *[np.zeros((0, 0))] * 3)
+                queries_at, y, y_norm, y_unit = units(wanted, asked_wide, width) if width else (np.flatnonzero(asked_wide == 0), *[np.zeros((0, 0))] * 3)
+                step = max(1, NEAR // len(ids))
+                for start in range(0, len(queries_at), step):
+                    these = slice(start, start + step)
+                    near = np.zeros((len(queries_at[these]), len(ids)))
+                    if len(rows_at):
+                        found = y_unit[these] @ unit.T
+                        near[:, rows_at] = np.where(np.isnan(found), np.inf, found)  # what has no plain product is looked at in any case
+                    least = np.partition(near, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(near), -np.inf)
+                    for i in range(len(near)):
+                        some = np.flatnonzero(near[i] >= least[i] - SURE)
+                        exact = np.zeros(len(some))
+                        if len(rows_at):
+                            at = np.searchsorted(rows_at, some)
+                            fits = rows_at[np.minimum(at, len(rows_at) - 1)] == some
+                            at = at[fits]
+                            length = norm[at] * y_norm[start + i]
+                            exact[fits] = np.where(length == 0, 0.0, _sums(x[at] * y[start + i]) / np.where(length == 0, 1.0, length))
+                        first = np.lexsort((place[some], -exact, ~np.isnan(exact)))[:k]  # NaN is the greatest, as in Spark
+                        out_q.append(np.full(len(first), queries_at[start + i]))
+                        out_r.append(some[first])
+                        out_s.append(exact[first])
+        q, r = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_q, out_r))
+        s = np.concatenate(out_s) if out_s else np.zeros(0)
+        return pa.table([asked.take(pa.array(q)), *[left.column(c).combine_chunks().take(pa.array(q)) for c in scope], ids.take(pa.array(r)), pa.array(s, pa.float64())], names=["query_id", *scope, id_col, "similarity"])
+
+    return run
+
+
+def nearest_in_scope(rows: DataFrame, queries: DataFrame, scope: list[str], k: int = TOP_CORRECTIONS, id_col: str = "id", parts: int | Column = 16) -> DataFrame:
+    """Filter, then top-k: for each query (query_id, q, scope columns) its k most similar rows of the same scope, as (query_id, scope columns,
+    id, similarity, rank).
+
+    The rows of a scope are dealt to ``parts`` groups (a number, or a column made of the scope), to each of which the scope's queries go; each
+    group keeps k rows a query before these are ranked together. So a scope with a third of all rows is no task, and pairs are no rows.
     """
-    rows = rows.withColumn("__part", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int"))
-    pairs = queries.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(rows, [*scope, "__part"]).drop("__part").withColumn("similarity", cosine(F.col("embedding"), F.col("q")))
+    parts = F.lit(parts) if isinstance(parts, int) else parts
+    some = reduce(and_, [F.col(c).isNotNull() for c in scope], F.lit(True))
+    rows = rows.where(some).select(id_col, *scope, "embedding").withColumn("__part", F.pmod(F.xxhash64(id_col), parts).cast("int"))
+    asked = queries.where(some).select("query_id", "q", *scope).withColumn("__part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
+    kinds, id_kind = asked.schema, rows.schema[id_col]
+    schema = StructType([kinds["query_id"], *[kinds[c] for c in scope], id_kind, StructField("similarity", DoubleType())])
+    found = asked.groupBy(*scope, "__part").cogroup(rows.groupBy(*scope, "__part")).applyInArrow(_best_of_group(max(0, k), id_col, scope), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= max(0, k))
+    return found.withColumn("rank", rank).where(F.col("rank") <= max(0, k))
 
 
 def nearest_then_type(rows: DataFrame, query: list[float], k: int, document_type: str, id_col: str = "id", type_col: str = "form_type", unknown: str = "Unbekannt") -> DataFrame:

@@ -24,6 +24,8 @@ from .retrieval import nearest_in_scope
 SAMPLE = 16_384  # vectors that centroids are trained on, at most: those with the least hashes of their ids
 MOST_CELLS = 4_096
 ROUNDS = 10
+CELL_ROWS = 16_384  # rows of a cell that one task compares with queries at a time
+TUNE = 1_024  # queries that the number of cells is fitted on, at most: those with the least hashes of their ids
 NOWHERE = -1  # the cell of vectors without a direction (null, empty, zero, odd lengths), whose similarity to anything is 0
 SLACK = 1e-9
 
@@ -130,7 +132,11 @@ class VectorIndex:
     def _ranked(self, asked: DataFrame, k: int) -> DataFrame:
         wanted = [r["cell"] for r in asked.select("cell").distinct().collect()]  # MOST_CELLS at most
         rows = self.vectors(wanted).withColumnRenamed(self.vector, "embedding")
-        return nearest_in_scope(rows, asked.select("query_id", "q", "cell"), ["cell"], k, self.id_col).select("query_id", self.id_col, "similarity", "rank")
+        parts = F.lit(1)
+        for c, n in self.sizes.items():  # a large cell is several groups
+            if n > CELL_ROWS:
+                parts = F.when(F.col("cell") == c, ceil(n / CELL_ROWS)).otherwise(parts)
+        return nearest_in_scope(rows, asked.select("query_id", "q", "cell"), ["cell"], k, self.id_col, parts).select("query_id", self.id_col, "similarity", "rank")
 
     def search(self, queries: DataFrame, k: int, probe: int | None = None) -> DataFrame:
         """(query_id, id, similarity, rank): each query's ``k`` nearest (ties: by id), in the ``probe`` cells with the nearest centroids; exactly, without
@@ -146,9 +152,11 @@ class VectorIndex:
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), self.id_col))
         return more.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    def probes_for(self, queries: DataFrame, k: int, recall: float = 0.95) -> int:
-        """The least ``probe`` at which these queries find the share ``recall`` of their exact k nearest: their neighbours' cells are looked
-        up in each query's order of cells, so that one exact search answers for every ``probe``."""
+    def probes_for(self, queries: DataFrame, k: int, recall: float = 0.95, sample: int = TUNE) -> int:
+        """The least ``probe`` at which these queries, or a sample of ``sample`` of them, find the share ``recall`` of their exact k nearest: their
+        neighbours' cells are looked up in each query's order of cells, so that one exact search answers for every ``probe``. All vectors
+        are searched, whatever the sample; what recall other queries reach is to be measured by :meth:`search`."""
+        queries = written(queries.select("query_id", "q").orderBy(F.xxhash64("query_id"), "query_id").limit(sample), "tune")
         asked = written(self.cells_of(queries), "asked")
         true = self.search(queries, k).select("query_id", F.col(self.id_col).alias("__id"))
         at = self.vectors().select(F.col(self.id_col).alias("__id"), "cell")

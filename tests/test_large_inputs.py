@@ -45,3 +45,31 @@ def test_word_errors_of_short_and_long_texts(spark):
     df = spark.createDataFrame(pairs, "a string, b string, n int")
     assert [r[0] for r in df.select(T.word_levenshtein(F.col("a"), F.col("b"))).collect()] == [n for *_, n in pairs]
     assert plan(df.select(T.word_error_rate(F.col("a"), F.col("b")))).count("split(") == 2  # each text is split once
+
+
+def test_nearest_in_scope_equals_the_cosines_of_all_pairs(spark):
+    from docmill.functions.vectors import cosine
+    from docmill.operators.retrieval import nearest_in_scope
+
+    odd = [None, [], [0.0, 0.0], [1.0], [float("nan"), 1.0], [float("inf"), 1.0], [1e-200, 1e-200], [1e200, 1e200], [None, 1.0], [1.0, 2.0], [1.0, 2.0], [2.0, 4.0], [-1.0, 0.5], [1.0, 2.0, 3.0]]
+    rows = [(i, i % 2 if i < 40 else None, v) for i, v in enumerate(odd * 3)]
+    r = spark.createDataFrame(rows, "id bigint, s int, embedding array<double>")
+    q = r.select(F.col("id").alias("query_id"), "s", F.col("embedding").alias("q"))
+    got = nearest_in_scope(r, q, ["s"], 3, parts=2)
+    plain = q.join(r, "s").select("query_id", "id", cosine(F.col("embedding"), F.col("q")).alias("similarity"))
+    best = plain.selectExpr("*", "row_number() over (partition by query_id order by similarity desc, id) as rank").where("rank <= 3")
+    shown = lambda df: sorted(str(tuple(x)) for x in df.select("query_id", "id", "similarity", "rank").collect())
+    assert shown(got) == shown(best)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()  # queries and their cells may be many
+
+
+def test_cells_are_fitted_on_a_bounded_sample(spark, tmp_path):
+    from docmill.operators.vector_index import build_index
+
+    v = spark.range(300).select("id", F.array(F.sin(F.col("id")), F.cos(F.col("id") * 3)).alias("embedding"))
+    index = build_index(v, f"{tmp_path}/x")
+    seen = []
+    search = index.search
+    index.search = lambda queries, *a: seen.append(queries.count()) or search(queries, *a)
+    assert 1 <= index.probes_for(v.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), 3, 0.9, sample=20) <= len(index.numbers)
+    assert seen == [20]
