@@ -70,7 +70,8 @@ def normalise_lines(lines: DataFrame, default: float = 0.85, floor: float | None
     """Blank lines go, a missing confidence becomes the default, texts are squeezed; with ``floor``, weaker lines go."""
     from ..functions import text as T
 
-    rows = lines.withColumn("text", T.squeeze(F.col("text"))).where("text <> ''").withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(default)))))
+    squeezed = lines.select(*[c for c in lines.columns if c != "text"], F.explode(F.array(T.squeeze(F.col("text")))).alias("text")).select(*lines.columns)
+    rows = squeezed.where("text <> ''").withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(default)))))
     return rows if floor is None else rows.where(F.col("confidence") >= floor)
 
 

@@ -73,3 +73,26 @@ def test_cells_are_fitted_on_a_bounded_sample(spark, tmp_path):
     index.search = lambda queries, *a: seen.append(queries.count()) or search(queries, *a)
     assert 1 <= index.probes_for(v.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), 3, 0.9, sample=20) <= len(index.numbers)
     assert seen == [20]
+
+
+@pytest.mark.parametrize("name", ["q_S15_plain_lines", "q_FS17_inferred_types"])
+def test_lines_are_split_and_squeezed_once(spark, name):
+    shown = plan(QUERIES[name](spark, FOLDER))
+    assert shown.count("split(") == 1 and shown.count("x{3000}") == (2 if name == "q_S15_plain_lines" else 1)
+
+
+def test_embeddings_are_held_as_numbers_of_eight_bytes(spark):
+    import numpy as np
+    import pandas as pd
+
+    from docmill.functions import udfs
+
+    made = []
+    original = udfs.pandas_udf
+    udfs.pandas_udf = lambda kind: lambda f: made.append(f) or original(kind)(f)
+    try:
+        udfs.hashed_embedding(F.lit(""))
+    finally:
+        udfs.pandas_udf = original
+    out = made[0](pd.Series(["a b", "", None]))
+    assert all(isinstance(v, np.ndarray) and v.nbytes == 384 * 8 for v in out) and [round(float((v * v).sum()), 9) for v in out] == [1.0, 0.0, 0.0]
