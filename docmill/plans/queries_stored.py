@@ -147,8 +147,8 @@ def many_synonyms(s: Source) -> DataFrame:
     p = s.t("part").withColumn("k", F.col("p_partkey").cast("bigint"))
     names = p.select(F.lit("part").alias("doc_type"), F.col("k").cast("string").alias("field"), F.concat_ws(" ", "p_brand", "p_type", F.col("k") % 500).alias("name"), F.col("k").alias("place"))
     key = F.when(F.col("k") % 3 == 0, F.col("p_type")).otherwise(F.concat_ws(" ", "p_name", "p_brand", "p_type", F.col("k") % 700))
-    rows = p.select("p_partkey", key.alias("key"), key.alias("text"), F.lit("part").alias("doc_type"))
-    return dictionary.match_labels(rows, names).where("field is not null").select("p_partkey", F.col("field").cast("bigint").alias("part"))
+    rows = p.select("p_partkey", key.alias("key"), F.lit("part").alias("doc_type"))
+    return dictionary.match_labels(rows, names, line=None).where("field is not null").select("p_partkey", F.col("field").cast("bigint").alias("part"))
 
 
 # --- tables that change in place, rotation -----------------------------------------------------------------------------

@@ -96,3 +96,15 @@ def test_embeddings_are_held_as_numbers_of_eight_bytes(spark):
         udfs.pandas_udf = original
     out = made[0](pd.Series(["a b", "", None]))
     assert all(isinstance(v, np.ndarray) and v.nbytes == 384 * 8 for v in out) and [round(float((v * v).sum()), 9) for v in out] == [1.0, 0.0, 0.0]
+
+
+def test_a_dictionary_goes_to_the_tasks_once_or_not_at_all(spark):
+    from docmill.operators import dictionary
+
+    names = spark.range(900).select(F.lit("a").alias("doc_type"), F.col("id").cast("string").alias("field"), F.concat(F.lit("name "), F.col("id") % 90).alias("name"), F.col("id").alias("place"))
+    rows = spark.createDataFrame([("my name 17", "a"), ("na", "a"), ("name", "a"), ("me 8", "a"), (None, "a"), ("name 5", "b")], "key string, doc_type string")
+    want = {"my name 17": "17", "na": None, "name": "10", "me 8": None, None: None, "name 5": None}
+    for part, passes in ((100, 1), (20, 0)):  # 90 distinct names; of 900 rows in parts there were nine passes
+        out = dictionary.match_labels(rows, names, line=None, part=part)
+        assert {r["key"]: r["field"] for r in out.collect()} == want, part
+        assert plan(out).count("MapInArrow") == passes
