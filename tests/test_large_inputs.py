@@ -108,3 +108,13 @@ def test_a_dictionary_goes_to_the_tasks_once_or_not_at_all(spark):
         out = dictionary.match_labels(rows, names, line=None, part=part)
         assert {r["key"]: r["field"] for r in out.collect()} == want, part
         assert plan(out).count("MapInArrow") == passes
+
+
+def test_a_task_sorts_no_more_of_a_larger_table(spark, monkeypatch):
+    lines, customers = Source(spark, FOLDER).v("v_form_lines"), Source(spark, FOLDER).t("customer").count()
+    before = {tuple(r) for r in lines.collect()}
+    monkeypatch.setattr(views, "ROWS_PER_TASK", 4)
+    lines = Source(spark, FOLDER).v("v_form_lines")
+    assert lines.rdd.getNumPartitions() == -(-customers // 4) > 4 * spark.sparkContext.defaultParallelism
+    assert {tuple(r) for r in lines.collect()} == before
+    assert QUERIES["q_W02_first_key_wins"](spark, FOLDER).rdd.getNumPartitions() == -(-customers // 4)
