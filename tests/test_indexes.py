@@ -118,3 +118,30 @@ def test_blocks_hold_the_best_first(spark, tmp_path):
     blocks = index.blocks().where("token = 'same'").orderBy("block").collect()
     assert len(blocks) == 16 and [b["most"] for b in blocks] == sorted((b["most"] for b in blocks), reverse=True)
     assert all(len(b["postings"]) <= 64 for b in blocks) and [p["score"] for b in blocks for p in b["postings"]] == sorted((i % 300 for i in range(1000)), reverse=True)
+
+
+def test_postings_are_shuffled_once_and_blocks_go_on_from_task_to_task(spark, tmp_path, monkeypatch):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    made = []
+    original = text_index.written
+    monkeypatch.setattr(text_index, "written", lambda df, name: made.append((name, df)) or original(df, name))
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # four tasks share a token
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+        d = spark.range(1000).select("id", F.lit("same word").alias("text"), F.when(F.col("id") % 10 > 0, F.col("id") % 300).alias("score"))
+        index = text_index.TextIndex(spark, f"{tmp_path}/t", buckets=4, block=64).insert(d, ["text"], "id", "score")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = sorted(range(1000), key=lambda i: (i % 10 == 0, -(i % 300) if i % 10 else 0, i))
+    rows = index.blocks().where("token = 'same'").collect()
+    assert len(rows) > 16 and all(0 < len(r["postings"]) <= 64 for r in rows)
+    place = {i: n for n, i in enumerate(want)}
+    for r in rows:
+        first = place[r["postings"][0]["id"]]
+        assert r["block"] == first // 64 and r["most"] == r["postings"][0]["score"]
+        assert [p["id"] for p in r["postings"]] == want[first : first + len(r["postings"])]
+    assert sorted(p["id"] for r in rows for p in r["postings"]) == list(range(1000))
+    pieces = next(df for name, df in made if name == "postings")
+    assert pieces._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1 and "Join" not in pieces._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["id"] for r in index.search("same", 70).collect()] == want[:70]
