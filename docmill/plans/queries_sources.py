@@ -245,13 +245,16 @@ def settings(s: Source) -> DataFrame:
 # --- streams -----------------------------------------------------------------------------------------------------------
 
 
+FILES_PER_ROUND = 8  # else there are as many batches as tasks that read the documents, and each has its fixed cost
+
+
 def _ingest(s: Source, rounds: int, per_batch: int) -> tuple[str, DataFrame]:
     from ..streaming.ingest import start_ingest
 
     root = _folder(s, "ingest")
     d = s.t("documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("image_id"), F.col("doc_id"))
     for k in range(rounds):  # each round brings new files; the checkpoint says which are read already
-        d.where(F.col("doc_id") % rounds <= k).write.mode("append").parquet(f"{root}/in")
+        d.where(F.col("doc_id") % rounds <= k).repartition(FILES_PER_ROUND).write.mode("append").parquet(f"{root}/in")
         start_ingest(s.spark, f"{root}/in", "image_id string, doc_id bigint", f"{root}/out", f"{root}/checkpoint", files_per_batch=per_batch)
     return root, s.spark.read.parquet(f"{root}/out")
 

@@ -1,5 +1,6 @@
 """Streams: keyed state over restarts, rules that stop a run, control of runs, and one upload in flight."""
 
+import os
 import time
 
 import pytest
@@ -155,3 +156,21 @@ def test_one_upload_in_flight(spark, tmp_path):
     until(lambda: len(got) >= 5)
     second.stop()
     assert got == [(0, "text 1"), ("failed", "text 2"), (1, "text 2"), (2, "text 3"), (3, "text 4")]
+
+
+def test_batches_and_state_do_not_grow_with_the_files_of_the_documents(spark, tmp_path):
+    from docmill.plans import queries_sources
+    from docmill.plans.queries import Source
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    d.repartition(12).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        root, out = queries_sources._ingest(Source(spark, str(tmp_path)), 1, 1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert out.count() == out.select("image_id").distinct().count() == d.select("text").distinct().count()
+    root = root.removeprefix("file:")
+    assert len([f for f in os.listdir(f"{root}/in") if f.endswith(".parquet")]) <= queries_sources.FILES_PER_ROUND
+    assert len([f for f in os.listdir(f"{root}/checkpoint/state/0") if f.isdigit()]) == spark.sparkContext.defaultParallelism
