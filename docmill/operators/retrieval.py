@@ -24,10 +24,12 @@ def clamp_k(k: int, most: int = TOP_CORRECTIONS) -> int:
     return max(0, min(k, most))
 
 
-def nearest(rows: DataFrame, query: list[float], k: int, id_col: str = "id", vector: str = "embedding") -> DataFrame:
-    """The k rows most similar to one vector (ties: by id; none for k of 0 or less): each task keeps k rows, then one merge of those."""
+def nearest(rows: DataFrame, query: list[float], k: int, id_col: str = "id", vector: str = "embedding", digits: int | None = None) -> DataFrame:
+    """The k rows most similar to one vector (ties: by id; none for k of 0 or less): each task keeps k rows, then one merge of those.
+    With ``digits``, similarities are rounded first, so that what rounds alike is a tie."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return rows.withColumn("similarity", cosine(F.col(vector), q)).orderBy(F.desc("similarity"), id_col).limit(max(0, k))
+    similarity = cosine(F.col(vector), q)
+    return rows.withColumn("similarity", similarity if digits is None else F.round(similarity, digits)).orderBy(F.desc("similarity"), id_col).limit(max(0, k))
 
 
 NEAR = 1 << 22  # similarities that a task holds at once
@@ -43,9 +45,15 @@ def _sums(x: np.ndarray) -> np.ndarray:
     return np.cumsum(x, axis=1)[:, -1]
 
 
-def _best_of_group(k: int, id_col: str, scope: list[str]):
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded half away from zero, as SQL does."""
+    return np.trunc(x * 10.0**digits + np.copysign(0.5, x)) / 10.0**digits + 0.0  # no -0.0
+
+
+def _best_of_group(k: int, id_col: str, scope: list[str], digits: int | None):
     """Of a group's rows those that are among the ``k`` nearest of each of its queries: a product of matrices leaves few pairs, whose cosines
     are then added up as :func:`~docmill.functions.vectors.cosine` does."""
+    sure = SURE if digits is None else SURE + 10.0**-digits  # what rounds to the k-th similarity or more is looked at
 
     def units(held: list, widths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(widths == width)
@@ -77,7 +85,7 @@ def _best_of_group(k: int, id_col: str, scope: list[str]):
                         near[:, rows_at] = np.where(np.isnan(found), np.inf, found)  # what has no plain product is looked at in any case
                     least = np.partition(near, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(near), -np.inf)
                     for i in range(len(near)):
-                        some = np.flatnonzero(near[i] >= least[i] - SURE)
+                        some = np.flatnonzero(near[i] >= least[i] - sure)
                         exact = np.zeros(len(some))
                         if len(rows_at):
                             at = np.searchsorted(rows_at, some)
@@ -85,6 +93,7 @@ def _best_of_group(k: int, id_col: str, scope: list[str]):
                             at = at[fits]
                             length = norm[at] * y_norm[start + i]
                             exact[fits] = np.where(length == 0, 0.0, _sums(x[at] * y[start + i]) / np.where(length == 0, 1.0, length))
+                        exact = exact if digits is None else _rounded(exact, digits)
                         first = np.lexsort((place[some], -exact, ~np.isnan(exact)))[:k]  # NaN is the greatest, as in Spark
                         out_q.append(np.full(len(first), queries_at[start + i]))
                         out_r.append(some[first])
@@ -96,9 +105,9 @@ def _best_of_group(k: int, id_col: str, scope: list[str]):
     return run
 
 
-def nearest_in_scope(rows: DataFrame, queries: DataFrame, scope: list[str], k: int = TOP_CORRECTIONS, id_col: str = "id", parts: int | Column = 16) -> DataFrame:
+def nearest_in_scope(rows: DataFrame, queries: DataFrame, scope: list[str], k: int = TOP_CORRECTIONS, id_col: str = "id", parts: int | Column = 16, digits: int | None = None) -> DataFrame:
     """Filter, then top-k: for each query (query_id, q, scope columns) its k most similar rows of the same scope, as (query_id, scope columns,
-    id, similarity, rank).
+    id, similarity, rank). With ``digits``, similarities are rounded first, so that what rounds alike is a tie, which goes by id.
 
     The rows of a scope are dealt to ``parts`` groups (a number, or a column made of the scope), to each of which the scope's queries go; each
     group keeps k rows a query before these are ranked together. So a scope with a third of all rows is no task, and pairs are no rows.
@@ -109,14 +118,14 @@ def nearest_in_scope(rows: DataFrame, queries: DataFrame, scope: list[str], k: i
     asked = queries.where(some).select("query_id", "q", *scope).withColumn("__part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
     kinds, id_kind = asked.schema, rows.schema[id_col]
     schema = StructType([kinds["query_id"], *[kinds[c] for c in scope], id_kind, StructField("similarity", DoubleType())])
-    found = asked.groupBy(*scope, "__part").cogroup(rows.groupBy(*scope, "__part")).applyInArrow(_best_of_group(max(0, k), id_col, scope), schema)
+    found = asked.groupBy(*scope, "__part").cogroup(rows.groupBy(*scope, "__part")).applyInArrow(_best_of_group(max(0, k), id_col, scope, digits), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col))
     return found.withColumn("rank", rank).where(F.col("rank") <= max(0, k))
 
 
-def nearest_then_type(rows: DataFrame, query: list[float], k: int, document_type: str, id_col: str = "id", type_col: str = "form_type", unknown: str = "Unbekannt") -> DataFrame:
+def nearest_then_type(rows: DataFrame, query: list[float], k: int, document_type: str, id_col: str = "id", type_col: str = "form_type", unknown: str = "Unbekannt", digits: int | None = None) -> DataFrame:
     """Top-k (at most five) first, then the rows of the type or of unknown type; all k if that leaves none."""
-    top = nearest(rows, query, clamp_k(k), id_col)
+    top = nearest(rows, query, clamp_k(k), id_col, digits=digits)
     any_fit = F.max(F.col(type_col).isin(document_type, unknown)).over(Window.partitionBy())  # over at most five rows
     return top.withColumn("__any", any_fit).where(F.col(type_col).isin(document_type, unknown) | ~F.col("__any")).drop("__any")
 

@@ -63,6 +63,34 @@ def test_nearest_in_scope_equals_the_cosines_of_all_pairs(spark):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()  # queries and their cells may be many
 
 
+@pytest.mark.parametrize("name", ["q_O01_knn_in_scope", "q_O01_knn_cosine_top5", "q_O03_knn_postfilter_type", "q_O02_k_values"])
+def test_similarities_that_round_alike_are_ranked_by_id(spark, tmp_path, name):
+    import duckdb
+
+    from docmill.plans.queries import ORACLE
+    from oracle import compare
+
+    near = [(i, [1.0, (60 - i) * 1e-5], 3) for i in range(1, 60)]  # a greater id is nearer to 0, by less than the sixth digit
+    spark.createDataFrame([(0, [1.0, 0.0], 3), *near], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    compare(QUERIES[name](spark, str(tmp_path)), connection, ORACLE[name])
+
+
+def test_rounded_similarities_lose_no_tie_within_a_group(spark):
+    from docmill.functions.vectors import cosine
+    from docmill.operators.retrieval import nearest_in_scope
+
+    r = spark.range(400).select("id", F.lit(1).alias("s"), F.array(F.lit(1.0), (F.col("id") * 7919 % 400) * 0.005 - 1, F.lit(0.5)).alias("embedding"))
+    q = r.where("id % 50 = 0").select(F.col("id").alias("query_id"), "s", F.col("embedding").alias("q"))
+    for digits in (1, 3, 6):
+        got = nearest_in_scope(r, q, ["s"], 4, parts=3, digits=digits)
+        plain = q.join(r, "s").select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("q")), digits).alias("similarity"))
+        best = plain.selectExpr("*", "row_number() over (partition by query_id order by similarity desc, id) as rank").where("rank <= 4")
+        shown = lambda df: sorted(str(tuple(x)) for x in df.select("query_id", "id", "similarity", "rank").collect())
+        assert shown(got) == shown(best)
+
+
 def test_cells_are_fitted_on_a_bounded_sample(spark, tmp_path):
     from docmill.operators.vector_index import build_index
 
